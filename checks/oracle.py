@@ -361,6 +361,14 @@ ORACLE: dict[str, str] = {
         SELECT x.vec_id,
                round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity
         FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1""",
+    "f7_score_with": """
+        SELECT doc_id AS row_idx, CAST(length(text) AS DOUBLE) AS logit_1, CAST(length(text) > 1000 AS INT) AS prediction
+        FROM documents""",
+    "f10_augment_text": with_tables(
+        """SELECT par_id, label, 'bt ' || text AS text, 'aug' AS origin, 'bt' AS copy_no, CAST(NULL AS VARCHAR) AS error
+           FROM evaluated WHERE label = 1""",
+        "evaluated",
+    ),
     "f9_evaluate_baseline": with_tables(
         with_metrics(
             f"""SELECT 'guess' AS scorer, {cells()} FROM (

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import SparkSession, functions as F
 
 from checks import tables as t
 from checks.tables import Query, rounded
-from gradeloom.functions.arrays import argmax, every_nth
+from gradeloom.functions.arrays import argmax, cosine, every_nth
 from gradeloom.functions.bins import bin_label, cut, length_bucket, range_label
 from gradeloom.functions.labels import binarize, graded_label, graded_positive, prediction_as_string
 from gradeloom.functions.text import normalise_text, text_length, text_or_nan, word_count
@@ -450,7 +451,7 @@ def f5_cosine(spark, sf_dir):
     vectors = t.load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
     pairs = vectors.join(following, "vec_id")
-    return pairs.select("vec_id", joins.cosine(F.col("embedding"), F.col("next")).alias("similarity"))
+    return pairs.select("vec_id", cosine(F.col("embedding"), F.col("next")).alias("similarity"))
 
 
 def _training_rows(spark, sf_dir):
@@ -473,6 +474,18 @@ def f7_score(spark, sf_dir):
     return classifier.score(model, texts).select("row_idx", "logits", "prediction")
 
 
+def _length_scorer():
+    """A scorer that takes long texts for positive."""
+    return lambda texts: np.column_stack([np.full(len(texts), 1000.0), texts.str.len()])
+
+
+@query
+def f7_score_with(spark, sf_dir):
+    texts = t.documents(spark, sf_dir).select(F.col("par_id").alias("row_idx"), "text")
+    scored = classifier.score_with(texts, _length_scorer)
+    return scored.select("row_idx", F.col("logits")[1].alias("logit_1"), "prediction")
+
+
 @query
 def f8_search_hyperparameters(spark, sf_dir):
     train, valid = _training_rows(spark, sf_dir)

@@ -50,9 +50,9 @@ def merge_with_labels(
 
 def label_augmented(augmented: DataFrame, corpus: DataFrame, threshold: int = 1) -> DataFrame:
     """Give augmented texts the binary label of the corpus row they came from."""
-    has_text = "text" in augmented.columns
-    looked_up = corpus.select(KEY, "label") if has_text else corpus.select(KEY, "text", "label")
-    return merge_with_labels(augmented, looked_up, threshold=threshold)
+    own_text = "text" in augmented.columns
+    looked_up = [c for c in corpus.columns if c in (KEY, "label") or (c == "text" and not own_text)]
+    return merge_with_labels(augmented, corpus.select(*looked_up), threshold=threshold)
 
 
 def attach_by_position(gold: DataFrame, predictions: DataFrame, key: str | None = None) -> DataFrame:

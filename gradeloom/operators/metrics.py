@@ -63,6 +63,15 @@ def _fill_counts(df: DataFrame, *names: str) -> DataFrame:
     return df.fillna(0, subset=list(names))
 
 
+def _listed(df: DataFrame, **columns: Sequence[int]) -> DataFrame:
+    """A small table with one int column per argument."""
+    size = len(next(iter(columns.values())))
+    rows = df.sparkSession.range(size)
+    return rows.select(
+        *[F.array(*map(F.lit, values))[F.col("id").cast("int")].alias(name) for name, values in columns.items()]
+    )
+
+
 def metrics_by_length(df: DataFrame, edges: Sequence[int] = BUCKET_EDGES) -> DataFrame:
     """Metrics per length bucket; empty buckets are listed with null lengths.
 
@@ -76,9 +85,8 @@ def metrics_by_length(df: DataFrame, edges: Sequence[int] = BUCKET_EDGES) -> Dat
         F.max("text_length").alias("max_length"),
         *binary_cells(),
     )
-    buckets = df.sparkSession.range(1, len(edges) + 2).select(F.col("id").cast("int").alias("bucket"))
     # One row per bucket on both sides.
-    listed = buckets.join(F.broadcast(counts), "bucket", "left")
+    listed = _listed(df, bucket=range(1, len(edges) + 2)).join(F.broadcast(counts), "bucket", "left")
     return classification_metrics(_fill_counts(listed, "n", *CELLS)).orderBy("bucket")
 
 
@@ -89,9 +97,8 @@ def metrics_by_graded_label(df: DataFrame, grades: Sequence[int] = GRADES, cutof
         .groupBy("label")
         .agg(F.count("*").alias("n"), *graded_cells(cutoff))
     )
-    listed = df.sparkSession.createDataFrame([(g,) for g in grades], "label int").join(
-        F.broadcast(counts), "label", "left"
-    )
+    # One row per grade on both sides.
+    listed = _listed(df, label=grades).join(F.broadcast(counts), "label", "left")
     return classification_metrics(_fill_counts(listed, "n", *CELLS)).orderBy("label")
 
 
@@ -127,8 +134,8 @@ def positive_rate_by_bin(df: DataFrame, edges: Sequence[int] = BIN_EDGES) -> Dat
     length = F.col("text_length") if "text_length" in df.columns else text_length(F.col("text"))
     rows = df.select("label", cut(length, edges).alias("bin")).filter(F.col("bin").isNotNull())
     counts = rows.groupBy("bin.bin_left", "bin.bin_right").agg(*_label_counts((0, 1), "n"))
-    bins = df.sparkSession.createDataFrame(list(zip(edges, edges[1:])), "bin_left int, bin_right int")
     # One row per bin on both sides.
+    bins = _listed(df, bin_left=edges[:-1], bin_right=edges[1:])
     listed = _fill_counts(bins.join(F.broadcast(counts), ["bin_left", "bin_right"], "left"), "n0", "n1")
     share = F.try_divide("n1", F.col("n0") + F.col("n1")) * 100
     return listed.withColumn("ratio", share).orderBy("bin_left")
@@ -165,9 +172,8 @@ def confusion_matrix(df: DataFrame) -> DataFrame:
     predicted = prediction_as_string(F.col("prediction"))
     cells = [F.count_if(predicted == p).alias(f"predicted_{p}") for p in ("0", "1")]
     counts = df.filter(F.col("label").isin(0, 1)).groupBy("label").agg(*cells)
-    truth = df.sparkSession.range(0, 2).select(F.col("id").cast("int").alias("label"))
     # At most two rows on both sides.
-    listed = truth.join(F.broadcast(counts), "label", "left")
+    listed = _listed(df, label=(0, 1)).join(F.broadcast(counts), "label", "left")
     return _fill_counts(listed, "predicted_0", "predicted_1").orderBy("label")
 
 

@@ -21,14 +21,17 @@ def position_in_partition(task_row: Column) -> Column:
 
 
 def with_row_index(df: DataFrame, *order_by: str | Column, name: str = "row_idx") -> DataFrame:
-    """Number rows from 0 in the given order, which should be total.
+    """Number rows from 0 in the given order, equal rows in the order they lie.
 
     The sorted rows are written once, because a second sort could put the
     borders between partitions elsewhere.  Without an order the rows are
     numbered as they lie.
     """
-    ordered = df.orderBy(*order_by) if order_by else df
-    rows = stage(ordered.withColumn("_task_row", F.monotonically_increasing_id()), "rows")
+    if order_by:
+        # As the last sort key, the place of a row lets equal rows spread over several tasks.
+        placed = df.withColumn("_place", F.monotonically_increasing_id())
+        df = placed.orderBy(*order_by, "_place").drop("_place")
+    rows = stage(df.withColumn("_task_row", F.monotonically_increasing_id()), "rows")
     part = F.shiftright("_task_row", _PARTITION_BITS)
     # One row per partition, a bound set by the number of tasks.
     counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))

@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom.operators.joins import KEY, anti_join_by_key
 from gradeloom.operators.row_index import with_row_index
+from gradeloom.staging import stage
 
 SEED = 42
 # Hex digits counted at a time: at most 65,536 counts reach the driver.
 _STEP = 4
 _DIGITS = 32
 _HASH = "_hash"
+# Rows of a hash prefix that one task sorts; even groups get there with 1.3e11 rows.
+MAX_GROUP = 2_000_000
 # What identifies a row once augmented copies share the id of their original.
 ROW_KEY = (KEY, "origin", "copy_no")
 
@@ -120,21 +123,30 @@ def sample_frac(
 
 
 def shuffle_rows(
-    df: DataFrame, seed: int = SEED, key: Sequence[str] | None = None, purpose: str = "shuffle"
+    df: DataFrame,
+    seed: int = SEED,
+    key: Sequence[str] | None = None,
+    purpose: str = "shuffle",
+    max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Seeded random order, kept as ``row_idx``.
 
-    Hash prefixes cut the rows into even groups whatever the key looks like;
-    each group is sorted by itself and starts after the rows of those below it.
+    Hash prefixes cut the rows into even groups; each is sorted by itself and
+    starts after the rows of those below it.  Only many rows with the same key
+    can make a group large.  Then all rows are sorted together, with the place
+    of a row as the last key, so that the copies spread over several tasks.
     """
     key = list(key or df.columns)
-    hashed = df.drop("row_idx").withColumn(_HASH, sample_hash(seed, purpose, key))
+    hashed = df.withColumn(_HASH, sample_hash(seed, purpose, key))
     group = F.substring(_HASH, 1, _STEP)
     # At most 65,536 groups.
-    sizes = hashed.groupBy(group.alias("_group")).agg(F.count("*").alias("_rows"))
+    sizes = stage(hashed.groupBy(group.alias("_group")).agg(F.count("*").alias("_rows")), "groups")
+    if (sizes.agg(F.max("_rows")).head()[0] or 0) > max_group:
+        whole_row = sample_hash(seed, f"{purpose}:tie", df.columns)
+        return with_row_index(hashed.drop("row_idx"), _HASH, whole_row).drop(_HASH)
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_group", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_group").orderBy(_HASH, *key)
+    within = Window.partitionBy("_group").orderBy(_HASH, sample_hash(seed, f"{purpose}:tie", df.columns))
     placed = hashed.withColumn("_group", group).withColumn("_place", F.row_number().over(within))
     return (
         placed.join(F.broadcast(starts), "_group")

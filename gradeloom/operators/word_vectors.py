@@ -13,17 +13,18 @@ def train_word_vectors(
     window: int = 5,
     min_count: int = 1,
     seed: int = 42,
-    partitions: int = 8,
+    partitions: int | None = None,
     order: tuple[str, ...] = (),
     iterations: int = 1,
 ) -> DataFrame:
     """Skip-gram vectors as ``word`` and ``vector``.
 
     ``order`` names columns that identify a sentence; with them every partition
-    gets the same sentences in the same order each time.  On large corpora use
-    more ``partitions`` and a ``min_count`` that keeps the model, words times
-    size, within what Spark can broadcast.
+    gets the same sentences in the same order each time.  The default number of
+    ``partitions`` is that of shuffles.  On large corpora ``min_count`` must
+    keep the model, words times size, within what Spark can broadcast.
     """
+    partitions = partitions or int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = sentences.repartition(partitions, *order) if order else sentences.repartition(partitions)
     ordered = keyed.sortWithinPartitions(*order) if order else keyed
     trainer = Word2Vec(

@@ -45,18 +45,10 @@ def indexed_lines(spark: SparkSession, path: str, header_lines: int = 0, skip_bl
         .agg(F.min("_task_row").alias("_first"), F.count("*").alias("_lines"))
         .withColumn("_kept", F.greatest(F.col("_lines") - header, F.lit(0)))
     )
-    blocks = stage(blocks, "blocks")
-    so_far = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file, no more than the list of files the driver holds anyway.
-    files = blocks.groupBy("_file").agg(F.sum("_kept").alias("_file_lines"))
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("_file", F.coalesce(F.sum("_file_lines").over(earlier), F.lit(0)).alias("_file_start"))
-    offsets = (
-        blocks.withColumn("_block_start", F.coalesce(F.sum("_kept").over(so_far), F.lit(0)))
-        .join(files, "_file")
-        .select(*_BLOCK, "_first", "_lines", (F.col("_file_start") + F.col("_block_start")).alias("_before"))
-    )
-    # Written again, so that Spark knows the size and broadcasts only a small table.
+    # One row per split, a list that the driver holds to schedule the scan.
+    earlier = Window.orderBy(*_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_before", F.coalesce(F.sum("_kept").over(earlier), F.lit(0))).drop("_kept")
+    # Written, so that Spark knows the size and broadcasts only a small table.
     offsets = stage(offsets, "offsets")
     position = F.col("_task_row") - F.col("_first")
     moved = F.raise_error(F.lit("the files or their splits changed while they were read")).cast("long")
