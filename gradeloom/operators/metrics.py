@@ -10,6 +10,7 @@ from gradeloom.functions.arrays import argmax
 from gradeloom.functions.bins import BIN_EDGES, BUCKET_EDGES, cut, length_bucket
 from gradeloom.functions.labels import graded_positive, prediction_as_string
 from gradeloom.functions.text import text_length
+from gradeloom.staging import stage
 
 GRADES = (0, 1, 2, 3, 4)
 GOOD_F1 = 0.55
@@ -157,14 +158,15 @@ def histogram_by_class(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     The last bin is closed.  If all values are equal, the range is widened by
     a half on both sides.
     """
-    value = F.col(column).cast("double")
-    span = df.filter(F.col("label").isNotNull()).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    flat = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
-    span = span.select((F.col("lo") - flat).alias("lo"), (F.col("hi") + flat).alias("hi"))
+    value = F.col(column).cast("double").alias("value")
+    rows = df.select("label", value).filter(F.col("label").isNotNull() & F.col("value").isNotNull())
+    # Written, so that the edges and the bins come from one pass over the rows.
+    counts = stage(rows.groupBy("value", "label").agg(F.count("*").alias("n")), "values")
+    flat = F.when(F.min("value") == F.max("value"), F.lit(0.5)).otherwise(F.lit(0.0))
+    span = counts.agg((F.min("value") - flat).alias("lo"), (F.max("value") + flat).alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    number = F.least(F.width_bucket(value, lo, hi, F.lit(bins)), F.lit(bins)).cast("int")
-    rows = df.filter(F.col("label").isNotNull() & value.isNotNull())
-    return rows.groupBy(number.alias("bin"), "label").agg(F.count("*").alias("n"))
+    number = F.least(F.width_bucket("value", lo, hi, F.lit(bins)), F.lit(bins)).cast("int")
+    return counts.groupBy(number.alias("bin"), "label").agg(F.sum("n").alias("n"))
 
 
 def confusion_matrix(df: DataFrame) -> DataFrame:

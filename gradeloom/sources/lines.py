@@ -79,8 +79,7 @@ def lines_after(spark: SparkSession, path: str, skip_lines: int, drop_first_row:
     lines lie at the top of the first file, which its own first task reads, so
     no position has to be worked out for the rest.
     """
-    files = sorted(spark.read.text(path).inputFiles())
-    head = _numbered_scan(spark, unquote(files[0]))
+    head, head_path = _first_file(spark, path)
     out_of_place = F.raise_error(F.lit("the first lines are spread over several blocks")).cast("boolean")
     skipped = F.col("_task_row") < skip_lines
     kept = head.filter(F.when(skipped & (F.col("_start") > 0), out_of_place).otherwise(~skipped))
@@ -89,11 +88,25 @@ def lines_after(spark: SparkSession, path: str, skip_lines: int, drop_first_row:
         first = kept.select("_task_row").head(1)
         if first:
             kept = kept.filter(F.col("_task_row") != first[0][0])
-    lines = kept.select("value")
-    if len(files) > 1:
-        others = spark.read.text(path).filter(F.col("_metadata.file_path") != files[0])
-        lines = lines.unionByName(others.filter(~_blank()).select("value"))
-    return lines
+    if head_path is None:
+        return kept.select("value")
+    others = spark.read.text(path).filter(F.col("_metadata.file_path") != head_path).filter(~_blank())
+    return kept.select("value").unionByName(others.select("value"))
+
+
+def _first_file(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+    """Scan of the first file that has lines, and its path if there are others."""
+    scan, named = _numbered_scan(spark, path), None
+    files = sorted(spark.read.text(path).inputFiles())
+    if len(files) == 1:
+        return scan, named
+    for file in files:
+        scan = _numbered_scan(spark, unquote(file))
+        first = scan.select("_file").head(1)
+        if first:
+            named = first[0][0]
+            break
+    return scan, named
 
 
 def write_label_lines(df: DataFrame, path: str, column: str = "prediction", single_file: bool = False) -> None:
