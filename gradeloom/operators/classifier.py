@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from threading import Lock
 
 import numpy as np
 import pandas as pd
@@ -202,6 +203,8 @@ def search_hyperparameters(
     if final is not None:
         sets["final"] = final
     rows = {name: _features(prepare, df).persist() for name, df in sets.items()}
+    # Two writes that append to one folder would clear each other's temporary files.
+    one_writer = Lock()
 
     def run(trial: Trial) -> list[tuple]:
         model = _classifier(trial.epochs, trial.learning_rate).fit(rows["train"])
@@ -212,7 +215,8 @@ def search_hyperparameters(
             for split, name in (("valid", "dev"), ("final", "final")):
                 if name in scores:
                     labelled = scores[name].withColumns({"run_id": F.lit(trial.run_id), "split": F.lit(split)})
-                    write_scores(labelled, f"{output}/scores")
+                    with one_writer:
+                        write_scores(labelled, f"{output}/scores")
         return [(*asdict(trial).values(), split, *metrics) for split, metrics in measured.items()]
 
     with ThreadPoolExecutor(parallelism) as pool:

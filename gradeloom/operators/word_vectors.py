@@ -21,7 +21,8 @@ def train_word_vectors(
 
     ``order`` names columns that identify a sentence; with them every partition
     gets the same sentences in the same order each time.  The default number of
-    ``partitions`` is that of shuffles.  On large corpora ``min_count`` must
+    ``partitions`` is that of shuffles; with more than one, Spark adds up their
+    updates as they come, and two runs differ a little.  On large corpora ``min_count`` must
     keep the model, words times size, within what Spark can broadcast.
     """
     partitions = partitions or int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
