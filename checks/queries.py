@@ -20,7 +20,7 @@ from gradeloom.plans.label_files import write_label_files
 from gradeloom.plans.training_sets import training_sets
 from gradeloom.plans.word_similarity import word_similarity
 from gradeloom.sources import lines, scores, tables
-from gradeloom.staging import fresh_path
+from gradeloom.staging import fresh_path, stage
 
 QUERIES: dict[str, Query] = {}
 
@@ -379,8 +379,8 @@ def e4_shuffle_rows(spark, sf_dir):
 
 def _rebalanced(spark, sf_dir, down_ratio, up_ratio):
     corpus = t.corpus(spark, sf_dir)
-    train = joins.merge_with_labels(t.train_list(spark, sf_dir), corpus.drop("text"))
-    extra = joins.label_augmented(t.augmented(spark, sf_dir).drop("text"), corpus.drop("text"))
+    train = stage(joins.merge_with_labels(t.train_list(spark, sf_dir), corpus.drop("text")))
+    extra = stage(joins.label_augmented(t.augmented(spark, sf_dir).drop("text"), corpus.drop("text")))
     return sampling.rebalance(train, extra, down_ratio, up_ratio)
 
 
@@ -396,7 +396,7 @@ def e5_rebalance_partly_augmented(spark, sf_dir):
 
 @query
 def e6_split_train_valid(spark, sf_dir):
-    train, valid = sampling.split_train_valid(_rebalanced(spark, sf_dir, 3, 2.5))
+    train, valid = sampling.split_train_valid(stage(_rebalanced(spark, sf_dir, 3, 2.5)))
     return sampling.concat(train.withColumn("side", F.lit("train")), valid.withColumn("side", F.lit("valid")))
 
 
@@ -456,7 +456,7 @@ def f5_cosine(spark, sf_dir):
 
 def _training_rows(spark, sf_dir):
     """Labelled documents to train on and to validate with."""
-    rows = t.evaluated(spark, sf_dir).select("par_id", "keyword", "text", "label")
+    rows = stage(t.evaluated(spark, sf_dir).select("par_id", "keyword", "text", "label"))
     return sampling.split_train_valid(rows, key=["par_id"])
 
 

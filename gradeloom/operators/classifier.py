@@ -18,8 +18,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.arrays import argmax
+from gradeloom.functions.labels import prediction_as_string
 from gradeloom.functions.text import WORD, text_or_nan
-from gradeloom.operators.metrics import GOOD_F1, best_run, evaluate_scores, select_runs
+from gradeloom.operators.metrics import (
+    GOOD_F1,
+    best_run,
+    binary_cells,
+    classification_metrics,
+    evaluate_scores,
+    select_runs,
+)
 from gradeloom.operators.sampling import sample_hash
 from gradeloom.sources.scores import write_scores
 
@@ -63,11 +71,6 @@ def _with_scores(scored: DataFrame) -> DataFrame:
     )
 
 
-def _log_loss(scored: DataFrame) -> float:
-    chance = F.greatest(F.element_at(vector_to_array(F.col("probability")), F.col("label") + 1), F.lit(1e-15))
-    return scored.agg(F.avg(-F.log(chance))).head()[0]
-
-
 def _f1_and_accuracy(scores: DataFrame) -> tuple[float, float]:
     row = evaluate_scores(scores).head()
     return row["f1_score"], row["accuracy"]
@@ -81,6 +84,16 @@ class Epoch:
     eval_accuracy: float
 
 
+def _evaluate(epoch: int, scored: DataFrame) -> Epoch:
+    """Loss and metrics of one epoch in one scan."""
+    chance = F.element_at(vector_to_array(F.col("probability")), F.col("label") + 1)
+    loss = F.avg(-F.log(F.greatest(chance, F.lit(1e-15)))).alias("loss")
+    predicted = argmax(vector_to_array(F.col("rawPrediction")))
+    rows = scored.withColumn("prediction", prediction_as_string(predicted))
+    row = classification_metrics(rows.agg(loss, *binary_cells())).head()
+    return Epoch(epoch, row["loss"], row["f1_score"], row["accuracy"])
+
+
 def train_text_classifier(
     train: DataFrame,
     valid: DataFrame,
@@ -99,8 +112,7 @@ def train_text_classifier(
     best: LogisticRegressionModel | None = None
     for epoch in range(1, epochs + 1):
         model = _classifier(epoch, rate).fit(train_rows)
-        scored = model.transform(valid_rows)
-        result = Epoch(epoch, _log_loss(scored), *_f1_and_accuracy(_with_scores(scored)))
+        result = _evaluate(epoch, model.transform(valid_rows))
         if best is None or result.eval_loss < min(e.eval_loss for e in history):
             best = model
         history.append(result)

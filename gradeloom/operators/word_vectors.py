@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec
-from pyspark.sql import DataFrame, functions as F
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, functions as F
+
+MAX_WORDS = 1_000_000
 
 
 def train_word_vectors(
@@ -16,15 +18,23 @@ def train_word_vectors(
     partitions: int | None = None,
     order: tuple[str, ...] = (),
     iterations: int = 1,
+    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """Skip-gram vectors as ``word`` and ``vector``.
 
     ``order`` names columns that identify a sentence; with them every partition
     gets the same sentences in the same order each time.  The default number of
     ``partitions`` is that of shuffles; with more than one, Spark adds up their
-    updates as they come, and two runs differ a little.  On large corpora ``min_count`` must
-    keep the model, words times size, within what Spark can broadcast.
+    updates as they come, and two runs differ a little.
+
+    Spark keeps the vectors of all words on the driver and sends them to every
+    task, so more than ``max_words`` words fail before training starts; raise
+    ``min_count`` then, or the bound if the memory allows.
     """
+    counts = sentences.select(F.explode("words").alias("word")).groupBy("word").count()
+    found = counts.filter(F.col("count") >= min_count).count()
+    if found > max_words:
+        raise ValueError(f"{found} words occur {min_count} times or more, the model holds {max_words}")
     partitions = partitions or int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = sentences.repartition(partitions, *order) if order else sentences.repartition(partitions)
     ordered = keyed.sortWithinPartitions(*order) if order else keyed

@@ -78,6 +78,12 @@ def test_word_vectors_are_repeatable(spark, texts):
     assert {word for word, _ in runs[0]} == vocabulary and len(runs[0][0][1]) == 8
 
 
+def test_too_many_words_fail_before_training(spark, texts):
+    spoken = tokens.sentences_of_words(texts, "par_id")
+    with pytest.raises(ValueError, match="11 words occur 1 times or more, the model holds 10"):
+        train_word_vectors(spoken, size=8, max_words=10)
+
+
 def test_word_similarity(spark, texts):
     pairs = spark.createDataFrame([("good", "fine"), ("bad", "bad")], "a string, b string")
     got = {r["a"]: r["similarity"] for r in word_similarity(texts, pairs, size=8, partitions=1).collect()}

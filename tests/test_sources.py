@@ -45,6 +45,12 @@ def test_consumed_header_costs_the_first_row_that_is_not_blank(spark, tmp_path):
     assert [r["par_id"] for r in tables.read_corpus(spark, late, header="consume").collect()] == [8]
 
 
+def test_quotes_can_be_taken_for_quoting(spark, tmp_path):
+    path = write(tmp_path / "quoted.tsv", 'x\ny\n1\ta\tk\tgb\t"say ""hi"""\t2\n')
+    assert tables.read_corpus(spark, path, quote='"').head()["text"] == 'say "hi"'
+    assert tables.read_corpus(spark, path).head()["text"] == '"say ""hi"""'
+
+
 def test_corpus_of_many_splits_and_files(spark, tmp_path, setting):
     rows = [f"{i}\ta\tk{i % 3}\tgb\ttext number {i}\t{i % 5}" for i in range(3000)]
     whole = write(tmp_path / "one" / "corpus.tsv", "\n".join(["x", "y", *rows]) + "\n")
