@@ -19,8 +19,9 @@ from gradeloom.operators.row_index import with_row_index
 from gradeloom.staging import stage
 
 SEED = 42
-# Hex digits counted at a time: at most 65,536 counts reach the driver.
+# Hex digits counted at a time, and how many counts then reach the driver at most.
 _STEP = 4
+_MAX_COUNTS = 16**_STEP
 _DIGITS = 32
 _HASH = "_hash"
 # Rows of a hash prefix that one task sorts; even groups get there with 1.3e11 rows.
@@ -43,8 +44,7 @@ class _Cut:
     available: int
 
 
-def _prefix_counts(hashes: DataFrame, prefix: str) -> list[tuple[str, int]]:
-    digits = len(prefix) + _STEP
+def _prefix_counts(hashes: DataFrame, prefix: str, digits: int) -> list[tuple[str, int]]:
     counts = (
         hashes.filter(F.col(_HASH).startswith(prefix))
         .groupBy(F.substring(_HASH, 1, digits).alias("prefix"))
@@ -54,7 +54,12 @@ def _prefix_counts(hashes: DataFrame, prefix: str) -> list[tuple[str, int]]:
 
 
 def _find_cut(hashes: DataFrame, size_of_sample: Callable[[int], int]) -> _Cut | None:
-    counts = _prefix_counts(hashes, "")
+    """Count prefixes of 4, 8 and all digits until the cut is found.
+
+    Within 8 digits, few different hashes are left whatever the table's size;
+    if there are few rows within 4 digits, the second step is left out.
+    """
+    counts = _prefix_counts(hashes, "", _STEP)
     needed = size_of_sample(sum(n for _, n in counts))
     if needed == 0:
         return None
@@ -65,7 +70,8 @@ def _find_cut(hashes: DataFrame, size_of_sample: Callable[[int], int]) -> _Cut |
             needed -= available
         if needed == available or len(prefix) == _DIGITS:
             return _Cut(prefix, needed, available)
-        counts = _prefix_counts(hashes, prefix)
+        few = available <= _MAX_COUNTS or len(prefix) > _STEP
+        counts = _prefix_counts(hashes, prefix, _DIGITS if few else 2 * _STEP)
 
 
 def _sample(
