@@ -490,7 +490,7 @@ def f7_score_with(spark, sf_dir):
 def f8_search_hyperparameters(spark, sf_dir):
     train, valid = _training_rows(spark, sf_dir)
     dev = joins.merge_with_labels(t.dev_list(spark, sf_dir), t.corpus(spark, sf_dir))
-    return classifier.search_hyperparameters(train, valid, dev, trials=4)
+    return classifier.search_hyperparameters(train, valid, dev)
 
 
 @query

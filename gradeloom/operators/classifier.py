@@ -110,14 +110,16 @@ def train_text_classifier(
     train_rows, valid_rows = _features(prepare, train).persist(), _features(prepare, valid).persist()
     history: list[Epoch] = []
     best: LogisticRegressionModel | None = None
-    for epoch in range(1, epochs + 1):
-        model = _classifier(epoch, rate).fit(train_rows)
-        result = _evaluate(epoch, model.transform(valid_rows))
-        if best is None or result.eval_loss < min(e.eval_loss for e in history):
-            best = model
-        history.append(result)
-    train_rows.unpersist()
-    valid_rows.unpersist()
+    try:
+        for epoch in range(1, epochs + 1):
+            model = _classifier(epoch, rate).fit(train_rows)
+            result = _evaluate(epoch, model.transform(valid_rows))
+            if best is None or result.eval_loss < min(e.eval_loss for e in history):
+                best = model
+            history.append(result)
+    finally:
+        train_rows.unpersist()
+        valid_rows.unpersist()
     log = train.sparkSession.createDataFrame(
         [tuple(asdict(e).values()) for e in history],
         "epoch int, eval_loss double, eval_f1 double, eval_accuracy double",
@@ -200,7 +202,7 @@ def search_hyperparameters(
     min_f1: float = GOOD_F1,
     output: str | None = None,
     features: int = 1 << 18,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Fit every trial and report its metrics on the validation and dev rows.
 
@@ -231,11 +233,13 @@ def search_hyperparameters(
                         write_scores(labelled, f"{output}/scores")
         return [(*asdict(trial).values(), split, *metrics) for split, metrics in measured.items()]
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(run, draw_trials(trials, seed)))
-    for frame in rows.values():
-        frame.unpersist()
-    return train.sparkSession.createDataFrame([row for rows_of_run in results for row in rows_of_run], _RUNS)
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            results = list(pool.map(run, draw_trials(trials, seed)))
+    finally:
+        for frame in rows.values():
+            frame.unpersist()
+    return train.sparkSession.createDataFrame([row for of_run in results for row in of_run], _RUNS)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
