@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.operators.joins import label_augmented, merge_with_labels
-from gradeloom.operators.sampling import SEED, rebalance, split_train_valid
+from gradeloom.operators.joins import KEY, label_augmented, merge_with_labels
+from gradeloom.operators.sampling import SEED, concat, rebalance, split_train_valid
 from gradeloom.staging import stage
 
 
 @dataclass
 class TrainingSets:
+    """Training and validation rows, and what they were drawn from.
+
+    ``rebalanced`` may lack the texts of corpus rows.
+    """
+
     train: DataFrame
     valid: DataFrame
     rebalanced: DataFrame
@@ -29,11 +34,28 @@ def training_sets(
 ) -> TrainingSets:
     """Label the split list, rebalance it and split it by id.
 
-    The labelled rows and the rebalanced ones are written once: every sample
-    reads its input a few times, and the later reads need the key only.
+    All draws work on ids and labels; the texts of the drawn rows are joined
+    last, once for both sets.  That needs one corpus row per id, which shows in
+    the join adding no rows; otherwise texts stay with their labels throughout.
     """
-    labelled = stage(merge_with_labels(train_labels, corpus), "labelled")
+    late_text = "text" not in train_labels.columns
+    if late_text:
+        labelled = stage(merge_with_labels(train_labels, corpus.select(KEY, "label")), "labelled")
+        late_text = labelled.count() == train_labels.count()
+    if not late_text:
+        labelled = stage(merge_with_labels(train_labels, corpus), "labelled")
     extra = stage(label_augmented(augmented, corpus), "augmented")
     rebalanced = stage(rebalance(labelled, extra, down_ratio, up_ratio, seed), "rebalanced")
     train, valid = split_train_valid(rebalanced, train_frac, seed)
-    return TrainingSets(train, valid, rebalanced)
+    rows = concat(train.withColumn("side", F.lit("train")), valid.withColumn("side", F.lit("valid")))
+    if late_text:
+        rows = _with_corpus_text(rows, corpus)
+    sides = stage(rows, "sides", partition_by="side")
+    return TrainingSets(*[sides.filter(F.col("side") == side).drop("side") for side in ("train", "valid")], rebalanced)
+
+
+def _with_corpus_text(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Texts of corpus rows; augmented rows have theirs already."""
+    texts = corpus.select(KEY, F.col("text").alias("_corpus_text"))
+    text = F.when(F.col("origin") == "aug", F.col("text")).otherwise(F.col("_corpus_text"))
+    return rows.join(texts, KEY, "left").withColumn("text", text).drop("_corpus_text")

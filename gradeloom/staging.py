@@ -31,7 +31,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gradeloom/{uuid.uuid4().hex}/{name}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and return the written table.
 
     Unlike a cached frame it outlives the executors, later reads prune its
@@ -39,5 +39,5 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.text import words
 from gradeloom.operators import classifier, metrics, tokens
+from gradeloom.operators.sampling import concat
 from gradeloom.operators.word_vectors import train_word_vectors
 from gradeloom.plans.training_sets import training_sets
 from gradeloom.plans.word_similarity import word_similarity
@@ -165,3 +166,20 @@ def test_training_sets_follow_the_ratios(spark, sf_dir):
     positives = counts[1, "orig"]
     assert counts[0, "orig"] == 2 * positives and counts[1, "aug"] == int(positives * 1.5 - positives)
     assert sets.train.join(sets.valid, "par_id").count() == 0
+
+
+def test_repeated_corpus_ids_keep_their_texts(spark):
+    corpus = spark.createDataFrame(
+        [(i, f"text {i}", 4 if i < 10 else 0) for i in range(60)] + [(1, "other text 1", 4), (20, "other text 20", 0)],
+        "par_id bigint, text string, label int",
+    )
+    listed = spark.range(60).select(F.col("id").alias("row_idx"), F.col("id").alias("par_id"), F.lit("x").alias("label"))
+    copies = spark.createDataFrame([(1, "bt 1", "a.csv"), (2, "bt 2", "a.csv")], "par_id bigint, text string, copy_no string")
+    once = corpus.filter("text not like 'other%'")
+    # A copy of an id that is there twice is there twice as well.
+    for rows, positives, added in ((once, 10, 2), (corpus, 11, 3)):
+        sets = training_sets(listed, rows, copies, down_ratio=3, up_ratio=2)
+        assert sets.rebalanced.count() == 4 * positives + added
+        texts = [(r["par_id"], r["text"]) for r in concat(sets.train, sets.valid).collect()]
+        assert set(texts) <= {(r["par_id"], r["text"]) for r in concat(rows, copies).collect()}
+        assert len(texts) - len(set(texts)) <= added - 2
