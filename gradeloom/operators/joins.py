@@ -56,12 +56,13 @@ def label_augmented(augmented: DataFrame, corpus: DataFrame, threshold: int = 1)
 
 
 def attach_by_position(gold: DataFrame, predictions: DataFrame, key: str | None = None) -> DataFrame:
-    """Give the i-th gold row the i-th prediction.
+    """Give the i-th gold row the i-th prediction, from a ``prediction`` or ``value`` column.
 
     A gold row without prediction fails, surplus predictions are ignored.  With
     ``key``, rows that share it all take the prediction of the last of them.
     """
-    lines = predictions.select("row_idx", prediction_as_string(F.col("prediction")).alias("prediction"))
+    said = F.col("prediction" if "prediction" in predictions.columns else "value")
+    lines = predictions.select("row_idx", prediction_as_string(said).alias("prediction"))
     attached = gold.join(lines, "row_idx", "left")
     if key is not None:
         last = attached.groupBy(key).agg(F.max_by("prediction", "row_idx").alias("prediction"))

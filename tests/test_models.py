@@ -104,6 +104,20 @@ def test_training_is_repeatable_and_keeps_the_best_epoch(sides):
     assert scored["f1_score"] == best["eval_f1"] == 1.0
 
 
+def test_scores_and_loss_equal_those_worked_out_by_hand(sides):
+    train, valid = sides
+    model, log = classifier.train_text_classifier(train, valid, epochs=1, features=FEATURES)
+    prepare, fitted = model.stages
+    features = {r["row_idx"]: r["features"].toArray() for r in prepare.transform(valid).collect()}
+    weights, bias = fitted.coefficients.toArray(), fitted.intercept
+    losses = []
+    for row in classifier.score(model, valid).collect():
+        margin = features[row["row_idx"]] @ weights + bias
+        assert row["logits"] == pytest.approx([-margin, margin]) and row["prediction"] == int(margin > 0)
+        losses.append(np.log1p(np.exp(-margin if row["label"] else margin)))
+    assert log.head()["eval_loss"] == pytest.approx(np.mean(losses))
+
+
 def test_saved_models_score_the_same(sides, tmp_path):
     train, valid = sides
     model, _ = classifier.train_text_classifier(train, valid, epochs=1, features=FEATURES)
