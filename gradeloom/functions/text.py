@@ -19,6 +19,7 @@ WHITESPACE = (
 WORD = r"[\p{L}\p{N}]+"
 # A word, or a single mark that is neither part of a word nor white space.
 WORD_OR_MARK = r"[\p{L}\p{N}]+|[^ \t\n\r\f\x0B\p{L}\p{N}]"
+NOT_BLANK = r"[^ \t\n\r\f\x0B]"
 SENTENCE_BREAK = r"(?<=[.!?])[ \t\n\r\f]+"
 
 

@@ -147,17 +147,17 @@ def shuffle_rows(
     group = F.substring(_HASH, 1, _STEP)
     # At most 65,536 groups.
     sizes = stage(hashed.groupBy(group.alias("_group")).agg(F.count("*").alias("_rows")), "groups")
+    hashed = hashed.withColumn("_tie", F.xxhash64(*df.columns))
     if (sizes.agg(F.max("_rows")).head()[0] or 0) > max_group:
-        whole_row = sample_hash(seed, f"{purpose}:tie", df.columns)
-        return with_row_index(hashed.drop("row_idx"), _HASH, whole_row).drop(_HASH)
+        return with_row_index(hashed.drop("row_idx"), _HASH, "_tie").drop(_HASH, "_tie")
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_group", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_group").orderBy(_HASH, sample_hash(seed, f"{purpose}:tie", df.columns))
+    within = Window.partitionBy("_group").orderBy(_HASH, "_tie")
     placed = hashed.withColumn("_group", group).withColumn("_place", F.row_number().over(within))
     return (
         placed.join(F.broadcast(starts), "_group")
         .withColumn("row_idx", (F.col("_start") + F.col("_place") - 1).cast("long"))
-        .drop("_group", "_place", "_start", _HASH)
+        .drop("_group", "_place", "_start", "_tie", _HASH)
     )
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from gradeloom.functions.text import sentence_words, sentences, words
+from gradeloom.functions.text import NOT_BLANK, sentence_words, sentences, words
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 MAX_LENGTH = 512
@@ -96,8 +96,9 @@ def encode_tokens(
 def sentences_of_words(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """One row per sentence with its number in the text and its words."""
     split = df.select(*keep, F.posexplode(sentences(F.col(text))).alias("sent_no", "_sentence"))
-    spoken = split.withColumn("words", sentence_words(F.col("_sentence"))).drop("_sentence")
-    return spoken.filter(F.size("words") > 0)
+    # What is not white space gives a word; asking for words here would look for them twice.
+    spoken = split.filter(F.col("_sentence").rlike(NOT_BLANK))
+    return spoken.withColumn("words", sentence_words(F.col("_sentence"))).drop("_sentence")
 
 
 def augment_text(df: DataFrame, paraphrase: Callable[[pd.Series], pd.Series], copy_no: str, text: str = "text") -> DataFrame:

@@ -68,6 +68,12 @@ def test_shuffle_spreads_a_hot_key(spark):
     assert ids(sorted_together, "row_idx") == list(range(900))
 
 
+def test_shuffle_replaces_positions(spark):
+    df = numbers(spark, 50).withColumn("row_idx", F.col("par_id") + 100)
+    a, b = (sampling.shuffle_rows(df, key=["par_id"], max_group=n).orderBy("row_idx").collect() for n in (1000, 0))
+    assert a == b and [r["row_idx"] for r in a] == list(range(50))
+
+
 def test_row_index_follows_the_order(spark):
     df = spark.range(2000).select((F.lit(1999) - F.col("id")).alias("x"), F.lit("same").alias("y")).repartition(13)
     indexed = with_row_index(df, "x")
