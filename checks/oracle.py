@@ -178,6 +178,10 @@ ORACLE: dict[str, str] = {
         "SELECT row_number() OVER (ORDER BY par_id) - 1 AS row_idx, par_id, label FROM gold_list", "gold_list"
     ),
     "a3_read_unlabelled": f"SELECT CAST(doc_id AS VARCHAR) AS par_id, {ONE_LINE.format('text')} AS text FROM documents",
+    "a3_read_unlabelled_in_order": f"""
+        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, CAST(doc_id AS VARCHAR) AS par_id,
+               {ONE_LINE.format('text')} AS text
+        FROM documents""",
     "a4_read_augmented": """
         SELECT doc_id AS par_id, CASE WHEN lang = 'en' THEN source END AS label, text, 'aug' AS origin FROM documents""",
     "a5_read_indexed_lines": with_tables(

@@ -69,6 +69,15 @@ def a3_read_unlabelled(spark, sf_dir):
     return tables.read_unlabelled(spark, path)
 
 
+@query
+def a3_read_unlabelled_in_order(spark, sf_dir):
+    path = fresh_path(spark, "unlabelled.tsv")
+    rows = t.documents(spark, sf_dir).withColumn("text", t.one_line("text"))
+    fields = ("par_id", F.lit("a"), "source", "lang", "text")
+    rows.select("par_id", F.concat_ws("\t", *fields).alias("value")).orderBy("par_id").select("value").write.text(path)
+    return tables.read_unlabelled(spark, path, positions=True)
+
+
 @query
 def a4_read_augmented(spark, sf_dir):
     path = fresh_path(spark, "augmented")

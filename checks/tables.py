@@ -6,7 +6,7 @@ The same tables are written in SQL in ``checks.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -130,7 +130,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_line(text: str) -> Column:
     """A text without line breaks and tabs, for files of one row per line."""
-    return F.translate(text, "\n\r\t", "   ")
+    return reduce(lambda kept, mark: F.replace(kept, F.lit(mark), F.lit(" ")), "\n\r\t", F.col(text))
 
 
 def rounded(query: Query) -> Query:

@@ -208,7 +208,8 @@ def search_hyperparameters(
 
     The features are computed once for all trials.  With ``output``, the model
     of a run whose dev F1 is above ``min_f1`` is saved there, with its scores of
-    the dev rows ("valid") and of ``final``.  ``best_run`` on split "valid"
+    the dev rows ("valid") and of ``final``, which need a ``row_idx`` then.
+    ``best_run`` on split "valid"
     picks the result.  The rate is the regularisation of the linear model; the
     batch size is recorded only.
     """

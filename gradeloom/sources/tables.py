@@ -67,10 +67,15 @@ def read_split_labels(spark: SparkSession, path: str) -> DataFrame:
     return _parse(lines, SPLIT_LABELS, ",", '"', "row_idx")
 
 
-def read_unlabelled(spark: SparkSession, path: str, quote: str = "") -> DataFrame:
-    """Unlabelled texts: tab-separated, five columns, no header."""
-    lines = lines_after(spark, path, skip_lines=0)
-    return _parse(lines, UNLABELLED, "\t", quote).select("par_id", "text")
+def read_unlabelled(spark: SparkSession, path: str, quote: str = "", positions: bool = False) -> DataFrame:
+    """Unlabelled texts: tab-separated, five columns, no header.
+
+    ``positions`` adds ``row_idx``, the order that predictions are written in.
+    """
+    if positions:
+        rows = _parse(indexed_lines(spark, path, skip_blank=True), UNLABELLED, "\t", quote, "row_idx")
+        return rows.select("row_idx", "par_id", "text")
+    return _parse(lines_after(spark, path, skip_lines=0), UNLABELLED, "\t", quote).select("par_id", "text")
 
 
 def read_augmented(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
