@@ -12,18 +12,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from gradeloom.functions.text import NOT_BLANK, sentence_words, sentences, words
+from gradeloom.operators.row_index import with_row_index
+from gradeloom.staging import stage
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 MAX_LENGTH = 512
 # Larger vocabularies are joined instead of being sent to the tasks.
 MAX_SHIPPED_WORDS = 1_000_000
+# Words that one task looks at to find the most frequent ones.
+MAX_TOP = 10_000_000
 
 
-def build_vocab(df: DataFrame, min_count: int = 1, max_size: int = 30_000, text: str = "text") -> DataFrame:
+def build_vocab(
+    df: DataFrame, min_count: int = 1, max_size: int = 30_000, text: str = "text", max_top: int = MAX_TOP
+) -> DataFrame:
     """The most frequent words with their counts and ids from 2 on.
 
-    Words of equal count are in word order.  ``max_size`` bounds the vocabulary,
-    so the ids are given out in one small task.
+    Words of equal count are in word order.  Taking the top words passes up to
+    ``max_size`` words of every shuffle partition through one task; above
+    ``max_top`` words in all, the count at which the vocabulary is full is found
+    first, so that only chosen words meet in one task, which gives out the ids.
     """
     counts = (
         df.select(F.explode(words(F.col(text))).alias("token"))
@@ -32,9 +40,28 @@ def build_vocab(df: DataFrame, min_count: int = 1, max_size: int = 30_000, text:
         .filter(F.col("n") >= min_count)
     )
     order = (F.desc("n"), F.col("token"))
-    top = counts.orderBy(*order).limit(max_size)
+    if max_size * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= max_top:
+        chosen = counts.orderBy(*order).limit(max_size)
+    else:
+        chosen = _most_frequent(stage(counts, "words"), max_size)
     rank = F.row_number().over(Window.orderBy(*order))
-    return top.select("token", "n", (rank + FIRST_ID - 1).alias("id"))
+    return chosen.select("token", "n", (rank + FIRST_ID - 1).alias("id"))
+
+
+def _most_frequent(counts: DataFrame, max_size: int) -> DataFrame:
+    by_count = counts.groupBy("n").agg(F.count("*").alias("words"))
+    # Every count has a word, so no more than max_size of them matter.
+    highest = by_count.orderBy(F.desc("n")).limit(max_size).collect()
+    room = max_size
+    for n, found in highest:
+        if found > room:
+            tied = with_row_index(counts.filter(F.col("n") == n), "token")
+            first = tied.filter(F.col("row_idx") < room).drop("row_idx")
+            return counts.filter(F.col("n") > n).unionByName(first)
+        room -= found
+        if room == 0:
+            return counts.filter(F.col("n") >= n)
+    return counts
 
 
 def _fit(ids: Column, max_length: int) -> dict[str, Column]:

@@ -36,6 +36,10 @@ def test_vocab_orders_by_count_then_word(spark):
     got = [tuple(r) for r in tokens.build_vocab(df).orderBy("id").collect()]
     assert got == [("a", 2, 2), ("b", 2, 3), ("c", 1, 4), ("nan", 1, 5), ("ü", 1, 6)]
     assert [r["token"] for r in tokens.build_vocab(df, min_count=2, max_size=1).collect()] == ["a"]
+    for size in range(1, 7):
+        for top in (0, 1000):
+            vocab = tokens.build_vocab(df, max_size=size, max_top=top)
+            assert [tuple(r) for r in vocab.orderBy("id").collect()] == got[:size]
 
 
 def test_encoding_cuts_and_pads(spark):
