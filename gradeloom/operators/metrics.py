@@ -52,7 +52,11 @@ def classification_metrics(counts: DataFrame) -> DataFrame:
     """Recall, precision, F1 and accuracy of the counted rows; 0 without a basis."""
     tp, tn, fn, fp = (F.col(cell) for cell in CELLS)
     rates = counts.withColumns(
-        {"recall": _ratio(tp, tp + fn), "precision": _ratio(tp, tp + fp), "accuracy": _ratio(tp + tn, tp + tn + fn + fp)}
+        {
+            "recall": _ratio(tp, tp + fn),
+            "precision": _ratio(tp, tp + fp),
+            "accuracy": _ratio(tp + tn, tp + tn + fn + fp),
+        }
     )
     recall, precision = F.col("recall"), F.col("precision")
     f1 = _ratio(2 * (precision * recall), precision + recall)

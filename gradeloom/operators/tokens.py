@@ -128,7 +128,9 @@ def sentences_of_words(df: DataFrame, *keep: str, text: str = "text") -> DataFra
     return spoken.withColumn("words", sentence_words(F.col("_sentence"))).drop("_sentence")
 
 
-def augment_text(df: DataFrame, paraphrase: Callable[[pd.Series], pd.Series], copy_no: str, text: str = "text") -> DataFrame:
+def augment_text(
+    df: DataFrame, paraphrase: Callable[[pd.Series], pd.Series], copy_no: str, text: str = "text"
+) -> DataFrame:
     """Replace every text by a paraphrase.
 
     ``paraphrase`` gets a batch of texts.  If it fails on a batch, the texts are

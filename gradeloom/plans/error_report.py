@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from gradeloom.functions.bins import length_bucket
 from gradeloom.functions.text import MISSING_TEXT_LENGTH, MISSING_TEXT_WORDS, text_length, word_count
 from gradeloom.operators.joins import attach_by_position, merge_with_labels
-from gradeloom.operators.metrics import binary_cells, classification_metrics
+from gradeloom.operators.metrics import CELLS, binary_cells, classification_metrics
 
 
 def corpus_features(corpus: DataFrame) -> DataFrame:
@@ -54,11 +54,16 @@ def error_slices(evaluated: DataFrame) -> DataFrame:
         *binary_cells(),
     )
     # One bit per column, set where the column is not part of the slice.
-    kinds = {0b111: ("all", F.lit("all")), 0b011: ("length", F.col("bucket")), 0b101: ("grade", F.col("graded")), 0b110: ("keyword", F.col("keyword"))}
+    kinds = {
+        0b111: ("all", F.lit("all")),
+        0b011: ("length", F.col("bucket")),
+        0b101: ("grade", F.col("graded")),
+        0b110: ("keyword", F.col("keyword")),
+    }
     kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
     for bits, (name, column) in kinds.items():
         chosen = F.col("_set") == bits
         kind = F.when(chosen, F.lit(name)).otherwise(kind)
         value = F.when(chosen, column.cast("string")).otherwise(value)
-    named = counts.select(kind.alias("slice"), value.alias("value"), "n", "min_length", "max_length", "tp", "tn", "fn", "fp")
+    named = counts.select(kind.alias("slice"), value.alias("value"), "n", "min_length", "max_length", *CELLS)
     return classification_metrics(named.filter(F.col("value").isNotNull()))

@@ -11,7 +11,9 @@ from gradeloom.sources.scores import read_scores
 SPLITS = ("valid", "final")
 
 
-def write_label_files(spark: SparkSession, scores_path: str, run_id: str, output: str, single_file: bool = False) -> dict[str, str]:
+def write_label_files(
+    spark: SparkSession, scores_path: str, run_id: str, output: str, single_file: bool = False
+) -> dict[str, str]:
     """Write the predicted classes of a run, one folder per split; returns the folders."""
     folders = {}
     for split in SPLITS:

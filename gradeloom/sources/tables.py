@@ -85,9 +85,10 @@ def read_augmented(spark: SparkSession, path: str, multi_line: bool = True) -> D
     differently and may lack some.  ``multi_line=False`` lets Spark split large
     files; it is for texts without line breaks.
     """
+    row = F.monotonically_increasing_id().alias("_row")
     first_line = (
         spark.read.text(path)
-        .select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_row"))
+        .select("value", "_metadata.file_path", "_metadata.file_block_start", row)
         .filter(F.col("file_block_start") == 0)
         .groupBy("file_path")
         .agg(F.min_by("value", "_row").alias("header"))
