@@ -32,5 +32,6 @@ def test_driver_entry(spark):
     flagship = driver.entry(spark)
     assert flagship.columns == ["keyword", "n", "tp", "tn", "fn", "fp", "recall", "precision", "f1_score", "accuracy"]
     assert flagship.count() > 0
-    assert driver.queries().keys() == QUERIES.keys()
-    assert driver.oracle_sql() == ORACLE
+    assert driver.queries().items() >= QUERIES.items()
+    assert driver.oracle_sql().items() >= ORACLE.items()
+    assert driver.oracle_sql().keys() <= driver.queries().keys()
