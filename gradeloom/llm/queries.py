@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradeloom.llm.simhash import hex_fingerprint, near_duplicate_groups
 from gradeloom.llm.substring_dedup import remove_repeated_passages
 
 
@@ -15,6 +16,12 @@ def _sha256(text: str) -> Column:
     return F.sha2(F.encode(F.col(text), "UTF-8"), 256)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    groups = near_duplicate_groups(documents, shingle=3, max_bits=3, keep=["doc_id"])
+    return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = remove_repeated_passages(documents)
@@ -22,5 +29,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_simhash": op5_simhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
