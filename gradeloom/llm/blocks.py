@@ -1,9 +1,9 @@
-"""Documents gathered into blocks of bounded size, and keyed messages between blocks.
+"""Documents dealt into blocks of bounded size, and keyed messages between blocks.
 
-A block is one row with the rows of some neighbouring documents.  Blocks are
-written once, so that their random ids stay the same when tasks are run again.
-Blocks tell each other about hashed keys through buckets of the key space:
-every block sends one row per bucket with the sorted keys it has there.
+A block is some neighbouring rows.  Rows are written once with the random id of
+their block, so that it stays the same when tasks are run again.  Blocks tell each
+other about hashed keys through buckets of the key space: a block sends one row per
+bucket with the sorted keys it has there.
 """
 
 from __future__ import annotations
@@ -13,48 +13,41 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gradeloom.llm.words import slices
 from gradeloom.staging import stage
 
-BLOCK_BYTES = 8 << 20
+BLOCK = "_block"
+BLOCK_BYTES = 4 << 20
 
 
-def flattened(lists: pa.Array) -> pa.RecordBatch:
-    """The rows in a column of lists of structs."""
-    rows = (lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists).flatten()
-    return pa.RecordBatch.from_arrays(rows.flatten(), names=[field.name for field in rows.type])
-
-
-def staged_blocks(df: DataFrame, text: str = "text", max_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Write ``df`` as rows (block, docs) with about ``max_bytes`` of text each; a longer text is a block."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        size = 0
-
-        def block() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(waiting).combine_chunks().to_struct_array()
-            rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
-            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), lists], names=["block", "docs"])
+def staged_blocks(df: DataFrame, text: str = "text", max_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` with a column ``_block``; a block has about ``max_bytes`` of text, or one longer text."""
+    limit = BLOCK_BYTES if max_bytes is None else max_bytes
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, block = limit, 0
         for batch in batches:
-            for part in slices(batch, text, max_bytes):
-                column = part.column(part.schema.get_field_index(text))
-                more = column.nbytes
-                if waiting and size + more > max_bytes:
-                    yield block()
-                    waiting, size = [], 0
-                waiting.append(part)
+            for part in slices(batch, text, limit):
+                more = part.column(part.schema.get_field_index(text)).nbytes
+                if size + more > limit:
+                    size, block = 0, uuid.uuid4().int >> 65
                 size += more
-        if waiting:
-            yield block()
+                yield with_results(part, {BLOCK: pa.array(np.full(part.num_rows, block))})
+
+    return stage(df.mapInArrow(deal, result_schema(df, StructType([StructField(BLOCK, LongType())]))), "blocks")
 
-    schema = StructType([StructField("block", LongType()), StructField("docs", ArrayType(df.schema))])
-    return stage(df.mapInArrow(gather, schema), "blocks")
+
+def parts_of_blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int | None = None) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of one block at a time, with the block; a scan may cut a block in two."""
+    for batch in batches:
+        blocks = batch.column(batch.schema.get_field_index(BLOCK)).to_numpy()
+        edges = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
+        for begin, end in zip(edges, [*edges[1:], len(blocks)]):
+            for part in slices(batch.slice(begin, end - begin), text, max_bytes or BLOCK_BYTES):
+                yield int(blocks[begin]), part
 
 
 def bucket_bits(df: DataFrame) -> int:
@@ -76,10 +69,21 @@ def numbers(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(blobs) if blobs else np.zeros(0, dtype)), np.repeat(np.arange(len(blobs)), sizes)
 
 
-def answered(blocks: DataFrame, answers: DataFrame, column: str) -> DataFrame:
-    """Every block with the list of the binaries that came back for it."""
-    by_block = answers.groupBy("block").agg(F.collect_list(column).alias("answers"))
-    return blocks.join(by_block, "block", "left")
+def answered(
+    blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.RecordBatch, pa.Table], dict[str, pa.Array]], added: StructType
+) -> DataFrame:
+    """Rows of every block with the columns that ``finish`` makes of them and of what came back for it."""
+    rows = blocks.drop(*(name for name in added.names if name != BLOCK))
+    names = [name for name in rows.columns if name != BLOCK]
+
+    def both(own: pa.Table, came: pa.Table) -> pa.Table:
+        # Answers only come back to blocks that have rows.
+        batches = own.select(names).combine_chunks().to_batches()
+        batch = batches[0] if batches else own.select(names).schema.empty_table().to_batches()[0]
+        return pa.Table.from_batches([with_results(batch, finish(batch, came))])
+
+    schema = StructType([*(f for f in rows.schema.fields if f.name != BLOCK), *added.fields])
+    return rows.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(both, schema)
 
 
 def with_results(batch: pa.RecordBatch, results: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -93,5 +97,3 @@ def result_schema(df: DataFrame, added: StructType) -> StructType:
     """Schema of :func:`with_results`."""
     return StructType([*(f for f in df.schema.fields if f.name not in added.names), *added.fields])
 
-
-BatchFunction = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from gradeloom.llm.blocks import (
+    BLOCK,
     answered,
     bucket_bits,
     cut,
-    flattened,
     numbers,
-    result_schema,
+    parts_of_blocks,
     staged_blocks,
-    with_results,
 )
 from gradeloom.llm.words import SECOND, Words, mixed, windows, words_of
 
@@ -85,23 +84,22 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.stack([four >> shift & 3 for shift in (0, 2, 4, 6)], axis=1).ravel()
 
 
-def _merged_sketch(texts: DataFrame, window: int, anchor: int, width: int, depth: int) -> np.ndarray:
+def _merged_sketch(blocks: DataFrame, text: str, window: int, anchor: int, width: int, depth: int) -> np.ndarray:
     """Counts of anchors, up to two; at most ``depth * width / 4`` bytes reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(depth * width, np.uint8)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                words = words_of(batch.column("texts").slice(row, 1).flatten())
-                hashes = words.hashes()
-                starts, _ = windows(hashes, words.first, window)
-                places, grams = _anchors(hashes, starts, words.first, window, anchor)
-                # A place counts once, however many windows it anchors.
-                grams, times = np.unique(grams[np.unique(places)], return_counts=True)
-                for row_no, cells in enumerate(_cells(grams, width, depth)):
-                    own, inverse = np.unique(cells + row_no * width, return_inverse=True)
-                    total = np.minimum(_MANY, np.bincount(inverse, weights=times)).astype(np.uint8)
-                    sketch[own] = np.minimum(_MANY, sketch[own] + total)
+        for _, part in parts_of_blocks(batches, text):
+            words = words_of(part.column(text))
+            hashes = words.hashes()
+            starts, _ = windows(hashes, words.first, window)
+            places, grams = _anchors(hashes, starts, words.first, window, anchor)
+            # A place counts once, however many windows it anchors.
+            grams, times = np.unique(grams[np.unique(places)], return_counts=True)
+            for row, cells in enumerate(_cells(grams, width, depth)):
+                own, inverse = np.unique(cells + row * width, return_inverse=True)
+                total = np.minimum(_MANY, np.bincount(inverse, weights=times)).astype(np.uint8)
+                sketch[own] = np.minimum(_MANY, sketch[own] + total)
         for piece in range(0, depth * width, _PIECE):
             cells = sketch[piece : piece + _PIECE]
             if cells.any():
@@ -115,9 +113,9 @@ def _merged_sketch(texts: DataFrame, window: int, anchor: int, width: int, depth
             total = np.minimum(_MANY, total + _unpack(packed.as_py()))
         return pa.table({"piece": table["piece"][:1], "cells": pa.array([_pack(total)], pa.binary())})
 
-    tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
     schema = "piece int, cells binary"
-    pieces = texts.coalesce(tasks).mapInArrow(count, schema).groupBy("piece").applyInArrow(merge, schema)
+    pieces = blocks.coalesce(tasks).mapInArrow(count, schema).groupBy("piece").applyInArrow(merge, schema)
     packed = np.zeros(depth * width // 4, np.uint8)
     for piece, cells in pieces.toLocalIterator():
         packed[piece * _PIECE // 4 : (piece + 1) * _PIECE // 4] = np.frombuffer(cells, np.uint8)
@@ -169,33 +167,32 @@ def remove_repeated_passages(
         raise ValueError("an anchor has at least one word and at most the window's")
     spark = df.sparkSession
     blocks = staged_blocks(df, text)
-    texts = blocks.selectExpr("block", f"docs.`{text}` AS texts")
-    sketch = spark.sparkContext.broadcast(_merged_sketch(texts.select("texts"), window, anchor, width, depth))
+    texts = blocks.select(BLOCK, text)
+    sketch = spark.sparkContext.broadcast(_merged_sketch(texts, text, window, anchor, width, depth))
     bits = bucket_bits(df)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                words = words_of(batch.column("texts").slice(row, 1).flatten())
-                starts, keys = _suspects(words, sketch.value, window, anchor, width, depth)
-                other = SECOND.runs(words.hashes(SECOND), starts, starts + window)
-                order = np.lexsort((other, keys))
-                keys, other = keys[order], other[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (other[1:] != other[:-1])
-                at = np.flatnonzero(new)
-                times = np.minimum(np.diff(np.append(at, len(keys))), _MANY).astype(np.uint8)
-                keys, other = keys[at], other[at]
-                parts = cut(keys, bits)
-                if parts:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([b for b, _ in parts], pa.int32()),
-                            pa.array([batch.column("block")[row].as_py()] * len(parts), pa.int64()),
-                            *(pa.array([x[s].tobytes() for _, s in parts], pa.binary()) for x in (keys, other, times)),
-                        ],
-                        names=["bucket", "block", "keys", "other", "times"],
-                    )
+        for block, part in parts_of_blocks(batches, text):
+            words = words_of(part.column(text))
+            starts, keys = _suspects(words, sketch.value, window, anchor, width, depth)
+            other = SECOND.runs(words.hashes(SECOND), starts, starts + window)
+            order = np.lexsort((other, keys))
+            keys, other = keys[order], other[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (other[1:] != other[:-1])
+            at = np.flatnonzero(new)
+            times = np.minimum(np.diff(np.append(at, len(keys))), _MANY).astype(np.uint8)
+            keys, other = keys[at], other[at]
+            parts = cut(keys, bits)
+            if parts:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([b for b, _ in parts], pa.int32()),
+                        pa.array([block] * len(parts), pa.int64()),
+                        *(pa.array([x[s].tobytes() for _, s in parts], pa.binary()) for x in (keys, other, times)),
+                    ],
+                    names=["bucket", BLOCK, "keys", "other", "times"],
+                )
 
     def only_once(table: pa.Table) -> pa.Table:
         """The windows of a bucket that occur once, for the block that has them."""
@@ -214,25 +211,22 @@ def remove_repeated_passages(
         rows, at = np.unique(row, return_index=True)
         parts = np.split(keys, at[1:]) if len(rows) else []
         return pa.table(
-            {"block": table["block"].take(pa.array(rows)), "single": pa.array([x.tobytes() for x in parts], pa.binary())}
+            {BLOCK: table[BLOCK].take(pa.array(rows)), "single": pa.array([x.tobytes() for x in parts], pa.binary())}
         )
 
-    def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                docs = flattened(batch.column("docs").slice(row, 1))
-                words = words_of(docs.column(docs.schema.get_field_index(text)))
-                starts, keys = _suspects(words, sketch.value, window, anchor, width, depth)
-                single, _ = numbers(batch.column("answers").slice(row, 1).flatten(), np.uint64)
-                if len(single):
-                    single = np.sort(single)
-                    at = np.minimum(np.searchsorted(single, keys), len(single) - 1)
-                    starts = starts[single[at] != keys]
-                yield with_results(docs, _struck(words, starts, window))
-
-    asked = texts.mapInArrow(ask, "bucket int, block long, keys binary, other binary, times binary")
-    single = asked.groupBy("bucket").applyInArrow(only_once, "block long, single binary")
-    return answered(blocks, single, "single").mapInArrow(strike, result_schema(df, ADDED))
+    def strike(docs: pa.RecordBatch, came: pa.Table) -> dict[str, pa.Array]:
+        words = words_of(docs.column(text))
+        starts, keys = _suspects(words, sketch.value, window, anchor, width, depth)
+        single, _ = numbers(came["single"], np.uint64)
+        if len(single):
+            single = np.sort(single)
+            at = np.minimum(np.searchsorted(single, keys), len(single) - 1)
+            starts = starts[single[at] != keys]
+        return _struck(words, starts, window)
+
+    asked = texts.mapInArrow(ask, f"bucket int, {BLOCK} long, keys binary, other binary, times binary")
+    single = asked.groupBy("bucket").applyInArrow(only_once, f"{BLOCK} long, single binary")
+    return answered(blocks, single, strike, ADDED)
 
 
 def _struck(words: Words, starts: np.ndarray, window: int) -> dict[str, pa.Array]:
