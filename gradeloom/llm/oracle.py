@@ -23,6 +23,41 @@ SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256
 FROM docs LEFT JOIN kept USING (rid)
 """
 
+OP7 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents
+), items AS (
+  SELECT item_id, ws, least(10, len(ws)) AS n
+  FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM benchmark) WHERE len(ws) > 0
+), wanted AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS k
+  FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM items)
+), kinds AS (
+  SELECT DISTINCT n, k FROM wanted
+), hits AS (
+  SELECT rid, i, n, k
+  FROM (
+    SELECT rid, i, n, array_to_string(ws[i : i + n - 1], ' ') AS k
+    FROM (
+      SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM kinds) lengths
+    )
+  ) JOIN kinds USING (n, k)
+), covered AS (
+  SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid
+), named AS (
+  SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hits JOIN wanted USING (n, k) GROUP BY rid
+)
+SELECT
+  doc_id,
+  len(ws) AS n_words,
+  coalesce(n_hit, 0) AS n_hit,
+  coalesce(len(items), 0) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
 ORACLE = {
+    "op7_decontamination": OP7,
     "op10_substring_dedup": OP10,
 }

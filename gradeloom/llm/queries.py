@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradeloom.llm.backoff_lm import score_texts
+from gradeloom.llm.byte_bpe import decode, encode
+from gradeloom.llm.decontamination import find_benchmark_passages
+from gradeloom.llm.licenses import scan_licenses
 from gradeloom.llm.simhash import hex_fingerprint, near_duplicate_groups
 from gradeloom.llm.substring_dedup import remove_repeated_passages
 
+from gradeloom.llm.toxicity import ToxicityModel, class_prior, score_toxicity, train_toxicity
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,12 +23,83 @@ def _sha256(text: str) -> Column:
     return F.sha2(F.encode(F.col(text), "UTF-8"), 256)
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> ToxicityModel:
+    """The classifier, from the labels of three of four folds and the texts there."""
+    learning = F.coalesce(_remainder(4) != 2, F.lit(False))
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text").filter(learning)
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(learning)
+    return train_toxicity(documents, labels.filter("toxic = 1"), class_prior(labels))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(documents, toxicity_model(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    # A null id is in no fold that is held out.
+    held_out = F.coalesce(_remainder(10) == 0, F.lit(False))
+    rows = documents.select("doc_id", "text", held_out.alias("held_out")).withColumn("training", ~F.col("held_out"))
+    return score_texts(rows, "training", keep=["doc_id", "held_out"])
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = near_duplicate_groups(documents, shingle=3, max_bits=3, keep=["doc_id"])
     return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = find_benchmark_passages(documents, benchmark)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = decode(encode(documents, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.concat_ws(" ", F.col("ids").cast("array<string>")), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = remove_repeated_passages(documents)
@@ -29,6 +107,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_backoff_lm": op4_backoff_lm,
     "op5_simhash": op5_simhash,
+    "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
 }
