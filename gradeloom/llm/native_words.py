@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # ASCII but letters and digits separates; so do upper-case letters, hence texts are lower-cased first.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = "".join(chr(c) for c in range(0x80) if not chr(c).isdigit() and not chr(c).islower())
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """Words of the text with A-Z lower-cased; none for null."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return _split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
+
+
+def _split(lowered: Column) -> Column:
+    inner = F.btrim(lowered, F.lit(SEPARATORS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BETWEEN))
 
 
 def folded(text: Column) -> Column:
@@ -22,7 +27,7 @@ def folded(text: Column) -> Column:
 
 def folded_words(text: Column) -> Column:
     """As many words as :func:`words` gives, equal wherever those are; faster for texts with accents."""
-    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
+    return _split(folded(text))
 
 
 def runs(n: Column, length: int, step: int = 1) -> Column:

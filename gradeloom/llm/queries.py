@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gradeloom.llm.backoff_lm import score_texts
 from gradeloom.llm.byte_bpe import decode, encode
 from gradeloom.llm.decontamination import find_benchmark_passages
+from gradeloom.llm.language_id import identify_language, train_language_model
 from gradeloom.llm.licenses import scan_licenses
 from gradeloom.llm.simhash import hex_fingerprint, near_duplicate_groups
 from gradeloom.llm.substring_dedup import remove_repeated_passages
@@ -61,6 +62,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    learning = F.coalesce(_remainder(5) != 0, F.lit(False))
+    model = train_language_model(documents.filter(learning))
+    labelled = identify_language(documents.select("doc_id", "text"), model)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     found = find_benchmark_passages(documents, benchmark)
@@ -110,6 +120,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_backoff_lm": op4_backoff_lm,
     "op5_simhash": op5_simhash,
+    "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,

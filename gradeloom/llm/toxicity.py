@@ -7,7 +7,7 @@ unlabelled texts as clean, the risk is
 
     prior * P+  +  max(0, U- - prior * P-)
 
-The second term estimates the loss of the clean texts.  Where a batch makes it negative,
+The second term estimates the loss of the clean texts.  Where it gets negative,
 which only overfitting can do, the step goes against it.
 """
 
@@ -29,7 +29,12 @@ from gradeloom.staging import stage
 MAX_TOXIC = 3000
 MAX_UNLABELLED = 9000
 MAX_FEATURES = 2048
-MIN_TEXTS = 5
+MIN_TEXTS = 3
+# Standard errors by which the share of a word has to differ between the samples.
+MIN_Z = 4.0
+# How much more common it has to be in toxic texts, and its least share there.
+MIN_LIFT = 2.0
+MIN_SHARE = 0.03
 _SLICE_BYTES = 2 << 20
 
 
@@ -75,16 +80,16 @@ def train_toxicity(
     max_toxic: int = MAX_TOXIC,
     max_unlabelled: int = MAX_UNLABELLED,
     max_features: int = MAX_FEATURES,
-    epochs: int = 30,
-    rate: float = 0.05,
-    penalty: float = 3e-4,
+    steps: int = 400,
+    rate: float = 0.1,
+    penalty: float = 1e-3,
     seed: int = 7,
 ) -> ToxicityModel:
     """Learn from the rows whose key is in ``confirmed`` and from all rows as unlabelled ones.
 
     At most ``max_toxic`` and ``max_unlabelled`` keys are drawn by their hashes, null ones
     never; only keys are sorted, and only texts of drawn keys are read on.  Features are the words in ``MIN_TEXTS`` drawn texts or more
-    whose shares differ most between the two samples.  Without a confirmed row the model
+    whose shares in the two samples differ clearly and by a factor, the clearest first.  Without a confirmed row the model
     gives every text the prior.
     """
     texts = df.select(key, text)
@@ -109,14 +114,19 @@ def train_toxicity(
     bias = float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
     if not sizes.get(1):
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), bias)
-    in_toxic, in_other = F.sum("_toxic") / sizes[1], F.sum(1 - F.col("_toxic")) / sizes.get(0, 1)
-    features = (
+    n_toxic, n_other = sizes[1], sizes.get(0, 1)
+    shares = (
         sample.select("_toxic", F.explode("words").alias("word"))
         .groupBy("word")
-        .agg(in_toxic.alias("p"), in_other.alias("q"), F.count("*").alias("n"))
+        .agg((F.sum("_toxic") / n_toxic).alias("p"), (F.sum(1 - F.col("_toxic")) / n_other).alias("q"), F.count("*").alias("n"))
         .filter(F.col("n") >= MIN_TEXTS)
-        .withColumn("spread", F.abs(F.col("p") - F.col("q")) / F.sqrt(F.col("p") + F.col("q")))
-        .orderBy(F.desc("spread"), "word")
+    )
+    both = F.col("n") / (n_toxic + n_other)
+    error = F.sqrt(both * (1 - both) * (1 / n_toxic + 1 / n_other))
+    features = (
+        shares.withColumn("z", (F.col("p") - F.col("q")) / (error + 1e-12))
+        .filter((F.col("z") >= MIN_Z) & (F.col("p") >= F.greatest(F.lit(MIN_SHARE), MIN_LIFT * F.col("q"))))
+        .orderBy(F.desc("z"), "word")
         .limit(max_features)
         .select("word")
     )
@@ -133,7 +143,7 @@ def train_toxicity(
 
     rows = sample.mapInArrow(numbered, "_toxic int, words binary").collect()
     groups = [[np.frombuffer(w, np.uint16).astype(np.int64) for t, w in rows if t == label] for label in (1, 0)]
-    weights, bias = _fitted(groups[0], groups[1], len(known), prior, bias, epochs, rate, penalty, seed)
+    weights, bias = _fitted(groups[0], groups[1], len(known), prior, bias, steps, rate, penalty)
     return ToxicityModel(known, weights, bias)
 
 
@@ -152,46 +162,37 @@ def _fitted(
     n_features: int,
     prior: float,
     bias: float,
-    epochs: int,
+    steps: int,
     rate: float,
     penalty: float,
-    seed: int,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on batches of both samples."""
-    rng = np.random.default_rng(seed)
+    """Weights and bias by Adam, each step over both samples."""
     theta = np.zeros(n_features + 1)
     theta[-1] = bias
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    n_batches = max(1, len(other) // 256)
-    step = 0
+    places = [(np.concatenate(t), np.repeat(np.arange(len(t)), [len(x) for x in t])) if t else None for t in (toxic, other)]
 
-    def risk(texts: list[np.ndarray], sign: float) -> tuple[float, np.ndarray]:
-        """Mean logistic loss as label ``sign`` and its gradient."""
-        if not texts:
+    def risk(which: int, sign: float) -> tuple[float, np.ndarray]:
+        """Mean logistic loss of a sample as label ``sign``, and its gradient."""
+        if places[which] is None:
             return 0.0, np.zeros_like(theta)
-        flat = np.concatenate(texts)
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        margin = sign * (theta[-1] + np.bincount(owner, weights=theta[flat], minlength=len(texts)))
-        slope = -sign / (1 + np.exp(np.clip(margin, -50, 50))) / len(texts)
+        (flat, owner), n = places[which], len((toxic, other)[which])
+        margin = sign * (theta[-1] + np.bincount(owner, weights=theta[flat], minlength=n))
+        slope = -sign / (1 + np.exp(np.clip(margin, -50, 50))) / n
         gradient = np.bincount(flat, weights=slope[owner], minlength=len(theta)).astype(float)
         gradient[-1] += slope.sum()
         return float(np.logaddexp(0, -margin).mean()), gradient
 
-    for _ in range(epochs):
-        toxic_order = np.array_split(rng.permutation(len(toxic)), n_batches)
-        other_order = np.array_split(rng.permutation(len(other)), n_batches)
-        for toxic_batch, other_batch in zip(toxic_order, other_order):
-            positive = [toxic[i] for i in toxic_batch]
-            _, as_toxic = risk(positive, 1.0)
-            loss_p, as_clean = risk(positive, -1.0)
-            loss_u, unlabelled = risk([other[i] for i in other_batch], -1.0)
-            rest = unlabelled - prior * as_clean
-            gradient = prior * as_toxic + rest if loss_u >= prior * loss_p else -rest
-            gradient[:-1] += penalty * theta[:-1]
-            step += 1
-            first = 0.9 * first + 0.1 * gradient
-            second = 0.999 * second + 0.001 * gradient**2
-            theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    for step in range(1, steps + 1):
+        _, as_toxic = risk(0, 1.0)
+        loss_p, as_clean = risk(0, -1.0)
+        loss_u, unlabelled = risk(1, -1.0)
+        rest = unlabelled - prior * as_clean
+        gradient = prior * as_toxic + rest if loss_u >= prior * loss_p else -rest
+        gradient[:-1] += penalty * theta[:-1]
+        first = 0.9 * first + 0.1 * gradient
+        second = 0.999 * second + 0.001 * gradient**2
+        theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
