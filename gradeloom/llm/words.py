@@ -83,14 +83,16 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, polynomial: _Polynomial = FIRST) -> np.ndarray:
+    def hashes(self, polynomial: _Polynomial = FIRST, longest: int | None = None) -> np.ndarray:
+        """Hash of every word, or of its first ``longest`` bytes."""
         out = np.empty(len(self.starts), np.uint64)
+        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
         i = 0
         while i < len(out):
             j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + _SPAN, "right")))
             low = self.starts[i]
             terms = polynomial.table[self.data[low : self.ends[j - 1]]]
-            out[i:j] = polynomial.runs(terms, self.starts[i:j] - low, self.ends[i:j] - low)
+            out[i:j] = polynomial.runs(terms, self.starts[i:j] - low, ends[i:j] - low)
             i = j
         return out
 
