@@ -23,13 +23,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from gradeloom.llm.blocks import BLOCK, answered, bucket_bits, cut, parts_of_blocks, staged_blocks
+from gradeloom.llm.blocks import BLOCK, answered, bucket_bits, cut, parts_of_blocks, staged_blocks, texts_of
 from gradeloom.llm.words import mixed, windows, words_of
 
 ADD = 0.1
 STRENGTH = 4.0
+# Larger blocks repeat fewer n-grams; a task holds one block.
+LM_BLOCK_BYTES = 12 << 20
 # The end of a text is a token of its own.
 _END = np.uint64(0x9AE16A3B2F90404F)
 
@@ -132,13 +134,13 @@ def score_texts(
     if order < 1:
         raise ValueError("the order is one or more")
     names = list(df.columns if keep is None else keep)
-    blocks = staged_blocks(df.select(*dict.fromkeys([*names, text, training])), text)
+    blocks = staged_blocks(df.select(*dict.fromkeys([*names, text, training])), text, LM_BLOCK_BYTES, pack=True)
     asked_columns = blocks.select(BLOCK, text, training)
     bits = bucket_bits(df)
 
     def counts_of(batches: Iterator[pa.RecordBatch], orders: Sequence[int], unseen: bool) -> Iterator[pa.RecordBatch]:
-        for block, part in parts_of_blocks(batches, text):
-            tokens, flags = _Tokens(part.column(text), order), _flags(part, training)
+        for block, part in parts_of_blocks(batches, text, LM_BLOCK_BYTES):
+            tokens, flags = _Tokens(texts_of(part.column(text)), order), _flags(part, training)
             for n in orders:
                 _, _, keys, counts = _counted(tokens, flags, n)
                 if not unseen:
@@ -195,7 +197,7 @@ def score_texts(
         )
 
     def finish(docs: pa.RecordBatch, came: pa.Table) -> dict[str, pa.Array]:
-        tokens, flags = _Tokens(docs.column(text), order), _flags(docs, training)
+        tokens, flags = _Tokens(texts_of(docs.column(text)), order), _flags(docs, training)
         news: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for n, keys, total in zip(came["n"].to_pylist(), came["keys"], came["totals"]):
             news.setdefault(n, []).append((unpacked(keys.as_py(), np.uint64, deltas=True), unpacked(total.as_py(), np.int64)))
@@ -223,8 +225,19 @@ def score_texts(
     asked = asked_columns.mapInArrow(lambda batches: counts_of(batches, range(1, order + 1), unseen=True), message)
     replies = asked.groupBy("n", "bucket").applyInArrow(reply, f"{BLOCK} long, n int, keys binary, totals binary")
     scored = answered(blocks, replies, finish, ADDED)
+    if text in names:
+        scored = _with_texts(scored, text)
     return scored.select(*(name for name in names if name not in ADDED.names), *ADDED.names)
 
 
+def _with_texts(df: DataFrame, text: str) -> DataFrame:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            yield batch.set_column(at, text, texts_of(batch.column(at)))
+
+    return df.mapInArrow(unpack, StructType([StructField(f.name, StringType()) if f.name == text else f for f in df.schema.fields]))
+
+
 def _flags(part: pa.RecordBatch, training: str) -> np.ndarray:
     return part.column(part.schema.get_field_index(training)).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)

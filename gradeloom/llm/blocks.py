@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from gradeloom.llm.words import slices
 from gradeloom.staging import stage
@@ -23,9 +24,16 @@ BLOCK = "_block"
 BLOCK_BYTES = 4 << 20
 
 
-def staged_blocks(df: DataFrame, text: str = "text", max_bytes: int | None = None) -> DataFrame:
-    """Write ``df`` with a column ``_block``; a block has about ``max_bytes`` of text, or one longer text."""
+def staged_blocks(df: DataFrame, text: str = "text", max_bytes: int | None = None, pack: bool = False) -> DataFrame:
+    """Write ``df`` with a column ``_block``; a block has about ``max_bytes`` of text, or one longer text.
+
+    With ``pack`` the texts become compressed binaries, for operators that only read them in
+    Python; see :func:`texts_of`.
+    """
     limit = BLOCK_BYTES if max_bytes is None else max_bytes
+    marked = result_schema(df, StructType([StructField(BLOCK, LongType())]))
+    if pack:
+        marked = StructType([StructField(f.name, BinaryType()) if f.name == text else f for f in marked.fields])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, block = limit, 0
@@ -35,9 +43,22 @@ def staged_blocks(df: DataFrame, text: str = "text", max_bytes: int | None = Non
                 if size + more > limit:
                     size, block = 0, uuid.uuid4().int >> 65
                 size += more
-                yield with_results(part, {BLOCK: pa.array(np.full(part.num_rows, block))})
-
-    return stage(df.mapInArrow(deal, result_schema(df, StructType([StructField(BLOCK, LongType())]))), "blocks")
+                added = {BLOCK: pa.array(np.full(part.num_rows, block))}
+                if pack:
+                    values = part.column(part.schema.get_field_index(text)).to_pylist()
+                    added[text] = pa.array([None if v is None else zstandard.compress(v.encode(), 3) for v in values], pa.binary())
+                made = with_results(part, added)
+                yield made.select(marked.names)
+
+    return stage(df.mapInArrow(deal, marked), "blocks")
+
+
+def texts_of(column: pa.Array) -> pa.Array:
+    """The texts of a column, packed or not."""
+    if not pa.types.is_binary(column.type) and not pa.types.is_large_binary(column.type):
+        return column
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if v is None else unpack(v) for v in column.to_pylist()], pa.binary()).cast(pa.string())
 
 
 def parts_of_blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int | None = None) -> Iterator[tuple[int, pa.RecordBatch]]:

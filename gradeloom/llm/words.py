@@ -119,7 +119,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and where each begins and ends; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+    else:
+        texts = texts.cast(pa.large_string()).fill_null("")
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)

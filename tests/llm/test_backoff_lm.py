@@ -62,7 +62,7 @@ ROWS = [
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_equals_brute_force_automaton(table, order, monkeypatch):
-    monkeypatch.setattr("gradeloom.llm.blocks.BLOCK_BYTES", 50)
+    monkeypatch.setattr("gradeloom.llm.backoff_lm.LM_BLOCK_BYTES", 50)
     got = score_texts(table(ROWS, "doc_id long, text string, training boolean"), "training", order=order, strength=2.0)
     assert got.columns == ["doc_id", "text", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     found = sorted(((r.doc_id, *r[3:]) for r in got.collect()), key=repr)
