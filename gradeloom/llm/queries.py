@@ -10,10 +10,12 @@ from gradeloom.llm.byte_bpe import decode, encode
 from gradeloom.llm.decontamination import find_benchmark_passages
 from gradeloom.llm.language_id import identify_language, train_language_model
 from gradeloom.llm.licenses import scan_licenses
+from gradeloom.llm.quality_rules import apply_cutoffs, choose_cutoffs, measure_quality
 from gradeloom.llm.simhash import hex_fingerprint, near_duplicate_groups
 from gradeloom.llm.substring_dedup import remove_repeated_passages
 
 from gradeloom.llm.toxicity import ToxicityModel, class_prior, score_toxicity, train_toxicity
+from gradeloom.staging import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    counts = measure_quality(documents.withColumn("text_hash", F.xxhash64("text")), keep=["doc_id", "lang", "text_hash"])
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    measured = stage(counts.withColumn("base_failed", failed), "measured")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    # Copies of a text are one trial, and the base rejects its texts before the method does.
+    labelled = measured.filter(~F.col("base_failed")).join(labels, "doc_id").dropDuplicates(["lang", "text_hash"])
+    cutoffs = choose_cutoffs(labelled.withColumn("good", F.col("quality") == 1), "lang", "good")
+    judged = apply_cutoffs(measured, "lang", cutoffs)
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"),
+        F.array_join("rejected_by", ",").alias("rejected_by"),
+    )
+
+
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     # A null id is in no fold that is held out.
@@ -118,6 +143,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
     "op4_backoff_lm": op4_backoff_lm,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
