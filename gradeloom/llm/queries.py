@@ -14,6 +14,7 @@ from gradeloom.llm.quality_rules import apply_cutoffs, choose_cutoffs, measure_q
 from gradeloom.llm.simhash import hex_fingerprint, near_duplicate_groups
 from gradeloom.llm.substring_dedup import remove_repeated_passages
 
+from gradeloom.llm.template_extraction import extract_main_text
 from gradeloom.llm.toxicity import ToxicityModel, class_prior, score_toxicity, train_toxicity
 from gradeloom.staging import stage
 
@@ -73,6 +74,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     # A null id is in no fold that is held out.
@@ -144,6 +150,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
     "op4_backoff_lm": op4_backoff_lm,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
