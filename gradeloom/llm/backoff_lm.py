@@ -31,7 +31,7 @@ from gradeloom.llm.words import mixed, windows, words_of
 ADD = 0.1
 STRENGTH = 4.0
 # Larger blocks repeat fewer n-grams; a task holds one block.
-LM_BLOCK_BYTES = 12 << 20
+LM_BLOCK_BYTES = 14 << 20
 # The end of a text is a token of its own.
 _END = np.uint64(0x9AE16A3B2F90404F)
 

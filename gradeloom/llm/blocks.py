@@ -46,7 +46,7 @@ def staged_blocks(df: DataFrame, text: str = "text", max_bytes: int | None = Non
                 added = {BLOCK: pa.array(np.full(part.num_rows, block))}
                 if pack:
                     values = part.column(part.schema.get_field_index(text)).to_pylist()
-                    added[text] = pa.array([None if v is None else zstandard.compress(v.encode(), 3) for v in values], pa.binary())
+                    added[text] = pa.array([None if v is None else zstandard.compress(v.encode(), 9) for v in values], pa.binary())
                 made = with_results(part, added)
                 yield made.select(marked.names)
 
