@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -53,6 +54,7 @@ if __name__ == "__main__":
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gradeloom-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

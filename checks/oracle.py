@@ -163,6 +163,14 @@ _COUNTRY_METRICS = with_metrics(f"SELECT country_code, {cells()} FROM evaluated
 _VOCAB = """
     SELECT token, count(*) AS n FROM (SELECT unnest(words) AS token FROM words) GROUP BY token"""
 
+_ENCODED = f"""
+    WITH counted AS ({_VOCAB}),
+        vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM counted),
+        entries AS (SELECT doc_id, unnest(range(1, least(len(words), 512) + 1)) AS pos, words FROM words),
+        ids AS (
+            SELECT doc_id, string_agg(coalesce(id, 1), ',' ORDER BY pos) AS ids, count(*) AS n
+            FROM entries LEFT JOIN vocab ON token = words[pos] GROUP BY doc_id)"""
+
 _SENTENCE = r"string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1))"
 
 ORACLE: dict[str, str] = {
@@ -245,6 +253,15 @@ ORACLE: dict[str, str] = {
     ),
     "c4_anti_join_by_key": """
         SELECT doc_id AS par_id, source AS label FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "c3_attach_fanned_out": with_tables(
+        """SELECT row_number() OVER (ORDER BY par_id, copy) - 1 AS row_idx, par_id,
+                  CAST((par_id + copy) % 2 AS VARCHAR) AS prediction
+           FROM (SELECT par_id, unnest(range(1, CASE WHEN par_id % 4 = 0 THEN 3 ELSE 2 END)) AS copy FROM corpus)""",
+        "corpus",
+    ),
+    "c4_anti_join_null_keys": """
+        SELECT doc_id AS par_id, source AS label FROM documents
+        WHERE doc_id % 3 > 0 AND doc_id NOT IN (SELECT doc_id FROM labels)""",
     "c5_vector_pairs": """
         SELECT x.vec_id AS a, CAST(x.label AS BIGINT) AS b,
                round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity
@@ -291,6 +308,12 @@ ORACLE: dict[str, str] = {
         + " FROM corpus GROUP BY keyword",
         "corpus",
     ),
+    "d10_keyword_label_pivot_all_labels": with_tables(
+        "SELECT keyword, "
+        + ", ".join(f"count(*) FILTER (WHERE label * 2 = {g}) AS label_{g}" for g in (0, 1, 2, 3, 4, 6, 8))
+        + " FROM corpus GROUP BY keyword",
+        "corpus",
+    ),
     "d11_histogram_by_class": with_tables(
         """WITH span AS (SELECT min(word_count) AS lo, max(word_count) AS hi FROM both_lists)
            SELECT CAST(least(floor((word_count - lo) * 40.0::DOUBLE / (hi - lo)) + 1, 40) AS INT) AS bin, label, count(*) AS n
@@ -334,24 +357,23 @@ ORACLE: dict[str, str] = {
     ),
     "e8_sort_by_metric": with_tables(f"{_COUNTRY_METRICS} ORDER BY accuracy DESC, country_code", "evaluated"),
     "f1_encode_tokens": with_tables(
-        f"""WITH counted AS ({_VOCAB}),
-            vocab AS (
-                SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM counted
-                ORDER BY n DESC, token LIMIT 5000),
-            entries AS (
-                SELECT doc_id, unnest(range(1, least(len(words), 512) + 1)) AS pos, words FROM words),
-            ids AS (
-                SELECT doc_id, string_agg(coalesce(id, 1), ',' ORDER BY pos) AS ids, count(*) AS n
-                FROM entries LEFT JOIN vocab ON token = words[pos] GROUP BY doc_id)
+        f"""{_ENCODED}
             SELECT d.doc_id AS par_id,
                    substr(coalesce(',' || ids, '') || repeat(',0', 512 - coalesce(n, 0)), 2) AS input_ids,
                    substr(repeat(',1', coalesce(n, 0)) || repeat(',0', 512 - coalesce(n, 0)), 2) AS attention_mask
             FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id""",
         "words",
     ),
+    "f1_encode_repeated_ids": with_tables(
+        f"""{_ENCODED}
+            SELECT nullif(d.doc_id % 7, 0) AS par_id, md5(text) AS text_md5,
+                   substr(coalesce(',' || ids, '') || repeat(',0', 512 - coalesce(n, 0)), 2) AS input_ids
+            FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id""",
+        "words",
+    ),
     "f2_build_vocab": with_tables(
         f"""SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INT) AS id
-            FROM ({_VOCAB}) WHERE n >= 2 ORDER BY n DESC, token LIMIT 5000""",
+            FROM ({_VOCAB}) WHERE n >= 2""",
         "words",
     ),
     "f3_sentences_of_words": rf"""
@@ -387,16 +409,23 @@ ORACLE: dict[str, str] = {
     "flow_metrics_by_keyword": with_tables(_KEYWORD_METRICS, "evaluated"),
     "flow_error_slices": with_tables(
         with_metrics(
-            f"""SELECT CASE g WHEN 7 THEN 'all' WHEN 3 THEN 'length' WHEN 5 THEN 'grade' ELSE 'keyword' END AS slice,
-                       CASE g WHEN 7 THEN 'all' WHEN 3 THEN bucket::VARCHAR WHEN 5 THEN graded::VARCHAR
-                              ELSE keyword END AS value, n, min_length, max_length, tp, tn, fn, fp
+            f"""SELECT slice, value, CAST(sum(n) AS BIGINT) AS n, min(min_length) AS min_length, max(max_length) AS max_length,
+                       CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fn) AS BIGINT) AS fn,
+                       CAST(sum(fp) AS BIGINT) AS fp
                 FROM (
-                    SELECT grouping_id(bucket, graded, keyword) AS g, bucket, graded, keyword, count(*) AS n,
-                           CAST(min(text_length) AS INT) AS min_length, CAST(max(text_length) AS INT) AS max_length,
-                           {cells()}
-                    FROM (SELECT *, length(text) AS text_length, {LENGTH_BUCKET.format('length(text)')} AS bucket
-                          FROM evaluated)
-                    GROUP BY GROUPING SETS ((), (bucket), (graded), (keyword)))""",
+                    SELECT CASE g WHEN 7 THEN 'all' WHEN 3 THEN 'length' WHEN 5 THEN 'grade' ELSE 'keyword' END AS slice,
+                           CASE g WHEN 7 THEN 'all' WHEN 3 THEN bucket::VARCHAR WHEN 5 THEN graded::VARCHAR
+                                  ELSE keyword END AS value, n, min_length, max_length, tp, tn, fn, fp
+                    FROM (
+                        SELECT grouping_id(bucket, graded, keyword) AS g, bucket, graded, keyword, count(*) AS n,
+                               CAST(min(text_length) AS INT) AS min_length, CAST(max(text_length) AS INT) AS max_length,
+                               {cells()}
+                        FROM (SELECT *, length(text) AS text_length, {LENGTH_BUCKET.format('length(text)')} AS bucket
+                              FROM evaluated)
+                        GROUP BY GROUPING SETS ((), (bucket), (graded), (keyword)))
+                    UNION ALL SELECT 'length', unnest(range(1, 6))::VARCHAR, 0, NULL, NULL, 0, 0, 0, 0
+                    UNION ALL SELECT 'grade', unnest(range(0, 5))::VARCHAR, 0, NULL, NULL, 0, 0, 0, 0)
+                GROUP BY slice, value""",
             "slice, value, n, min_length, max_length,",
         ),
         "evaluated",
@@ -409,6 +438,17 @@ ORACLE: dict[str, str] = {
         "train_list",
         "augmented",
     ),
+    "flow_augmented_training": with_tables(
+        """SELECT a.par_id, 'aug' AS origin, 'bt' AS copy_no, CASE WHEN c.label > 1 THEN 1 ELSE 0 END AS label,
+                  md5('bt ' || a.text) AS text_md5
+           FROM evaluated a
+           JOIN (SELECT par_id, label FROM corpus UNION ALL SELECT par_id, label FROM corpus WHERE par_id % 4 = 0) c
+             ON a.par_id = c.par_id
+           WHERE a.label = 1 AND length(a.text) % 5 <> 0""",
+        "corpus",
+        "evaluated",
+    ),
+    "flow_rewritten_scores": with_tables("SELECT run_id, split, row_idx, logit_0, logit_1 FROM scores", "scores"),
     "flow_label_files": with_tables(
         """SELECT row_number() OVER (PARTITION BY split ORDER BY row_idx) - 1 AS row_idx, prediction AS value, split
            FROM scores""",

@@ -261,6 +261,14 @@ def c4_anti_join_by_key(spark, sf_dir):
     return joins.anti_join_by_key(t.all_list(spark, sf_dir), t.gold_list(spark, sf_dir))
 
 
+@query
+def c4_anti_join_null_keys(spark, sf_dir):
+    """Every third id is null on both sides, so those rows go as well."""
+    thirds = F.when(F.col("par_id") % 3 > 0, F.col("par_id")).alias("par_id")
+    everything = t.documents(spark, sf_dir).select(thirds, F.col("source").alias("label"))
+    return joins.anti_join_by_key(everything, t.gold_list(spark, sf_dir).select(thirds))
+
+
 @query
 @rounded
 def c5_vector_pairs(spark, sf_dir):
@@ -336,6 +344,13 @@ def d10_keyword_label_pivot(spark, sf_dir):
     return metrics.keyword_label_pivot(t.corpus(spark, sf_dir))
 
 
+@query
+def d10_keyword_label_pivot_all_labels(spark, sf_dir):
+    """Grades up to 8."""
+    corpus = t.corpus(spark, sf_dir)
+    return metrics.keyword_label_pivot(corpus.withColumn("label", F.col("label") * 2))
+
+
 @query
 def d11_histogram_by_class(spark, sf_dir):
     return metrics.histogram_by_class(_both_lists(spark, sf_dir), "word_count")
@@ -432,13 +447,22 @@ def _joined(array: str):
 @query
 def f1_encode_tokens(spark, sf_dir):
     texts = t.documents(spark, sf_dir).select("par_id", "text")
-    encoded = tokens.encode_tokens(texts, tokens.build_vocab(texts, max_size=5000))
+    encoded = tokens.encode_tokens(texts, tokens.build_vocab(texts))
     return encoded.select("par_id", _joined("input_ids"), _joined("attention_mask"))
 
 
 @query
 def f2_build_vocab(spark, sf_dir):
-    return tokens.build_vocab(t.documents(spark, sf_dir), min_count=2, max_size=5000)
+    return tokens.build_vocab(t.documents(spark, sf_dir), min_count=2)
+
+
+@query
+def f1_encode_repeated_ids(spark, sf_dir):
+    """Every text under an id that others have too or that is null."""
+    shared = F.when(F.col("par_id") % 7 > 0, F.col("par_id") % 7)
+    texts = t.documents(spark, sf_dir).select(shared.alias("par_id"), "text")
+    encoded = tokens.encode_tokens(texts, tokens.build_vocab(texts))
+    return encoded.select("par_id", _joined("input_ids"), F.md5("text").alias("text_md5"))
 
 
 @query
@@ -553,6 +577,50 @@ def flow_training_sets(spark, sf_dir):
     return sampling.concat(*sides)
 
 
+@query
+def flow_augmented_training(spark, sf_dir):
+    """Paraphrases, some of which fail, through their files into a balanced set; corpus ids repeat."""
+    positives = t.evaluated(spark, sf_dir).filter("label = 1").select("par_id", "text")
+
+    def paraphrase(texts):
+        if (texts.str.len() % 5 == 0).any():
+            raise ValueError("no paraphrase")
+        return "bt " + texts
+
+    path = fresh_path(spark, "augmented")
+    tables.write_augmented(tokens.augment_text(positives, paraphrase, "bt"), path, failed_path=fresh_path(spark, "failed"))
+    corpus = t.corpus(spark, sf_dir)
+    twice = sampling.concat(corpus, corpus.filter(F.col("par_id") % 4 == 0))
+    pool = joins.label_augmented(tables.read_augmented(spark, path), twice)
+    return pool.select("par_id", "origin", "copy_no", "label", F.md5("text").alias("text_md5"))
+
+
+@query
+def flow_rewritten_scores(spark, sf_dir):
+    """Scores of a run that is written twice."""
+    path = fresh_path(spark, "scores")
+    whole = t.scores(spark, sf_dir)
+    scores.write_scores(whole.withColumn("logits", F.reverse("logits")), path)
+    scores.write_scores(whole, path)
+    stored = scores.read_scores(spark, path)
+    logits = [F.col("logits")[i].alias(f"logit_{i}") for i in range(2)]
+    return stored.select("run_id", "split", "row_idx", *logits)
+
+
+@query
+def c3_attach_fanned_out(spark, sf_dir):
+    """Predictions of the merged rows where every fourth id has two corpus rows."""
+    corpus = t.corpus(spark, sf_dir)
+    twice = sampling.concat(corpus, corpus.filter(F.col("par_id") % 4 == 0))
+    listed = with_row_index(t.gold_list(spark, sf_dir), "par_id")
+    copies = F.when(F.col("par_id") % 4 == 0, 2).otherwise(1)
+    said = twice.select("par_id").distinct().withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    said = with_row_index(said, "par_id", "copy")
+    predictions = said.select("row_idx", ((F.col("par_id") + F.col("copy")) % 2).alias("prediction"))
+    found = evaluated_rows(listed, twice, predictions)
+    return found.select("row_idx", "par_id", "prediction")
+
+
 @query
 def flow_label_files(spark, sf_dir):
     path, output = fresh_path(spark, "scores"), fresh_path(spark, "labels")
@@ -569,7 +637,7 @@ def flow_label_files(spark, sf_dir):
 def flow_word_similarity(spark, sf_dir):
     """Similarity of every frequent word to the most frequent one of its length."""
     texts = t.documents(spark, sf_dir).select("par_id", "text")
-    frequent = tokens.build_vocab(texts, min_count=5, max_size=1000)
+    frequent = tokens.build_vocab(texts, min_count=5)
     leaders = frequent.groupBy(F.length("token").alias("n_chars")).agg(F.min_by("token", "id").alias("b"))
     pairs = frequent.select(F.col("token").alias("a"), F.length("token").alias("n_chars")).join(leaders, "n_chars")
     return word_similarity(texts, pairs.select("a", "b"))

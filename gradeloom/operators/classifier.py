@@ -30,6 +30,7 @@ from gradeloom.operators.metrics import (
 )
 from gradeloom.operators.sampling import sample_hash
 from gradeloom.sources.scores import write_scores
+from gradeloom.staging import stage
 
 # The search space and the number of trials.
 LEARNING_RATES = (1e-5, 4e-5)
@@ -107,19 +108,15 @@ def train_text_classifier(
     evaluation after every epoch.
     """
     prepare = fit_features(train, features)
-    train_rows, valid_rows = _features(prepare, train).persist(), _features(prepare, valid).persist()
+    train_rows, valid_rows = (stage(_features(prepare, df), "features") for df in (train, valid))
     history: list[Epoch] = []
     best: LogisticRegressionModel | None = None
-    try:
-        for epoch in range(1, epochs + 1):
-            model = _classifier(epoch, rate).fit(train_rows)
-            result = _evaluate(epoch, model.transform(valid_rows))
-            if best is None or result.eval_loss < min(e.eval_loss for e in history):
-                best = model
-            history.append(result)
-    finally:
-        train_rows.unpersist()
-        valid_rows.unpersist()
+    for epoch in range(1, epochs + 1):
+        model = _classifier(epoch, rate).fit(train_rows)
+        result = _evaluate(epoch, model.transform(valid_rows))
+        if best is None or result.eval_loss < min(e.eval_loss for e in history):
+            best = model
+        history.append(result)
     log = train.sparkSession.createDataFrame(
         [tuple(asdict(e).values()) for e in history],
         "epoch int, eval_loss double, eval_f1 double, eval_accuracy double",
@@ -213,12 +210,15 @@ def search_hyperparameters(
     picks the result.  The rate is the regularisation of the linear model; the
     batch size is recorded only.
     """
-    prepare = fit_features(train, features)
     sets = {"train": train, "valid": valid, "dev": dev}
     if final is not None:
         sets["final"] = final
-    rows = {name: _features(prepare, df).persist() for name, df in sets.items()}
-    # Two writes that append to one folder would clear each other's temporary files.
+    lacking = [name for name in ("dev", "final") if name in sets and "row_idx" not in sets[name].columns]
+    if output is not None and lacking:
+        raise ValueError(f"to store scores, {' and '.join(lacking)} need a row_idx")
+    prepare = fit_features(train, features)
+    rows = {name: stage(_features(prepare, df), "features") for name, df in sets.items()}
+    # Two writes to one folder at a time would clear each other's temporary files.
     one_writer = Lock()
 
     def run(trial: Trial) -> list[tuple]:
@@ -234,12 +234,8 @@ def search_hyperparameters(
                         write_scores(labelled, f"{output}/scores")
         return [(*asdict(trial).values(), split, *metrics) for split, metrics in measured.items()]
 
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            results = list(pool.map(run, draw_trials(trials, seed)))
-    finally:
-        for frame in rows.values():
-            frame.unpersist()
+    with ThreadPoolExecutor(parallelism) as pool:
+        results = list(pool.map(run, draw_trials(trials, seed)))
     return train.sparkSession.createDataFrame([row for of_run in results for row in of_run], _RUNS)
 
 

@@ -49,20 +49,33 @@ def merge_with_labels(
 
 
 def label_augmented(augmented: DataFrame, corpus: DataFrame, threshold: int = 1) -> DataFrame:
-    """Give augmented texts the binary label of the corpus row they came from."""
+    """Give augmented texts the binary label of the corpus row they came from.
+
+    Rows with an ``error`` have no text of their own and are left out.
+    """
+    if "error" in augmented.columns:
+        augmented = augmented.filter(F.col("error").isNull()).drop("error")
     own_text = "text" in augmented.columns
     looked_up = [c for c in corpus.columns if c in (KEY, "label") or (c == "text" and not own_text)]
     return merge_with_labels(augmented, corpus.select(*looked_up), threshold=threshold)
 
 
-def attach_by_position(gold: DataFrame, predictions: DataFrame, key: str | None = None) -> DataFrame:
+def attach_by_position(
+    gold: DataFrame, predictions: DataFrame, key: str | None = None, exact: bool = False
+) -> DataFrame:
     """Give the i-th gold row the i-th prediction, from a ``prediction`` or ``value`` column.
 
-    A gold row without prediction fails, surplus predictions are ignored.  With
-    ``key``, rows that share it all take the prediction of the last of them.
+    A gold row without prediction fails.  Surplus predictions are ignored, or with
+    ``exact`` fail too.  With ``key``, rows that share it all take the prediction of the
+    last of them.
     """
     said = F.col("prediction" if "prediction" in predictions.columns else "value")
     lines = predictions.select("row_idx", prediction_as_string(said).alias("prediction"))
+    if exact:
+        known = gold.select(F.col("row_idx").alias("_gold"))
+        surplus = F.raise_error(F.concat(F.lit("no row for prediction "), F.col("row_idx").cast("string")))
+        checked = lines.join(known, F.col("row_idx") == F.col("_gold"), "left")
+        lines = checked.select(F.coalesce("_gold", surplus.cast("long")).alias("row_idx"), "prediction")
     attached = gold.join(lines, "row_idx", "left")
     if key is not None:
         last = attached.groupBy(key).agg(F.max_by("prediction", "row_idx").alias("prediction"))
@@ -72,8 +85,9 @@ def attach_by_position(gold: DataFrame, predictions: DataFrame, key: str | None
 
 
 def anti_join_by_key(df: DataFrame, taken: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows whose key occurs nowhere in ``taken``."""
-    return df.join(taken.select(key).distinct(), key, "left_anti")
+    """Rows whose key occurs nowhere in ``taken``; null counts as a key like any other."""
+    keys = taken.select(F.col(key).alias("_taken")).distinct()
+    return df.join(keys, F.col(key).eqNullSafe(F.col("_taken")), "left_anti")
 
 
 def vector_pairs(pairs: DataFrame, vectors: DataFrame, left: str, right: str, key: str, vector: str) -> DataFrame:

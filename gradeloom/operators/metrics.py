@@ -12,6 +12,7 @@ from gradeloom.functions.labels import graded_positive, prediction_as_string
 from gradeloom.functions.text import text_length
 from gradeloom.staging import stage
 
+# The grades that are always listed, and the bar for a good run.
 GRADES = (0, 1, 2, 3, 4)
 GOOD_F1 = 0.55
 CELLS = ("tp", "tn", "fn", "fp")
@@ -152,8 +153,11 @@ def keyword_counts(df: DataFrame) -> DataFrame:
 
 
 def keyword_label_pivot(df: DataFrame, grades: Sequence[int] = GRADES) -> DataFrame:
-    """One row per keyword, one count column per graded label."""
-    return df.filter(F.col("keyword").isNotNull()).groupBy("keyword").agg(*_label_counts(grades, "label_"))
+    """One row per keyword, one count column for each of ``grades`` and each further label that occurs."""
+    rows = df.filter(F.col("keyword").isNotNull())
+    # As many rows as there are different labels, like the columns of the result.
+    found = [label for (label,) in rows.select("label").distinct().collect() if label is not None]
+    return rows.groupBy("keyword").agg(*_label_counts(sorted({*grades, *found}), "label_"))
 
 
 def histogram_by_class(df: DataFrame, column: str, bins: int = 40) -> DataFrame:

@@ -12,11 +12,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.operators.joins import KEY, anti_join_by_key
 from gradeloom.operators.row_index import with_row_index
-from gradeloom.staging import stage
 
 SEED = 42
 # Hex digits counted at a time, and how many counts then reach the driver at most.
@@ -24,8 +23,6 @@ _STEP = 4
 _MAX_COUNTS = 16**_STEP
 _DIGITS = 32
 _HASH = "_hash"
-# Rows of a hash prefix that one task sorts; even groups get there with 1.3e11 rows.
-MAX_GROUP = 2_000_000
 # What identifies a row once augmented copies share the id of their original.
 ROW_KEY = (KEY, "origin", "copy_no")
 
@@ -129,36 +126,16 @@ def sample_frac(
 
 
 def shuffle_rows(
-    df: DataFrame,
-    seed: int = SEED,
-    key: Sequence[str] | None = None,
-    purpose: str = "shuffle",
-    max_group: int = MAX_GROUP,
+    df: DataFrame, seed: int = SEED, key: Sequence[str] | None = None, purpose: str = "shuffle"
 ) -> DataFrame:
-    """Seeded random order, kept as ``row_idx``.
+    """Seeded random order, kept as the last column ``row_idx``.
 
-    Hash prefixes cut the rows into even groups; each is sorted by itself and
-    starts after the rows of those below it.  Only many rows with the same key
-    can make a group large.  Then all rows are sorted together, with the place
-    of a row as the last key, so that the copies spread over several tasks.
+    Rows are sorted by the hash of their key, then by a hash of the row and by their
+    place, so that copies spread over several tasks.
     """
     key = list(key or df.columns)
-    hashed = df.withColumn(_HASH, sample_hash(seed, purpose, key))
-    group = F.substring(_HASH, 1, _STEP)
-    # At most 65,536 groups.
-    sizes = stage(hashed.groupBy(group.alias("_group")).agg(F.count("*").alias("_rows")), "groups")
-    hashed = hashed.withColumn("_tie", F.xxhash64(*df.columns))
-    if (sizes.agg(F.max("_rows")).head()[0] or 0) > max_group:
-        return with_row_index(hashed.drop("row_idx"), _HASH, "_tie").drop(_HASH, "_tie")
-    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_group", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_group").orderBy(_HASH, "_tie")
-    placed = hashed.withColumn("_group", group).withColumn("_place", F.row_number().over(within))
-    return (
-        placed.join(F.broadcast(starts), "_group")
-        .withColumn("row_idx", (F.col("_start") + F.col("_place") - 1).cast("long"))
-        .drop("_group", "_place", "_start", "_tie", _HASH)
-    )
+    hashed = df.withColumn(_HASH, sample_hash(seed, purpose, key)).withColumn("_tie", F.xxhash64(*df.columns))
+    return with_row_index(hashed.drop("row_idx"), _HASH, "_tie").drop(_HASH, "_tie")
 
 
 def filter_class(df: DataFrame, label: int) -> DataFrame:

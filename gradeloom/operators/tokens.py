@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gradeloom.functions.text import NOT_BLANK, sentence_words, sentences, words
 from gradeloom.operators.row_index import with_row_index
 from gradeloom.staging import stage
 
+# Ids of padding and of unknown words, the first id of a word, and the length of a text.
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 MAX_LENGTH = 512
-# Larger vocabularies are joined instead of being sent to the tasks.
-MAX_SHIPPED_WORDS = 1_000_000
-# Words that one task looks at to find the most frequent ones.
-MAX_TOP = 10_000_000
+# The most frequent words; every task has them at hand, so that they are not dealt out by word.
+HEAD = 20_000
 
 
-def build_vocab(
-    df: DataFrame, min_count: int = 1, max_size: int = 30_000, text: str = "text", max_top: int = MAX_TOP
-) -> DataFrame:
-    """The most frequent words with their counts and ids from 2 on.
+def build_vocab(df: DataFrame, min_count: int = 1, max_size: int | None = None, text: str = "text") -> DataFrame:
+    """All words with their counts and ids from 2 on, the most frequent first.
 
-    Words of equal count are in word order.  Taking the top words passes up to
-    ``max_size`` words of every shuffle partition through one task; above
-    ``max_top`` words in all, the count at which the vocabulary is full is found
-    first, so that only chosen words meet in one task, which gives out the ids.
+    Words of equal count are in word order.  ``max_size`` keeps only the first of them.
     """
     counts = (
         df.select(F.explode(words(F.col(text))).alias("token"))
@@ -39,29 +30,10 @@ def build_vocab(
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= min_count)
     )
-    order = (F.desc("n"), F.col("token"))
-    if max_size * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= max_top:
-        chosen = counts.orderBy(*order).limit(max_size)
-    else:
-        chosen = _most_frequent(stage(counts, "words"), max_size)
-    rank = F.row_number().over(Window.orderBy(*order))
-    return chosen.select("token", "n", (rank + FIRST_ID - 1).alias("id"))
-
-
-def _most_frequent(counts: DataFrame, max_size: int) -> DataFrame:
-    by_count = counts.groupBy("n").agg(F.count("*").alias("words"))
-    # Every count has a word, so no more than max_size of them matter.
-    highest = by_count.orderBy(F.desc("n")).limit(max_size).collect()
-    room = max_size
-    for n, found in highest:
-        if found > room:
-            tied = with_row_index(counts.filter(F.col("n") == n), "token")
-            first = tied.filter(F.col("row_idx") < room).drop("row_idx")
-            return counts.filter(F.col("n") > n).unionByName(first)
-        room -= found
-        if room == 0:
-            return counts.filter(F.col("n") >= n)
-    return counts
+    ranked = with_row_index(counts, F.desc("n"), F.col("token"))
+    if max_size is not None:
+        ranked = ranked.filter(F.col("row_idx") < max_size)
+    return ranked.select("token", "n", (F.col("row_idx") + FIRST_ID).cast("int").alias("id"))
 
 
 def _fit(ids: Column, max_length: int) -> dict[str, Column]:
@@ -72,52 +44,28 @@ def _fit(ids: Column, max_length: int) -> dict[str, Column]:
     return {"input_ids": F.concat(ids, padding), "attention_mask": mask}
 
 
-def _shipped_lookup(token_ids: Sequence[tuple[str, int]]) -> Callable[[Column], Column]:
-    """Ids of an array of tokens, looked up by Arrow a batch at a time."""
-    known = pa.array([token for token, _ in token_ids], pa.string())
-    ids = np.array([*(i for _, i in token_ids), UNKNOWN], dtype=np.int32)
-
-    def look_up(tokens: pa.Array) -> pa.Array:
-        place = pc.index_in(tokens.flatten(), value_set=known)
-        flat = ids[pc.fill_null(place, len(ids) - 1).to_numpy(zero_copy_only=False)]
-        lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-
-    return F.arrow_udf(look_up, ArrayType(IntegerType()))
-
-
-def _joined_lookup(df: DataFrame, vocab: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The same by a join on the token, for vocabularies of any size."""
-    tokens = df.select(*key, F.posexplode("_tokens").alias("_pos", "token"))
-    found = tokens.join(vocab.select("token", "id"), "token", "left")
-    entry = F.struct("_pos", F.coalesce("id", F.lit(UNKNOWN)).cast("int").alias("id"))
-    # A text has at most max_length entries here.
-    ids = found.groupBy(*key).agg(F.sort_array(F.collect_list(entry))["id"].alias("_ids"))
-    empty = F.array().cast("array<int>")
-    return df.join(ids, list(key), "left").withColumn("_ids", F.coalesce("_ids", empty))
-
-
-def encode_tokens(
-    df: DataFrame,
-    vocab: DataFrame,
-    max_length: int = MAX_LENGTH,
-    key: Sequence[str] = ("par_id",),
-    text: str = "text",
-    max_shipped: int = MAX_SHIPPED_WORDS,
-) -> DataFrame:
+def encode_tokens(df: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH, text: str = "text") -> DataFrame:
     """Add ``input_ids`` and ``attention_mask`` of a fixed length.
 
-    Longer texts are cut, shorter ones padded with 0; unknown words get id 1.
-    ``key`` must be unique; only vocabularies above ``max_shipped`` need it.
+    Longer texts are cut, shorter ones padded with 0; unknown words get id 1.  Every row
+    is encoded by itself, whatever its other columns hold.
     """
-    tokens = df.withColumn("_tokens", F.slice(words(F.col(text)), 1, max_length))
-    shipped = vocab.select("token", "id").limit(max_shipped + 1).collect()
-    if len(shipped) <= max_shipped:
-        encoded = tokens.withColumn("_ids", _shipped_lookup([tuple(row) for row in shipped])("_tokens"))
-    else:
-        encoded = _joined_lookup(tokens, vocab, key)
-    return encoded.withColumns(_fit(F.col("_ids"), max_length)).drop("_tokens", "_ids")
+    # Written with a number for every row, which stays the same when tasks are run again.
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    tokens = rows.select("_row", F.posexplode(F.slice(words(F.col(text)), 1, max_length)).alias("_pos", "token"))
+    known = stage(vocab.select("token", "id"), "vocabulary")
+    frequent = F.broadcast(known.filter(F.col("id") < FIRST_ID + HEAD).withColumnRenamed("id", "_frequent"))
+    # A frequent word is looked up in place; the others meet their ids by word.
+    looked = tokens.join(frequent, "token", "left")
+    found = looked.filter(F.col("_frequent").isNotNull()).select("_row", "_pos", F.col("_frequent").alias("id"))
+    rare = looked.filter(F.col("_frequent").isNull()).select("_row", "_pos", "token")
+    tail = known.filter(F.col("id") >= FIRST_ID + HEAD)
+    rest = rare.join(tail, "token", "left").select("_row", "_pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
+    # A text has at most max_length entries.
+    entry = F.struct("_pos", F.col("id").cast("int").alias("id"))
+    ids = found.unionByName(rest).groupBy("_row").agg(F.sort_array(F.collect_list(entry))["id"].alias("_ids"))
+    encoded = rows.join(ids, "_row", "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+    return encoded.withColumns(_fit(F.col("_ids"), max_length)).drop("_row", "_ids")
 
 
 def sentences_of_words(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:

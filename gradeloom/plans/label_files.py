@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.arrays import argmax
 from gradeloom.sources.lines import write_label_lines
@@ -11,6 +11,13 @@ from gradeloom.sources.scores import read_scores
 SPLITS = ("valid", "final")
 
 
+def _require_positions(labels: DataFrame, what: str) -> None:
+    """Fail if a position occurs more than once or is missing."""
+    n, different, known = labels.agg(F.count("*"), F.count_distinct("row_idx"), F.count("row_idx")).first()
+    if not n == different == known:
+        raise ValueError(f"{what}: {n} scores for {different} positions")
+
+
 def write_label_files(
     spark: SparkSession, scores_path: str, run_id: str, output: str, single_file: bool = False
 ) -> dict[str, str]:
@@ -19,6 +26,7 @@ def write_label_files(
     for split in SPLITS:
         scores = read_scores(spark, scores_path, run_id, split)
         labels = scores.select("row_idx", argmax(F.col("logits")).alias("prediction"))
+        _require_positions(labels, f"{run_id}, {split}")
         folders[split] = f"{output}/{split}"
         write_label_lines(labels, folders[split], single_file=single_file)
     return folders

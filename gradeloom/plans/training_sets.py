@@ -6,17 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.operators.joins import KEY, label_augmented, merge_with_labels
-from gradeloom.operators.sampling import SEED, concat, rebalance, split_train_valid
+from gradeloom.operators.joins import label_augmented, merge_with_labels
+from gradeloom.operators.sampling import SEED, concat, rebalance, split_train_valid, with_row_key
 from gradeloom.staging import stage
 
 
 @dataclass
 class TrainingSets:
-    """Training and validation rows, and what they were drawn from.
-
-    ``rebalanced`` may lack the texts of corpus rows.
-    """
+    """Training and validation rows, and what they were drawn from, that without texts."""
 
     train: DataFrame
     valid: DataFrame
@@ -34,28 +31,22 @@ def training_sets(
 ) -> TrainingSets:
     """Label the split list, rebalance it and split it by id.
 
-    All draws work on ids and labels; the texts of the drawn rows are joined
-    last, once for both sets.  That needs one corpus row per id, which shows in
-    the join adding no rows; otherwise texts stay with their labels throughout.
+    All draws work on ids and labels and carry the number of the labelled row; the
+    texts of the drawn rows are joined last by that number, once for both sets.
     """
-    late_text = "text" not in train_labels.columns
-    if late_text:
-        labelled = stage(merge_with_labels(train_labels, corpus.select(KEY, "label")), "labelled")
-        late_text = labelled.count() == train_labels.count()
-    if not late_text:
-        labelled = stage(merge_with_labels(train_labels, corpus), "labelled")
-    extra = stage(label_augmented(augmented, corpus), "augmented")
-    rebalanced = stage(rebalance(labelled, extra, down_ratio, up_ratio, seed), "rebalanced")
+    labelled = _numbered(merge_with_labels(train_labels, corpus), "orig")
+    extra = _numbered(label_augmented(augmented, corpus), "aug")
+    rebalanced = stage(rebalance(labelled.drop("text"), extra.drop("text"), down_ratio, up_ratio, seed), "rebalanced")
     train, valid = split_train_valid(rebalanced, train_frac, seed)
     rows = concat(train.withColumn("side", F.lit("train")), valid.withColumn("side", F.lit("valid")))
-    if late_text:
-        rows = _with_corpus_text(rows, corpus)
-    sides = stage(rows, "sides", partition_by="side")
-    return TrainingSets(*[sides.filter(F.col("side") == side).drop("side") for side in ("train", "valid")], rebalanced)
+    texts = concat(*(part.select("_labelled", "text") for part in (labelled, extra)))
+    sides = stage(rows.join(texts, "_labelled").drop("_labelled"), "sides", partition_by="side")
+    return TrainingSets(
+        *[sides.filter(F.col("side") == side).drop("side") for side in ("train", "valid")], rebalanced.drop("_labelled")
+    )
 
 
-def _with_corpus_text(rows: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Texts of corpus rows; augmented rows have theirs already."""
-    texts = corpus.select(KEY, F.col("text").alias("_corpus_text"))
-    text = F.when(F.col("origin") == "aug", F.col("text")).otherwise(F.col("_corpus_text"))
-    return rows.join(texts, KEY, "left").withColumn("text", text).drop("_corpus_text")
+def _numbered(rows: DataFrame, origin: str) -> DataFrame:
+    """Rows written once with their key and with a number of their own."""
+    number = F.concat(F.lit(f"{origin} "), F.monotonically_increasing_id().cast("string"))
+    return stage(with_row_key(rows, origin).withColumn("_labelled", number), "labelled")

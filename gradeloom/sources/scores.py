@@ -10,15 +10,18 @@ SCORES = "row_idx bigint, logits array<double>, run_id string, split string"
 LOG = "run_id bigint, log_history array<struct<epoch: double, eval_accuracy: double, eval_f1: double>>"
 
 
-def write_scores(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Scores of runs and their splits; a read of one run or split sees only its files."""
+def write_scores(df: DataFrame, path: str) -> None:
+    """Scores of runs and their splits; a read of one run or split sees only its files.
+
+    A run and split that was written before is replaced, all others stay.
+    """
     rows = df.select(
         F.col("row_idx").cast("long").alias("row_idx"),
         F.col("logits").cast("array<double>").alias("logits"),
         F.col("run_id").cast("string").alias("run_id"),
         "split",
     )
-    rows.write.mode(mode).partitionBy("run_id", "split").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "split").parquet(path)
 
 
 def read_scores(spark: SparkSession, path: str, run_id: str | None = None, split: str | None = None) -> DataFrame:
@@ -33,8 +36,10 @@ def read_training_log(spark: SparkSession, path: str, multi_line: bool = True) -
     """Training logs, one JSON object each, with the entries as an array.
 
     ``multi_line=False`` reads files of one log per line, which Spark can split.
+    ``file`` tells logs without a run id apart.
     """
-    return spark.read.schema(LOG).option("multiLine", multi_line).json(path)
+    logs = spark.read.schema(LOG).option("multiLine", multi_line).json(path)
+    return logs.withColumn("file", F.col("_metadata.file_name"))
 
 
 def log_entries(logs: DataFrame, *keep: str) -> DataFrame:

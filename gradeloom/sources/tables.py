@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.operators.sampling import concat
 from gradeloom.sources.lines import indexed_lines, lines_after
+from gradeloom.staging import stage
 
 CORRUPT = "_corrupt_record"
 CORPUS = "par_id bigint, art_id string, keyword string, country_code string, text string, label int"
 UNLABELLED = "par_id string, art_id string, keyword string, country_code string, text string"
 SPLIT_LABELS = "par_id bigint, label string"
+AUGMENTED = "par_id bigint, label string, text string"
 
 # The fields that count as missing.
 MISSING = (
@@ -81,10 +83,12 @@ def read_unlabelled(spark: SparkSession, path: str, quote: str = "", positions:
 def read_augmented(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All CSV files of a folder, each with a header; sub-folders are left out.
 
-    The file name becomes ``copy_no``.  Files may order their columns
-    differently and may lack some.  ``multi_line=False`` lets Spark split large
+    The file name becomes ``copy_no`` unless the file has one.  Files may order their
+    columns differently and may lack some.  A folder without files gives no rows; files
+    with names that Spark passes over fail.  ``multi_line=False`` lets Spark split large
     files; it is for texts without line breaks.
     """
+    _refuse_hidden_files(spark, path)
     row = F.monotonically_increasing_id().alias("_row")
     first_line = (
         spark.read.text(path)
@@ -98,20 +102,45 @@ def read_augmented(spark: SparkSession, path: str, multi_line: bool = True) -> D
     for file_path, header in first_line.collect():
         files_by_header.setdefault(header, []).append(unquote(file_path))
     parts = [_read_csv(spark, header, sorted(files), multi_line) for header, files in sorted(files_by_header.items())]
+    if not parts:
+        return spark.createDataFrame([], f"{AUGMENTED}, origin string, copy_no string")
     return concat(*parts)
 
 
+def _refuse_hidden_files(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(folder) if status.isFile()]
+    hidden = sorted(name for name in names if name[0] in "._" and name.endswith(".csv"))
+    if hidden:
+        raise ValueError(f"{path} has files that Spark does not read because of their names: {', '.join(hidden)}")
+
+
 def _read_csv(spark: SparkSession, header: str, files: list[str], multi_line: bool) -> DataFrame:
     names = [name.strip().strip('"') for name in header.split(",")]
     reader = spark.read.schema(", ".join(f"`{name}` string" for name in names))
     rows = reader.options(header=True, multiLine=multi_line, escape='"').csv(files)
     types = {"par_id": "bigint"}
     columns = [_known(name).cast(types.get(name, "string")).alias(name) for name in names]
-    return rows.select(*columns, F.lit("aug").alias("origin"), F.col("_metadata.file_name").alias("copy_no"))
+    added = {"origin": F.lit("aug"), "copy_no": F.col("_metadata.file_name")}
+    return rows.select(
+        *(c for name, c in zip(names, columns) if name not in added),
+        # What the file says comes first.
+        *(F.coalesce(_known(name), value).alias(name) if name in names else value.alias(name) for name, value in added.items()),
+    )
 
 
-def write_augmented(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Augmented rows as CSV files with header; the id is written too."""
+def write_augmented(df: DataFrame, path: str, mode: str = "error", failed_path: str | None = None) -> None:
+    """Augmented rows as CSV files with header; the id is written too.
+
+    Rows with an ``error`` have no text and are written to ``failed_path`` only, if given.
+    """
+    if "error" in df.columns:
+        df = stage(df, "augmented")
+        if failed_path is not None:
+            failed = df.filter(F.col("error").isNotNull())
+            failed.write.mode(mode).options(header=True, escape='"').csv(failed_path)
+        df = df.filter(F.col("error").isNull()).drop("error")
     df.write.mode(mode).options(
         header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)

@@ -37,25 +37,25 @@ def test_vocab_orders_by_count_then_word(spark):
     assert got == [("a", 2, 2), ("b", 2, 3), ("c", 1, 4), ("nan", 1, 5), ("ü", 1, 6)]
     assert [r["token"] for r in tokens.build_vocab(df, min_count=2, max_size=1).collect()] == ["a"]
     for size in range(1, 7):
-        for top in (0, 1000):
-            vocab = tokens.build_vocab(df, max_size=size, max_top=top)
-            assert [tuple(r) for r in vocab.orderBy("id").collect()] == got[:size]
+        assert [tuple(r) for r in tokens.build_vocab(df, max_size=size).orderBy("id").collect()] == got[:size]
 
 
 def test_encoding_cuts_and_pads(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "b unknown"), (3, "!!"), (4, None)], "par_id int, text string")
     vocab = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4), ("d", 5), ("nan", 9)], "token string, id int")
     wanted = {1: ([2, 3, 4, 5], [1] * 4), 2: ([3, 1, 0, 0], [1, 1, 0, 0]), 3: ([0] * 4, [0] * 4), 4: ([9, 0, 0, 0], [1, 0, 0, 0])}
-    for shipped in (100, 0):
-        rows = tokens.encode_tokens(df, vocab, max_length=4, max_shipped=shipped).collect()
-        assert {r["par_id"]: (r["input_ids"], r["attention_mask"]) for r in rows} == wanted
-
-
-def test_both_ways_to_encode_agree(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "par_id").select("par_id", "text")
-    vocab = tokens.build_vocab(df, max_size=500)
-    a, b = (tokens.encode_tokens(df, vocab, max_shipped=n).select("par_id", F.hash("input_ids", "attention_mask")) for n in (500, 10))
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    rows = tokens.encode_tokens(df, vocab, max_length=4).collect()
+    assert {r["par_id"]: (r["input_ids"], r["attention_mask"]) for r in rows} == wanted
+
+
+def test_encoding_does_not_mix_rows_that_share_an_id(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b c"), (1, "c b"), (None, "b"), (None, "a")], "par_id int, text string")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4)], "token string, id int")
+    wanted = {"a b c": [2, 3, 4, 0], "c b": [4, 3, 0, 0], "b": [3, 0, 0, 0], "a": [2, 0, 0, 0]}
+    for head in (20_000, 1):
+        monkeypatch.setattr(tokens, "HEAD", head)
+        rows = tokens.encode_tokens(df, vocab, max_length=4).collect()
+        assert {r["text"]: r["input_ids"] for r in rows} == wanted and len(rows) == 4
 
 
 def test_paraphrases_that_fail_are_marked(spark):

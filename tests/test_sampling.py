@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import joins, sampling
+from gradeloom.operators.joins import anti_join_by_key
 from gradeloom.operators.row_index import with_row_index
 
 
@@ -61,17 +62,25 @@ def test_copies_at_the_cut_are_counted_exactly(spark):
 
 def test_shuffle_spreads_a_hot_key(spark):
     df = spark.range(900).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("par_id"))
-    plain = sampling.shuffle_rows(df)
-    sorted_together = sampling.shuffle_rows(df, max_group=100)
-    order = [[r["par_id"] for r in s.orderBy("row_idx").collect()] for s in (plain, sorted_together)]
-    assert order[0] == order[1] and sorted(order[0]) == ids(df)
-    assert ids(sorted_together, "row_idx") == list(range(900))
+    shuffled = sampling.shuffle_rows(df)
+    assert ids(shuffled) == ids(df) and ids(shuffled, "row_idx") == list(range(900))
 
 
 def test_shuffle_replaces_positions(spark):
     df = numbers(spark, 50).withColumn("row_idx", F.col("par_id") + 100)
-    a, b = (sampling.shuffle_rows(df, key=["par_id"], max_group=n).orderBy("row_idx").collect() for n in (1000, 0))
-    assert a == b and [r["row_idx"] for r in a] == list(range(50))
+    shuffled = sampling.shuffle_rows(df, key=["par_id"])
+    assert shuffled.columns[-1] == "row_idx" and ids(shuffled, "row_idx") == list(range(50))
+    again = sampling.shuffle_rows(df.repartition(7), key=["par_id"])
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_no_id_is_on_both_sides_of_a_split(spark):
+    df = spark.createDataFrame([(i % 5 or None, "orig", str(i)) for i in range(60)], "par_id int, origin string, copy_no string")
+    train, valid = sampling.split_train_valid(df, 0.05)
+    sides = [{r["par_id"] for r in side.collect()} for side in (train, valid)]
+    assert train.count() == 3 and not sides[0] & sides[1]
+    drawn_null = df.filter("par_id IS NULL").limit(1)
+    assert anti_join_by_key(df, drawn_null).filter("par_id IS NULL").count() == 0
 
 
 def test_row_index_follows_the_order(spark):
