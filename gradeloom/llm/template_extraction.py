@@ -49,10 +49,12 @@ _NAMES_LEFT_OUT = re.compile(
     r"header|legal|login|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|"
     r"social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])"
 )
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/]?[A-Za-z!?/](?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>|\Z)", re.S)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/]?[A-Za-z!?/](?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>|\Z)|<\Z", re.S)
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
 _NAME = re.compile(r"""\s(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _ROOT = "/html/body"
+# Columns that the joined pages need.
+_OWN = ("_group", "_region", "_constant")
 
 
 def blocks_of(html: str) -> Iterator[tuple[str, bool, str]]:
@@ -208,9 +210,10 @@ def extract_main_text(
     character references are decoded.  Null and empty pages and pages without an article
     have ``""``.  Pages are judged with all pages of their host that have their layout;
     a null or broken url is a host of its own, repeated rows count repeatedly.  A column
-    named ``text`` is replaced.  An empty table gives an empty result.
+    named ``text`` is replaced, those in ``_OWN`` are dropped.  An empty table gives an
+    empty result.
     """
-    names = list(pages.columns if keep is None else keep)
+    names = [n for n in (pages.columns if keep is None else keep) if n not in _OWN]
     templates = find_templates(pages, url, html)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +242,7 @@ def extract_main_text(
 
 
 def _main(html: str | None, region: str | None, constant: str | None) -> str:
-    region, never_change = region or "", set((constant or "").split("\n"))
+    region, never_change = region or "", {p for p in (constant or "").split("\n") if p}
     return "\n".join(
         text
         for path, out, text in blocks_of(html or "")
