@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_OPENED: ContextVar[list[str] | None] = ContextVar("opened", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/gradeloom/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/gradeloom/{uuid.uuid4().hex}"
+    opened = _OPENED.get()
+    if opened is not None:
+        opened.append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables staged inside at the end; results have to be written or collected by then."""
+    token = _OPENED.set([])
+    try:
+        yield
+    finally:
+        for folder in _OPENED.get() or ():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _OPENED.reset(token)
 
 
 def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:

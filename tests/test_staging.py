@@ -1,3 +1,4 @@
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -25,3 +26,13 @@ def test_staged_tables_keep_rows_and_schema(spark):
     df = spark.createDataFrame([(1, None, [1.5]), (2, "x", [])], "a int, b string, c array<double>")
     staged = staging.stage(df)
     assert staged.schema == df.schema and sorted(staged.collect()) == sorted(df.collect())
+
+
+def test_temporary_tables_go_at_the_end(spark):
+    with staging.temporary_tables(spark):
+        staged = staging.stage(spark.range(3), "numbers")
+        files = staged.inputFiles()
+        assert staged.count() == 3
+    kept = staging.stage(spark.range(3), "numbers")
+    assert not any(Path(file.removeprefix("file:")).exists() for file in files)
+    assert kept.count() == 3
