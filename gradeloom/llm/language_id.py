@@ -26,7 +26,7 @@ MAX_TEXTS = 4000
 MAX_WINDOWS = 6
 UNKNOWN = "und"
 _PAD = 256
-_BATCH = 4096
+_BATCH = 2048
 _SLICE_BYTES = 1 << 20
 
 Weights = dict[str, np.ndarray]
@@ -81,6 +81,37 @@ def _read(weights: Weights, way: str, steps: np.ndarray, trace: list | None = No
     return states
 
 
+def _logits(weights: Weights, way: str, steps: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """What one way adds to the logits (time, language, window): as :func:`_read`, but with the windows innermost."""
+    table, square = (np.ascontiguousarray(weights[f"{way}_{name}"].T) for name in ("bytes", "state"))
+    bias, hidden = weights[f"{way}_bias"][:, None], square.shape[1]
+    half = table.dtype.type(0.5)
+    state = np.zeros((hidden, steps.shape[1]), table.dtype)
+    states = np.empty((len(steps), *state.shape), table.dtype)
+    for t, now in enumerate(steps):
+        own = np.take(table, now, axis=1, mode="clip")
+        drive = square @ state
+        gates = own[: 2 * hidden]
+        gates += drive[: 2 * hidden]
+        gates *= half
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= half
+        keep, reset = gates[:hidden], gates[hidden:]
+        keep[:, now == _PAD] = 1
+        new = drive[2 * hidden :]
+        new += bias
+        new *= reset
+        new += own[2 * hidden :]
+        np.tanh(new, out=new)
+        after = states[t]
+        np.subtract(state, new, out=after)
+        after *= keep
+        after += new
+        state = after
+    return np.matmul(np.ascontiguousarray(out.T), states)
+
+
 def probabilities(weights: Weights, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list]:
     """Probabilities (time, window, language), the states, and what training needs."""
     ahead: list = []
@@ -148,7 +179,8 @@ def _cut(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray
     begin = offsets[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * window
     places = begin[:, None] + np.arange(window)
     inside = places < offsets[1:][owner][:, None]
-    return np.where(inside, data[np.minimum(places, max(0, len(data) - 1))], _PAD).astype(np.int16), owner
+    values = data[np.minimum(places, max(0, len(data) - 1))].astype(np.int16)
+    return np.where(inside, values, np.int16(_PAD)), owner
 
 
 def train_language_model(
@@ -222,12 +254,13 @@ def _means(model: LanguageModel, texts: pa.Array, window: int) -> np.ndarray:
     hidden = len(weights["out"]) // 2
     for i in range(0, len(cut), _BATCH):
         steps = np.ascontiguousarray(cut[i : i + _BATCH].T).astype(np.intp)
-        logits = _read(weights, "f", steps) @ weights["out"][:hidden]
-        logits += _read(weights, "b", steps[::-1])[::-1] @ weights["out"][hidden:]
-        logits += weights["out_bias"]
-        probs = _soft(logits)
-        probs *= (steps != _PAD)[:, :, None]
-        np.add.at(total, owner[i : i + _BATCH], probs.sum(axis=0, dtype=np.float64))
+        logits = _logits(weights, "f", steps, weights["out"][:hidden])
+        logits += _logits(weights, "b", steps[::-1], weights["out"][hidden:])[::-1]
+        logits += weights["out_bias"][:, None]
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits *= (steps != _PAD)[:, None, :] / logits.sum(axis=1, keepdims=True)
+        np.add.at(total, owner[i : i + _BATCH], logits.sum(axis=0, dtype=np.float64).T)
     return total / np.maximum(1, np.diff(offsets))[:, None]
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gradeloom.llm import language_id as lid
@@ -32,6 +33,17 @@ def test_padding_changes_nothing():
     assert lid.probabilities(weights, padded)[0][:5] == pytest.approx(lid.probabilities(weights, steps)[0])
 
 
+def test_scoring_equals_the_network_that_is_trained():
+    model = lid.LanguageModel(["de", "en", "fr"], lid.new_weights(4, 3, 2, np.float64))
+    texts = ["abcdefghij", "", "éü" * 7, "x"]
+    means = lid._means(model, pa.array(texts), 8)
+    for text, mean in zip(texts, means):
+        data = text.encode()
+        windows = [data[i : i + 8] for i in range(0, len(data), 8)]
+        probs = [lid.probabilities(model.weights, np.frombuffer(w, np.uint8).astype(int)[:, None])[0][:, 0] for w in windows]
+        assert mean == pytest.approx(np.concatenate(probs).mean(axis=0) if probs else np.zeros(3))
+
+
 def test_cases_without_language(spark, table):
     rows = [(1, None), (2, ""), (3, " 12 !?"), (4, "é"), (5, "the words " * 20_000), (5, "the words"), (None, "das")]
     model = lid.LanguageModel(["de", "en"], lid.new_weights(4, 2, 3))
