@@ -44,15 +44,26 @@ def _fit(ids: Column, max_length: int) -> dict[str, Column]:
     return {"input_ids": F.concat(ids, padding), "attention_mask": mask}
 
 
-def encode_tokens(df: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH, text: str = "text") -> DataFrame:
+def encode_tokens(
+    df: DataFrame,
+    vocab: DataFrame,
+    max_length: int = MAX_LENGTH,
+    text: str = "text",
+    begin: int | None = None,
+    end: int | None = None,
+) -> DataFrame:
     """Add ``input_ids`` and ``attention_mask`` of a fixed length.
 
-    Longer texts are cut, shorter ones padded with 0; unknown words get id 1.  Every row
-    is encoded by itself, whatever its other columns hold.
+    Longer texts are cut, shorter ones padded with 0; unknown words get id 1.  The ids
+    ``begin`` and ``end``, if given, enclose the words and count towards the length.
+    Every row is encoded by itself, whatever its other columns hold.
     """
+    room = max_length - (begin is not None) - (end is not None)
+    if room < 1:
+        raise ValueError("there is no room for a word")
     # Written with a number for every row, which stays the same when tasks are run again.
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    tokens = rows.select("_row", F.posexplode(F.slice(words(F.col(text)), 1, max_length)).alias("_pos", "token"))
+    tokens = rows.select("_row", F.posexplode(F.slice(words(F.col(text)), 1, room)).alias("_pos", "token"))
     known = stage(vocab.select("token", "id"), "vocabulary")
     frequent = F.broadcast(known.filter(F.col("id") < FIRST_ID + HEAD).withColumnRenamed("id", "_frequent"))
     # A frequent word is looked up in place; the others meet their ids by word.
@@ -65,7 +76,9 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH,
     entry = F.struct("_pos", F.col("id").cast("int").alias("id"))
     ids = found.unionByName(rest).groupBy("_row").agg(F.sort_array(F.collect_list(entry))["id"].alias("_ids"))
     encoded = rows.join(ids, "_row", "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
-    return encoded.withColumns(_fit(F.col("_ids"), max_length)).drop("_row", "_ids")
+    edges = [F.array() if i is None else F.array(F.lit(i)) for i in (begin, end)]
+    whole = F.concat(edges[0].cast("array<int>"), F.col("_ids"), edges[1].cast("array<int>"))
+    return encoded.withColumns(_fit(whole, max_length)).drop("_row", "_ids")
 
 
 def sentences_of_words(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:

@@ -48,14 +48,18 @@ def indexed_lines(spark: SparkSession, path: str, header_lines: int = 0, skip_bl
     # One row per split, a list that the driver holds to schedule the scan.
     earlier = Window.orderBy(*_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_before", F.coalesce(F.sum("_kept").over(earlier), F.lit(0))).drop("_kept")
-    # Written, so that Spark knows the size and broadcasts only a small table.
-    offsets = stage(offsets, "offsets")
+    offsets = stage(offsets.withColumn("_key", F.xxhash64("_file")), "offsets")
+    if offsets.groupBy("_key").agg(F.count_distinct("_file").alias("_files")).filter("_files > 1").head(1):
+        raise ValueError(f"two files of {path} have the same hash of their path; rename one")
+    # A few numbers for each split of the scan, so that the lines stay where they are read.
+    offsets = F.broadcast(offsets.select("_key", "_start", "_first", "_lines", "_before"))
     position = F.col("_task_row") - F.col("_first")
     moved = F.raise_error(F.lit("the files or their splits changed while they were read")).cast("long")
     known = F.coalesce((position >= 0) & (position < F.col("_lines")), F.lit(False))
     return (
         _numbered_scan(spark, path, skip_blank)
-        .join(offsets, list(_BLOCK), "left")
+        .withColumn("_key", F.xxhash64("_file"))
+        .join(offsets, ["_key", "_start"], "left")
         .withColumn("_position", F.when(known, position).otherwise(moved))
         .filter(F.col("_position") >= header)
         .select((F.col("_before") + F.col("_position") - header).alias("row_idx"), "value")

@@ -48,6 +48,15 @@ def test_encoding_cuts_and_pads(spark):
     assert {r["par_id"]: (r["input_ids"], r["attention_mask"]) for r in rows} == wanted
 
 
+def test_begin_and_end_count_towards_the_length(spark):
+    df = spark.createDataFrame([("a b c",), ("b",), ("!",)], "text string")
+    vocab = spark.createDataFrame([("a", 4), ("b", 5), ("c", 6)], "token string, id int")
+    rows = tokens.encode_tokens(df, vocab, max_length=4, begin=2, end=3).collect()
+    assert {r["text"]: r["input_ids"] for r in rows} == {"a b c": [2, 4, 5, 3], "b": [2, 5, 3, 0], "!": [2, 3, 0, 0]}
+    with pytest.raises(ValueError, match="no room"):
+        tokens.encode_tokens(df, vocab, max_length=2, begin=2, end=3)
+
+
 def test_encoding_does_not_mix_rows_that_share_an_id(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b c"), (1, "c b"), (None, "b"), (None, "a")], "par_id int, text string")
     vocab = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4)], "token string, id int")

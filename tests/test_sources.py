@@ -162,3 +162,12 @@ def test_scores_to_label_files(spark, tmp_path):
     folders = write_label_files(spark, path, "a", str(tmp_path / "labels"))
     read = lines.read_indexed_lines(spark, folders["valid"]).orderBy("row_idx").collect()
     assert [r["value"] for r in read] == [int(i % 3 > 0) for i in range(100)]
+
+
+def test_lines_are_not_shuffled_whatever_may_be_broadcast(spark, tmp_path, setting):
+    (tmp_path / "a.txt").write_text("1\n0\n1\n")
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = lines.read_indexed_lines(spark, str(tmp_path))
+    assert [r["row_idx"] for r in found.collect()] == [0, 1, 2]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
