@@ -1,10 +1,11 @@
 """Licence notices in texts by a positional index of rare words, in DataFrame operations only.
 
-The words of all templates are posted with their positions.  A file is looked up by the
-``top`` words of its own that are rarest among all files: every place of such a word that
-is posted at position p of a template votes for the template to begin p words earlier.  A
-template whose votes for one beginning come from enough of its rare words is a candidate;
-it counts if its key phrases stand at their places behind that beginning.
+The words of all templates are posted with their positions.  Every template is looked up by
+its own ``top`` words that are rarest among all files, and by the ``votes`` rarest words of
+its key phrases: every place of such a word that is posted at position p of the template
+votes for the template to begin p words earlier.  A beginning with votes of enough words is
+a candidate; it counts if the key phrases stand at their places behind it.  Where they do,
+their own words vote for it, so no other words of the file can crowd a notice out.
 """
 
 from __future__ import annotations
@@ -63,10 +64,26 @@ def _marked(found: Column, phrase: str, name: str, mark: str | int) -> Column:
     return F.transform(places(found, phrase), lambda s: F.struct(F.lit(mark).alias(name), s.alias("start")))
 
 
-def _postings(spark: SparkSession) -> DataFrame:
-    """(template, label, word, position): a table of fixed size."""
-    rows = [(t, label, w, p) for t, (label, notice, _) in enumerate(TEMPLATES) for p, w in enumerate(notice.split(" "))]
-    return spark.createDataFrame(rows, "template int, label string, word string, position int")
+def _words_needed(votes: int) -> list[int]:
+    """Different words that have to vote for a beginning of each template."""
+    return [min(votes, len(set(" ".join(phrases).split(" ")))) for _, _, phrases in TEMPLATES]
+
+
+def _looked_up(idf: dict[str, float], top: int, votes: int) -> list[tuple[int, str, str, int, float]]:
+    """(template, label, word, position, weight) of the words each template is looked up by.
+
+    Only its ``top`` rarest words have a weight; words of the key phrases alone have 0.
+    """
+    rows = []
+    for t, (label, notice, phrases) in enumerate(TEMPLATES):
+
+        def rarest(words: str, n: int) -> set[str]:
+            return set(sorted(set(words.split(" ")), key=lambda w: (-idf[w], w))[:n])
+
+        rare = rarest(notice, top)
+        asked = rare | rarest(" ".join(phrases), votes)
+        rows += [(t, label, w, p, idf[w] if w in rare else 0.0) for p, w in enumerate(notice.split(" ")) if w in asked]
+    return rows
 
 
 def _word_offset(notice: str, phrase: str) -> int:
@@ -102,21 +119,17 @@ def scan_licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # One row per word of the templates.
     counted = scanned.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("files")).collect()
     n_files, files = scanned.count(), dict(counted)
-    rarity = spark.createDataFrame(
-        [(w, float(_idf(n_files, files.get(w, 0)))) for w in vocabulary], "word string, idf double"
-    )
-    suspects = scanned.filter(F.arrays_overlap("present", F.lit(_keys()))).select("doc_id", "text_hash", "present").distinct()
-    idf = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, float(_idf(n_files, files.get(w, 0))))))
+    idf = {w: float(_idf(n_files, files.get(w, 0))) for w in vocabulary}
+    chosen = _looked_up(idf, top, votes)
+    suspects = scanned.filter(F.arrays_overlap("present", F.lit(_keys()))).select("doc_id", "text_hash").distinct()
     same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("doc_id", "text_hash")]
     suspects = stage(suspects, "suspects")
     small = suspects.count() <= 1_000_000
     texts = keyed.alias("t").join(F.broadcast(suspects).alias("s") if small else suspects.alias("s"), same)
-    rows = texts.select("t.doc_id", "t.text_hash", "s.present", words(F.col("t.text")).alias("words")).distinct()
-    rarest = F.slice(
-        F.array_sort(F.transform("present", lambda w: F.struct((-F.element_at(idf, w)).alias("less"), w.alias("word")))), 1, top
-    )["word"]
+    rows = texts.select("t.doc_id", "t.text_hash", words(F.col("t.text")).alias("words")).distinct()
+    asked = sorted({word for _, _, word, _, _ in chosen})
     votes_of = F.filter(
-        F.transform("words", lambda w, i: F.when(F.array_contains(rarest, w), F.struct(w.alias("word"), i.alias("place")))),
+        F.transform("words", lambda w, i: F.when(w.isin(asked), F.struct(w.alias("word"), i.alias("place")))),
         lambda vote: vote.isNotNull(),
     )
     phrases = sorted({phrase for _, _, chosen in TEMPLATES for phrase in chosen})
@@ -124,23 +137,22 @@ def scan_licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     standing = F.concat(*(_marked(F.col("words"), phrase, "phrase", k) for k, phrase in enumerate(phrases)))
     looked_up = stage(
         rows.select(
-            "doc_id", "text_hash", base.alias("base"), standing.alias("standing"), votes_of.alias("votes"), rarest.alias("rarest")
+            "doc_id", "text_hash", base.alias("base"), standing.alias("standing"), votes_of.alias("votes")
         ),
         "looked_up",
     )
-    postings = _postings(spark).join(F.broadcast(rarity), "word")
+    postings = spark.createDataFrame(chosen, "template int, label string, word string, position int, weight double")
     voted = (
-        looked_up.select("doc_id", "text_hash", "standing", "rarest", F.inline("votes"))
+        looked_up.select("doc_id", "text_hash", "standing", F.inline("votes"))
         .join(F.broadcast(postings), "word")
         .withColumn("begin", F.col("place") - F.col("position"))
         .groupBy("doc_id", "text_hash", "template", "label", "begin")
-        .agg(F.collect_set(F.struct("word", "idf")).alias("words"), F.first("standing").alias("standing"), F.first("rarest").alias("rarest"))
+        .agg(F.collect_set(F.struct("word", "weight")).alias("words"), F.first("standing").alias("standing"))
     )
-    needed = F.create_map(*(F.lit(x) for t, (_, notice, _) in enumerate(TEMPLATES) for x in (t, min(votes, len(set(notice.split(" ")))))))
+    needed = F.create_map(*(F.lit(x) for t, n in enumerate(_words_needed(votes)) for x in (t, n)))
     verified = voted.filter((F.size("words") >= F.element_at(needed, F.col("template"))) & _verified(phrases))
-    gained = F.aggregate(F.col("words")["idf"], F.lit(0.0), lambda a, b: a + b)
-    weights = _weights(spark).join(F.broadcast(rarity), "word").groupBy("template").agg(F.sort_array(F.collect_list("idf"), asc=False).alias("idfs"))
-    most = weights.select("template", F.aggregate(F.slice("idfs", 1, top), F.lit(0.0), lambda a, b: a + b).alias("most"))
+    gained = F.aggregate(F.col("words")["weight"], F.lit(0.0), lambda a, b: a + b)
+    most = postings.select("template", "word", "weight").distinct().groupBy("template").agg(F.sum("weight").alias("most"))
     labelled = (
         verified.join(F.broadcast(most), "template")
         .withColumn("share", F.least(F.lit(1.0), gained / F.col("most")))
@@ -172,11 +184,6 @@ def _idf(n_files: int, with_word: int) -> float:
     return math.log((n_files + 1) / (with_word + 1)) + 1e-6
 
 
-def _weights(spark: SparkSession) -> DataFrame:
-    rows = [(t, w) for t, (_, notice, _) in enumerate(TEMPLATES) for w in sorted(set(notice.split(" ")))]
-    return spark.createDataFrame(rows, "template int, word string")
-
-
 def _verified(phrases: list[str]) -> Column:
     """Whether every key phrase of the template stands at its place behind ``begin``."""
     number = {phrase: k for k, phrase in enumerate(phrases)}

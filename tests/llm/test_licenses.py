@@ -41,3 +41,23 @@ def test_notices_and_base_phrases(table):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string, labels int")).count() == 0
+
+
+def test_every_notice_of_a_file_is_found(table):
+    notices = [
+        "Subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under CC BY 4.0.",
+        "All rights reserved.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    ]
+    wanted = ["bsd", "cc-by-4.0", "mpl-2.0", "reserved"]
+    ordinary = "a person obtaining a binary domain may modify the attribution noncommercial redistribution unencumbered affero "
+    # Rare words of other notices, alone and out of place; a third of all rows has the same notice.
+    rows = [(i, f"Plain text {i}.") for i in range(20)] + [(100 + i, f"Text {i}. {notices[2]}") for i in range(12)]
+    rows += [(500, " and ".join(notices)), (501, ordinary * 50 + "x. " + notices[1] + " " + ordinary + notices[2])]
+    got = {r.doc_id: r for r in scan_licenses(table(rows)).collect()}
+    assert got[500]["labels"] == wanted
+    assert got[501]["labels"] == ["cc-by-4.0", "reserved"]
+    assert all(got[100 + i]["labels"] == ["reserved"] for i in range(12))
+    assert all(got[i]["labels"] == [] for i in range(20))
+    assert all(r.score <= 1 for r in got.values())
