@@ -6,8 +6,9 @@ every page, form an equivalence class; vectors are compared by the exclusive or
 hashes of (page, count).  The class of the page body is the outer template; from the
 body, the template is followed inwards through elements of that class as long as one of
 them holds most of the text that differs between pages.  What is left is the slot of the
-article: its blocks are kept but for nested classes of menus, adverts and the like, by
-their element and name, and for slots that say the same on all pages.
+article: its blocks are kept but for menus, footers and the like by their element, for
+named slots that say one and the same on different pages, and for elements with a name
+of adverts, comments and the like as long as most of the varying text lies elsewhere.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import html as entities
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -32,33 +33,45 @@ _SLICE_BYTES = 4 << 20
 MAX_BROADCAST = 100_000
 # Share of the varying text that an element needs for the template to be followed into it.
 MOST = 0.5
-# A slot on this many pages or more is constant if it has few different texts for its places.
+# A slot is constant if it has one single text on this many different pages or more.
 CONSTANT_PAGES = 10
-CONSTANT_SHARE = 0.02
+# An element is not left out for its name if it has more than this share of its group's text.
+NAMED_MOST = 0.8
+# Ends the step of an element in a path that has such a name.
+_NAMED = "!"
 
 # Elements by their role in the standard.
 _BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption header footer nav aside form fieldset address details summary hr center".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Blocks that are the article's own if they have no name and stand beside its varying text.
+_PLAIN = re.compile(r"/(?:p|h[1-6]|li|dt|dd|t[dh]|caption|figcaption|pre|blockquote)$")
 _RAW = frozenset("script style noscript template svg math iframe textarea select button option object title head".split())
 _LEFT_OUT = frozenset("nav footer aside form".split())
 _CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_NAMES_LEFT_OUT = re.compile(
+_NAMES = (
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|discussion|footer|gdpr|"
-    r"header|legal|login|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|"
+    r"%slegal|login|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|"
     r"social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])"
 )
+_NAMES_LEFT_OUT = re.compile(_NAMES % "header|")
+# Inside an article, and for headings, a header is that of the article.
+_NAMES_INSIDE = re.compile(_NAMES % "")
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/]?[A-Za-z!?/](?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>|\Z)|<\Z", re.S)
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
 _NAME = re.compile(r"""\s(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _ROOT = "/html/body"
 # Columns that the joined pages need.
-_OWN = ("_group", "_region", "_constant")
+_OWN = ("_group", "_region", "_constant", "_named")
 
 
 def blocks_of(html: str) -> Iterator[tuple[str, bool, str]]:
-    """(path, left out, text) of all blocks in order, and with empty text each opened element."""
+    """(path, left out, text) of all blocks in order, and with empty text each opened element.
+
+    Steps of elements with a name of menus, adverts and the like end with ``_NAMED``.
+    """
     stack: list[tuple[str, str, bool]] = []
     words: list[str] = []
     place, n = 0, len(html)
@@ -113,9 +126,13 @@ def blocks_of(html: str) -> Iterator[tuple[str, bool, str]]:
             path, out = here()
             label = " ".join(a or b or c for a, b, c in _NAME.findall(found)).lower()
             first = re.sub(r"\d+", "0", label.split()[0]) if label.split() else ""
-            path = f"{path}/{name}" + (f".{first}" if first and name not in ("html", "body") else "")
             inside = any(tag_ in ("article", "main") for tag_, _, _ in stack)
-            out = out or name in _LEFT_OUT or (name == "header" and not inside) or bool(label and _NAMES_LEFT_OUT.search(label) and name not in ("html", "body", "main"))
+            first = first.replace("/", "").replace(_NAMED, "")
+            path = f"{path}/{name}" + (f".{first}" if first and name not in ("html", "body") else "")
+            listed = _NAMES_INSIDE if inside or name in _HEADINGS else _NAMES_LEFT_OUT
+            if label and name not in ("html", "body", "main") and listed.search(label):
+                path += _NAMED
+            out = out or name in _LEFT_OUT or (name == "header" and not inside)
             if name != "hr":
                 stack.append((name, path, out))
                 yield path, out, ""
@@ -137,7 +154,7 @@ def _group(url: str | None, blocks: Sequence[tuple[str, bool, str]]) -> int:
 
 
 def _tokens(df: DataFrame, url: str, html: str) -> DataFrame:
-    """(group, page, path, left_out, n, text, chars): the elements and texts of every page."""
+    """(group, page, words, path, left_out, n, text, chars): the elements and texts of every page; pages of the same texts have the same ``words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,43 +164,67 @@ def _tokens(df: DataFrame, url: str, html: str) -> DataFrame:
                     blocks = list(blocks_of(value or ""))
                     group, page = _group(link, blocks), uuid.uuid4().int >> 65
                     counts = Counter((p, out, xxhash.xxh64_intdigest(t.encode()) >> 1 if t else None, len(t)) for p, out, t in blocks)
-                    rows += [(group, page, p, out, c, t, size) for (p, out, t, size), c in counts.items()]
-                columns = list(zip(*rows)) if rows else [()] * 7
+                    shown = sorted(t for (_, out, t, _) in counts if t is not None and not out)
+                    words = xxhash.xxh64_intdigest(repr(shown)) >> 1
+                    rows += [(group, page, words, p, out, c, t, size) for (p, out, t, size), c in counts.items()]
+                columns = list(zip(*rows)) if rows else [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     arrow = pa.schema(
-        [("group", pa.int64()), ("page", pa.int64()), ("path", pa.string()), ("left_out", pa.bool_()), ("n", pa.int64()), ("text", pa.int64()), ("chars", pa.int64())]
+        [("group", pa.int64()), ("page", pa.int64()), ("words", pa.int64()), ("path", pa.string()), ("left_out", pa.bool_()), ("n", pa.int64()), ("text", pa.int64()), ("chars", pa.int64())]
     )
-    return df.select(url, html).mapInArrow(run, "group long, page long, path string, left_out boolean, n long, text long, chars long")
+    return df.select(url, html).mapInArrow(run, "group long, page long, words long, path string, left_out boolean, n long, text long, chars long")
 
 
-def _template(slots: pa.Table) -> pa.Table:
-    """Where the article lies on the pages of a group, and the slots there that never change."""
-    rows = {r["path"]: r for r in slots.to_pylist()}
-    outer = (rows.get(_ROOT) or {}).get("vector")
+def _named_roots(path: str) -> list[str]:
+    """The elements on a path that have a listed name, the outermost first."""
+    steps = path.split("/")
+    return ["/".join(steps[: i + 1]) for i, step in enumerate(steps) if step.endswith(_NAMED)]
+
 
-    def mass(path: str) -> int:
-        return sum(r["mass"] or 0 for p, r in rows.items() if not r["left_out"] and (p == path or p.startswith(path + "/")))
+def _is_article(root: str) -> bool:
+    """Whether a named element is an article in no other one; its page decides about it."""
+    *above, last = (re.match(r"[a-z0-9]*", step).group() for step in root.split("/"))
+    return last == "article" and not {"article", "main"} & set(above)
 
-    here = _ROOT if _ROOT in rows else ""
+
+def _template(slots: pa.Table) -> pa.Table:
+    """Where the article lies on the pages of a group, the slots there that never change, and the named elements to keep."""
+    rows = {(r["path"], r["left_out"]): r for r in slots.to_pylist()}
+    shown = {p: r for (p, out), r in rows.items() if not out}
+    outer = (shown.get(_ROOT) or {}).get("vector")
+
+    def mass(path: str, paths: Iterable[str]) -> int:
+        return sum(shown[p]["mass"] or 0 for p in paths if p == path or p.startswith(path + "/"))
+
+    whole = sum(r["mass"] or 0 for r in shown.values())
+    roots = {root for p in shown for root in _named_roots(p)}
+    named = {root for root in roots if _is_article(root) or mass(root, shown) > NAMED_MOST * whole}
+    inside = [p for p in shown if all(root in named for root in _named_roots(p))]
+    here = _ROOT if _ROOT in shown else ""
     while True:
-        inner = [p for p, r in rows.items() if p.rpartition("/")[0] == here and not r["left_out"]]
+        inner = [p for p in inside if p.rpartition("/")[0] == here]
         # Only elements that come once wherever the body does belong to the outer template.
-        once = [p for p in inner if rows[p]["vector"] == outer and outer is not None]
-        best = max(once, key=lambda p: (mass(p), p), default=None)
-        if best is None or best.rpartition("/")[2].startswith(("p", "h")) or mass(best) <= MOST * mass(here):
+        once = [p for p in inner if shown[p]["vector"] == outer and outer is not None]
+        best = max(once, key=lambda p: (mass(p, inside), p), default=None)
+        if best is None or best.rpartition("/")[2].startswith(("p", "h")) or mass(best, inside) <= MOST * mass(here, inside):
             break
         here = best
+    varying = {p.rpartition("/")[0] for p in inside if (shown[p]["texts"] or 0) > 1}
     constant = [
         p
-        for p, r in rows.items()
-        if (r["pages"] or 0) >= CONSTANT_PAGES and r["places"] and r["texts"] <= max(1, CONSTANT_SHARE * r["places"]) and p.startswith(here + "/")
+        for p in inside
+        if (shown[p]["pages"] or 0) >= CONSTANT_PAGES
+        and shown[p]["texts"] == 1
+        and p.startswith(here + "/")
+        and not (_PLAIN.search(p) and p.rpartition("/")[0] in varying)
     ]
-    return pa.table({"group": slots["group"][:1], "region": pa.array([here]), "constant": pa.array(["\n".join(sorted(constant))])})
+    lists = [pa.array(["\n".join(sorted(paths))]) for paths in (constant, named)]
+    return pa.table({"group": slots["group"][:1], "region": pa.array([here]), "constant": lists[0], "named": lists[1]})
 
 
 def find_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(group, region, constant): the template of every group of pages.
+    """(group, region, constant, named): the template of every group of pages.
 
     The tokens of a page are counted there and meet as sums; one task gets the paths of a
     group, not its pages.
@@ -192,12 +233,12 @@ def find_templates(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     elements = (
         tokens.filter("text IS NULL")
         .groupBy("group", "path", "left_out")
-        .agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"))
+        .agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count_distinct("words").alias("pages"))
     )
-    texts = tokens.filter("text IS NOT NULL").groupBy("group", "path", "text").agg(F.max("chars").alias("chars"), F.sum("n").alias("places"))
-    slots = texts.groupBy("group", "path").agg(F.sum("chars").alias("mass"), F.count("*").alias("texts"), F.sum("places").alias("places"))
-    joined = elements.join(slots, ["group", "path"], "left")
-    schema = "group long, region string, constant string"
+    texts = tokens.filter("text IS NOT NULL").groupBy("group", "path", "left_out", "text").agg(F.max("chars").alias("chars"))
+    slots = texts.groupBy("group", "path", "left_out").agg(F.sum("chars").alias("mass"), F.count("*").alias("texts"))
+    joined = elements.join(slots, ["group", "path", "left_out"], "left")
+    schema = "group long, region string, constant string, named string"
     return stage(joined.groupBy("group").applyInArrow(_template, schema), "templates")
 
 
@@ -227,24 +268,36 @@ def extract_main_text(
     numbered = pages.select(*dict.fromkeys([*names, url, html])).mapInArrow(
         number, result_schema(pages.select(*dict.fromkeys([*names, url, html])), StructType([StructField("_group", LongType())]))
     )
-    known = templates.withColumnsRenamed({"group": "_group", "region": "_region", "constant": "_constant"})
+    known = templates.withColumnsRenamed({"group": "_group", "region": "_region", "constant": "_constant", "named": "_named"})
     known = F.broadcast(known) if templates.count() <= MAX_BROADCAST else known
     placed = numbered.join(known, "_group", "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, html, _SLICE_BYTES):
-                column = {n: part.column(part.schema.get_field_index(n)).to_pylist() for n in (html, "_region", "_constant")}
-                found = [_main(*row) for row in zip(column[html], column["_region"], column["_constant"])]
+                column = {n: part.column(part.schema.get_field_index(n)).to_pylist() for n in (html, *_OWN[1:])}
+                found = [_main(*row) for row in zip(column[html], *(column[n] for n in _OWN[1:]))]
                 yield with_results(part.select(names), {text: pa.array(found, pa.string())})
 
     return placed.mapInArrow(read, result_schema(pages.select(*names), StructType([StructField(text, StringType())])))
 
 
-def _main(html: str | None, region: str | None, constant: str | None) -> str:
-    region, never_change = region or "", {p for p in (constant or "").split("\n") if p}
+def _main(html: str | None, region: str | None, constant: str | None, named: str | None) -> str:
+    region, never_change, kept = region or "", {p for p in (constant or "").split("\n") if p}, set((named or "").split("\n"))
+    found = [
+        (path, text)
+        for path, out, text in blocks_of(html or "")
+        if text and not out and path not in never_change and all(root in kept for root in _named_roots(path))
+    ]
+    whole = sum(len(text) for _, text in found)
+    # An article with a listed name is left out where most of its page is elsewhere.
+    small = [
+        root
+        for root in {root for path, _ in found for root in _named_roots(path) if _is_article(root)}
+        if sum(len(text) for path, text in found if path == root or path.startswith(root + "/")) <= MOST * whole
+    ]
     return "\n".join(
         text
-        for path, out, text in blocks_of(html or "")
-        if text and not out and (path == region or path.startswith(region + "/")) and path not in never_change
+        for path, text in found
+        if (path == region or path.startswith(region + "/")) and not any(root in small for root in _named_roots(path))
     )

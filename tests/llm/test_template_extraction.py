@@ -49,3 +49,47 @@ def test_blocks_and_hosts():
     found = [(p, t) for p, out, t in blocks_of("<body><p>a<p>b<ul><li>c<li>d</ul>e<script>x</script><") if t and not out]
     assert found == [("/body/p", "a"), ("/body/p", "b"), ("/body/ul/li", "c"), ("/body/ul/li", "d"), ("/body", "e")]
     assert host_of("HTTP://User@Ex.Com:80/p") == "ex.com" and host_of(None) == host_of("http://[x") == ""
+
+
+SCHEMA = "page_id long, url string, html string"
+
+
+def texts_of(spark, rows):
+    got = extract_main_text(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def test_copies_and_small_vocabularies_keep_their_texts(spark):
+    articles = [(f"Title {i}", prose(30), prose(25)) for i in range(20)]
+    rows, wanted = [], {}
+    for i in range(1000):
+        title, first, second = articles[i % 20]
+        rows.append((i, "http://copies.example/", f"<body><nav>Menu</nav><article><h1>{title}</h1><p>{first}<p>{second}</article>"))
+        wanted[i] = f"{title}\n{first}\n{second}"
+        rows.append((1000 + i, "http://one.example/", f"<body><article><h1>Only title</h1><p>{articles[0][1]}</article>"))
+        wanted[1000 + i] = f"Only title\n{articles[0][1]}"
+    for i in range(300):
+        text, told = prose(30), ("Yes", "No")[i % 2]
+        html = f"<body><div id=content><h2>Background</h2><p>{text}</p><h3>{told}</h3><div class=motto>Same words</div></div>"
+        rows.append((3000 + i, "http://few.example/", html))
+        wanted[3000 + i] = f"Background\n{text}\n{told}"
+    assert texts_of(spark, rows) == wanted
+
+
+def test_names_do_not_remove_the_article(spark):
+    rows, wanted = [], {}
+    shapes = [
+        "<article><header class='entry-header'><h1>{t}</h1></header><p>{p}</p>{c}</article>",
+        "<article><div class='post-header'><h1>{t}</h1></div><p>{p}</p>{c}</article>",
+        "<div id=content><h1 class='page-header'>{t}</h1><p>{p}</p>{c}</div>",
+        "<article class='legal'><h1>{t}</h1><p>{p}</p>{c}</article>",
+        "<div id='discussion'><h1>{t}</h1><p>{p}</p></div>{c}",
+        "<div><article class='widget'><h1>{t}</h1><p>{p}</p></article></div>{c}",
+    ]
+    for k, shape in enumerate(shapes):
+        for i in range(12):
+            title, text = f"Title {i}", prose(60)
+            body = shape.format(t=title, p=text, c=f"<div class='comments'><p>{prose(8)}</p></div>")
+            rows.append((100 * k + i, f"http://h{k}.example/", f"<body><nav>Menu</nav>{body}<footer>x</footer>"))
+            wanted[100 * k + i] = f"{title}\n{text}"
+    assert texts_of(spark, rows) == wanted
