@@ -11,8 +11,9 @@ so an arc weighs log10 p(w | h) and a failure arc log10(strength / (c(h) + stren
 At the root, p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
 
 No task holds the whole automaton.  Documents lie in blocks; each block asks for the
-counts of the n-grams in its own texts, gets back those that other blocks add to, and
-walks its texts from left to right over the part of the automaton they can reach.
+counts of the n-grams in its own texts and gets back those that other blocks add to.
+States and arcs are not built: the formula is evaluated directly, order by order over
+arrays of all tokens of a block, which gives the scores of a walk from left to right.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def _counted(tokens: _Tokens, training: np.ndarray, n: int) -> tuple[np.ndarray,
 def walked(
     tokens: _Tokens, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray, strength: float
 ) -> np.ndarray:
-    """Log10 probability of every token on one pass through the automaton.
+    """Log10 probability of every token, as a walk through the automaton would give it, order by order.
 
     ``tables`` has, for every n, the last places of the n-grams, their numbers and the
     counts by number.  The state before a token is its longest known history.  Weights
