@@ -30,6 +30,12 @@ def folded_words(text: Column) -> Column:
     return _split(folded(text))
 
 
+def spaced_words(text: Column) -> Column:
+    """Words between ASCII white space, unchanged; none for null."""
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
+
+
 def runs(n: Column, length: int, step: int = 1) -> Column:
     """Starts from 0, in steps, of runs of ``length`` among ``n`` words."""
     none = F.array().cast("array<int>")

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gradeloom.llm.backoff_lm import score_texts
 from gradeloom.llm.byte_bpe import decode, encode
 from gradeloom.llm.decontamination import find_benchmark_passages
+from gradeloom.llm.filter_audit import audit_filters, count_failures, failure_rows
 from gradeloom.llm.language_id import identify_language, train_language_model
 from gradeloom.llm.licenses import scan_licenses
+from gradeloom.llm.native_words import spaced_words
 from gradeloom.llm.quality_rules import apply_cutoffs, choose_cutoffs, measure_quality
 from gradeloom.llm.simhash import hex_fingerprint, near_duplicate_groups
 from gradeloom.llm.substring_dedup import remove_repeated_passages
@@ -147,6 +149,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", _sha256("kept").alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    worded = documents.withColumn("words", spaced_words(text))
+    n_words, n_chars = F.size("words"), F.length(text)
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
+    failures = [
+        n_words < 100,
+        100 * F.size(F.array_distinct("words")) < 80 * n_words,
+        100 * capitals.cast("long") > 10 * n_chars.cast("long"),
+        text.rlike("[#$%&*|]"),
+    ]
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id")
+    labels = labels.agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    rows = failure_rows(worded, failures).join(labels, "doc_id", "left")
+    counts = count_failures(rows, ["good", "toxic"], copies=len(failures))
+    # A few dozen rows per part, read three times.
+    return audit_filters(stage(counts, "failures"), "ABCDE", {"good": "good_lost", "toxic": "toxic_lost"})
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -158,4 +180,5 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
