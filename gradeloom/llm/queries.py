@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gradeloom.llm.backoff_lm import score_texts
 from gradeloom.llm.byte_bpe import decode, encode
 from gradeloom.llm.decontamination import find_benchmark_passages
+from gradeloom.llm.fingerprints import edited_texts, hex_digits, likeness
 from gradeloom.llm.filter_audit import audit_filters, count_failures, failure_rows
 from gradeloom.llm.language_id import identify_language, train_language_model
 from gradeloom.llm.licenses import scan_licenses
-from gradeloom.llm.native_words import spaced_words
+from gradeloom.llm.native_words import LOWER, UPPER, spaced_words
 from gradeloom.llm.quality_rules import apply_cutoffs, choose_cutoffs, measure_quality
 from gradeloom.llm.simhash import hex_fingerprint, near_duplicate_groups
+from gradeloom.llm.spelling import spelling_variants
 from gradeloom.llm.substring_dedup import remove_repeated_passages
-
 from gradeloom.llm.template_extraction import extract_main_text
 from gradeloom.llm.toxicity import ToxicityModel, class_prior, score_toxicity, train_toxicity
 from gradeloom.staging import stage
@@ -169,6 +170,34 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(stage(counts, "failures"), "ABCDE", {"good": "good_lost", "toxic": "toxic_lost"})
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    # Runs below seven code points only get shorter.
+    runs = F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]{7,}"), F.lit(0))
+    lowered = F.translate("run", UPPER, LOWER).alias("run")
+    found = documents.select("doc_id", F.explode(runs).alias("run")).select("doc_id", lowered)
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    hashed = found.select("run", F.crc32(name.cast("binary")).alias("h"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    spelled = hashed.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+    counted = spelled.filter(F.length("word") >= 7).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling_variants(counted.filter("n >= 2")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        _sha256("edited").alias("edited_sha256"),
+        hex_digits("fingerprint").alias("fingerprint"),
+        hex_digits("edited_fingerprint").alias("edited_fingerprint"),
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -181,4 +210,6 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_spelling": op12_spelling,
+    "op13_fingerprints": op13_fingerprints,
 }

@@ -33,4 +33,4 @@ def test_columns_and_rows(spark, sf_dir, key):
 
 def test_all_are_registered():
     assert driver.queries().items() >= QUERIES.items() and "pipeline" in driver.queries()
-    assert sorted(int(key[2:].split("_")[0]) for key in QUERIES) == list(range(1, 12))
+    assert sorted(int(key[2:].split("_")[0]) for key in QUERIES) == list(range(1, 14))
