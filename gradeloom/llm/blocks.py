@@ -8,6 +8,8 @@ bucket with the sorted keys it has there.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,6 +24,8 @@ from gradeloom.staging import stage
 
 BLOCK = "_block"
 BLOCK_BYTES = 4 << 20
+# Text whose keys share a bucket, which one task holds at a time.
+BUCKET_BYTES = 16 << 20
 
 
 def staged_blocks(df: DataFrame, text: str = "text", max_bytes: int | None = None, pack: bool = False) -> DataFrame:
@@ -71,9 +75,10 @@ def parts_of_blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int
                 yield int(blocks[begin]), part
 
 
-def bucket_bits(df: DataFrame) -> int:
-    """Bits of a key that choose its bucket: as many buckets as shuffle partitions or more."""
-    return max(4, (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+def bucket_bits(blocks: DataFrame, max_bytes: int | None = None) -> int:
+    """Bits of a key that choose its bucket, one for about ``BUCKET_BYTES`` of the text in all blocks, whatever its size."""
+    n = blocks.select(BLOCK).distinct().count()
+    return max(4, (n * (BLOCK_BYTES if max_bytes is None else max_bytes) // BUCKET_BYTES).bit_length())
 
 
 def cut(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
@@ -107,6 +112,15 @@ def answered(
     return rows.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(both, schema)
 
 
+def give_back() -> None:
+    """Return the memory that a finished task no longer needs: Python workers live on and wait for the next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def with_results(batch: pa.RecordBatch, results: dict[str, pa.Array]) -> pa.RecordBatch:
     """``batch`` with columns added; they take the place of columns of the same name."""
     kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in results]

@@ -11,7 +11,7 @@ length of its pre-tokens.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from gradeloom.llm.blocks import result_schema, with_results
+from gradeloom.llm.blocks import give_back, result_schema, with_results
 from gradeloom.llm.words import slices, text_bytes
 
 # Text whose distinct pre-tokens are merged together, and text of one batch that goes out.
@@ -141,11 +141,11 @@ class Vocabulary:
         """Tokens of the pre-tokens ``data[edges[i]:edges[i + 1]]`` one after another, and where each begins."""
         n = len(data)
         symbol = self.of_byte[data]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         filled = edges[:-1][np.diff(edges) > 0]
         before[filled] = -1
         after[edges[1:][np.diff(edges) > 0] - 1] = n
-        owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        owner = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
         pair = np.full(n + 1, _NONE, np.int32)
         inner = np.flatnonzero(after < n)
         pair[inner] = self.rank_of_pair(symbol[inner], symbol[inner + 1])
@@ -197,6 +197,11 @@ class Vocabulary:
             raise ValueError("an id is not in the vocabulary")
         return self.bytes[_ranges(self.begins[ids], self.lengths[ids])]
 
+    def decode_lists(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of every list of ids, which end at ``ends`` (with a 0 in front)."""
+        edges = ends.tolist()
+        return pa.array([self.decode(ids[a:b]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+
 
 def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range after another."""
@@ -204,54 +209,61 @@ def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begins - before, lengths) + np.arange(int(lengths.sum()))
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
-def _vocabulary(path: str, ranks: dict[bytes, int]) -> Vocabulary:
-    """Tables of the vocabulary read from ``path``, made once in each Python worker."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = Vocabulary(ranks)
-    return _LOADED[path]
-
-
 def encode(
-    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    keep: Sequence[str] | None = None,
+    decoded: str | None = None,
 ) -> DataFrame:
     """``keep`` columns (all by default) and the token ids of the text.
 
     ``pattern`` cuts a text into pre-tokens, which are merged one by one; there are no
-    special tokens.  The rank file is read by the driver; its size is that of one
-    vocabulary.  Null and empty texts have no tokens.  Repeated rows are encoded alike.
-    A column named ``ids`` is replaced.  An empty table gives an empty result.
+    special tokens.  With ``decoded``, a column of that name has the bytes that the ids stand
+    for, as :func:`decode` gives them, from the same pass.  The driver reads the rank file and
+    sends the tables of one vocabulary.  Null and empty texts have no tokens.  Repeated rows
+    are encoded alike.  Columns with the names of added ones are replaced.  An empty table
+    gives an empty result.
     """
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(ranks_path)))
     names = list(df.columns if keep is None else keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pieces_of = _vocabulary(ranks_path, shared.value), regex.compile(pattern).findall
+        vocabulary, pieces_of = shared.value, regex.compile(pattern).findall
         for batch in batches:
             for part in slices(batch, text, BATCH_BYTES):
-                number: dict[str, int] = {}
-                used = [
-                    np.array([number.setdefault(piece, len(number)) for piece in pieces_of(value)] if value else [], np.int32)
-                    for value in part.column(part.schema.get_field_index(text)).to_pylist()
-                ]
-                data, edges = text_bytes(pa.array(list(number), pa.string()))
-                del number
-                tokens, begins = vocabulary.merge(data, edges)
-                sizes = np.diff(begins)
-                row = 0
-                for out in slices(part, text, OUT_BYTES):
-                    own = used[row : row + out.num_rows]
-                    row += out.num_rows
-                    pieces = np.concatenate(own)
-                    flat = tokens[_ranges(begins[pieces], sizes[pieces])]
-                    ends = np.concatenate([[0], np.cumsum(sizes[pieces])])[np.cumsum([0, *map(len, own)])]
-                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
-                    yield with_results(out.select(names), {ids: lists})
-
-    return df.mapInArrow(run, result_schema(df.select(*names), StructType([StructField(ids, ArrayType(IntegerType()))])))
+                yield from encoded(part, vocabulary, pieces_of)
+        give_back()
+
+    def encoded(part: pa.RecordBatch, vocabulary: Vocabulary, pieces_of: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, int] = {}
+        used = [
+            np.array([number.setdefault(piece, len(number)) for piece in pieces_of(value)] if value else [], np.int32)
+            for value in part.column(part.schema.get_field_index(text)).to_pylist()
+        ]
+        data, edges = text_bytes(pa.array(list(number), pa.string()))
+        del number
+        tokens, begins = vocabulary.merge(data, edges)
+        sizes = np.diff(begins)
+        row = 0
+        for out in slices(part, text, OUT_BYTES):
+            own = used[row : row + out.num_rows]
+            row += out.num_rows
+            pieces = np.concatenate(own)
+            flat = tokens[_ranges(begins[pieces], sizes[pieces])]
+            ends = np.concatenate([[0], np.cumsum(sizes[pieces])])[np.cumsum([0, *map(len, own)])]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
+            results = {ids: lists}
+            if decoded is not None:
+                results[decoded] = vocabulary.decode_lists(flat, ends)
+            yield with_results(out.select(names), results)
+
+    added = [StructField(ids, ArrayType(IntegerType()))]
+    if decoded is not None:
+        added.append(StructField(decoded, BinaryType()))
+    return df.mapInArrow(run, result_schema(df.select(*names), StructType(added)))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -259,18 +271,15 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
 
     Unknown ids fail.  A column named ``decoded`` is replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(ranks_path, shared.value)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            edges = np.concatenate([[0], np.cumsum(sizes)])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            values = []
-            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                values.append(vocabulary.decode(flat[begin:end]).tobytes())
-            yield with_results(batch, {decoded: pa.array(values, pa.binary())})
+            yield with_results(batch, {decoded: shared.value.decode_lists(flat, ends)})
+        give_back()
 
     return df.mapInArrow(run, result_schema(df, StructType([StructField(decoded, BinaryType())])))

@@ -203,7 +203,9 @@ def train_language_model(
     """
     usable = df.select(key, lang, text).filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
     keys = usable.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(max_texts)
-    drawn = usable.join(F.broadcast(keys), key, "left_semi")
+    # Of rows that share a drawn key, that of the least hash, so that the sample has its bound.
+    least = F.min_by(F.struct(lang, text), F.struct(F.xxhash64(text), F.col(lang)))
+    drawn = usable.join(F.broadcast(keys), key, "left_semi").groupBy(key).agg(least.alias("row")).select(key, "row.*")
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

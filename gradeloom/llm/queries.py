@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.llm.backoff_lm import score_texts
-from gradeloom.llm.byte_bpe import decode, encode
+from gradeloom.llm.byte_bpe import encode
 from gradeloom.llm.decontamination import find_benchmark_passages
 from gradeloom.llm.fingerprints import edited_texts, hex_digits, likeness
 from gradeloom.llm.filter_audit import audit_filters, count_failures, failure_rows
@@ -60,9 +60,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = stage(counts.withColumn("base_failed", failed), "measured")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # Copies of a text are one trial, and the base rejects its texts before the method does.
-    labelled = measured.filter(~F.col("base_failed")).join(labels, "doc_id").dropDuplicates(["lang", "text_hash"])
-    cutoffs = choose_cutoffs(labelled.withColumn("good", F.col("quality") == 1), "lang", "good")
+    # Copies of a text are one trial, good if any of them is, and the base rejects its texts before the method does.
+    labelled = measured.filter(~F.col("base_failed")).join(labels, "doc_id")
+    good = F.max(F.col("quality") == 1).alias("good")
+    same = [F.first(c).alias(c) for c in measured.columns if c not in ("doc_id", "lang", "text_hash")]
+    cutoffs = choose_cutoffs(labelled.groupBy("lang", "text_hash").agg(good, *same), "lang", "good")
     judged = apply_cutoffs(measured, "lang", cutoffs)
     return judged.select(
         "doc_id",
@@ -135,8 +137,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = decode(encode(documents, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks)
-    return decoded.select(
+    encoded = encode(documents, ranks, public_tokenizers.PATTERN, keep=["doc_id"], decoded="decoded")
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.concat_ws(" ", F.col("ids").cast("array<string>")), "UTF-8"), 256).alias("ids_sha256"),

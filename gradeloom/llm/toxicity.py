@@ -110,8 +110,11 @@ def train_toxicity(
         (_drawn(confirmed, key, max_toxic, f"toxic {seed}"), 1),
         (_drawn(df, key, max_unlabelled, f"unlabelled {seed}"), 0),
     )
+    # Of rows that share a drawn key, that of the least hash, so that the sample has its bound.
+    one = F.min_by(text, F.xxhash64(text)).alias(text)
     toxic, other = (
-        texts.join(F.broadcast(keys), key, "left_semi").withColumn("_toxic", F.lit(label)) for keys, label in drawn
+        texts.join(F.broadcast(keys), key, "left_semi").groupBy(key).agg(one).select(text, F.lit(label).alias("_toxic"))
+        for keys, label in drawn
     )
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
