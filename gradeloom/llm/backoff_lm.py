@@ -11,9 +11,9 @@ so an arc weighs log10 p(w | h) and a failure arc log10(strength / (c(h) + stren
 At the root, p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
 
 No task holds the whole automaton.  Documents lie in blocks; each block asks for the
-counts of the n-grams in its own texts and gets back those that other blocks add to.
-States and arcs are not built: the formula is evaluated directly, order by order over
-arrays of all tokens of a block, which gives the scores of a walk from left to right.
+counts of the n-grams in its own texts and gets back those that other blocks add to.  From
+these it builds the part of the automaton that its texts can reach, and walks through
+it from left to right, all texts together and one token of each per step.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ ADD = 0.1
 STRENGTH = 4.0
 # Larger blocks repeat fewer n-grams; a task holds one block.
 LM_BLOCK_BYTES = 14 << 20
+# Tokens of a text that are walked in one go; longer texts are walked in several pieces at once.
+PIECE = 512
 # The end of a text is a token of its own.
 _END = np.uint64(0x9AE16A3B2F90404F)
 
@@ -88,29 +90,110 @@ def _counted(tokens: _Tokens, training: np.ndarray, n: int) -> tuple[np.ndarray,
     return places, number, own, counts
 
 
-def walked(
-    tokens: _Tokens, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray, strength: float
-) -> np.ndarray:
-    """Log10 probability of every token, as a walk through the automaton would give it, order by order.
+class Automaton:
+    """The states, arcs and failure arcs that the texts of a block can reach.
 
-    ``tables`` has, for every n, the last places of the n-grams, their numbers and the
-    counts by number.  The state before a token is its longest known history.  Weights
-    of arcs and of failure arcs are kept as probabilities until the end.
+    State 0 is the root.  Arcs are sorted by (state, token); ``target`` and ``weight`` are
+    those of each arc, ``failure`` and ``failure_weight`` those of each state.  Tokens
+    that never occur in training leave the root by no arc and come back to it with the
+    weight ``unknown``.
     """
-    weight = root
-    history = np.zeros(len(root))
-    history[tables[0][0]] = tables[0][2][tables[0][1]]
-    for places, number, counts in tables[1:]:
-        seen = counts[number].astype(np.float64)
-        context = history[places - 1]
-        # A history that never occurred is no state: its failure arc is free.
-        state = context > 0
-        arcs = (seen + strength * weight[places]) / (context + strength)
-        weight = weight.copy()
-        weight[places[state]] = arcs[state]
-        history = np.zeros(len(root))
-        history[places] = seen
-    return np.log10(weight)
+
+    def __init__(
+        self,
+        tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
+        root: np.ndarray,
+        unknown: float,
+        strength: float,
+        size: int,
+    ) -> None:
+        """``tables`` has, for every n, the last places of the n-grams, their numbers and the counts
+        by number; ``root`` the probabilities of the tokens by number; texts have ``size`` tokens together."""
+        at = np.full(size, -1)
+        at[tables[0][0]] = tables[0][1]
+        self.tokens, self.unknown = at, np.log10(unknown)
+        n_types = max(1, len(tables[0][2]))
+        states = 1
+        failure, failure_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+        keys, targets, weights = [], [], []
+        # What is known of the n-grams one shorter: their numbers by last place, counts, chances and states.
+        shorter = np.zeros(size, np.int64)
+        shorter_counts, chances, shorter_states = np.ones(1), None, np.zeros(1, np.int64)
+        for n, (places, number, counts) in enumerate(tables, 1):
+            # Any place where an n-gram stands shows what it is made of.
+            shown = np.zeros(len(counts), np.int64)
+            shown[number] = places
+            suffix = shorter[shown] if n > 1 else np.zeros(len(counts), np.int64)
+            history = shorter[shown - 1] if n > 1 else np.zeros(len(counts), np.int64)
+            seen = counts > 0
+            if n == 1:
+                chance = root
+            else:
+                context = shorter_counts[history]
+                # A history that never occurred is no state: its failure arc is free.
+                chance = np.where(context > 0, (counts + strength * chances[suffix]) / (context + strength), chances[suffix])
+            own = np.zeros(len(counts), np.int64)
+            if n < len(tables):
+                own[seen] = states + np.arange(int(seen.sum()))
+                states += int(seen.sum())
+                failure.append(shorter_states[suffix[seen]] if n > 1 else np.zeros(int(seen.sum()), np.int64))
+                failure_weight.append(np.log10(strength / (counts[seen] + strength)))
+                target = own
+            else:
+                # The longest n-grams are no states: their arcs end at their suffixes.
+                target = shorter_states[suffix]
+            keys.append(shorter_states[history][seen] * n_types + at[shown[seen]])
+            targets.append(target[seen])
+            weights.append(np.log10(chance[seen]))
+            shorter = np.full(size, -1)
+            shorter[places] = number
+            shorter_counts, chances, shorter_states = counts.astype(np.float64), chance, own
+        order = np.argsort(key := np.concatenate(keys))
+        self.n_types, self.key = n_types, key[order]
+        self.target, self.weight = np.concatenate(targets)[order], np.concatenate(weights)[order]
+        self.failure, self.failure_weight = np.concatenate(failure), np.concatenate(failure_weight)
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more token each, and the weights of the ways there."""
+        state, weight = state.copy(), np.zeros(len(state))
+        going = np.arange(len(state))
+        while len(going):
+            key = state[going] * self.n_types + token[going]
+            arc = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            there = self.key[arc] == key if len(self.key) else np.zeros(len(going), bool)
+            arc, found = arc[there], going[there]
+            weight[found] += self.weight[arc]
+            state[found] = self.target[arc]
+            going = going[~there]
+            lost = going[state[going] == 0]
+            weight[lost] += self.unknown
+            going = going[state[going] > 0]
+            weight[going] += self.failure_weight[state[going]]
+            state[going] = self.failure[state[going]]
+        return state, weight
+
+    def walk(self, first: np.ndarray, memory: int) -> np.ndarray:
+        """Sum of the weights on the way of each text, whose tokens begin at ``first`` (the last end included).
+
+        The state depends on the last ``memory`` tokens only.  So a long text is walked in pieces, all at
+        once, each of which takes up its state from the tokens before it.
+        """
+        sizes = np.diff(first)
+        pieces = np.maximum(1, -(-sizes // PIECE))
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        begin = first[:-1][text] + PIECE * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        end = np.minimum(begin + PIECE, first[1:][text])
+        start = np.maximum(begin - memory, first[:-1][text])
+        order = np.argsort(start - end, kind="stable")
+        text, begin, end, start = text[order], begin[order], end[order], start[order]
+        state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        for taken in range(int((end - start).max(initial=0))):
+            # Pieces are in order of their length, the longest first.
+            live = int(np.searchsorted(start - end, -taken, "left"))
+            place = start[:live] + taken
+            state[:live], weight = self.step(state[:live], self.tokens[place])
+            total[:live] += np.where(place >= begin[:live], weight, 0.0)
+        return np.bincount(text, weights=total, minlength=len(sizes))
 
 
 def score_texts(
@@ -137,7 +220,7 @@ def score_texts(
     names = list(df.columns if keep is None else keep)
     blocks = staged_blocks(df.select(*dict.fromkeys([*names, text, training])), text, LM_BLOCK_BYTES, pack=True)
     asked_columns = blocks.select(BLOCK, text, training)
-    bits = bucket_bits(df)
+    bits = bucket_bits(blocks, LM_BLOCK_BYTES)
 
     def counts_of(batches: Iterator[pa.RecordBatch], orders: Sequence[int], unseen: bool) -> Iterator[pa.RecordBatch]:
         for block, part in parts_of_blocks(batches, text, LM_BLOCK_BYTES):
@@ -208,19 +291,20 @@ def score_texts(
             for keys, total in news.get(n, ()):
                 counts[np.searchsorted(own, keys)] = total
             tables.append((places, number, counts))
-        known = tables[0][2][tables[0][1]]
-        root = (known + ADD) / (n_tokens + ADD * (n_types + 1))
-        at = tokens.first[:-1]
+        whole = n_tokens + ADD * (n_types + 1)
+        chances = (tables[0][2] + ADD) / whole
+        at, own = tokens.first[:-1], tables[0][1]
+        automaton = Automaton(tables, chances, ADD / whole, strength, len(tokens.hashes))
 
         def per_text(x: np.ndarray) -> np.ndarray:
             return np.add.reduceat(x, at) if len(at) else x[:0]
 
         return {
             "n_tokens": pa.array(np.diff(tokens.first).astype(np.int64)),
-            "n_known": pa.array(per_text((known > 0).astype(np.int64))),
+            "n_known": pa.array(per_text((tables[0][2] > 0)[own].astype(np.int64))),
             "train_tokens": pa.array(np.full(len(at), n_tokens, np.int64)),
-            "base_score": pa.array(per_text(np.log10(root))),
-            "score": pa.array(per_text(walked(tokens, tables, root, strength))),
+            "base_score": pa.array(per_text(np.log10(chances)[own])),
+            "score": pa.array(automaton.walk(tokens.first, order - 1)),
         }
 
     asked = asked_columns.mapInArrow(lambda batches: counts_of(batches, range(1, order + 1), unseen=True), message)

@@ -169,7 +169,7 @@ def remove_repeated_passages(
     blocks = staged_blocks(df, text)
     texts = blocks.select(BLOCK, text)
     sketch = spark.sparkContext.broadcast(_merged_sketch(texts, text, window, anchor, width, depth))
-    bits = bucket_bits(df)
+    bits = bucket_bits(blocks)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, part in parts_of_blocks(batches, text):
