@@ -147,10 +147,45 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, begin, more, lambda x: x["n"])
 
 
-def without_passages(text: Column, hits: Column) -> Column:
-    """The words of ``text`` outside all hits, each with what precedes it in the text."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    tail = F.regexp_extract(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
-    inside = lambda i: F.exists(hits, lambda h: (h["start"] <= i) & (i < h["start"] + h["length"]))
-    kept = F.filter(pieces, lambda piece, i: ~inside(i))
-    return F.concat(F.array_join(kept, ""), tail)
+def merged_spans(hits: Column) -> Column:
+    """Spans (start, end) that cover the same words as ``hits``, apart from each other and in order."""
+    span = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    none = F.lit(-1)
+    begin = F.struct(none.alias("start"), none.alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def more(so_far: Column, hit: Column) -> Column:
+        end = hit["start"] + hit["length"]
+        apart = hit["start"] > so_far["end"]
+        ended = apart & (so_far["end"] >= 0)
+        closed = F.when(ended, F.concat(so_far["spans"], F.array(span(so_far["start"], so_far["end"])))).otherwise(so_far["spans"])
+        start = F.when(apart, hit["start"]).otherwise(so_far["start"])
+        last = F.when(apart, end).otherwise(F.greatest(so_far["end"], end))
+        return F.struct(start.alias("start"), last.alias("end"), closed.alias("spans"))
+
+    last = lambda x: F.concat(x["spans"], F.array(span(x["start"], x["end"])))
+    return F.aggregate(hits, begin, more, lambda x: F.when(x["end"] >= 0, last(x)).otherwise(x["spans"]))
+
+
+def without_passages(df: DataFrame, text: str = "text", hits: str = "hits") -> DataFrame:
+    """Every row, its text without the words of the ``hits``, each of which takes along what precedes it.
+
+    ``hits`` are in order of their starts, as :func:`find_benchmark_passages` gives them; null ones
+    leave the text as it is.  The time grows with the words and with the hits of a text, not
+    with their product.  Columns keep their names, whatever these are.
+    """
+    piece = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    rows = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
+        F.col(text).alias("text"),
+        F.when(F.col(hits).isNotNull(), F.regexp_extract_all(text, F.lit(piece), F.lit(0))).alias("pieces"),
+        F.when(F.col(hits).isNotNull(), merged_spans(F.col(hits))).alias("spans"),
+    )
+    # What stays lies behind each span and before the next.
+    before = F.transform("spans", lambda s, i: F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["end"]))
+    rows = rows.select("*", F.arrays_zip(before.alias("begin"), F.col("spans.start").alias("end")).alias("gaps"))
+    words = lambda begin, end: F.array_join(F.slice("pieces", begin + 1, end - begin), "")
+    inner = F.array_join(F.transform("gaps", lambda gap: words(gap["begin"], gap["end"])), "")
+    rest = words(F.element_at("spans", -1)["end"], F.size("pieces"))
+    tail = F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
+    cut = F.when(F.size("spans") > 0, F.concat(inner, rest, tail)).otherwise(F.col("text"))
+    return rows.select(*((cut if c == text else F.col(f"row.`{c}`")).alias(c) for c in df.columns))

@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gradeloom.llm.blocks import with_results
+from gradeloom.llm.blocks import result_schema, with_results
 from gradeloom.llm.components import components
-from gradeloom.llm.words import mixed, slices, words_of
+from gradeloom.llm.words import slices, words_of
 from gradeloom.staging import stage
 
 SEED = 42
@@ -33,11 +33,8 @@ _CHUNK = 1 << 17
 _SHORT = 16
 
 
-def fingerprints_of(texts: pa.Array, shingle: int, n_words: int = 1) -> np.ndarray:
-    """Fingerprints (text, word) of 64-bit words; a bit is set if it is in over half of the shingles' hashes.
-
-    The first word is that of XXH64, the others of hashes made from it.
-    """
+def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
+    """A fingerprint of each text; a bit is set if it is in over half of the hashes of its shingles."""
     words = words_of(texts, lower=True)
     joined, place = words.joined()
     data = joined.tobytes()
@@ -48,40 +45,33 @@ def fingerprints_of(texts: pa.Array, shingle: int, n_words: int = 1) -> np.ndarr
     text_of = np.repeat(np.arange(len(n)), n)
     begin = words.first[:-1][text_of] + np.arange(len(text_of)) - np.repeat(np.cumsum(n) - n, n)
     end = np.minimum(begin + shingle, words.first[1:][text_of]) - 1
-    bits = np.zeros((len(n), 64 * n_words), np.int64)
+    bits = np.zeros((len(n), 64), np.int64)
     for i in range(0, len(begin), _CHUNK):
         part = slice(i, i + _CHUNK)
         spans = zip(starts_in[begin[part]].tolist(), ends_in[end[part]].tolist())
         hashes = np.array([xxhash.xxh64_intdigest(data[s:e], SEED) for s, e in spans], np.uint64)
-        salts = np.arange(n_words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        wide = np.stack([hashes, *(mixed(hashes ^ salt) for salt in salts[1:])], axis=1)
-        flags = np.unpackbits(wide.astype("<u8").view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little")
+        flags = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
         owners, at = np.unique(text_of[part], return_index=True)
         bits[owners] += np.add.reduceat(flags, at, axis=0, dtype=np.int64)
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    return ((bits * 2 > n[:, None]).reshape(len(n), n_words, 64) * powers).sum(axis=2, dtype=np.uint64)
+    return ((bits * 2 > n[:, None]) * powers).sum(axis=1, dtype=np.uint64)
 
 
-def with_fingerprints(
-    df: DataFrame, text: str = "text", shingle: int = 3, keep: Sequence[str] | None = None, n_words: int = 1
-) -> DataFrame:
+def with_fingerprints(df: DataFrame, text: str = "text", shingle: int = 3, keep: Sequence[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) and ``fingerprint``, 64 bits as a long.
 
     Texts are lower-cased (A-Z); their words are joined by one space.  A text of fewer
-    words than a shingle is one shingle; null and wordless texts have fingerprint 0.  With
-    ``n_words`` above 1 the further words are ``_print1`` and so on.
+    words than a shingle is one shingle; null and wordless texts have fingerprint 0.
     """
     names = list(df.columns if keep is None else keep)
-    added = ["fingerprint", *(f"_print{i}" for i in range(1, n_words))]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, _SLICE_BYTES):
-                found = fingerprints_of(part.column(part.schema.get_field_index(text)), shingle, n_words).view(np.int64)
-                yield with_results(part.select(names), {name: pa.array(found[:, i]) for i, name in enumerate(added)})
+                found = fingerprints_of(part.column(part.schema.get_field_index(text)), shingle).view(np.int64)
+                yield with_results(part.select(names), {"fingerprint": pa.array(found)})
 
-    kept = [f for f in df.select(*names).schema.fields if f.name not in added]
-    return df.mapInArrow(add, StructType([*kept, *(StructField(name, LongType()) for name in added)]))
+    return df.mapInArrow(add, result_schema(df.select(*names), StructType([StructField("fingerprint", LongType())])))
 
 
 def _masks(free: int, pieces: int) -> list[int]:
@@ -96,12 +86,12 @@ def _signed(x: int) -> int:
 
 
 def _near(left: np.ndarray, right: np.ndarray, max_bits: int) -> np.ndarray:
-    """Whether rows of 64-bit words differ in at most ``max_bits`` bits."""
-    return np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) <= max_bits
+    """Whether fingerprints differ in at most ``max_bits`` bits."""
+    return np.bitwise_count(left ^ right) <= max_bits
 
 
 def _forest(prints: np.ndarray, run: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever is connected within each run of a sorted batch of (row, word)."""
+    """Links that connect whatever is connected within each run of a sorted batch."""
     label = np.arange(len(run))
     edges = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     sizes = np.diff(np.append(edges, len(run)))
@@ -137,19 +127,19 @@ def _forest(prints: np.ndarray, run: np.ndarray, max_bits: int) -> tuple[np.ndar
     return linked, label[linked]
 
 
-def _links(keyed: DataFrame, node: str, prints: Sequence[str], max_bits: int) -> DataFrame:
-    """Links (a, b) of nodes within the buckets (mask, value) of ``keyed``."""
+def _links(keyed: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) of fingerprints within the buckets (mask, value) of ``keyed``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["mask", "value", node, *(p for p in prints if p != node)]
+        names = ["mask", "value", "fingerprint"]
         held = {name: np.zeros(0, np.int64) for name in names}
 
         def linked(end: int) -> pa.RecordBatch:
             own = {name: x[:end] for name, x in held.items()}
             new = np.append(True, (own["mask"][1:] != own["mask"][:-1]) | (own["value"][1:] != own["value"][:-1]))
-            words = np.stack([own[p].view(np.uint64) for p in prints], axis=1)
-            a, b = _forest(words, np.cumsum(new), max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(own[node][a]), pa.array(own[node][b])], names=["a", "b"])
+            prints = own["fingerprint"]
+            a, b = _forest(prints.view(np.uint64), np.cumsum(new), max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(prints[a]), pa.array(prints[b])], names=["a", "b"])
 
         for batch in batches:
             held = {name: np.concatenate([x, batch.column(name).to_numpy()]) for name, x in held.items()}
@@ -165,7 +155,7 @@ def _links(keyed: DataFrame, node: str, prints: Sequence[str], max_bits: int) ->
 
     # With a given number, adaptive execution leaves every bucket in one partition.
     partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(partitions, "mask", "value").sortWithinPartitions("mask", "value", node)
+    dealt = keyed.repartition(partitions, "mask", "value").sortWithinPartitions("mask", "value", "fingerprint")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
@@ -185,9 +175,9 @@ def fingerprint_links(
         large = stage(keyed.groupBy("mask", "value").count().filter(F.col("count") > max_bucket).drop("count"), "large")
         present = [m for (m,) in large.select("mask").distinct().collect()]
         if not present:
-            found.append(_links(keyed, "fingerprint", ["fingerprint"], max_bits))
+            found.append(_links(keyed, max_bits))
             break
-        found.append(_links(keyed.join(large, ["mask", "value"], "left_anti"), "fingerprint", ["fingerprint"], max_bits))
+        found.append(_links(keyed.join(large, ["mask", "value"], "left_anti"), max_bits))
         finer = [
             (mask, _signed((mask % (1 << 64)) | piece))
             for mask in present
@@ -202,35 +192,6 @@ def fingerprint_links(
     return links
 
 
-def wide_links(
-    distinct: DataFrame, node: str, prints: Sequence[str], max_bits: int, block_bits: int, max_bucket: int = MAX_BUCKET
-) -> DataFrame:
-    """Links (a, b) of nodes whose long fingerprints share a block and differ in ``max_bits`` bits at most.
-
-    The words ``prints`` are cut into blocks of ``block_bits`` (a divisor of 64).  Pairs that
-    differ in fewer bits than there are blocks always share one; of more distant pairs some
-    are missed.  A bucket above ``max_bucket`` is cut into parts, and every two parts meet.
-    """
-    mask = F.lit((1 << block_bits) - 1).cast("long")
-    blocks = [
-        F.struct(F.lit(w * (64 // block_bits) + i).cast("long").alias("mask"), F.shiftrightunsigned(F.col(p), i * block_bits).bitwiseAND(mask).alias("value"))
-        for w, p in enumerate(prints)
-        for i in range(64 // block_bits)
-    ]
-    keyed = distinct.select(node, *prints, F.inline(F.array(*blocks)))
-    large = keyed.groupBy("mask", "value").agg(F.ceil(F.count("*") / max_bucket).alias("parts")).filter("parts > 1")
-    large = stage(large, "large")
-    if not large.head(1):
-        return _links(keyed, node, prints, max_bits)
-    small = keyed.join(large, ["mask", "value"], "left_anti")
-    part = F.pmod(F.xxhash64(node), F.col("parts"))
-    met = keyed.join(large, ["mask", "value"]).select(
-        node, *prints, "mask", "value", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    )
-    pair = F.col("mask") + F.greatest("part", "other") * (1 << 16) + F.least("part", "other") * (1 << 38)
-    return _links(small.unionByName(met.select(node, *prints, pair.alias("mask"), "value")), node, prints, max_bits)
-
-
 def near_duplicate_groups(
     df: DataFrame,
     text: str = "text",
@@ -240,32 +201,24 @@ def near_duplicate_groups(
     pieces: int | None = None,
     max_bucket: int = MAX_BUCKET,
     keep: Sequence[str] | None = None,
-    n_words: int = 1,
-    block_bits: int = 16,
 ) -> DataFrame:
     """Every row with its ``fingerprint``, its group and whether it is the one to keep.
 
     ``component_id`` is the least ``doc_id`` whose fingerprint is reachable over
     links of at most ``max_bits`` bits, the row itself included.  ``first_of_group``
-    is true for exactly one row of each group, one with that id.  With ``n_words`` above 1
-    fingerprints have so many words of 64 bits and meet in blocks of ``block_bits``.
+    is true for exactly one row of each group, one with that id.
 
     Repeated rows are in one group.  Null and wordless texts have fingerprint 0 and are
     linked like any other.  Null ids are never the least unless the group has no other.
-    Columns of ``df`` named like an added one, ``_row``, ``_node`` or ``_print1`` and so on
-    are replaced.  An empty table gives an empty result.
+    Columns of ``df`` named like an added one, ``_row`` or ``_node`` are replaced.  An empty
+    table gives an empty result.
     """
-    prints = ["fingerprint", *(f"_print{i}" for i in range(1, n_words))]
-    node = F.col("fingerprint") if n_words == 1 else F.xxhash64(*prints)
-    marked = with_fingerprints(df, text, shingle, keep, n_words).drop("component_id", "first_of_group")
-    marked = stage(marked.withColumn("_row", F.monotonically_increasing_id()).withColumn("_node", node), "fingerprints")
+    marked = with_fingerprints(df, text, shingle, keep).drop("component_id", "first_of_group")
+    marked = marked.withColumn("_row", F.monotonically_increasing_id()).withColumn("_node", F.col("fingerprint"))
+    marked = stage(marked, "fingerprints")
     least = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row")))
-    alike = [F.first(p).alias(p) for p in prints]
-    distinct = stage(marked.groupBy("_node").agg(least.alias("least"), *alike), "distinct_fingerprints")
-    if n_words == 1:
-        links = fingerprint_links(distinct.select("fingerprint"), max_bits, pieces, max_bucket)
-    else:
-        links = wide_links(distinct.select("_node", *prints), "_node", prints, max_bits, block_bits, max_bucket)
+    distinct = stage(marked.groupBy("_node").agg(least.alias("least")), "distinct_fingerprints")
+    links = fingerprint_links(distinct.select(F.col("_node").alias("fingerprint")), max_bits, pieces, max_bucket)
     roots = components(links).withColumnRenamed("node", "_node")
     placed = distinct.select("_node", "least").join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
     groups = stage(placed.groupBy("root").agg(F.min("least").alias("group_least")), "groups")
@@ -273,7 +226,7 @@ def near_duplicate_groups(
     return (
         marked.join(of_node, "_node")
         .withColumn("first_of_group", F.col("_row") == F.col("_first"))
-        .drop("_row", "_first", "_node", *prints[1:])
+        .drop("_row", "_first", "_node")
     )
 
 

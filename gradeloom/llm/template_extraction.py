@@ -61,7 +61,7 @@ _NAMES_LEFT_OUT = re.compile(_NAMES % "header|")
 _NAMES_INSIDE = re.compile(_NAMES % "")
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/]?[A-Za-z!?/](?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>|\Z)|<\Z", re.S)
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
-_NAME = re.compile(r"""\s(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_NAME = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _ROOT = "/html/body"
 # Columns that the joined pages need.
 _OWN = ("_group", "_region", "_constant", "_named")
@@ -124,13 +124,14 @@ def blocks_of(html: str) -> Iterator[tuple[str, bool, str]]:
             if name in ("html", "body") and any(tag_ == name for tag_, _, _ in stack):
                 continue
             path, out = here()
-            label = " ".join(a or b or c for a, b, c in _NAME.findall(found)).lower()
+            labels = [(kind.lower(), (a or b or c).lower()) for kind, a, b, c in _NAME.findall(found)]
+            label = " ".join(value for _, value in labels)
             first = re.sub(r"\d+", "0", label.split()[0]) if label.split() else ""
             inside = any(tag_ in ("article", "main") for tag_, _, _ in stack)
             first = first.replace("/", "").replace(_NAMED, "")
             path = f"{path}/{name}" + (f".{first}" if first and name not in ("html", "body") else "")
             listed = _NAMES_INSIDE if inside or name in _HEADINGS else _NAMES_LEFT_OUT
-            if label and name not in ("html", "body", "main") and listed.search(label):
+            if name not in ("html", "body", "main") and any(_is_listed(listed, name, *value) for value in labels):
                 path += _NAMED
             out = out or name in _LEFT_OUT or (name == "header" and not inside)
             if name != "hr":
@@ -140,6 +141,16 @@ def blocks_of(html: str) -> Iterator[tuple[str, bool, str]]:
         yield *here(), text
 
 
+def _is_listed(listed: re.Pattern[str], element: str, kind: str, value: str) -> bool:
+    """Whether an attribute names an element as a menu, an advert and the like.
+
+    An id says so as a whole only, and never for a heading, where it is the place a link goes to.
+    """
+    if kind == "id":
+        return element not in _HEADINGS and listed.fullmatch(value.strip()) is not None
+    return listed.search(value) is not None
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()

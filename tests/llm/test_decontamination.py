@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -64,5 +65,26 @@ def test_without_items_and_empty_tables(spark, table):
 def test_words_outside_of_hits_stay(spark, table):
     docs = table([(1, f"Before, {LONG}. And after!"), (2, " nothing  here ")])
     found = find_benchmark_passages(docs, spark.createDataFrame([(1, LONG)], "item_id long, text string"))
-    kept = docs.join(found, "doc_id").select("doc_id", without_passages(docs["text"], found["hits"])).collect()
+    kept = without_passages(docs.join(found.select("doc_id", "hits"), "doc_id")).select("doc_id", "text").collect()
     assert sorted(map(tuple, kept)) == [(1, "Before. And after!"), (2, " nothing  here ")]
+
+
+def test_cuts_equal_a_word_by_word_cut(spark, table):
+    rng = random.Random(1)
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randint(1, 4)))) for i in range(12)]
+    docs = [(i, "".join(rng.choice(["a ", "B, ", "c", " d.", "e! "]) for _ in range(rng.randint(0, 60)))) for i in range(80)]
+    docs += [(100, "a " * 20_000 + "z a"), (101, None)]
+    df = table([(*d, "x", [1]) for d in docs], "doc_id long, text string, pieces string, spans array<int>")
+    found = find_benchmark_passages(df, spark.createDataFrame(items, "item_id long, text string"), window=3)
+    got = without_passages(df.join(found.select("doc_id", "hits"), "doc_id"))
+    assert got.columns == ["doc_id", "text", "pieces", "spans", "hits"]
+    piece = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    some = 0
+    for row in got.collect():
+        text = dict(docs)[row.doc_id]
+        inside = {i for h in row.hits for i in range(h.start, h.start + h.length)}
+        pieces = piece.findall(text or "")
+        kept = "".join(p for i, p in enumerate(pieces) if i not in inside) + (text or "")[sum(map(len, pieces)) :]
+        assert row.text == (kept if text is not None else None)
+        some += bool(inside)
+    assert some > 20

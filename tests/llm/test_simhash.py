@@ -76,24 +76,6 @@ def test_crowded_buckets_are_dealt_out_again(spark):
         assert got == expected
 
 
-def test_wide_fingerprints_find_edited_copies(spark, table):
-    rng = random.Random(9)
-    base = [[f"w{rng.randrange(3000)}" for _ in range(200)] for _ in range(40)]
-    rows = [(i, " ".join(words)) for i, words in enumerate(base)]
-    for i, words in enumerate(base):
-        edited = list(words)
-        for _ in range(2):
-            edited[rng.randrange(200)] = "other"
-        rows.append((100 + i, " ".join(edited)))
-    rows += [(300 + i, f"common words and then {i} {i * 7} {i * 11} end") for i in range(50)]
-    for limit in (4096, 3):
-        got = near_duplicate_groups(table(rows), shingle=5, n_words=6, max_bits=62, max_bucket=limit)
-        group = {r.doc_id: r.component_id for r in got.collect()}
-        assert sum(group[100 + i] == i for i in range(40)) >= 37
-        assert all(group[300 + i] == 300 + i for i in range(50))
-        assert all(group[i] == i for i in range(40))
-
-
 def brute_components(values):
     left, found = set(values), set()
     while left:

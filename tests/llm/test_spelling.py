@@ -119,4 +119,4 @@ def test_query_on_odd_documents(spark, tmp_path):
     words = {word: n for word, n in counts.items() if n > 1}
     found = QUERIES["op12_spelling"](spark, str(tmp_path)).collect()
     assert {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in found} == variants(words)
-    assert sum(r.form is not None for r in found) > 5
+    assert any(r.form for r in found)

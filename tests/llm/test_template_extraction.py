@@ -93,3 +93,15 @@ def test_names_do_not_remove_the_article(spark):
             rows.append((100 * k + i, f"http://h{k}.example/", f"<body><nav>Menu</nav>{body}<footer>x</footer>"))
             wanted[100 * k + i] = f"{title}\n{text}"
     assert texts_of(spark, rows) == wanted
+
+
+def test_ids_name_an_element_as_a_whole_only(spark):
+    rows, wanted = [], {}
+    heads = ["<h2 id='social-effects'>{h}</h2>", "<h2 id='discussion'>{h}</h2>", "<section id='menu-planning'><p>{h}</p></section>"]
+    for k, head in enumerate(heads):
+        for i in range(12):
+            title, text, h = f"Title {i}", prose(60), prose(4)
+            body = f"<article><h1>{title}</h1>{head.format(h=h)}<p>{text}</p></article><div id='sidebar'><p>{prose(5)}</p></div>"
+            rows.append((100 * k + i, f"http://i{k}.example/", f"<body><nav>Menu</nav>{body}<footer>x</footer>"))
+            wanted[100 * k + i] = f"{title}\n{h}\n{text}"
+    assert texts_of(spark, rows) == wanted
