@@ -1,4 +1,8 @@
-"""From raw documents to encoded training text: five stages, each written before the next."""
+"""From raw documents to encoded training text: five stages, each written before the next.
+
+A stage works on the id, the text and one struct of all other columns, so that no column of the
+documents can have the name of one that an operator adds.
+"""
 
 from __future__ import annotations
 
@@ -7,71 +11,87 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeloom.llm.byte_bpe import decode, encode
+from gradeloom.llm.byte_bpe import encode
 from gradeloom.llm.decontamination import find_benchmark_passages, without_passages
-from gradeloom.llm.near_copies import near_copy_groups
+from gradeloom.llm.simhash import near_duplicate_groups
 from gradeloom.llm.substring_dedup import remove_repeated_passages
 from gradeloom.llm.toxicity import class_prior, score_toxicity, train_toxicity
 from gradeloom.staging import stage
 
 # Scores from here on are toxic.
 TOXIC = 0.3
-# Texts are near copies from this Jaccard similarity of their five-word shingles on.
-SHINGLE, AT_LEAST = 5, (4, 5)
+# Near duplicates differ in at most so many bits of the fingerprints of their three-word shingles.
+SHINGLE, MAX_BITS = 3, 3
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and the other columns as ``row``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("row"))
+
+
+def _unpacked(found: DataFrame, docs: DataFrame, changed: bool = False) -> list[Column]:
+    """The columns of ``docs``; the number of characters is counted again if texts have ``changed``."""
+    columns = []
+    for name in docs.columns:
+        if name in ("doc_id", "text"):
+            columns.append(F.col(name))
+        elif name == "n_chars" and changed:
+            columns.append(F.length("text").cast("long").alias(name))
+        else:
+            columns.append(F.col(f"row.`{name}`").alias(name))
+    return columns
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below ``TOXIC``; the classifier learns from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     model = train_toxicity(docs, labels.filter("toxic = 1"), class_prior(labels))
-    scored = score_toxicity(docs, model, score="_score")
-    return scored.filter(F.col("_score") < TOXIC).select(*docs.columns)
+    scored = score_toxicity(_packed(docs), model).filter(F.col("score") < TOXIC)
+    return scored.select(_unpacked(scored, docs))
 
 
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies, that of the least id."""
-    groups = near_copy_groups(docs, shingle=SHINGLE, at_least=AT_LEAST)
-    return groups.filter("first_of_group").select(*docs.columns)
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates, that of the least id."""
+    rows = stage(_packed(docs).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicate_groups(rows, shingle=SHINGLE, max_bits=MAX_BITS, keep=["doc_id", "number"])
+    # Rows meet by their own numbers, so that a large group is no hot key.
+    firsts = stage(groups.filter("first_of_group").select("number"), "firsts")
+    kept = rows.join(firsts, "number", "left_semi")
+    return kept.select(_unpacked(kept, docs))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated windows; those that lose none keep their text as it is."""
-    found = remove_repeated_passages(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return _with_text(found, docs, text)
+    found = remove_repeated_passages(_packed(docs))
+    found = found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    return found.select(_unpacked(found, docs, changed=True))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of benchmark windows."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
     found = find_benchmark_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = stage(found.filter("n_hit > 0").select("doc_id", F.col("text_hash").alias("_hash"), "hits").distinct(), "hits")
-    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d._hash") == F.col("h._hash"))
-    joined = keyed.alias("d").join(hits.alias("h"), same, "left").select("d.*", "h.hits")
-    text = F.when(F.col("hits").isNotNull(), without_passages(F.col("text"), F.col("hits"))).otherwise(F.col("text"))
-    return _with_text(joined, docs, text)
+    hits = stage(found.filter("n_hit > 0").select("doc_id", "text_hash", "hits").distinct(), "hits")
+    rows = _packed(docs).withColumn("text_hash", F.xxhash64("text"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash"))
+    joined = rows.alias("d").join(hits.alias("h"), same, "left").select("d.doc_id", "d.text", "d.row", "h.hits")
+    cut = without_passages(joined)
+    return cut.select(_unpacked(cut, docs, changed=True))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text; ``round_trip`` is whether they decode to it."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = encode(docs, ranks, public_tokenizers.PATTERN)
+    found = encode(_packed(docs), ranks, public_tokenizers.PATTERN, decoded="decoded")
     whole = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    columns = [F.col(c) for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
-    return decode(ids, ranks).select(*columns, "ids", F.size("ids").cast("long").alias("n_tokens"), whole.alias("round_trip"))
-
-
-def _with_text(found: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
-    """The columns of ``docs`` with another text and its length."""
-    changed = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast("long"))
-    return changed.select(*docs.columns)
+    added = {"ids": F.col("ids"), "n_tokens": F.size("ids").cast("long"), "round_trip": whole}
+    kept = [column for name, column in zip(docs.columns, _unpacked(found, docs)) if name not in added]
+    return found.select(*kept, *(column.alias(name) for name, column in added.items()))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", without_toxic),
-    ("near_copies", without_near_copies),
+    ("near_duplicates", without_near_duplicates),
     ("repeated_passages", without_repeated_passages),
     ("benchmark", without_benchmark),
     ("encoding", encoded),
