@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from gradeloom.operators.classifier import DEFAULT_BATCH, DEFAULT_EPOCHS, DEFAULT_RATE, RUNGS, STEP, Trial, draw_trials
+
 # The stand-in tables of ``checks.tables``.
 TABLES = {
     "corpus": """
@@ -33,11 +37,12 @@ TABLES = {
         FROM (SELECT par_id FROM train_list UNION ALL SELECT par_id FROM dev_list) s
         LEFT JOIN corpus c ON s.par_id = c.par_id""",
     "scores": """
-        SELECT vec_id AS row_idx, 'run-1' AS run_id, CASE WHEN label < 5 THEN 'valid' ELSE 'final' END AS split,
-               CAST(label > 4 AS INT) AS label, CAST(embedding[1] AS DOUBLE) AS logit_0,
-               CAST(embedding[2] AS DOUBLE) AS logit_1,
-               CASE WHEN embedding[2] > embedding[1] THEN 1 ELSE 0 END AS prediction
-        FROM embeddings""",
+        SELECT *, CASE WHEN logit_1 > logit_0 THEN 1 ELSE 0 END AS prediction FROM (
+            SELECT vec_id AS row_idx, 'run-1' AS run_id, CASE WHEN label < 5 THEN 'valid' ELSE 'final' END AS split,
+                   CAST(label > 4 AS INT) AS label,
+                   CAST(list_max(list_filter(embedding, lambda x, i: i % 2 = 1)) AS DOUBLE) AS logit_0,
+                   CAST(list_max(list_filter(embedding, lambda x, i: i % 2 = 0)) AS DOUBLE) AS logit_1
+            FROM embeddings)""",
     "runs": """
         SELECT 'run-' || vec_id AS run_id, CASE WHEN label < 5 THEN 'valid' ELSE 'dev' END AS split,
                list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS f1
@@ -173,6 +178,128 @@ _ENCODED = f"""
 
 _SENTENCE = r"string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1))"
 
+_SPOKEN = rf"""
+    SELECT par_id, i - 1 AS sent_no,
+           regexp_extract_all(lower(sentences[i]), '[\p{{L}}\p{{N}}]+|[^ \t\n\r\f\x0B\p{{L}}\p{{N}}]') AS words
+    FROM (SELECT *, unnest(range(1, len(sentences) + 1)) AS i FROM (
+        SELECT doc_id AS par_id, {_SENTENCE} AS sentences FROM documents))"""
+
+# Words up to five places apart, nearer ones with more weight.
+_NEIGHBOURS = f"""
+    spoken AS MATERIALIZED ({_SPOKEN}),
+    neighbours AS MATERIALIZED (
+        SELECT least(words[i], words[i + k]) AS a, greatest(words[i], words[i + k]) AS b, CAST(sum(6 - k) AS BIGINT) AS n
+        FROM (SELECT words, unnest(range(1, len(words) + 1)) AS i FROM spoken), (SELECT unnest(range(1, 6)) AS k)
+        WHERE i + k <= len(words) GROUP BY 1, 2)"""
+
+# Log ratios to chance in steps of 2**-20, each in one of 100 dimensions by the MD5 of the neighbour.
+_VECTORS = f"""
+    {_NEIGHBOURS},
+    directed AS (
+        SELECT a AS word, b AS near, CASE WHEN a = b THEN 2 * n ELSE n END AS n FROM neighbours
+        UNION ALL SELECT b, a, n FROM neighbours WHERE a <> b),
+    sums AS (SELECT word, CAST(sum(n) AS DOUBLE) AS total FROM directed GROUP BY word),
+    signed AS (
+        SELECT d.word, CAST('0x' || substr(md5(d.near), 1, 8) AS BIGINT) % 100 AS place,
+               CASE WHEN substr(md5(d.near), 9, 1) < '8' THEN 1 ELSE -1 END
+               * CAST(round(ln(n * (SELECT sum(total) FROM sums) / (s.total * r.total)) * 1048576) AS BIGINT) AS steps
+        FROM directed d JOIN sums s ON s.word = d.word JOIN sums r ON r.word = d.near
+        WHERE n * (SELECT sum(total) FROM sums) / (s.total * r.total) > 1),
+    entries AS (
+        SELECT word, map_from_entries(list(struct_pack(k := CAST(place AS INT), v := CAST(steps AS DOUBLE)))) AS entries
+        FROM (SELECT word, place, sum(steps) AS steps FROM signed GROUP BY word, place) GROUP BY word),
+    counts AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM spoken) GROUP BY word),
+    vectors AS (
+        SELECT c.word, n, list_transform(range(100), lambda x: coalesce(entries[CAST(x AS INT)], 0) / 1048576) AS vector
+        FROM counts c LEFT JOIN entries e ON e.word = c.word)"""
+
+
+def _sides() -> str:
+    """Labelled documents to train on and to validate with."""
+    return f"""
+        drawn AS (
+            SELECT par_id, text, label, row_number() OVER (ORDER BY {_rank(42, "split", "par_id")}) AS place,
+                   round_even(0.8::DOUBLE * count(*) OVER (), 0) AS wanted
+            FROM evaluated),
+        sides AS (
+            SELECT CASE WHEN place <= wanted THEN 'train' ELSE 'valid' END AS side, par_id, label, text FROM drawn
+            UNION ALL
+            SELECT 'dev', d.par_id, CASE WHEN c.label > 1 THEN 1 ELSE 0 END, c.text
+            FROM dev_list d LEFT JOIN corpus c ON c.par_id = d.par_id
+            UNION ALL SELECT 'all', doc_id, NULL, text FROM documents),
+        spelled AS (
+            SELECT side, par_id, label, regexp_extract_all(lower(coalesce(text, 'nan')), '[\\p{{L}}\\p{{N}}]+') AS words
+            FROM sides),
+        features AS MATERIALIZED (
+            SELECT side, par_id, label, feature, sqrt(count(*)::DOUBLE / any_value(len(words))) AS value
+            FROM (SELECT side, par_id, label, words, unnest(words) AS feature FROM spelled)
+            GROUP BY side, par_id, label, feature
+            UNION ALL SELECT side, par_id, label, '', 1.0 FROM spelled)"""
+
+
+def _said(side: str, weights: str) -> str:
+    """Margins of the rows of one side by all trials of a table of weights."""
+    return f"""
+        SELECT t.trial, f.par_id, f.label, round(sum(f.value * coalesce(w.weight, 0)), 9) AS margin
+        FROM (SELECT * FROM features WHERE side = '{side}') f
+        CROSS JOIN (SELECT DISTINCT trial FROM {weights}) t
+        LEFT JOIN {weights} w ON w.trial = t.trial AND w.feature = f.feature
+        GROUP BY t.trial, f.par_id, f.label"""
+
+
+def _measured(margins: str) -> str:
+    rates = f"""
+        SELECT trial, avg(-ln(greatest(CASE WHEN label = 1 THEN 1 / (1 + exp(-margin)) ELSE 1 - 1 / (1 + exp(-margin)) END, 1e-15)))
+                   AS loss,
+               count(*) FILTER (WHERE margin > 0 AND label = 1) AS tp, count(*) FILTER (WHERE margin > 0 AND label = 0) AS fp,
+               count(*) FILTER (WHERE margin <= 0 AND label = 1) AS fn, count(*) AS n
+        FROM ({margins}) GROUP BY trial"""
+    return f"""
+        SELECT trial, loss, (n - fp - fn) / n AS accuracy,
+               CASE WHEN tp = 0 THEN 0.0::DOUBLE
+                    ELSE 2 * ((tp / (tp + fp)) * (tp / (tp + fn))) / (tp / (tp + fp) + tp / (tp + fn)) END AS f1
+        FROM ({rates})"""
+
+
+def trained(trials: Sequence[Trial], rungs: Sequence[int] = ()) -> str:
+    """Tables of the training of all trials: ``log``, ``chosen`` (weights of the best epoch) and ``reached``."""
+    rows = ", ".join(f"({i}, {t.learning_rate!r}::DOUBLE, {t.batch_size}, {t.epochs})" for i, t in enumerate(trials))
+    prior = """
+        prior AS (
+            SELECT count(*)::DOUBLE AS n, round(ln(avg(label) / (1 - avg(label))), 9) AS b FROM spelled WHERE side = 'train')"""
+    parts = [_sides(), prior, f"trials(trial, rate, batch_size, epochs) AS (VALUES {rows})", "going_1 AS (SELECT * FROM trials)"]
+    last = max(t.epochs for t in trials)
+    for epoch in range(1, last + 1):
+        if epoch == 1:
+            said = "SELECT trial, par_id, label, b AS margin FROM going_1, prior, (SELECT * FROM spelled WHERE side = 'train')"
+            before, joined = "CASE WHEN g.feature = '' THEN b ELSE 0 END", ""
+        else:
+            said = f"SELECT * FROM ({_said('train', f'weights_{epoch - 1}')}) JOIN going_{epoch} USING (trial)"
+            before, joined = "w.weight", f"JOIN weights_{epoch - 1} w ON w.trial = g.trial AND w.feature = g.feature"
+        parts.append(f"""
+            weights_{epoch} AS MATERIALIZED (
+                SELECT g.trial, g.feature,
+                       round({before} - t.rate * {STEP!r} * pow(ln(r.n / g.n) / ln(r.n), 2) / greatest(g.n, t.batch_size) * g.slope, 9)
+                           AS weight
+                FROM (
+                    SELECT m.trial, f.feature, count(*) AS n, sum(f.value * (1 / (1 + exp(-m.margin)) - m.label)) AS slope
+                    FROM ({said}) m JOIN features f ON f.side = 'train' AND f.par_id = m.par_id
+                    GROUP BY m.trial, f.feature) g
+                JOIN trials t ON t.trial = g.trial {joined}, prior r)""")
+        parts.append(f"log_{epoch} AS MATERIALIZED ({_measured(_said('valid', f'weights_{epoch}'))})")
+        median = f"f1 >= (SELECT median(f1) FROM log_{epoch}) AND" if epoch in rungs else ""
+        parts.append(f"going_{epoch + 1} AS (SELECT t.* FROM trials t JOIN log_{epoch} l USING (trial) WHERE {median} t.epochs > {epoch})")
+    parts.append("log AS (" + " UNION ALL ".join(f"SELECT {e} AS epoch, * FROM log_{e}" for e in range(1, last + 1)) + ")")
+    parts.append("best AS (SELECT trial, arg_min(epoch, (loss, epoch)) AS epoch, max(epoch) AS epochs_run FROM log GROUP BY trial)")
+    every = " UNION ALL ".join(f"SELECT {e} AS epoch, * FROM weights_{e}" for e in range(1, last + 1))
+    parts.append(f"chosen AS MATERIALIZED (SELECT trial, feature, weight FROM ({every}) JOIN best USING (trial, epoch))")
+    return ", ".join(parts)
+
+
+def single(epochs: int = DEFAULT_EPOCHS) -> str:
+    return trained([Trial("single", DEFAULT_RATE, DEFAULT_BATCH, epochs)])
+
+
 ORACLE: dict[str, str] = {
     "a1_read_corpus": with_tables(
         f"SELECT par_id, art_id, keyword, country_code, {ONE_LINE.format('text')} AS text, label FROM corpus", "corpus"
@@ -201,6 +328,10 @@ ORACLE: dict[str, str] = {
         SELECT vec_id AS run_id, CAST(i - 1 AS INT) AS pos, CAST(i AS DOUBLE) AS epoch,
                CAST(embedding[i] AS DOUBLE) AS eval_accuracy, abs(CAST(embedding[i] AS DOUBLE)) AS eval_f1
         FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
+    "a6_read_training_log_arrays": """
+        SELECT vec_id AS run_id, CAST(i - 1 AS INT) AS pos, CAST(i AS DOUBLE) AS epoch,
+               CAST(embedding[i] AS DOUBLE) AS eval_accuracy, abs(CAST(embedding[i] AS DOUBLE)) AS eval_f1
+        FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
     "a7_write_label_lines": with_tables(
         "SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, prediction AS value FROM scores", "scores"
     ),
@@ -320,6 +451,41 @@ ORACLE: dict[str, str] = {
            FROM both_lists, span GROUP BY 1, 2""",
         "both_lists",
     ),
+    "d11_histogram_all_bins": with_tables(
+        """WITH span AS (SELECT min(word_count)::DOUBLE AS lo, max(word_count)::DOUBLE AS hi FROM both_lists),
+           counts AS (
+               SELECT CAST(least(floor((word_count - lo) * 40.0::DOUBLE / (hi - lo)) + 1, 40) AS INT) AS bin, label, count(*) AS n
+               FROM both_lists, span GROUP BY 1, 2)
+           SELECT CAST(b.bin AS INT) AS bin, CAST(c.label AS INT) AS label, coalesce(n, 0) AS n,
+                  round(lo + (hi - lo) * (b.bin - 1) / 40, 6) AS bin_left, round(lo + (hi - lo) * b.bin / 40, 6) AS bin_right
+           FROM (SELECT unnest(range(1, 41)) AS bin) b CROSS JOIN (SELECT unnest([0, 1]) AS label) c CROSS JOIN span
+           LEFT JOIN counts ON counts.bin = b.bin AND counts.label = c.label""",
+        "both_lists",
+    ),
+    "flow_data_report": with_tables(
+        f"""WITH span AS (SELECT min(word_count)::DOUBLE AS lo, max(word_count)::DOUBLE AS hi FROM both_lists),
+           binned AS (
+               SELECT bin_left, bin_right, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1
+               FROM {BINS} LEFT JOIN both_lists ON text_length > bin_left AND text_length <= bin_right GROUP BY 1, 2),
+           trained AS (
+               SELECT c.keyword, c.label FROM train_list t JOIN corpus c ON c.par_id = t.par_id WHERE c.keyword IS NOT NULL)
+           SELECT 'classes' AS report, 'all' AS key, label::VARCHAR AS part, count(*)::DOUBLE AS value FROM both_lists GROUP BY label
+           UNION ALL
+           SELECT 'positive_rate', bin_left || ' - ' || bin_right, '1',
+                  CASE WHEN n0 + n1 > 0 THEN round(100 * n1::DOUBLE / (n0 + n1), 6) END FROM binned
+           UNION ALL
+           SELECT 'word_counts', b.bin::VARCHAR, c.label::VARCHAR, coalesce(n, 0)::DOUBLE
+           FROM (SELECT unnest(range(1, 41)) AS bin) b CROSS JOIN (SELECT unnest([0, 1]) AS label) c
+           LEFT JOIN (
+               SELECT least(floor((word_count - lo) * 40.0::DOUBLE / (hi - lo)) + 1, 40) AS bin, label, count(*) AS n
+               FROM both_lists, span GROUP BY 1, 2) h ON h.bin = b.bin AND h.label = c.label
+           UNION ALL
+           SELECT 'keywords', keyword, 'all', count(*)::DOUBLE FROM both_lists WHERE keyword IS NOT NULL GROUP BY keyword
+           UNION ALL
+           SELECT 'grades', k.keyword, g.grade::VARCHAR, (SELECT count(*) FROM trained t WHERE t.keyword = k.keyword AND t.label = g.grade)::DOUBLE
+           FROM (SELECT DISTINCT keyword FROM trained) k CROSS JOIN (SELECT unnest(range(0, 5)) AS grade) g""",
+        "both_lists",
+    ),
     "d12_confusion_matrix": with_tables(
         """SELECT label, count(*) FILTER (WHERE prediction = '0') AS predicted_0,
                   count(*) FILTER (WHERE prediction = '1') AS predicted_1
@@ -347,6 +513,20 @@ ORACLE: dict[str, str] = {
         f"{rebalanced(2, 1.5)} SELECT * FROM rebalanced".strip(), "train_list", "augmented"
     ),
     "e6_split_train_valid": with_tables(f"{split_sides(3, 2.5)} SELECT * FROM sides", "train_list", "augmented"),
+    "e6_split_by_id": with_tables(
+        f"""{rebalanced(3, 2.5)},
+            ids AS (
+                SELECT par_id, count(*) AS size, {_rank(42, "split_id", "par_id")} AS hash FROM rebalanced GROUP BY par_id),
+            placed AS (
+                SELECT par_id, size, coalesce(sum(size) OVER (ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                           AS before, round_even(0.8::DOUBLE * sum(size) OVER (), 0) AS wanted
+                FROM ids)
+            SELECT r.par_id, r.label, r.origin, r.copy_no, r.row_idx,
+                   CASE WHEN before < wanted AND 2 * (wanted - before) >= size THEN 'train' ELSE 'valid' END AS side
+            FROM rebalanced r JOIN placed USING (par_id)""",
+        "train_list",
+        "augmented",
+    ),
     "e7_concat": with_tables(
         """SELECT par_id, label, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS copy_no FROM train_list
            UNION ALL SELECT par_id, label, NULL, NULL FROM dev_list
@@ -383,6 +563,83 @@ ORACLE: dict[str, str] = {
             FROM (SELECT *, unnest(range(1, len(sentences) + 1)) AS i FROM (
                 SELECT doc_id AS par_id, {_SENTENCE} AS sentences FROM documents)))
         WHERE len(words) > 0""",
+    "f3_learn_abbreviations": r"""
+        WITH found AS (
+            SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*\.?')) AS token FROM documents),
+        counts AS (
+            SELECT rtrim(token, '.') AS word, count(*) AS n, count(*) FILTER (WHERE token LIKE '%.') AS n_stops FROM found GROUP BY 1),
+        shares AS (SELECT greatest(least(sum(n_stops) / sum(n), 1 - 1e-9::DOUBLE), 1e-9::DOUBLE) AS p FROM counts),
+        scored AS (
+            SELECT word, n, n_stops, length(replace(word, '.', '')) AS letters, n - n_stops AS without,
+                   2 * (n_stops * ln(0.99::DOUBLE) + (n - n_stops) * ln(1 - 0.99::DOUBLE)
+                        - n_stops * ln(p) - (n - n_stops) * ln(1 - p)) AS ratio
+            FROM counts, shares WHERE n_stops > 0)
+        SELECT word, n, n_stops,
+               round(ratio * exp(-letters::DOUBLE) * (length(word) - letters + 1) * pow(letters::DOUBLE, -without::DOUBLE), 6)
+                   + 0.0::DOUBLE AS score
+        FROM scored""",
+    "f4_count_neighbours": f"WITH {_NEIGHBOURS} SELECT * FROM neighbours",
+    "f4_train_word_vectors": f"""
+        WITH {_VECTORS}
+        SELECT word, n, array_to_string(list_transform(vector, lambda x: CAST(round(x * 1e6) AS BIGINT)), ',') AS vector
+        FROM vectors""",
+    "f6_train_text_classifier": with_tables(
+        f"""WITH {single()}
+            SELECT CAST(epoch AS INT) AS epoch, round(loss, 6) AS eval_loss, round(f1, 6) AS eval_f1,
+                   round(accuracy, 6) AS eval_accuracy
+            FROM log""",
+        "evaluated",
+        "dev_list",
+    ),
+    "f7_score": with_tables(
+        f"""WITH {single(2)}
+            SELECT par_id AS row_idx, round(margin, 6) AS margin, CAST(margin > 0 AS INT) AS prediction
+            FROM ({_said("all", "chosen")})""",
+        "evaluated",
+        "dev_list",
+    ),
+    "f8_search_hyperparameters": with_tables(
+        f"""WITH {trained(draw_trials(), RUNGS)}
+            SELECT 'run-' || trial AS run_id, round(rate * 1e5, 6) AS learning_rate, CAST(batch_size AS INT) AS batch_size,
+                   CAST(epochs AS INT) AS epochs, CAST(epochs_run AS INT) AS epochs_run, split, round(f1, 6) AS f1,
+                   round(accuracy, 6) AS accuracy
+            FROM (
+                SELECT trial, 'valid' AS split, f1, accuracy FROM log JOIN best USING (trial, epoch)
+                UNION ALL SELECT trial, 'dev', f1, accuracy FROM ({_measured(_said("dev", "chosen"))}))
+            JOIN trials USING (trial) JOIN (SELECT trial, epochs_run FROM best) USING (trial)""",
+        "evaluated",
+        "dev_list",
+    ),
+    "f11_save_and_load_model": with_tables(
+        f"""WITH {single(1)}
+            SELECT par_id, round(margin, 6) AS margin, CAST(margin > 0 AS INT) AS prediction
+            FROM ({_said("valid", "chosen")})""",
+        "evaluated",
+        "dev_list",
+    ),
+    "flow_single_run": with_tables(
+        f"""WITH {single(2)}
+            SELECT 'run-1' AS run_id, split, par_id AS row_idx, CAST(label AS INT) AS label, round(margin, 6) AS margin,
+                   round(f1, 6) AS dev_f1, round(accuracy, 6) AS dev_accuracy
+            FROM (
+                SELECT 'valid' AS split, par_id, label, margin FROM ({_said("dev", "chosen")})
+                UNION ALL SELECT 'final', par_id, NULL, margin FROM ({_said("all", "chosen")})),
+            (SELECT f1, accuracy FROM ({_measured(_said("dev", "chosen"))}))""",
+        "evaluated",
+        "dev_list",
+    ),
+    "flow_word_similarity": f"""
+        WITH {_VECTORS},
+            tokens AS (
+                SELECT token, count(*) AS n FROM (
+                    SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM documents)
+                GROUP BY token HAVING count(*) >= 5),
+            leaders AS (
+                SELECT length(token) AS n_chars, arg_min(token, (-n, token)) AS b FROM tokens GROUP BY 1)
+        SELECT token AS a, b, round(CASE WHEN list_dot_product(x.vector, x.vector) * list_dot_product(y.vector, y.vector) > 0
+                                         THEN list_cosine_similarity(x.vector, y.vector) END, 6) AS similarity
+        FROM tokens JOIN leaders ON n_chars = length(token)
+        JOIN vectors x ON x.word = token JOIN vectors y ON y.word = b""",
     "f5_cosine": """
         SELECT x.vec_id,
                round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity
@@ -392,9 +649,14 @@ ORACLE: dict[str, str] = {
         FROM documents""",
     "f10_augment_text": with_tables(
         """SELECT par_id, label, 'bt ' || text AS text, 'aug' AS origin, 'bt' AS copy_no, CAST(NULL AS VARCHAR) AS error
-           FROM evaluated WHERE label = 1""",
+           FROM evaluated""",
         "evaluated",
     ),
+    "f10_augment_text_once": """
+        SELECT doc_id AS par_id, 'aug' AS origin, 'bt' AS copy_no, CAST(NULL AS VARCHAR) AS error,
+               md5(CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) THEN 'bt ' ELSE 'again ' END || text)
+                   AS text_md5
+        FROM documents""",
     "f9_evaluate_baseline": with_tables(
         with_metrics(
             f"""SELECT 'guess' AS scorer, {cells()} FROM (
@@ -444,7 +706,7 @@ ORACLE: dict[str, str] = {
            FROM evaluated a
            JOIN (SELECT par_id, label FROM corpus UNION ALL SELECT par_id, label FROM corpus WHERE par_id % 4 = 0) c
              ON a.par_id = c.par_id
-           WHERE a.label = 1 AND length(a.text) % 5 <> 0""",
+           WHERE length(a.text) % 5 <> 0""",
         "corpus",
         "evaluated",
     ),

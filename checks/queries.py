@@ -14,12 +14,14 @@ from gradeloom.functions.text import normalise_text, text_length, text_or_nan, w
 from gradeloom.operators import classifier, joins, metrics, sampling, tokens
 from gradeloom.operators.previews import preview
 from gradeloom.operators.row_index import with_row_index
-from gradeloom.operators.word_vectors import train_word_vectors
+from gradeloom.operators.word_vectors import count_neighbours, train_word_vectors
+from gradeloom.plans.data_report import data_report
 from gradeloom.plans.error_report import corpus_features, error_slices, evaluated_rows, gold_rows
 from gradeloom.plans.label_files import write_label_files
+from gradeloom.plans.single_run import single_run
 from gradeloom.plans.training_sets import training_sets
 from gradeloom.plans.word_similarity import word_similarity
-from gradeloom.sources import lines, scores, tables
+from gradeloom.sources import lines, run_store, scores, tables
 from gradeloom.staging import fresh_path, stage
 
 QUERIES: dict[str, Query] = {}
@@ -102,6 +104,16 @@ def a6_read_training_log(spark, sf_dir):
     return scores.log_entries(scores.read_training_log(spark, path, multi_line=False), "run_id")
 
 
+@query
+def a6_read_training_log_arrays(spark, sf_dir):
+    """Logs in files of one JSON array each, which goes over many lines."""
+    path = fresh_path(spark, "logs")
+    logs = t.logs(spark, sf_dir).select("run_id", F.to_json(F.struct("run_id", "log_history")).alias("log"))
+    arrays = logs.groupBy((F.col("run_id") % 8).alias("part")).agg(F.array_join(F.collect_list("log"), ",\n").alias("logs"))
+    arrays.select("part", F.concat(F.lit("[\n"), "logs", F.lit("\n]")).alias("value")).write.partitionBy("part").text(path)
+    return scores.log_entries(scores.read_training_log(spark, path), "run_id")
+
+
 @query
 def a7_write_label_lines(spark, sf_dir):
     path = fresh_path(spark, "labels.txt")
@@ -356,6 +368,12 @@ def d11_histogram_by_class(spark, sf_dir):
     return metrics.histogram_by_class(_both_lists(spark, sf_dir), "word_count")
 
 
+@query
+@rounded
+def d11_histogram_all_bins(spark, sf_dir):
+    return metrics.histogram_bins(_both_lists(spark, sf_dir), "word_count")
+
+
 @query
 def d12_confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(t.evaluated(spark, sf_dir))
@@ -424,6 +442,13 @@ def e6_split_train_valid(spark, sf_dir):
     return sampling.concat(train.withColumn("side", F.lit("train")), valid.withColumn("side", F.lit("valid")))
 
 
+@query
+def e6_split_by_id(spark, sf_dir):
+    """Copies of a row share its id, and lie on one side with it."""
+    train, valid = sampling.split_by_id(_rebalanced(spark, sf_dir, 3, 2.5))
+    return sampling.concat(train.withColumn("side", F.lit("train")), valid.withColumn("side", F.lit("valid")))
+
+
 @query
 def e7_concat(spark, sf_dir):
     train, dev, extra = (part(spark, sf_dir) for part in (t.train_list, t.dev_list, t.augmented))
@@ -471,10 +496,26 @@ def f3_sentences_of_words(spark, sf_dir):
     return spoken.withColumn("words", F.array_join("words", " "))
 
 
+@query
+@rounded
+def f3_learn_abbreviations(spark, sf_dir):
+    """All words that a full stop follows, with their scores."""
+    return tokens.learn_abbreviations(t.documents(spark, sf_dir), least=float("-inf"))
+
+
 @query
 def f4_train_word_vectors(spark, sf_dir):
+    """Vectors in millionths, so that they are whole numbers."""
+    spoken = tokens.sentences_of_words(t.documents(spark, sf_dir), "par_id")
+    vectors = train_word_vectors(spoken)
+    millionths = F.transform("vector", lambda x: F.round(x * 1e6).cast("long"))
+    return vectors.select("word", "n", F.array_join(millionths.cast("array<string>"), ",").alias("vector"))
+
+
+@query
+def f4_count_neighbours(spark, sf_dir):
     spoken = tokens.sentences_of_words(t.documents(spark, sf_dir), "par_id")
-    return train_word_vectors(spoken, order=("par_id", "sent_no"))
+    return count_neighbours(spoken)
 
 
 @query
@@ -494,17 +535,23 @@ def _training_rows(spark, sf_dir):
 
 
 @query
+@rounded
 def f6_train_text_classifier(spark, sf_dir):
     _, log = classifier.train_text_classifier(*_training_rows(spark, sf_dir))
     return log
 
 
+def _scored(scores):
+    return scores.withColumn("margin", F.col("logits")[1] - F.col("logits")[0]).drop("logits")
+
+
 @query
+@rounded
 def f7_score(spark, sf_dir):
     train, valid = _training_rows(spark, sf_dir)
     model, _ = classifier.train_text_classifier(train, valid, epochs=2)
     texts = t.documents(spark, sf_dir).select(F.col("par_id").alias("row_idx"), "text")
-    return classifier.score(model, texts).select("row_idx", "logits", "prediction")
+    return _scored(classifier.score(model, texts).select("row_idx", "logits", "prediction"))
 
 
 def _length_scorer():
@@ -520,10 +567,12 @@ def f7_score_with(spark, sf_dir):
 
 
 @query
+@rounded
 def f8_search_hyperparameters(spark, sf_dir):
     train, valid = _training_rows(spark, sf_dir)
     dev = joins.merge_with_labels(t.dev_list(spark, sf_dir), t.corpus(spark, sf_dir))
-    return classifier.search_hyperparameters(train, valid, dev)
+    runs = classifier.search_hyperparameters(train, valid, dev)
+    return runs.withColumn("learning_rate", F.col("learning_rate") * 1e5)
 
 
 @query
@@ -539,17 +588,29 @@ def f9_evaluate_baseline(spark, sf_dir):
 
 @query
 def f10_augment_text(spark, sf_dir):
-    positives = sampling.filter_class(t.evaluated(spark, sf_dir), 1).select("par_id", "label", "text")
-    return tokens.augment_text(positives, lambda texts: "bt " + texts, copy_no="bt")
+    rows = t.evaluated(spark, sf_dir).select("par_id", "label", "text")
+    return tokens.augment_text(rows, lambda texts: "bt " + texts, copy_no="bt")
 
 
 @query
+def f10_augment_text_once(spark, sf_dir):
+    """All texts, some of which several rows have, paraphrased by two runs over one memo."""
+    texts = t.documents(spark, sf_dir).select("par_id", "text")
+    memo = fresh_path(spark, "memo")
+    tokens.augment_text_once(texts.filter("par_id % 3 = 0"), lambda texts: "bt " + texts, "bt", memo, parts=2)
+    found = tokens.augment_text_once(texts, lambda texts: "again " + texts, "bt", memo, parts=2)
+    return found.select("par_id", F.md5("text").alias("text_md5"), "origin", "copy_no", "error")
+
+
+@query
+@rounded
 def f11_save_and_load_model(spark, sf_dir):
     train, valid = _training_rows(spark, sf_dir)
     model, _ = classifier.train_text_classifier(train, valid, epochs=1)
     path = fresh_path(spark, "model")
     classifier.save_model(model, path)
-    return classifier.score(classifier.load_model(path), valid).select("par_id", "prediction")
+    scored = classifier.score(classifier.load_model(spark, path), valid)
+    return _scored(scored.select("par_id", "logits", "prediction"))
 
 
 # Complete flows.
@@ -570,6 +631,24 @@ def flow_error_slices(spark, sf_dir):
     return error_slices(evaluated_rows(gold, t.corpus(spark, sf_dir), predictions))
 
 
+@query
+@rounded
+def flow_data_report(spark, sf_dir):
+    """All tables of the report on the data in one long form."""
+    lists = t.train_list(spark, sf_dir), t.dev_list(spark, sf_dir)
+    report = data_report(*lists, t.corpus(spark, sf_dir))
+    said = lambda name, key, part, value: (F.lit(name).alias("report"), key.alias("key"), part.alias("part"), value.cast("double").alias("value"))
+    text = lambda column: F.col(column).cast("string")
+    grades = [F.struct(F.lit(str(g)).alias("part"), F.col(f"label_{g}").alias("value")) for g in range(5)]
+    return sampling.concat(
+        report.classes.select(*said("classes", F.lit("all"), text("label"), F.col("n"))),
+        report.positive_rate.select(*said("positive_rate", bin_label(F.col("bin_left"), F.col("bin_right")), F.lit("1"), F.col("ratio"))),
+        report.word_counts.select(*said("word_counts", text("bin"), text("label"), F.col("n"))),
+        report.keywords.select(*said("keywords", F.col("keyword"), F.lit("all"), F.col("n"))),
+        report.grades.select("keyword", F.inline(F.array(*grades))).select(*said("grades", F.col("keyword"), F.col("part"), F.col("value"))),
+    )
+
+
 @query
 def flow_training_sets(spark, sf_dir):
     sets = training_sets(t.train_list(spark, sf_dir), t.corpus(spark, sf_dir), t.augmented(spark, sf_dir))
@@ -580,7 +659,7 @@ def flow_training_sets(spark, sf_dir):
 @query
 def flow_augmented_training(spark, sf_dir):
     """Paraphrases, some of which fail, through their files into a balanced set; corpus ids repeat."""
-    positives = t.evaluated(spark, sf_dir).filter("label = 1").select("par_id", "text")
+    rows = t.evaluated(spark, sf_dir).select("par_id", "text")
 
     def paraphrase(texts):
         if (texts.str.len() % 5 == 0).any():
@@ -588,13 +667,29 @@ def flow_augmented_training(spark, sf_dir):
         return "bt " + texts
 
     path = fresh_path(spark, "augmented")
-    tables.write_augmented(tokens.augment_text(positives, paraphrase, "bt"), path, failed_path=fresh_path(spark, "failed"))
+    tables.write_augmented(tokens.augment_text(rows, paraphrase, "bt"), path, failed_path=fresh_path(spark, "failed"))
     corpus = t.corpus(spark, sf_dir)
     twice = sampling.concat(corpus, corpus.filter(F.col("par_id") % 4 == 0))
     pool = joins.label_augmented(tables.read_augmented(spark, path), twice)
     return pool.select("par_id", "origin", "copy_no", "label", F.md5("text").alias("text_md5"))
 
 
+@query
+@rounded
+def flow_single_run(spark, sf_dir):
+    """A run that is stored twice, and read back from disk: both score sets with labels and metrics."""
+    train, valid = _training_rows(spark, sf_dir)
+    dev = joins.merge_with_labels(t.dev_list(spark, sf_dir), t.corpus(spark, sf_dir))
+    dev = dev.withColumn("row_idx", F.col("par_id"))
+    texts = t.documents(spark, sf_dir).select(F.col("par_id").alias("row_idx"), "text")
+    output = fresh_path(spark, "runs")
+    # Any run is good enough here.
+    for epochs in (1, 2):
+        single_run(train, valid, dev, texts, output, "run-1", min_f1=-1.0, epochs=epochs)
+    metrics = F.broadcast(run_store.read_runs(spark, output).select("run_id", "metrics.dev_f1", "metrics.dev_accuracy"))
+    return _scored(run_store.read_run_scores(spark, output).join(metrics, "run_id"))
+
+
 @query
 def flow_rewritten_scores(spark, sf_dir):
     """Scores of a run that is written twice."""

@@ -1,35 +1,29 @@
-"""Training, scoring and search of two-class text models."""
+"""Training, scoring and search of two-class text models, whose weights are a table.
+
+A text's features are its words, each with the root of its share of the text, and one
+feature that all texts have.  A model has a weight per feature; a text's margin is the
+sum of value times weight, a join and an aggregation.  Training takes one gradient over all
+rows per epoch and goes on from the last weights; trials are columns of the same table,
+so that a search reads the rows once per epoch, however many trials there are.
+"""
 
 from __future__ import annotations
 
 import math
 import random
+import statistics
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
-from threading import Lock
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.arrays import argmax
-from gradeloom.functions.labels import prediction_as_string
-from gradeloom.functions.text import WORD, text_or_nan
-from gradeloom.operators.metrics import (
-    GOOD_F1,
-    best_run,
-    binary_cells,
-    classification_metrics,
-    evaluate_scores,
-    select_runs,
-)
+from gradeloom.functions.text import text_or_nan, words
+from gradeloom.operators.metrics import GOOD_F1, evaluate_scores
 from gradeloom.operators.sampling import sample_hash
-from gradeloom.sources.scores import write_scores
+from gradeloom.sources.run_store import commit_run, read_runs, read_weights
 from gradeloom.staging import stage
 
 # The search space and the number of trials.
@@ -37,44 +31,114 @@ LEARNING_RATES = (1e-5, 4e-5)
 BATCH_SIZES = (6,)
 EPOCHS = (2, 3, 4, 6)
 TRIALS = 25
-# Fixed value: epochs of a single training run.
+# Epochs, rate and batch size of a single training run.
 DEFAULT_EPOCHS = 4
+DEFAULT_RATE = 2e-5
+DEFAULT_BATCH = 6
+# After these epochs a trial goes on only if its F1 is no worse than the median of all trials.
+RUNGS = (2, 4)
+# The rates are those of a large network; one layer over texts of unit length takes longer steps.
+STEP = 5e6
+# Weights and margins are kept to so many decimals, so that the order of sums does not matter.
+DECIMALS = 9
+# The feature of all texts.
+BIAS = ""
+# Features in a larger part than this of all entries are looked up in place; there are fewer of them.
+HEAD = 4096
 
 _SCORE_COLUMNS = "logits array<double>, prediction int"
 
 
-def _clean(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", text_or_nan(F.col("text")))
-
-
-def fit_features(train: DataFrame, features: int = 1 << 18) -> PipelineModel:
-    """Words to weighted counts of a fixed number of features."""
-    steps = [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=WORD, gaps=False, toLowercase=True),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
-        IDF(inputCol="_counts", outputCol="features"),
-    ]
-    return Pipeline(stages=steps).fit(_clean(train))
+def with_entries(df: DataFrame, text: str = "text", name: str = "entries") -> DataFrame:
+    """Every row with the features of its text and their values as an array of structs.
 
+    The squares of the values add up to 1, without that of the common feature.  A missing text
+    has the word "nan", a text without words only the common feature.
+    """
+    others = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(F.struct(*others).alias("row"), F.sort_array(words(F.col(text))).alias("ordered"))
+    placed = F.transform("ordered", lambda word, i: F.struct(word.alias("feature"), i.alias("at")))
+    first = lambda x, i: (i == 0) | (x["feature"] != F.get("ordered", i - 1))
+    rows = rows.select("row", F.size("ordered").alias("size"), F.filter(placed, first).alias("firsts"))
+    # The words are sorted, so a word's count is the distance to the next one.
+    count = lambda x, i: F.coalesce(F.get("firsts", i + 1)["at"], F.col("size")) - x["at"]
+    valued = F.transform(
+        "firsts", lambda x, i: F.struct(x["feature"].alias("feature"), F.sqrt(count(x, i) / F.col("size")).alias("value"))
+    )
+    common = F.array(F.struct(F.lit(BIAS).alias("feature"), F.lit(1.0).alias("value")))
+    return rows.select("row.*", F.concat(common, valued).alias(name))
 
-def _features(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(_clean(df)).drop("_words", "_counts", "text")
 
+@dataclass(frozen=True)
+class LinearModel:
+    """Weights as ``feature``, ``n`` (training rows that have it) and ``weight``."""
 
-def _classifier(epochs: int, rate: float) -> LogisticRegression:
-    return LogisticRegression(maxIter=epochs, regParam=rate, labelCol="label", featuresCol="features")
+    weights: DataFrame
 
 
-def _with_scores(scored: DataFrame) -> DataFrame:
-    logits = scored.withColumn("logits", vector_to_array(F.col("rawPrediction")))
-    return logits.withColumn("prediction", argmax(F.col("logits"))).drop(
-        "features", "rawPrediction", "probability", "_words", "_counts"
-    )
+def _margins(entries: DataFrame, weights: DataFrame, names: Sequence[str], total: int | None = None) -> DataFrame:
+    """Per ``row`` of ``entries`` (row, feature, value) the margin of each of the ``names`` columns of weights.
 
+    Features of many rows, fewer than ``HEAD``, are looked up in place, the others meet their
+    weights by feature.  Unknown features add nothing.  ``total`` is the sum of ``n``, if it is known.
+    """
+    total = weights.agg(F.sum("n")).first()[0] or 0 if total is None else total
+    often = F.col("n") * HEAD > total
+    head = F.broadcast(weights.filter(often).select("feature", *names).withColumn("known", F.lit(True)))
+    tail = weights.filter(~often).select("feature", *names)
+    looked = entries.join(head, "feature", "left")
+    near = looked.filter("known").select("row", "value", *names)
+    far = looked.filter("known IS NULL").select("row", "value", "feature").join(tail, "feature").select("row", "value", *names)
+    sums = [F.round(F.sum(F.col("value") * F.col(name)), DECIMALS).alias(name) for name in names]
+    return near.unionByName(far).groupBy("row").agg(*sums)
+
+
+def _chance(margin: Column) -> Column:
+    """Probability of class 1."""
+    return 1 / (1 + F.exp(-margin))
+
+
+def prior_bias(share: float | None) -> float:
+    """The margin at which class 1 has its share of the training rows, so that training starts from there."""
+    share = min(max(0.5 if share is None else share, 1e-3), 1 - 1e-3)
+    return round(math.log(share / (1 - share)), DECIMALS)
+
+
+def _learn(
+    rows: DataFrame,
+    entries: DataFrame,
+    weights: DataFrame | None,
+    trials: dict[str, Trial],
+    bias: float,
+    n_rows: int,
+    total: int,
+) -> DataFrame:
+    """Weights after one more epoch, a column for each trial; before the first all are 0 but that of all texts, ``bias``.
 
-def _f1_and_accuracy(scores: DataFrame) -> tuple[float, float]:
-    row = evaluate_scores(scores).head()
-    return row["f1_score"], row["accuracy"]
+    A feature's gradient is averaged over the rows that have it, or over a batch if those
+    are fewer.
+    """
+    labels = rows.select("row", F.col("label").cast("double").alias("label"))
+    if weights is None:
+        residuals = labels.select("row", *((_chance(F.lit(bias)) - F.col("label")).alias(name) for name in trials))
+    else:
+        met = labels.join(_margins(entries, weights, list(trials), total), "row", "left")
+        residuals = met.select("row", *((_chance(F.coalesce(name, F.lit(0.0))) - F.col("label")).alias(name) for name in trials))
+    errors = rows.select("row", "entries").join(residuals, "row").select(*trials, F.inline("entries"))
+    sums = errors.groupBy("feature").agg(F.count("*").alias("n"), *(F.sum(F.col("value") * F.col(name)).alias(name) for name in trials))
+    before = {name: F.when(F.col("feature") == BIAS, bias).otherwise(0.0) for name in trials}
+    if weights is not None:
+        old = weights.select("feature", *(F.col(name).alias(f"old_{name}") for name in trials))
+        sums = sums.join(old, "feature")
+        before = {name: F.col(f"old_{name}") for name in trials}
+    # Words of most texts move little, or their many small steps would add up to a swing of all margins.
+    rarity = F.pow(F.log(F.lit(float(n_rows)) / F.col("n")) / math.log(max(n_rows, 2)), F.lit(2.0))
+    steps = {
+        name: F.lit(trial.learning_rate * STEP) * rarity / F.greatest(F.col("n"), F.lit(trial.batch_size))
+        for name, trial in trials.items()
+    }
+    learnt = [F.round(before[name] - steps[name] * F.col(name), DECIMALS).alias(name) for name in trials]
+    return stage(sums.select("feature", "n", *learnt), "weights")
 
 
 @dataclass
@@ -85,48 +149,106 @@ class Epoch:
     eval_accuracy: float
 
 
-def _evaluate(epoch: int, scored: DataFrame) -> Epoch:
-    """Loss and metrics of one epoch in one scan."""
-    chance = F.element_at(vector_to_array(F.col("probability")), F.col("label") + 1)
-    loss = F.avg(-F.log(F.greatest(chance, F.lit(1e-15)))).alias("loss")
-    predicted = argmax(vector_to_array(F.col("rawPrediction")))
-    rows = scored.withColumn("prediction", prediction_as_string(predicted))
-    row = classification_metrics(rows.agg(loss, *binary_cells())).head()
-    return Epoch(epoch, row["loss"], row["f1_score"], row["accuracy"])
+def _evaluate(
+    epoch: int, rows: DataFrame, entries: DataFrame, weights: DataFrame, names: Sequence[str], total: int | None = None
+) -> dict[str, Epoch]:
+    """Loss and metrics of all trials in one scan."""
+    met = rows.select("row", "label").join(_margins(entries, weights, names, total), "row", "left").fillna(0.0, subset=list(names))
+    cells = []
+    for name in names:
+        right = F.when(F.col("label") == 1, _chance(F.col(name))).otherwise(1 - _chance(F.col(name)))
+        said = F.col(name) > 0
+        cells += [
+            F.avg(-F.log(F.greatest(right, F.lit(1e-15)))),
+            F.count_if(said & (F.col("label") == 1)),
+            F.count_if(said & (F.col("label") == 0)),
+            F.count_if(~said & (F.col("label") == 1)),
+            F.count("*"),
+        ]
+    values = met.agg(*cells).first()
+    found = {}
+    for i, name in enumerate(names):
+        loss, tp, fp, fn, n = values[5 * i : 5 * i + 5]
+        precision, recall = (tp / part if part else 0.0 for part in (tp + fp, tp + fn))
+        f1 = 2 * (precision * recall) / (precision + recall) if precision + recall else 0.0
+        found[name] = Epoch(epoch, math.nan if loss is None else loss, f1, (n - fp - fn) / n if n else 0.0)
+    return found
+
+
+def _prepared(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a number of their own and their entries, written once, and the entries as rows."""
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), "label", "text")
+    rows = stage(with_entries(numbered).drop("text"), "features")
+    return rows, rows.select("row", F.inline("entries"))
+
+
+def _fit(train: DataFrame, valid: DataFrame, trials: dict[str, Trial], rungs: Sequence[int]) -> tuple[dict[str, list[Epoch]], DataFrame]:
+    """The epochs of every trial, and a table with the weights of its best epoch as a column each."""
+    (rows, entries), (valid_rows, valid_entries) = _prepared(train), _prepared(valid)
+    logs: dict[str, list[Epoch]] = {name: [] for name in trials}
+    tables: list[DataFrame] = []
+    going = dict(trials)
+    # As many entries as the weights of any epoch count rows.
+    n_rows, total, share = rows.agg(F.count("*"), F.sum(F.size("entries")), F.avg(F.col("label").cast("double"))).first()
+    total, bias = total or 0, prior_bias(share)
+    for epoch in range(1, max(trial.epochs for trial in trials.values()) + 1):
+        tables.append(_learn(rows, entries, tables[-1] if tables else None, going, bias, n_rows, total))
+        for name, result in _evaluate(epoch, valid_rows, valid_entries, tables[-1], list(going), total).items():
+            logs[name].append(result)
+        if epoch in rungs:
+            middle = statistics.median(logs[name][-1].eval_f1 for name in going)
+            going = {name: trial for name, trial in going.items() if logs[name][-1].eval_f1 >= middle}
+        going = {name: trial for name, trial in going.items() if trial.epochs > epoch}
+        if not going:
+            break
+    best = {name: min(log, key=lambda e: (e.eval_loss, e.epoch)).epoch for name, log in logs.items()}
+    # All tables have the features of the training rows.
+    chosen = None
+    for epoch, table in enumerate(tables, 1):
+        names = [name for name in trials if best[name] == epoch]
+        if names:
+            part = table.select("feature", *(["n"] if chosen is None else []), *names)
+            chosen = part if chosen is None else chosen.join(part, "feature")
+    return logs, stage(chosen.select("feature", "n", *trials), "weights")
 
 
 def train_text_classifier(
     train: DataFrame,
     valid: DataFrame,
     epochs: int = DEFAULT_EPOCHS,
-    rate: float = 2e-5,
-    features: int = 1 << 18,
-) -> tuple[PipelineModel, DataFrame]:
+    rate: float = DEFAULT_RATE,
+    batch_size: int = DEFAULT_BATCH,
+) -> tuple[LinearModel, DataFrame]:
     """Fit a text model and keep the epoch with the lowest validation loss.
 
-    An epoch is one more iteration of the solver.  Returns the model and the
-    evaluation after every epoch.
+    Every epoch is one pass over the rows that starts from the weights of the last one.
+    Returns the model and the evaluation after every epoch.  Rows need a ``text`` and a
+    ``label`` of 0 or 1.
     """
-    prepare = fit_features(train, features)
-    train_rows, valid_rows = (stage(_features(prepare, df), "features") for df in (train, valid))
-    history: list[Epoch] = []
-    best: LogisticRegressionModel | None = None
-    for epoch in range(1, epochs + 1):
-        model = _classifier(epoch, rate).fit(train_rows)
-        result = _evaluate(epoch, model.transform(valid_rows))
-        if best is None or result.eval_loss < min(e.eval_loss for e in history):
-            best = model
-        history.append(result)
+    trial = Trial("single", rate, batch_size, epochs)
+    logs, weights = _fit(train, valid, {"weight": trial}, ())
     log = train.sparkSession.createDataFrame(
-        [tuple(asdict(e).values()) for e in history],
+        [tuple(asdict(e).values()) for e in logs["weight"]],
         "epoch int, eval_loss double, eval_f1 double, eval_accuracy double",
     )
-    return PipelineModel(stages=[prepare, best]), log
+    return LinearModel(weights), log
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add ``logits`` and ``prediction``; ``row_idx`` keeps the order of the input."""
-    return _with_scores(model.transform(_clean(df)))
+def score(model: LinearModel, df: DataFrame) -> DataFrame:
+    """Add ``logits`` and ``prediction``; ``row_idx`` keeps the order of the input.
+
+    The logits are minus and plus half the margin.  Columns of ``df`` keep their names; those of
+    the names added are replaced.
+    """
+    kept = [c for c in df.columns if c not in ("logits", "prediction")]
+    packed = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("kept"))
+    rows = stage(packed, "texts")
+    # Outer, since Spark would work the entries out once more to leave out empty ones first.
+    entries = with_entries(rows.select("row", "kept.text")).select("row", F.inline_outer("entries"))
+    met = rows.join(_margins(entries, model.weights, ["weight"]), "row", "left")
+    half = F.coalesce("weight", F.lit(0.0)) / 2
+    scored = met.select("kept.*", F.array(-half, half).alias("logits"))
+    return scored.withColumn("prediction", argmax(F.col("logits")))
 
 
 def score_with(df: DataFrame, load_scorer: Callable[[], Callable[[pd.Series], np.ndarray]]) -> DataFrame:
@@ -134,7 +256,7 @@ def score_with(df: DataFrame, load_scorer: Callable[[], Callable[[pd.Series], np
 
     The scorer maps a batch of texts to one row of scores per text.
     """
-    plain = _clean(df)
+    plain = df.withColumn("text", text_or_nan(F.col("text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,9 +279,10 @@ def hash_scorer(key: Sequence[str], seed: int = 42) -> Column:
     return F.when(says_one, constant_scorer(1)).otherwise(constant_scorer(0))
 
 
-def evaluate_baseline(df: DataFrame, scorer: Column) -> DataFrame:
-    """Counts and metrics of an untrained scorer."""
-    return evaluate_scores(df.withColumn("logits", scorer))
+def evaluate_baseline(df: DataFrame, scorer: Column | Callable[[], Callable[[pd.Series], np.ndarray]]) -> DataFrame:
+    """Counts and metrics of an untrained scorer: a column of scores, or a function as for :func:`score_with`."""
+    scored = df.withColumn("logits", scorer) if isinstance(scorer, Column) else score_with(df.drop("logits", "prediction"), scorer)
+    return evaluate_scores(scored)
 
 
 @dataclass(frozen=True)
@@ -186,7 +309,9 @@ def draw_trials(
     ]
 
 
-_RUNS = "run_id string, learning_rate double, batch_size int, epochs int, split string, f1 double, accuracy double"
+_RUNS = (
+    "run_id string, learning_rate double, batch_size int, epochs int, epochs_run int, split string, f1 double, accuracy double"
+)
 
 
 def search_hyperparameters(
@@ -194,64 +319,55 @@ def search_hyperparameters(
     valid: DataFrame,
     dev: DataFrame,
     final: DataFrame | None = None,
-    trials: int = TRIALS,
+    trials: int | Sequence[Trial] = TRIALS,
     seed: int = 42,
     min_f1: float = GOOD_F1,
     output: str | None = None,
-    features: int = 1 << 18,
-    parallelism: int = 4,
+    rungs: Sequence[int] = RUNGS,
 ) -> DataFrame:
-    """Fit every trial and report its metrics on the validation and dev rows.
-
-    The features are computed once for all trials.  With ``output``, the model
-    of a run whose dev F1 is above ``min_f1`` is saved there, with its scores of
-    the dev rows ("valid") and of ``final``, which need a ``row_idx`` then.
-    ``best_run`` on split "valid"
-    picks the result.  The rate is the regularisation of the linear model; the
-    batch size is recorded only.
+    """Fit all trials together and report the metrics of their best epochs on the validation and dev rows.
+
+    The rows are read once per epoch for all trials.  After the ``rungs``, trials below the median
+    F1 stop.  With ``output``, a run whose dev F1 is above ``min_f1`` is committed to the run store
+    there, with its scores of the dev rows ("valid") and of ``final``, which need a ``row_idx`` then.
+    ``best_run`` on split "valid" picks the result.
     """
-    sets = {"train": train, "valid": valid, "dev": dev}
-    if final is not None:
-        sets["final"] = final
-    lacking = [name for name in ("dev", "final") if name in sets and "row_idx" not in sets[name].columns]
+    lacking = [
+        name for name, df in (("dev", dev), ("final", final)) if df is not None and "row_idx" not in df.columns
+    ]
     if output is not None and lacking:
         raise ValueError(f"to store scores, {' and '.join(lacking)} need a row_idx")
-    prepare = fit_features(train, features)
-    rows = {name: stage(_features(prepare, df), "features") for name, df in sets.items()}
-    # Two writes to one folder at a time would clear each other's temporary files.
-    one_writer = Lock()
-
-    def run(trial: Trial) -> list[tuple]:
-        model = _classifier(trial.epochs, trial.learning_rate).fit(rows["train"])
-        scores = {name: _with_scores(model.transform(rows[name])) for name in rows if name != "train"}
-        measured = {split: _f1_and_accuracy(scores[split]) for split in ("valid", "dev")}
-        if output is not None and measured["dev"][0] > min_f1:
-            save_model(PipelineModel(stages=[prepare, model]), f"{output}/models/{trial.run_id}")
-            for split, name in (("valid", "dev"), ("final", "final")):
-                if name in scores:
-                    labelled = scores[name].withColumns({"run_id": F.lit(trial.run_id), "split": F.lit(split)})
-                    with one_writer:
-                        write_scores(labelled, f"{output}/scores")
-        return [(*asdict(trial).values(), split, *metrics) for split, metrics in measured.items()]
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(run, draw_trials(trials, seed)))
-    return train.sparkSession.createDataFrame([row for of_run in results for row in of_run], _RUNS)
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
-def load_best(runs: DataFrame, output: str) -> PipelineModel:
-    """The saved model of the best run that passed the bar."""
-    good = select_runs(runs, split="dev").select("run_id")
-    candidates = runs.filter(F.col("split") == "valid").join(good, "run_id", "left_semi")
-    best = best_run(candidates).head()
+    drawn = draw_trials(trials, seed) if isinstance(trials, int) else list(trials)
+    # Names of columns, whatever the ids of the runs are.
+    named = {f"w{i}": trial for i, trial in enumerate(drawn)}
+    logs, weights = _fit(train, valid, named, rungs)
+    dev_rows, dev_entries = _prepared(dev)
+    on_dev = _evaluate(0, dev_rows, dev_entries, weights, list(named))
+    rows = []
+    for name, trial in named.items():
+        best = min(logs[name], key=lambda e: (e.eval_loss, e.epoch))
+        for split, result in (("valid", best), ("dev", on_dev[name])):
+            rows.append((*asdict(trial).values(), len(logs[name]), split, result.eval_f1, result.eval_accuracy))
+        if output is not None and on_dev[name].eval_f1 > min_f1:
+            model = LinearModel(weights.select("feature", "n", F.col(name).alias("weight")))
+            scores = {"valid": score(model, dev)} | ({} if final is None else {"final": score(model, final)})
+            metrics = {"valid_f1": best.eval_f1, "dev_f1": on_dev[name].eval_f1, "dev_accuracy": on_dev[name].eval_accuracy}
+            commit_run(output, trial.run_id, scores, metrics, asdict(trial), weights=model.weights, min_f1=min_f1)
+    return train.sparkSession.createDataFrame(rows, _RUNS)
+
+
+def save_model(model: LinearModel, path: str) -> None:
+    """Write the weights; a model that was there before is replaced."""
+    model.weights.select("feature", "n", "weight").write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> LinearModel:
+    return LinearModel(spark.read.parquet(path))
+
+
+def load_best(spark: SparkSession, output: str) -> LinearModel:
+    """The model of the committed run with the best validation F1, from disk; the smallest run id on ties."""
+    best = read_runs(spark, output).orderBy(F.desc(F.col("metrics")["valid_f1"]), "run_id").head()
     if best is None:
         raise ValueError("no run passed the bar")
-    return load_model(f"{output}/models/{best['run_id']}")
+    return LinearModel(read_weights(spark, output, best["attempt"]))

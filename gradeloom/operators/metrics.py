@@ -177,6 +177,24 @@ def histogram_by_class(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     return counts.groupBy(number.alias("bin"), "label").agg(F.sum("n").alias("n"))
 
 
+def histogram_bins(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
+    """The same with all bins of the labels 0 and 1, empty ones too, and their edges as ``bin_left`` and ``bin_right``.
+
+    A table without values has no edges and no bins.
+    """
+    counts = stage(histogram_by_class(df, column, bins), "bins")
+    value = F.col(column).cast("double")
+    flat = F.when(F.min(value) == F.max(value), F.lit(0.5)).otherwise(F.lit(0.0))
+    rows = df.filter(F.col("label").isNotNull() & value.isNotNull())
+    span = rows.agg((F.min(value) - flat).alias("lo"), (F.max(value) + flat).alias("hi")).filter("lo IS NOT NULL")
+    listed = span.select("lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    listed = listed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
+    edge = lambda at: F.col("lo") + (F.col("hi") - F.col("lo")) * at / bins
+    edges = {"bin_left": edge(F.col("bin") - 1), "bin_right": edge(F.col("bin"))}
+    found = listed.withColumns(edges).join(counts, ["bin", "label"], "left")
+    return found.select("bin", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "bin_left", "bin_right")
+
+
 def confusion_matrix(df: DataFrame) -> DataFrame:
     """One row per true label 0 and 1, one column per predicted label."""
     predicted = prediction_as_string(F.col("prediction"))

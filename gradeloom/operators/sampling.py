@@ -192,6 +192,27 @@ def split_train_valid(
     return train, anti_join_by_key(df, train, id_column)
 
 
+def split_by_id(
+    df: DataFrame, frac: float = 0.8, seed: int = SEED, id_column: str = KEY
+) -> tuple[DataFrame, DataFrame]:
+    """Draw whole ids for training; all other rows are for validation, and none is lost.
+
+    Ids are taken in the order of their hashes until the next one would go past ``frac`` of the rows;
+    that one is taken if at least half of it is needed.  Rows without an id are one id.  Both
+    sides are plain filters.
+    """
+    if not 0 <= frac <= 1:
+        raise ValueError("the fraction must lie between 0 and 1")
+    hashed = df.withColumn(_HASH, sample_hash(seed, "split_id", [id_column]))
+    cut = _find_cut(hashed.select(_HASH), lambda size: round(frac * size))
+    if cut is None:
+        return df.limit(0), df
+    prefix = F.substring(_HASH, 1, len(cut.prefix))
+    # A cut within an id has the whole hash as its prefix.
+    drawn = prefix <= cut.prefix if 2 * cut.needed >= cut.available else prefix < cut.prefix
+    return hashed.filter(drawn).drop(_HASH), hashed.filter(~drawn).drop(_HASH)
+
+
 def lost_rows(df: DataFrame, train: DataFrame, valid: DataFrame) -> int:
     """Rows that ``split_train_valid`` gave to neither side."""
     return df.count() - train.count() - valid.count()

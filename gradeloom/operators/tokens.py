@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from gradeloom.functions.text import NOT_BLANK, sentence_words, sentences, words
+from gradeloom.functions.text import NOT_BLANK, sentence_words, sentences, text_or_nan, words
 from gradeloom.operators.row_index import with_row_index
 from gradeloom.staging import stage
 
@@ -16,7 +20,15 @@ from gradeloom.staging import stage
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 MAX_LENGTH = 512
 # The most frequent words; every task has them at hand, so that they are not dealt out by word.
-HEAD = 20_000
+HEAD = 200_000
+
+
+# A word with full stops inside or behind it.
+STOPPED_WORD = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*\.?"
+# The share of full stops behind an abbreviation, and the score from which a word is one.
+ALWAYS, LEAST_ABBREVIATION = 0.99, 0.3
+# Stands for white space that ends no sentence.
+_JOINED = "\x02"
 
 
 def build_vocab(df: DataFrame, min_count: int = 1, max_size: int | None = None, text: str = "text") -> DataFrame:
@@ -25,7 +37,9 @@ def build_vocab(df: DataFrame, min_count: int = 1, max_size: int | None = None,
     Words of equal count are in word order.  ``max_size`` keeps only the first of them.
     """
     counts = (
-        df.select(F.explode(words(F.col(text))).alias("token"))
+        # Outer, since Spark would look for the words once more to leave out texts without any first.
+        df.select(F.explode_outer(words(F.col(text))).alias("token"))
+        .filter("token IS NOT NULL")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= min_count)
@@ -63,32 +77,116 @@ def encode_tokens(
         raise ValueError("there is no room for a word")
     # Written with a number for every row, which stays the same when tasks are run again.
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    tokens = rows.select("_row", F.posexplode(F.slice(words(F.col(text)), 1, room)).alias("_pos", "token"))
     known = stage(vocab.select("token", "id"), "vocabulary")
-    frequent = F.broadcast(known.filter(F.col("id") < FIRST_ID + HEAD).withColumnRenamed("id", "_frequent"))
-    # A frequent word is looked up in place; the others meet their ids by word.
-    looked = tokens.join(frequent, "token", "left")
-    found = looked.filter(F.col("_frequent").isNotNull()).select("_row", "_pos", F.col("_frequent").alias("id"))
-    rare = looked.filter(F.col("_frequent").isNull()).select("_row", "_pos", "token")
+    # Ids are different, so these are at most HEAD.
+    frequent = known.filter(F.col("id") < FIRST_ID + HEAD).collect()
     tail = known.filter(F.col("id") >= FIRST_ID + HEAD)
-    rest = rare.join(tail, "token", "left").select("_row", "_pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
-    # A text has at most max_length entries.
-    entry = F.struct("_pos", F.col("id").cast("int").alias("id"))
-    ids = found.unionByName(rest).groupBy("_row").agg(F.sort_array(F.collect_list(entry))["id"].alias("_ids"))
-    encoded = rows.join(ids, "_row", "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+    has_tail = bool(tail.head(1))
+    at_hand = rows.sparkSession.sparkContext.broadcast(
+        (pa.array([r["token"] for r in frequent], pa.string()), np.array([r["id"] for r in frequent], np.int32))
+    )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Frequent words as ids in their places; the others with their places apart, if any can be known."""
+        for batch in batches:
+            words, flat = batch.column("_words"), batch.column("_words").flatten()
+            tokens, ids = at_hand.value
+            found = pc.index_in(flat, value_set=tokens).fill_null(-1).to_numpy()
+            filled = np.where(found >= 0, ids[np.maximum(found, 0)] if len(ids) else UNKNOWN, UNKNOWN).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]).astype(np.int32)
+            results = {"_ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(filled))}
+            if has_tail:
+                rare = np.flatnonzero(found < 0)
+                cuts = np.searchsorted(rare, ends)
+                places = rare - np.repeat(ends[:-1], np.diff(cuts))
+                columns = [pa.array(places.astype(np.int32)), flat.take(pa.array(rare))]
+                entries = pa.StructArray.from_arrays(columns, names=["pos", "token"])
+                results["_rare"] = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), entries)
+            kept = {name: batch.column(name) for name in batch.schema.names if name != "_words"} | results
+            yield pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
+
+    def filled(numbered: DataFrame) -> DataFrame:
+        added = [StructField("_ids", ArrayType(IntegerType()))]
+        if has_tail:
+            entry = StructType([StructField("pos", IntegerType()), StructField("token", StringType())])
+            added.append(StructField("_rare", ArrayType(entry)))
+        schema = StructType([*numbered.drop("_words").schema.fields, *added])
+        return numbered.mapInArrow(fill, schema)
+
+    spoken = F.slice(words(F.col(text)), 1, room).alias("_words")
+    if has_tail:
+        ids = stage(filled(rows.select("_row", spoken)), "filled")
+        late = ids.select("_row", F.inline("_rare")).join(tail, "token")
+        # A text has at most max_length entries.
+        late = late.groupBy("_row").agg(F.collect_list(F.struct("pos", F.col("id").cast("int").alias("id"))).alias("_late"))
+        own = F.transform("_ids", lambda x, i: F.struct(i.alias("pos"), x.alias("id")))
+        both = ids.join(late, "_row", "left").withColumn("_both", F.sort_array(F.concat(own, "_late")))
+        # Of two entries for a place the larger counts: the other one is that of an unknown word.
+        last = F.filter("_both", lambda x, i: F.coalesce(F.get("_both", i + 1)["pos"] != x["pos"], F.lit(True)))
+        ids = both.select("_row", F.coalesce(last["id"], F.col("_ids")).alias("_ids"))
+        encoded = rows.join(ids, "_row", "left")
+    else:
+        encoded = filled(rows.select("*", spoken))
     edges = [F.array() if i is None else F.array(F.lit(i)) for i in (begin, end)]
     whole = F.concat(edges[0].cast("array<int>"), F.col("_ids"), edges[1].cast("array<int>"))
     return encoded.withColumns(_fit(whole, max_length)).drop("_row", "_ids")
 
 
-def sentences_of_words(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """One row per sentence with its number in the text and its words."""
-    split = df.select(*keep, F.posexplode(sentences(F.col(text))).alias("sent_no", "_sentence"))
+def learn_abbreviations(df: DataFrame, text: str = "text", least: float = LEAST_ABBREVIATION) -> DataFrame:
+    """Words that a full stop mostly belongs to, as ``word``, ``n``, ``n_stops`` and ``score``.
+
+    A word's share of full stops (``n_stops`` of ``n``) is compared with that of all words by a log-likelihood
+    ratio: does a stop follow nearly always, or as often as anywhere?  Long words and
+    words that also stand without a stop weigh less, words with stops inside more.  One
+    aggregation; words are lower-cased, and those scored below ``least`` are left out.
+    """
+    found = F.regexp_extract_all(F.lower(text_or_nan(F.col(text))), F.lit(STOPPED_WORD), F.lit(0))
+    spoken = df.select(F.explode_outer(found).alias("token")).filter("token IS NOT NULL")
+    stopped = F.col("token").endswith(".")
+    counts = spoken.groupBy(F.rtrim("token", F.lit(".")).alias("word")).agg(
+        F.count("*").alias("n"), F.count_if(stopped).alias("n_stops")
+    )
+    counts = stage(counts, "stops")
+    total = counts.agg(F.sum("n").cast("double"), F.sum("n_stops").cast("double")).first()
+    share = min(max((total[1] or 0.0) / (total[0] or 1.0), 1e-9), 1 - 1e-9)
+    without = F.col("n") - F.col("n_stops")
+    anywhere = F.col("n_stops") * F.lit(math.log(share)) + without * F.lit(math.log(1 - share))
+    always = F.col("n_stops") * F.lit(math.log(ALWAYS)) + without * F.lit(math.log(1 - ALWAYS))
+    letters = F.length(F.replace("word", F.lit("."), F.lit("")))
+    inner = F.length("word") - letters
+    score = 2 * (always - anywhere) * F.exp(-letters.cast("double")) * (inner + 1) * F.pow(letters.cast("double"), -without.cast("double"))
+    return counts.withColumn("score", score).filter((F.col("n_stops") > 0) & (F.col("score") >= least))
+
+
+def sentences_of_words(df: DataFrame, *keep: str, text: str = "text", abbreviations: DataFrame | None = None) -> DataFrame:
+    """One row per sentence with its number in the text and its words.
+
+    The full stop of a word in ``abbreviations`` (a column ``word``, lower-cased) ends no sentence.
+    """
+    if abbreviations is not None:
+        df, text = _with_joined_stops(df, text, abbreviations), "_joined"
+    split = df.select(*keep, F.posexplode_outer(sentences(F.col(text))).alias("sent_no", "_sentence"))
     # What is not white space gives a word; asking for words here would look for them twice.
-    spoken = split.filter(F.col("_sentence").rlike(NOT_BLANK))
+    spoken = split.filter(F.col("_sentence").rlike(NOT_BLANK)).withColumn("_sentence", F.replace("_sentence", F.lit(_JOINED), F.lit(" ")))
     return spoken.withColumn("words", sentence_words(F.col("_sentence"))).drop("_sentence")
 
 
+def _with_joined_stops(df: DataFrame, text: str, abbreviations: DataFrame) -> DataFrame:
+    """Every row with ``_joined``, its text with a mark instead of the white space behind each abbreviation."""
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    lowered = F.lower(text_or_nan(F.col(text)))
+    stops = F.regexp_extract_all(lowered, F.lit(rf"({STOPPED_WORD})[ \t\n\r\f]"), F.lit(1))
+    said = rows.select("_row", F.explode_outer(F.array_distinct(stops)).alias("token")).filter(F.col("token").endswith("."))
+    said = said.select("_row", F.rtrim("token", F.lit(".")).alias("word"))
+    # At most the different words of one text.
+    own = said.join(abbreviations.select("word").distinct(), "word", "left_semi").groupBy("_row").agg(F.collect_set("word").alias("_own"))
+    met = rows.join(own, "_row", "left")
+    choices = F.replace(F.array_join(F.sort_array("_own", asc=False), "|"), F.lit("."), F.lit("\\."))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}.])("), choices, F.lit(r")\.[ \t\n\r\f]+"))
+    joined = F.when(F.col("_own").isNotNull(), F.regexp_replace(text_or_nan(F.col(text)), pattern, F.lit(f"$1.{_JOINED}")))
+    return met.withColumn("_joined", F.coalesce(joined, F.col(text))).drop("_row", "_own")
+
+
 def augment_text(
     df: DataFrame, paraphrase: Callable[[pd.Series], pd.Series], copy_no: str, text: str = "text"
 ) -> DataFrame:
@@ -118,3 +216,44 @@ def augment_text(
             yield batch.assign(**{text: texts, "origin": "aug", "copy_no": copy_no, "error": errors})
 
     return plain.mapInPandas(replace, schema)
+
+
+def augment_text_once(
+    df: DataFrame,
+    paraphrase: Callable[[pd.Series], pd.Series],
+    copy_no: str,
+    memo: str,
+    text: str = "text",
+    parts: int = 16,
+) -> DataFrame:
+    """The same, but a text is sent once, however many rows have it and however often this is run.
+
+    Answers are kept in the table ``memo`` by a hash of 128 bits and written in ``parts`` commits, so
+    that a run that breaks off loses one part at most.  Texts that failed are sent again by the
+    next run; rows without a text are not sent.
+    """
+    spark = df.sparkSession
+    plain = df.drop("origin", "copy_no", "error")
+    key = F.md5(F.col(text).cast("binary"))
+    answers = "key string, answer string, error string"
+    for part in range(parts):
+        own = F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(parts)) == part
+        asked = plain.select(key.alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & own)
+        asked = asked.groupBy("key").agg(F.first("text").alias("text"))
+        if _exists(spark, memo):
+            done = spark.read.schema(answers).parquet(memo).filter(F.col("error").isNull() & own)
+            asked = asked.join(done, "key", "left_anti")
+        answered = augment_text(asked, paraphrase, copy_no).select("key", F.col("text").alias("answer"), "error")
+        answered.write.mode("append").parquet(memo)
+    known = spark.read.schema(answers).parquet(memo).groupBy("key")
+    # The answer if there is one, else the reason of the last failure in order.
+    best = known.agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "error", "answer")).alias("found"))
+    names = plain.columns
+    met = plain.withColumn("_key", key).join(best.withColumnRenamed("key", "_key"), "_key", "left")
+    kept = [F.col("found.answer").alias(c) if c == text else F.col(f"`{c}`") for c in names]
+    return met.select(*kept, F.lit("aug").alias("origin"), F.lit(copy_no).alias("copy_no"), F.col("found.error").alias("error"))
+
+
+def _exists(spark, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

@@ -1,52 +1,86 @@
-"""Word vectors."""
+"""Word vectors from counts of words that stand near each other.
+
+Everything is a table: weighted counts of pairs, their log ratios to chance, and
+vectors as sums of signed hashed dimensions.  No model passes through the driver, and
+neither the vocabulary nor a sentence has a largest size.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gradeloom.staging import stage
+
+# Log ratios are kept in steps of one in 2**20, so that their sums do not depend on their order.
+STEPS = 1 << 20
+
+
+def count_neighbours(sentences: DataFrame, window: int = 5, words: str = "words") -> DataFrame:
+    """``a``, ``b`` (a <= b) and the weight ``n`` of all pairs of words within ``window`` words of a sentence.
+
+    Neighbours count ``window``, the next ones less by one, and so on; a word that meets
+    itself counts for both.  Null words stand in the way but are in no pair.
+    """
+    if window < 1:
+        raise ValueError("the window has to reach one word at least")
+    rows = sentences.select(F.col(words).alias("words"))
+    following = lambda word, i: F.array(
+        *(
+            F.struct(
+                F.least(word, F.get("words", i + k)).alias("a"),
+                F.greatest(word, F.get("words", i + k)).alias("b"),
+                F.lit(window + 1 - k).cast("long").alias("n"),
+                (word.isNotNull() & F.get("words", i + k).isNotNull()).alias("both"),
+            )
+            for k in range(1, window + 1)
+        )
+    )
+    near = rows.select(F.transform("words", following).alias("near"))
+    # Outer, since Spark would work the arrays out once more to leave out empty ones first.
+    pairs = near.select(F.explode_outer("near").alias("near")).select(F.inline_outer("near")).filter("both")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-MAX_WORDS = 1_000_000
+
+def _number(word: str | Column, begin: int, digits: int) -> Column:
+    """Hexadecimal digits of the word's MD5 as a number."""
+    return F.conv(F.substring(F.md5(F.col(word).cast("binary")), begin, digits), 16, 10).cast("long")
 
 
 def train_word_vectors(
-    sentences: DataFrame,
-    size: int = 100,
-    window: int = 5,
-    min_count: int = 1,
-    seed: int = 42,
-    partitions: int | None = None,
-    order: tuple[str, ...] = (),
-    iterations: int = 1,
-    max_words: int = MAX_WORDS,
+    sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, words: str = "words"
 ) -> DataFrame:
-    """Skip-gram vectors as ``word`` and ``vector``.
-
-    ``order`` names columns that identify a sentence; with them every partition
-    gets the same sentences in the same order each time.  The default number of
-    ``partitions`` is that of shuffles; with more than one, Spark adds up their
-    updates as they come, and two runs differ a little.
+    """``word``, ``n`` (occurrences) and ``vector`` of ``size`` doubles for every word.
 
-    Spark keeps the vectors of all words on the driver and sends them to every
-    task, so more than ``max_words`` words fail before training starts; raise
-    ``min_count`` then, or the bound if the memory allows.
+    The weight of a word's neighbour is ln(n(a, b) * N / (n(a) * n(b))) where that is positive,
+    with n(a) the sum of a word's pairs and N that of all words.  A neighbour adds its
+    weight to one dimension or takes it away, by its MD5, so that the products of vectors are
+    those of the weights on average.  Words below ``min_count`` have no vector and are nobody's
+    neighbour; a word without a neighbour has the zero vector.  The result does not depend on
+    partitions; an empty table gives an empty result.
     """
-    counts = sentences.select(F.explode("words").alias("word")).groupBy("word").count()
-    found = counts.filter(F.col("count") >= min_count).count()
-    if found > max_words:
-        raise ValueError(f"{found} words occur {min_count} times or more, the model holds {max_words}")
-    partitions = partitions or int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = sentences.repartition(partitions, *order) if order else sentences.repartition(partitions)
-    ordered = keyed.sortWithinPartitions(*order) if order else keyed
-    trainer = Word2Vec(
-        vectorSize=size,
-        windowSize=window,
-        minCount=min_count,
-        seed=seed,
-        numPartitions=partitions,
-        maxIter=iterations,
-        inputCol="words",
-        outputCol="vector",
+    counts = sentences.select(F.explode_outer(words).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
+    counts = stage(counts.filter(F.col("n") >= min_count), "words")
+    pairs = count_neighbours(sentences, window, words)
+    if min_count > 1:
+        for side in ("a", "b"):
+            pairs = pairs.join(counts.select(F.col("word").alias(side)), side, "left_semi")
+    pairs = stage(pairs, "neighbours")
+    sides = [F.struct(F.col(x).alias("word"), F.col(y).alias("near"), "n") for x, y in (("a", "b"), ("b", "a"))]
+    twice = F.struct(F.col("a").alias("word"), F.col("b").alias("near"), (2 * F.col("n")).alias("n"))
+    directed = pairs.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(twice)).otherwise(F.array(*sides))))
+    sums = stage(directed.groupBy("word").agg(F.sum("n").alias("total")), "sums")
+    whole = sums.agg(F.sum("total")).first()[0]
+    # A word in very many pairs is one row of the smaller side, whose rows Spark can copy to split it.
+    met = directed.join(sums, "word").join(sums.withColumnsRenamed({"word": "near", "total": "near_total"}), "near")
+    ratio = F.col("n") * F.lit(float(whole or 0)) / (F.col("total").cast("double") * F.col("near_total"))
+    steps = F.round(F.log(ratio) * STEPS).cast("long")
+    sign = F.when(_number("near", 9, 1) < 8, 1).otherwise(-1)
+    signed = met.filter(ratio > 1).select("word", (_number("near", 1, 8) % size).cast("int").alias("at"), (sign * steps).alias("steps"))
+    summed = signed.groupBy("word", "at").agg(F.sum("steps").alias("steps"))
+    # At most ``size`` entries per word.
+    entries = summed.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "steps"))).alias("entries"))
+    filled = F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)),
+        lambda at: F.coalesce(F.try_element_at("entries", at), F.lit(0)).cast("double") / STEPS,
     )
-    vectors = trainer.fit(ordered).getVectors()
-    return vectors.select("word", vector_to_array(F.col("vector")).alias("vector"))
+    return counts.join(entries, "word", "left").select("word", "n", filled.alias("vector"))

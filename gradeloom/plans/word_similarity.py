@@ -12,5 +12,5 @@ from gradeloom.operators.word_vectors import train_word_vectors
 def word_similarity(texts: DataFrame, pairs: DataFrame, key: str = "par_id", **training) -> DataFrame:
     """Train word vectors on the sentences of all texts and compare ``a`` with ``b``."""
     sentences = sentences_of_words(texts, key)
-    vectors = train_word_vectors(sentences, order=(key, "sent_no"), **training)
+    vectors = train_word_vectors(sentences, **training)
     return vector_pairs(pairs, vectors, "a", "b", "word", "vector")

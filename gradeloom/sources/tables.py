@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.operators.sampling import concat
 from gradeloom.sources.lines import indexed_lines, lines_after
+from gradeloom.sources.quoted_records import read_records, splits_of
 from gradeloom.staging import stage
 
 CORRUPT = "_corrupt_record"
@@ -80,31 +81,25 @@ def read_unlabelled(spark: SparkSession, path: str, quote: str = "", positions:
     return _parse(lines_after(spark, path, skip_lines=0), UNLABELLED, "\t", quote).select("par_id", "text")
 
 
-def read_augmented(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_augmented(spark: SparkSession, path: str) -> DataFrame:
     """All CSV files of a folder, each with a header; sub-folders are left out.
 
     The file name becomes ``copy_no`` unless the file has one.  Files may order their
     columns differently and may lack some.  A folder without files gives no rows; files
-    with names that Spark passes over fail.  ``multi_line=False`` lets Spark split large
-    files; it is for texts without line breaks.
+    with names that Spark passes over fail.  Large files are read by many tasks, whether their
+    texts have line breaks or not; a header is one line.
     """
     _refuse_hidden_files(spark, path)
-    row = F.monotonically_increasing_id().alias("_row")
-    first_line = (
-        spark.read.text(path)
-        .select("value", "_metadata.file_path", "_metadata.file_block_start", row)
-        .filter(F.col("file_block_start") == 0)
-        .groupBy("file_path")
-        .agg(F.min_by("value", "_row").alias("header"))
-    )
+    splits = stage(splits_of(spark, path), "states")
+    records = read_records(spark, path, splits)
     # One row per file, like the list of files the driver holds anyway.
-    files_by_header: dict[str, list[str]] = {}
-    for file_path, header in first_line.collect():
-        files_by_header.setdefault(header, []).append(unquote(file_path))
-    parts = [_read_csv(spark, header, sorted(files), multi_line) for header, files in sorted(files_by_header.items())]
-    if not parts:
+    first = splits.filter("header IS NOT NULL").select("file", "header").collect()
+    if not first:
         return spark.createDataFrame([], f"{AUGMENTED}, origin string, copy_no string")
-    return concat(*parts)
+    files = [(row["file"], row["header"].removesuffix("\r"), unquote(row["file"]).rsplit("/", 1)[-1]) for row in first]
+    headers = F.broadcast(spark.createDataFrame(files, "file string, header string, file_name string"))
+    rows = records.filter("start > 0 OR at > 0").join(headers, "file")
+    return concat(*(_parse_csv(rows.filter(F.col("header") == header), header) for header in sorted({h for _, h, _ in files})))
 
 
 def _refuse_hidden_files(spark: SparkSession, path: str) -> None:
@@ -116,17 +111,21 @@ def _refuse_hidden_files(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} has files that Spark does not read because of their names: {', '.join(hidden)}")
 
 
-def _read_csv(spark: SparkSession, header: str, files: list[str], multi_line: bool) -> DataFrame:
-    names = [name.strip().strip('"') for name in header.split(",")]
-    reader = spark.read.schema(", ".join(f"`{name}` string" for name in names))
-    rows = reader.options(header=True, multiLine=multi_line, escape='"').csv(files)
+def _parse_csv(rows: DataFrame, header: str) -> DataFrame:
+    """Fields of the records of all files with this header."""
+    names = [name.strip().strip('"') for name in header.lstrip("\ufeff").split(",")]
+    schema = ", ".join(f"`{name}` string" for name in names)
+    # Line breaks in quotes stay as they are.
+    fields = F.from_csv("value", schema, {"escape": '"', "multiLine": "true"})
+    parsed = rows.select(fields.alias("row"), "file_name")
     types = {"par_id": "bigint"}
-    columns = [_known(name).cast(types.get(name, "string")).alias(name) for name in names]
-    added = {"origin": F.lit("aug"), "copy_no": F.col("_metadata.file_name")}
-    return rows.select(
+    known = {name: _known(f"row.`{name}`") for name in names}
+    columns = [known[name].cast(types.get(name, "string")).alias(name) for name in names]
+    added = {"origin": F.lit("aug"), "copy_no": F.col("file_name")}
+    return parsed.select(
         *(c for name, c in zip(names, columns) if name not in added),
         # What the file says comes first.
-        *(F.coalesce(_known(name), value).alias(name) if name in names else value.alias(name) for name, value in added.items()),
+        *(F.coalesce(known[name], value).alias(name) if name in names else value.alias(name) for name, value in added.items()),
     )
 
 

@@ -1,3 +1,7 @@
+import hashlib
+import math
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,13 +10,11 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import words
 from gradeloom.operators import classifier, metrics, tokens
 from gradeloom.operators.sampling import concat
-from gradeloom.operators.word_vectors import train_word_vectors
+from gradeloom.operators.word_vectors import STEPS, count_neighbours, train_word_vectors
+from gradeloom.plans.single_run import single_run
 from gradeloom.plans.training_sets import training_sets
 from gradeloom.plans.word_similarity import word_similarity
-from gradeloom.sources import scores
-
-FEATURES = 1 << 10
-
+from gradeloom.sources import run_store
 
 @pytest.fixture(scope="module")
 def texts(spark):
@@ -80,35 +82,114 @@ def test_paraphrases_that_fail_are_marked(spark):
     assert got[2] == (None, "aug", "zh", "RuntimeError: no translation")
 
 
-def test_word_vectors_are_repeatable(spark, texts):
-    spoken = tokens.sentences_of_words(texts, "par_id")
-    runs = [
-        sorted((r["word"], tuple(np.round(r["vector"], 6))) for r in
-               train_word_vectors(df, size=8, partitions=1, order=("par_id", "sent_no")).collect())
-        for df in (spoken, spoken.repartition(5))
-    ]
-    assert runs[0] == runs[1]
-    vocabulary = {w for r in texts.select(words(F.col("text"))).collect() for w in r[0]}
-    assert {word for word, _ in runs[0]} == vocabulary and len(runs[0][0][1]) == 8
+def counted_neighbours(sentences, window):
+    counts = Counter()
+    for sentence in sentences:
+        for i, a in enumerate(sentence):
+            for k, b in enumerate(sentence[i + 1 : i + 1 + window], 1):
+                if a is not None and b is not None:
+                    counts[tuple(sorted((a, b)))] += window + 1 - k
+    return counts
+
+
+SENTENCES = [["a", "b", "a", "c"], ["b", "b"], [], ["d"], ["a", None, "é", "a", "b", "c", "a"], ["a", "b", "c"] * 2000]
+
+
+@pytest.mark.parametrize("window", [1, 2, 5])
+def test_neighbours_are_counted_by_distance(spark, window):
+    df = spark.createDataFrame([(s,) for s in SENTENCES], "words array<string>").repartition(3)
+    got = {(r["a"], r["b"]): r["n"] for r in count_neighbours(df, window).collect()}
+    assert got == counted_neighbours(SENTENCES, window)
+
 
+def test_word_vectors_equal_those_worked_out_by_hand(spark):
+    df = spark.createDataFrame([(s,) for s in SENTENCES], "words array<string>")
+    sums, directed = Counter(), Counter()
+    for (a, b), n in counted_neighbours(SENTENCES, 3).items():
+        directed[a, b] += n
+        directed[b, a] += n
+    for (a, _), n in directed.items():
+        sums[a] += n
+    wanted = {word: [0.0] * 8 for s in SENTENCES for word in s if word}
+    for (a, b), n in directed.items():
+        ratio = n * sum(sums.values()) / (sums[a] * sums[b])
+        digest = hashlib.md5(b.encode()).hexdigest()
+        if ratio > 1:
+            sign = 1 if int(digest[8], 16) < 8 else -1
+            wanted[a][int(digest[:8], 16) % 8] += sign * round(math.log(ratio) * STEPS) / STEPS
+    for rows in (df, df.repartition(5)):
+        got = {r["word"]: r["vector"] for r in train_word_vectors(rows, size=8, window=3).collect()}
+        assert got == wanted
+    frequent = train_word_vectors(df, size=8, window=3, min_count=5).collect()
+    assert {r["word"] for r in frequent} == {"a", "b", "c"}
 
-def test_too_many_words_fail_before_training(spark, texts):
-    spoken = tokens.sentences_of_words(texts, "par_id")
-    with pytest.raises(ValueError, match="11 words occur 1 times or more, the model holds 10"):
-        train_word_vectors(spoken, size=8, max_words=10)
+
+def test_no_vocabulary_and_no_sentence_is_too_large(spark):
+    many = spark.range(30_000).select(F.array(F.concat(F.lit("w"), "id"), F.lit("the")).alias("words"))
+    assert train_word_vectors(many, size=4).count() == 30_001
+    empty = spark.createDataFrame([], "words array<string>")
+    assert train_word_vectors(empty).count() == 0
 
 
 def test_word_similarity(spark, texts):
     pairs = spark.createDataFrame([("good", "fine"), ("bad", "bad")], "a string, b string")
-    got = {r["a"]: r["similarity"] for r in word_similarity(texts, pairs, size=8, partitions=1).collect()}
+    got = {r["a"]: r["similarity"] for r in word_similarity(texts, pairs, size=8).collect()}
     assert got["bad"] == pytest.approx(1) and -1 <= got["good"] <= 1
 
 
+def by_hand(train, epochs, rate, batch_size):
+    """Weights after each epoch."""
+    rows = [({"": 1.0} | {w: math.sqrt(n / len(t.split())) for w, n in Counter(t.split()).items()}, y) for t, y in train]
+    n = Counter(w for features, _ in rows for w in features)
+    share = sum(y for _, y in rows) / len(rows)
+    weights, found = dict.fromkeys(n, 0.0) | {"": math.log(share / (1 - share))}, []
+    rarity = {w: (math.log(len(rows) / n[w]) / math.log(len(rows))) ** 2 for w in n}
+    for _ in range(epochs):
+        slopes = Counter()
+        for features, y in rows:
+            error = 1 / (1 + math.exp(-sum(weights[w] * x for w, x in features.items()))) - y
+            for w, x in features.items():
+                slopes[w] += error * x
+        weights = {w: weights[w] - rate * classifier.STEP * rarity[w] * slopes[w] / max(n[w], batch_size) for w in n}
+        found.append(weights)
+    return found
+
+
+def test_training_equals_plain_gradient_steps(sides):
+    train, valid = sides
+    rows = [(r["text"], r["label"]) for r in train.collect()]
+    for rate, batch_size in ((2e-5, 6), (1e-5, 50)):
+        expected = by_hand(rows, 3, rate, batch_size)
+        model, log = classifier.train_text_classifier(train, valid, epochs=3, rate=rate, batch_size=batch_size)
+        best = log.orderBy("eval_loss", "epoch").first()["epoch"]
+        got = {r["feature"]: r["weight"] for r in model.weights.collect()}
+        assert got == pytest.approx(expected[best - 1], abs=1e-6)
+
+
+def test_an_epoch_starts_from_the_last_weights(sides, monkeypatch):
+    """N epochs are N passes, each from what the one before has learnt."""
+    begins = []
+    learn = classifier._learn
+
+    def noted(rows, entries, weights, *rest):
+        begins.append(weights)
+        return learn(rows, entries, weights, *rest)
+
+    monkeypatch.setattr(classifier, "_learn", noted)
+    train, valid = sides
+    classifier.train_text_classifier(train, valid, epochs=4)
+    assert len(begins) == 4 and begins[0] is None and all(w is not None for w in begins[1:])
+    begins.clear()
+    trials = [classifier.Trial(f"r{i}", 1e-5 * (i + 1), 6, 2 + i % 2) for i in range(5)]
+    classifier.search_hyperparameters(train, valid, valid, trials=trials, rungs=())
+    assert len(begins) == 3
+
+
 def test_training_is_repeatable_and_keeps_the_best_epoch(sides):
     train, valid = sides
-    model, log = classifier.train_text_classifier(train, valid, epochs=3, features=FEATURES)
-    _, again = classifier.train_text_classifier(train.repartition(3), valid, epochs=3, features=FEATURES)
-    first, second = log.orderBy("epoch").collect(), again.orderBy("epoch").collect()
+    model, log = classifier.train_text_classifier(train, valid, epochs=3)
+    again, other = classifier.train_text_classifier(train.repartition(3), valid, epochs=3)
+    first, second = log.orderBy("epoch").collect(), other.orderBy("epoch").collect()
     assert [r["epoch"] for r in first] == [1, 2, 3]
     for a, b in zip(first, second):
         assert a["eval_loss"] == pytest.approx(b["eval_loss"], rel=1e-6) and a["eval_f1"] == b["eval_f1"]
@@ -119,23 +200,44 @@ def test_training_is_repeatable_and_keeps_the_best_epoch(sides):
 
 def test_scores_and_loss_equal_those_worked_out_by_hand(sides):
     train, valid = sides
-    model, log = classifier.train_text_classifier(train, valid, epochs=1, features=FEATURES)
-    prepare, fitted = model.stages
-    features = {r["row_idx"]: r["features"].toArray() for r in prepare.transform(valid).collect()}
-    weights, bias = fitted.coefficients.toArray(), fitted.intercept
+    model, log = classifier.train_text_classifier(train, valid, epochs=1)
+    weights = {r["feature"]: r["weight"] for r in model.weights.collect()}
     losses = []
     for row in classifier.score(model, valid).collect():
-        margin = features[row["row_idx"]] @ weights + bias
-        assert row["logits"] == pytest.approx([-margin, margin]) and row["prediction"] == int(margin > 0)
+        words = Counter(row["text"].split())
+        margin = weights[""] + sum(weights.get(w, 0) * math.sqrt(n / words.total()) for w, n in words.items())
+        assert row["logits"] == pytest.approx([-margin / 2, margin / 2]) and row["prediction"] == int(margin > 0)
         losses.append(np.log1p(np.exp(-margin if row["label"] else margin)))
     assert log.head()["eval_loss"] == pytest.approx(np.mean(losses))
 
 
-def test_saved_models_score_the_same(sides, tmp_path):
+def test_odd_texts_are_scored(spark, sides):
+    model, _ = classifier.train_text_classifier(*sides, epochs=1)
+    weights = {r["feature"]: r["weight"] for r in model.weights.collect()}
+    odd = [(None, "x"), ("", "y"), ("unknown words", None), ("bad " * 30_000, "z"), ("BAD", "w"), ("BAD", "w")]
+    df = spark.createDataFrame(odd, "text string, row string")
+    got = [(r["text"], r["row"], r["logits"][1] - r["logits"][0]) for r in classifier.score(model, df).collect()]
+    said = {text: margin for text, _, margin in got}
+    assert len(got) == 6 and {r for _, r, _ in got} == {"x", "y", None, "z", "w"}
+    assert said[""] == said["unknown words"] == said[None] == pytest.approx(weights[""])
+    assert said["BAD"] == said["bad " * 30_000] == pytest.approx(weights[""] + weights["bad"])
+    assert classifier.score(model, df.limit(0)).count() == 0
+
+
+def test_frequent_and_rare_features_give_the_same_scores(sides, monkeypatch):
+    model, _ = classifier.train_text_classifier(*sides, epochs=1)
+    found = []
+    for head in (1, 4, 4096):
+        monkeypatch.setattr(classifier, "HEAD", head)
+        found.append({r["row_idx"]: r["logits"] for r in classifier.score(model, sides[1]).collect()})
+    assert found[0] == found[1] == found[2]
+
+
+def test_saved_models_score_the_same(spark, sides, tmp_path):
     train, valid = sides
-    model, _ = classifier.train_text_classifier(train, valid, epochs=1, features=FEATURES)
+    model, _ = classifier.train_text_classifier(train, valid, epochs=1)
     classifier.save_model(model, str(tmp_path / "model"))
-    loaded = classifier.load_model(str(tmp_path / "model"))
+    loaded = classifier.load_model(spark, str(tmp_path / "model"))
     a, b = (classifier.score(m, valid).orderBy("row_idx").collect() for m in (model, loaded))
     assert a == b and a[0].asDict().keys() == {"row_idx", "par_id", "text", "label", "logits", "prediction"}
 
@@ -143,19 +245,122 @@ def test_saved_models_score_the_same(sides, tmp_path):
 def test_search_keeps_good_runs(spark, sides, tmp_path):
     train, valid = sides
     output = str(tmp_path / "search")
-    runs = classifier.search_hyperparameters(
-        train, valid, valid, final=valid.drop("label"), trials=2, output=output, features=FEATURES
-    )
+    runs = classifier.search_hyperparameters(train, valid, valid, final=valid.drop("label"), trials=2, output=output)
     table = runs.collect()
     assert sorted((r["run_id"], r["split"]) for r in table) == [(f"run-{i}", s) for i in (0, 1) for s in ("dev", "valid")]
     assert all(1e-5 <= r["learning_rate"] <= 4e-5 and r["batch_size"] == 6 and r["epochs"] in (2, 3, 4, 6) for r in table)
-    stored = scores.read_scores(spark, f"{output}/scores")
+    stored = run_store.read_run_scores(spark, output)
     assert stored.groupBy("run_id", "split").count().filter("count = 30").count() == 4
-    best = classifier.load_best(runs, output)
+    labelled = stored.filter("split = 'valid'")
+    assert labelled.filter("label IS NULL").count() == 0 and stored.filter("split = 'final' AND label IS NOT NULL").count() == 0
     chosen = metrics.best_run(runs, split="valid").head()
+    best = classifier.load_best(spark.newSession(), output)
     assert metrics.evaluate_scores(classifier.score(best, valid)).head()["f1_score"] == chosen["f1"]
     with pytest.raises(ValueError, match="no run passed"):
-        classifier.load_best(runs.withColumn("f1", F.lit(0.5)), output)
+        classifier.load_best(spark, str(tmp_path / "nothing"))
+
+
+def test_all_trials_of_a_search_equal_single_runs(sides):
+    train, valid = sides
+    trials = [classifier.Trial("a", 1e-6, 6, 2), classifier.Trial("b", 4e-5, 6, 3), classifier.Trial("c", 4e-6, 200, 3)]
+    rows = classifier.search_hyperparameters(train, valid, valid, trials=trials, rungs=()).filter("split = 'valid'").collect()
+    found = {r["run_id"]: (r["f1"], r["accuracy"], r["epochs_run"]) for r in rows}
+    for t in trials:
+        _, log = classifier.train_text_classifier(train, valid, t.epochs, t.learning_rate, t.batch_size)
+        best = log.orderBy("eval_loss", "epoch").first()
+        assert found[t.run_id] == (best["eval_f1"], best["eval_accuracy"], t.epochs)
+
+
+def test_rate_and_batch_size_change_the_result(spark):
+    # Rare words decide, so that small steps do not get beyond the majority.
+    rows = [(i, f"common text {'bad' if i % 4 == 0 else 'good'} w{i}", int(i % 4 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "par_id long, text string, label int")
+    train, valid = df.filter("par_id < 80"), df.filter("par_id >= 80")
+    trials = [classifier.Trial(f"{r}-{b}", r, b, 3) for r in (1e-6, 4e-5) for b in (6, 500)]
+    found = classifier.search_hyperparameters(train, valid, valid, trials=trials, rungs=()).filter("split = 'valid'")
+    f1 = {r["run_id"]: r["f1"] for r in found.collect()}
+    assert f1["4e-05-6"] > f1["1e-06-6"]
+    logs = [classifier.train_text_classifier(train, valid, 1, 2e-5, b)[1].first()["eval_loss"] for b in (6, 500)]
+    assert logs[0] != logs[1]
+
+
+def test_trials_below_the_median_stop(spark):
+    rows = [(i, f"common text {'bad' if i % 4 == 0 else 'good'} w{i}", int(i % 4 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "par_id long, text string, label int")
+    trials = [classifier.Trial(f"r{i}", rate, 6, 4) for i, rate in enumerate((1e-7, 4e-5, 3e-5))]
+    runs = classifier.search_hyperparameters(df.filter("par_id < 80"), df.filter("par_id >= 80"), df, trials=trials, rungs=(1, 2))
+    reached = {r["run_id"]: r["epochs_run"] for r in runs.collect()}
+    assert reached["r0"] < 4 and reached["r1"] == 4
+
+
+def test_broken_and_repeated_commits(spark, sides, tmp_path):
+    path = str(tmp_path / "runs")
+    scored = sides[1].select("row_idx", "label", F.array(F.lit(0.0), F.lit(1.0)).alias("logits"))
+    with pytest.raises(Exception, match="broken"):
+        broken = scored.withColumn("label", F.raise_error(F.lit("broken")).cast("int"))
+        run_store.commit_run(path, "a", {"valid": scored, "final": broken}, {"f1": 1.0}, {})
+    assert run_store.read_runs(spark, path).count() == 0 and run_store.read_run_scores(spark, path).count() == 0
+    first = run_store.commit_run(path, "a", {"valid": scored}, {"f1": 0.25}, {"epochs": 1})
+    run_store.commit_run(path, "b", {"valid": scored.limit(3)}, {"f1": 0.5}, {})
+    with pytest.raises(Exception, match="broken"):
+        run_store.commit_run(path, "a", {"valid": broken}, {"f1": 1.0}, {})
+    assert [r["attempt"] for r in run_store.read_runs(spark, path).filter("run_id = 'a'").collect()] == [first]
+    run_store.commit_run(path, "a", {"valid": scored.limit(7), "final": scored}, {"f1": 0.75}, {"epochs": 2})
+    kept = run_store.read_runs(spark, path).filter("run_id = 'a'").first()
+    assert kept["metrics"] == {"f1": 0.75} and kept["settings"] == {"epochs": "2"} and kept["splits"] == ["valid", "final"]
+    counts = {(r["run_id"], r["split"]): r["count"] for r in run_store.read_run_scores(spark, path).groupBy("run_id", "split").count().collect()}
+    assert counts == {("a", "valid"): 7, ("a", "final"): 30, ("b", "valid"): 3}
+    assert run_store.read_run_scores(spark, path, "a", "final").count() == 30
+
+
+def test_single_run_keeps_only_good_ones(spark, sides, tmp_path):
+    train, valid = sides
+    final = valid.select("row_idx", "text")
+    run = single_run(train, valid, valid, final, str(tmp_path), "r", min_f1=1.0, epochs=2)
+    assert run.attempt is None and run_store.read_runs(spark, str(tmp_path)).count() == 0
+    run = single_run(train, valid, valid, final, str(tmp_path), "r", epochs=2, rate=2e-5)
+    assert run.metrics.first()["f1_score"] == 1.0
+    assert [tuple(r) for r in run.matrix.collect()] == [(0, 20, 0), (1, 0, 10)]
+    kept = run_store.read_runs(spark, str(tmp_path)).first()
+    assert (kept["attempt"], kept["metrics"]["dev_f1"], kept["settings"]) == (run.attempt, 1.0, {"epochs": "2", "rate": "2e-05"})
+
+
+def test_no_text_is_sent_twice(spark, tmp_path):
+    sent = spark.sparkContext.accumulator(0)
+    rows = [(i, None if i % 10 == 9 else f"text {i % 7}") for i in range(100)]
+    df = spark.createDataFrame(rows, "par_id long, text string").repartition(4)
+
+    def paraphrase(batch):
+        sent.add(len(batch))
+        if (batch == "text 3").any():
+            raise RuntimeError("no answer")
+        return batch + "!"
+
+    memo = str(tmp_path / "memo")
+    first = tokens.augment_text_once(df, paraphrase, "fr", memo, parts=3).collect()
+    calls = sent.value
+    assert {(r["text"], r["error"]) for r in first if dict(rows)[r["par_id"]] is None} == {(None, None)}
+    assert {r["error"] for r in first if dict(rows)[r["par_id"]] == "text 3"} == {"RuntimeError: no answer"}
+    again = tokens.augment_text_once(df, lambda batch: [sent.add(len(batch)), batch + "?"][1], "fr", memo, parts=3).collect()
+    # Only the text without an answer is sent again.
+    assert sent.value == calls + 1
+    said = {dict(rows)[r["par_id"]]: r["text"] for r in again}
+    assert said == {None: None} | {f"text {i}": f"text {i}{'?' if i == 3 else '!'}" for i in range(7)}
+    assert len(again) == 100 and {r["origin"] for r in again} == {"aug"} and {r["error"] for r in again} == {None}
+
+
+def test_only_rare_words_are_exchanged(spark, monkeypatch):
+    df = spark.range(50).select(F.col("id").alias("par_id"), F.concat_ws(" ", F.lit("a b"), F.concat(F.lit("w"), "id")).alias("text"))
+    vocab = tokens.build_vocab(df)
+    for head, kinds in ((200_000, 0), (2, 4)):
+        monkeypatch.setattr(tokens, "HEAD", head)
+        encoded = tokens.encode_tokens(df, vocab, max_length=4)
+        plan = encoded._jdf.queryExecution().executedPlan().toString()
+        # Nothing is taken apart but the rare words.
+        assert plan.count("Generate ") == plan.count("Generate inline(_rare") and ("Exchange" in plan) == bool(kinds)
+        ids = {r["token"]: r["id"] for r in vocab.collect()}
+        for row in encoded.collect():
+            assert row["input_ids"] == [ids[w] for w in row["text"].split()] + [0]
 
 
 def test_trials_are_drawn_from_the_seed():
@@ -169,6 +374,8 @@ def test_baseline_scorers(texts):
     guess = classifier.evaluate_baseline(texts, classifier.hash_scorer(["par_id"])).head()
     assert (never["tn"], never["fn"], always["tp"], always["fp"]) == (80, 40, 40, 80)
     assert 0.3 < guess["accuracy"] < 0.7
+    own = classifier.evaluate_baseline(texts, lambda: lambda batch: np.column_stack([np.full(len(batch), 0.5), batch.str.contains("bad")])).head()
+    assert (own["tp"], own["tn"], own["fp"], own["fn"]) == (40, 80, 0, 0)
 
 
 def test_callers_scorer_is_loaded_once_per_task(texts):

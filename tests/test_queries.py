@@ -7,25 +7,14 @@ from checks.compare import compare
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
 
-WITHOUT_SQL = {
-    "f4_train_word_vectors",
-    "f6_train_text_classifier",
-    "f7_score",
-    "f8_search_hyperparameters",
-    "f11_save_and_load_model",
-    "flow_word_similarity",
-}
-
-
 @pytest.mark.parametrize("key", [key for key in QUERIES if key in ORACLE])
 def test_query_equals_sql(spark, sf_dir, key):
     verdict, _ = compare(spark, sf_dir, key)
     assert verdict.startswith("ok"), verdict
 
 
-def test_only_models_lack_sql():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
-    assert set(ORACLE) <= set(QUERIES)
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_driver_entry(spark):

@@ -142,3 +142,15 @@ def test_concat_fills_missing_columns(spark):
 def test_anti_join_drops_every_copy(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "par_id int")
     assert ids(joins.anti_join_by_key(df, df.filter("par_id = 1"))) == [2]
+
+
+@pytest.mark.parametrize("frac", [0.0, 0.1, 0.5, 0.8, 1.0])
+def test_ids_are_split_as_a_whole(spark, frac):
+    sizes = {i: 1 + i % 5 for i in range(60)} | {None: 9, 1000: 120}
+    rows = [(i, copy) for i, n in sizes.items() for copy in range(n)]
+    df = spark.createDataFrame(rows, "par_id long, copy int")
+    sides = [sorted(((r["par_id"] is None, r["par_id"] or 0, r["copy"]) for r in side.collect())) for side in sampling.split_by_id(df, frac)]
+    again = sampling.split_by_id(df.repartition(7), frac)[0].count()
+    assert sorted(sides[0] + sides[1]) == sorted((i is None, i or 0, c) for i, c in rows) and again == len(sides[0])
+    assert not {x[:2] for x in sides[0]} & {x[:2] for x in sides[1]}
+    assert abs(len(sides[0]) - round(frac * len(rows))) <= max(sizes.values()) / 2

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -116,6 +117,33 @@ def test_augmented_files_of_different_columns(spark, tmp_path):
     ]
 
 
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path, setting):
+    rng = random.Random(3)
+    mark = lambda: rng.choice(["word ", "\n", '"', ",", "\r\n", "é", " x" * 40, "\\", "\n\n\n"])
+    expected = {}
+    for name, ending in (("a+b c.csv", "\n"), ("b.csv", "\r\n"), ("é.csv", "\n")):
+        rows = [(i, "".join(mark() for _ in range(rng.randrange(12)))) for i in range(120)] + [(500, "line\n" * 3000)]
+        lines_of = ["par_id,text", *(f'{i},"{text.replace(chr(34), chr(34) * 2)}"' for i, text in rows)]
+        write(tmp_path / "aug" / name, ending.join(lines_of) + ending * rng.randrange(2))
+        expected |= {(name, i): text for i, text in rows}
+    found = []
+    for size in ("10000000", "4000", "300"):
+        setting("spark.sql.files.maxPartitionBytes", size)
+        setting("spark.sql.files.openCostInBytes", "1")
+        read = tables.read_augmented(spark, str(tmp_path / "aug"))
+        found.append({(r["copy_no"], r["par_id"]): r["text"] or "" for r in read.collect()})
+        assert read.count() == len(expected)
+    assert found[0] == found[1] == found[2] == expected
+
+
+def test_augmented_files_without_rows(spark, tmp_path):
+    write(tmp_path / "aug" / "a.csv", "par_id,text")
+    write(tmp_path / "aug" / "b.csv", "par_id,text\n")
+    write(tmp_path / "aug" / "c.csv", 'par_id,text\n7,"never closed\n8,x\n')
+    got = [(r["par_id"], r["text"]) for r in tables.read_augmented(spark, str(tmp_path / "aug")).collect()]
+    assert len(got) == 1 and got[0][0] == 7
+
+
 def test_augmented_round_trip_keeps_texts(spark, tmp_path):
     texts = ['say "hi", ok', "line\nbreak", " lead and trail ", "back\\slash", "ünï\tcode", None]
     df = spark.createDataFrame(list(enumerate(texts)), "par_id bigint, text string")
