@@ -7,7 +7,7 @@ import pytest
 from gradeloom.operators import classifier, metrics
 from gradeloom.plans.error_report import error_slices, evaluated_rows
 from gradeloom.operators.joins import merge_with_labels
-from gradeloom.plans.label_files import write_label_files
+from gradeloom.plans.label_files import write_run_labels
 from gradeloom.plans.training_sets import training_sets
 from gradeloom.sources.lines import read_indexed_lines
 from gradeloom.sources.tables import read_augmented, read_corpus, read_split_labels, read_unlabelled
@@ -94,16 +94,14 @@ def test_from_files_to_predictions(spark, folder):
     final = read_unlabelled(spark, str(folder / "test.tsv"), positions=True)
     dev = merge_with_labels(read_split_labels(spark, str(folder / "dev.csv")), corpus)
     output = str(folder / "runs")
-    runs = classifier.search_hyperparameters(
-        sets.train, sets.valid, dev, final, trials=2, output=output, features=1 << 10
-    )
+    runs = classifier.search_hyperparameters(sets.train, sets.valid, dev, final, trials=2, output=output)
     best = metrics.best_run(runs, split="valid").head()["run_id"]
-    files = write_label_files(spark, f"{output}/scores", best, str(folder / "labels"))
+    files = write_run_labels(spark, output, best, str(folder / "labels"))
     said = [r["value"] for r in read_indexed_lines(spark, files["final"]).orderBy("row_idx").collect()]
     study = pd.read_pickle(folder / "corpus.pkl")
     # The words tell the label, but for the three texts without words.
     right = (study["label"] > 1).to_numpy() == np.array(said)
     assert len(said) == 300 and right[study["text"] != ""].mean() > 0.95
-    again = [r["prediction"] for r in classifier.score(classifier.load_best(runs, output), final).orderBy("row_idx").collect()]
+    again = [r["prediction"] for r in classifier.score(classifier.load_best(spark, output), final).orderBy("row_idx").collect()]
     assert again == said
     assert read_indexed_lines(spark, files["valid"]).count() == dev.count()
