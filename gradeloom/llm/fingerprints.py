@@ -128,8 +128,9 @@ def edited_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     )
     linked = stage(ranked.drop("doc_id").join(before, "row_idx").drop("row_idx"), "neighbours")
     known = docs.join(linked, "key")
-    sent = known.select("key", "before", F.col("fingerprint").alias("next_fingerprint"), F.substring("text", F.lit(1), F.col("wanted")).alias("begins"))
-    sent = sent.dropDuplicates(["key"]).drop("key").withColumnRenamed("before", "key")
+    # With the columns that are kept below, so that both come from one shuffle of the texts.
+    sent = known.select("key", "doc_id", "before", F.col("fingerprint").alias("next_fingerprint"), F.substring("text", F.lit(1), F.col("wanted")).alias("begins"))
+    sent = sent.dropDuplicates(["key", "doc_id"]).drop("key", "doc_id").withColumnRenamed("before", "key")
     halved = (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")
     kept = known.select("key", "doc_id", "n_chars", "fingerprint", F.substring("text", F.lit(1), halved).alias("kept"))
     edited = kept.join(sent, "key").withColumn("edited", F.concat("kept", "begins")).drop("key", "kept", "begins")
