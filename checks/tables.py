@@ -109,10 +109,12 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scores and a binary label per vector: the largest of every other element, from the first and the second on."""
-    largest = [F.array_max(F.filter("embedding", lambda _, i, k=k: i % 2 == k)).cast("double") for k in (0, 1)]
+    def largest(first: int) -> Column:
+        return F.array_max(F.filter("embedding", lambda _, i: i % 2 == first)).cast("double")
+
     return load(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_idx"),
-        F.array(*largest).alias("logits"),
+        F.array(largest(0), largest(1)).alias("logits"),
         (F.col("label") > 4).cast("int").alias("label"),
         F.lit("run-1").alias("run_id"),
         F.when(F.col("label") < 5, "valid").otherwise("final").alias("split"),
