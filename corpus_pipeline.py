@@ -53,11 +53,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates, that of the least id."""
-    rows = stage(_packed(docs).withColumn("number", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicate_groups(rows, shingle=SHINGLE, max_bits=MAX_BITS, keep=["doc_id", "number"])
-    # Rows meet by their own numbers, so that a large group is no hot key.
-    firsts = stage(groups.filter("first_of_group").select("number"), "firsts")
-    kept = rows.join(firsts, "number", "left_semi")
+    parts = (F.coalesce(part, F.lit("none")) for part in (F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))))
+    key = F.unhex(F.md5(F.concat_ws(":", *parts).cast("binary")))
+    rows = _packed(docs).withColumn("key", key)
+    groups = near_duplicate_groups(rows, shingle=SHINGLE, max_bits=MAX_BITS, keep=["doc_id", "key"])
+    firsts = stage(groups.filter("first_of_group").select("key"), "firsts")
+    # Rows meet by id and text, so that a large group is no hot key; a merge join at every size.
+    kept = rows.join(firsts.hint("merge"), "key", "left_semi")
+    # Rows of one id and text are one document.
+    kept = kept.dropDuplicates(["key"])
     return kept.select(_unpacked(kept, docs))
 
 
