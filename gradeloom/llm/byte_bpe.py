@@ -23,7 +23,7 @@ from gradeloom.llm.blocks import give_back, result_schema, with_results
 from gradeloom.llm.words import slices, text_bytes
 
 # Text whose distinct pre-tokens are merged together, and text of one batch that goes out.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 OUT_BYTES = 1 << 20
 _NONE = np.int32(2**31 - 1)
 
