@@ -79,11 +79,11 @@ def encode_tokens(
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
     known = stage(vocab.select("token", "id"), "vocabulary")
     # Ids are different, so these are at most HEAD.
-    frequent = known.filter(F.col("id") < FIRST_ID + HEAD).collect()
+    frequent = known.filter(F.col("id") < FIRST_ID + HEAD).select("token", F.col("id").cast("int").alias("id")).toArrow()
     tail = known.filter(F.col("id") >= FIRST_ID + HEAD)
     has_tail = bool(tail.head(1))
     at_hand = rows.sparkSession.sparkContext.broadcast(
-        (pa.array([r["token"] for r in frequent], pa.string()), np.array([r["id"] for r in frequent], np.int32))
+        (frequent.column("token").combine_chunks(), frequent.column("id").to_numpy())
     )
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
