@@ -7,12 +7,20 @@ neither the vocabulary nor a sentence has a largest size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.staging import stage
 
 # Log ratios are kept in steps of one in 2**20, so that their sums do not depend on their order.
 STEPS = 1 << 20
+# Pairs that a task adds up at a time, and different ones that it hands on at a time.
+PAIRS_AT_ONCE = 1 << 23
+ROWS_AT_ONCE = 1 << 16
 
 
 def count_neighbours(sentences: DataFrame, window: int = 5, words: str = "words") -> DataFrame:
@@ -23,22 +31,61 @@ def count_neighbours(sentences: DataFrame, window: int = 5, words: str = "words"
     """
     if window < 1:
         raise ValueError("the window has to reach one word at least")
-    rows = sentences.select(F.col(words).alias("words"))
-    following = lambda word, i: F.array(
-        *(
-            F.struct(
-                F.least(word, F.get("words", i + k)).alias("a"),
-                F.greatest(word, F.get("words", i + k)).alias("b"),
-                F.lit(window + 1 - k).cast("long").alias("n"),
-                (word.isNotNull() & F.get("words", i + k).isNotNull()).alias("both"),
-            )
-            for k in range(1, window + 1)
-        )
-    )
-    near = rows.select(F.transform("words", following).alias("near"))
-    # Outer, since Spark would work the arrays out once more to leave out empty ones first.
-    pairs = near.select(F.explode_outer("near").alias("near")).select(F.inline_outer("near")).filter("both")
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    at_once = max(PAIRS_AT_ONCE // window, 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+        for batch in batches:
+            held.append(batch.column(0))
+            n_held += len(held[-1].flatten())
+            if n_held >= at_once:
+                yield from _counted(held, window, at_once)
+                held, n_held = [], 0
+        yield from _counted(held, window, at_once)
+
+    pairs = sentences.select(F.col(words).cast("array<string>").alias("words")).mapInArrow(count, "a string, b string, n bigint")
+    # Dealt out as they are: a task has too many different pairs to add them up once more before.
+    return pairs.repartition("a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _counted(lists: list[pa.ListArray], window: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Weights of the pairs in some sentences, added up over each ``at_once`` words."""
+    if not lists:
+        return
+    flat = pa.concat_arrays([x.flatten() for x in lists])
+    sizes = np.concatenate([x.value_lengths().fill_null(0).to_numpy() for x in lists])
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    reach = min(window, int(sizes.max(initial=0)) - 1)
+    for begin in range(0, len(flat), at_once):
+        # The last words also meet those behind them.
+        own = slice(begin, begin + at_once + reach)
+        coded = flat.slice(begin, at_once + reach).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        n_words = len(order)
+        ranks = np.empty(n_words + 1, np.int64)
+        ranks[order.to_numpy()] = np.arange(n_words)
+        ranks[n_words] = -1
+        ids = ranks[coded.indices.fill_null(n_words).to_numpy()]
+        place, found = sentence[own], []
+        for k in range(1, reach + 1):
+            first, second = ids[:-k][:at_once], ids[k:][:at_once]
+            near = (place[:-k][:at_once] == place[k:][:at_once]) & (first >= 0) & (second >= 0)
+            first, second = first[near], second[near]
+            pair = np.minimum(first, second) * n_words + np.maximum(first, second)
+            found.append(pair * (window + 1) + (window + 1 - k))
+        keys = np.concatenate(found or [np.zeros(0, np.int64)])
+        found.clear()
+        keys.sort()
+        pair, weight = np.divmod(keys, window + 1)
+        del keys
+        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+        totals = np.add.reduceat(weight, starts) if len(pair) else weight
+        pair = pair[starts]
+        ordered = coded.dictionary.take(order)
+        for at in range(0, len(pair), ROWS_AT_ONCE):
+            some = slice(at, at + ROWS_AT_ONCE)
+            sides = [ordered.take(pa.array(side)) for side in np.divmod(pair[some], n_words)]
+            yield pa.RecordBatch.from_arrays([*sides, pa.array(totals[some])], names=["a", "b", "n"])
 
 
 def _number(word: str | Column, begin: int, digits: int) -> Column:

@@ -4,11 +4,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import words
-from gradeloom.operators import classifier, metrics, tokens
+from gradeloom.operators import classifier, metrics, tokens, word_vectors
 from gradeloom.operators.sampling import concat
 from gradeloom.operators.word_vectors import STEPS, count_neighbours, train_word_vectors
 from gradeloom.plans.single_run import single_run
@@ -102,6 +103,19 @@ def test_neighbours_are_counted_by_distance(spark, window):
     assert got == counted_neighbours(SENTENCES, window)
 
 
+@pytest.mark.parametrize("at_once", [1, 2, 7, 100_000])
+def test_neighbours_are_added_up_before_they_are_dealt_out(at_once):
+    lists = [pa.array([*SENTENCES[:3], None, *SENTENCES[3:]], pa.list_(pa.string()))] * 2
+    batches = list(word_vectors._counted(lists, 3, at_once))
+    got, n_rows = Counter(), 0
+    for row in pa.Table.from_batches(batches).to_pylist():
+        got[row["a"], row["b"]] += row["n"]
+        n_rows += 1
+    assert got == counted_neighbours(SENTENCES * 2, 3)
+    if at_once == 100_000:
+        assert n_rows == len(got)
+
+
 def test_word_vectors_equal_those_worked_out_by_hand(spark):
     df = spark.createDataFrame([(s,) for s in SENTENCES], "words array<string>")
     sums, directed = Counter(), Counter()
