@@ -8,6 +8,7 @@ neither the vocabulary nor a sentence has a largest size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from gradeloom.staging import stage
 
 # Log ratios are kept in steps of one in 2**20, so that their sums do not depend on their order.
 STEPS = 1 << 20
+# Words with a larger part than one in so many of all weights are looked up in place.
+HEAD = 500_000
 # Pairs that a task adds up at a time, and different ones that it hands on at a time.
 PAIRS_AT_ONCE = 1 << 23
 ROWS_AT_ONCE = 1 << 16
@@ -93,6 +96,31 @@ def _number(word: str | Column, begin: int, digits: int) -> Column:
     return F.conv(F.substring(F.md5(F.col(word).cast("binary")), begin, digits), 16, 10).cast("long")
 
 
+def _with_sums(pairs: DataFrame, sums: DataFrame, whole: int) -> DataFrame:
+    """Pairs with the rows of ``sums`` of both words as ``met_a`` and ``met_b``.
+
+    Words with a larger part than one in ``HEAD`` of the ``whole``, which are fewer, are looked up in
+    place.  So only pairs with a rarer word are dealt out, by that word.
+    """
+    often = F.col("total") * HEAD > whole
+    values = F.struct(*(name for name in sums.columns if name != "word"))
+    looked = pairs
+    for side in ("a", "b"):
+        head = sums.filter(often).select(F.col("word").alias(side), values.alias(f"met_{side}"))
+        looked = looked.join(F.broadcast(head), side, "left")
+    parts = []
+    for missing in ([], ["a"], ["b"], ["a", "b"]):
+        part = looked
+        for side in ("a", "b"):
+            unknown = F.col(f"met_{side}").isNull()
+            part = part.filter(unknown if side in missing else ~unknown)
+        for side in missing:
+            tail = sums.filter(~often).select(F.col("word").alias(side), values.alias(f"met_{side}"))
+            part = part.drop(f"met_{side}").join(tail, side)
+        parts.append(part.select("a", "b", "n", "met_a", "met_b"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def train_word_vectors(
     sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, words: str = "words"
 ) -> DataFrame:
@@ -115,19 +143,26 @@ def train_word_vectors(
     sides = [F.struct(F.col(x).alias("word"), F.col(y).alias("near"), "n") for x, y in (("a", "b"), ("b", "a"))]
     twice = F.struct(F.col("a").alias("word"), F.col("b").alias("near"), (2 * F.col("n")).alias("n"))
     directed = pairs.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(twice)).otherwise(F.array(*sides))))
-    sums = stage(directed.groupBy("word").agg(F.sum("n").alias("total")), "sums")
-    whole = sums.agg(F.sum("total")).first()[0]
-    # A word in very many pairs is one row of the smaller side, whose rows Spark can copy to split it.
-    met = directed.join(sums, "word").join(sums.withColumnsRenamed({"word": "near", "total": "near_total"}), "near")
-    ratio = F.col("n") * F.lit(float(whole or 0)) / (F.col("total").cast("double") * F.col("near_total"))
+    sign = F.when(_number("word", 9, 1) < 8, 1).otherwise(-1)
+    at = (_number("word", 1, 8) % size).cast("int")
+    sums = directed.groupBy("word").agg(F.sum("n").alias("total")).withColumns({"at": at, "sign": sign})
+    # Written with a number for every word, so that no word goes with each of its entries.
+    sums = sums.withColumn("id", F.monotonically_increasing_id())
+    sums = stage(sums, "sums")
+    whole = sums.agg(F.sum("total")).first()[0] or 0
+    a, b = F.col("met_a"), F.col("met_b")
+    same = F.col("a") == F.col("b")
+    ratio = F.when(same, 2 * F.col("n")).otherwise(F.col("n")) * F.lit(float(whole)) / (a["total"].cast("double") * b["total"])
     steps = F.round(F.log(ratio) * STEPS).cast("long")
-    sign = F.when(_number("near", 9, 1) < 8, 1).otherwise(-1)
-    signed = met.filter(ratio > 1).select("word", (_number("near", 1, 8) % size).cast("int").alias("at"), (sign * steps).alias("steps"))
-    summed = signed.groupBy("word", "at").agg(F.sum("steps").alias("steps"))
+    entry = lambda word, near: F.struct(word["id"].alias("id"), near["at"].alias("at"), (near["sign"] * steps).alias("steps"))
+    both = F.when(same, F.array(entry(a, b))).otherwise(F.array(entry(a, b), entry(b, a)))
+    signed = _with_sums(pairs, sums, whole).filter(ratio > 1).select(F.inline(both))
+    summed = signed.groupBy("id", "at").agg(F.sum("steps").alias("steps"))
     # At most ``size`` entries per word.
-    entries = summed.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "steps"))).alias("entries"))
+    entries = summed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "steps"))).alias("entries"))
     filled = F.transform(
         F.sequence(F.lit(0), F.lit(size - 1)),
         lambda at: F.coalesce(F.try_element_at("entries", at), F.lit(0)).cast("double") / STEPS,
     )
-    return counts.join(entries, "word", "left").select("word", "n", filled.alias("vector"))
+    found = counts.join(sums.select("word", "id"), "word", "left").join(entries, "id", "left")
+    return found.select("word", "n", filled.alias("vector"))
