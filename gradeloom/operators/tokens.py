@@ -21,6 +21,9 @@ PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 MAX_LENGTH = 512
 # The most frequent words; every task has them at hand, so that they are not dealt out by word.
 HEAD = 200_000
+# Words of a batch that are looked up together, and characters of text that are paraphrased together.
+WORDS_AT_ONCE = 1 << 18
+TEXT_AT_ONCE = 4 << 20
 
 
 # A word with full stops inside or behind it.
@@ -50,6 +53,17 @@ def build_vocab(df: DataFrame, min_count: int = 1, max_size: int | None = None,
     return ranked.select("token", "n", (F.col("row_idx") + FIRST_ID).cast("int").alias("id"))
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], name: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch at a time with about ``size`` elements or bytes of text in a column, or one longer row."""
+    for batch in batches:
+        column = batch.column(name)
+        sizes = pc.binary_length(column) if pa.types.is_string(column.type) else column.value_lengths()
+        part = np.cumsum(sizes.fill_null(0).to_numpy().astype(np.int64)) // size
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), batch.num_rows).tolist()
+        for begin, end in zip(edges, edges[1:]):
+            yield batch.slice(begin, end - begin)
+
+
 def _fit(ids: Column, max_length: int) -> dict[str, Column]:
     """Pad ids to the full length and mark the real ones."""
     n = F.size(ids)
@@ -88,7 +102,7 @@ def encode_tokens(
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Frequent words as ids in their places; the others with their places apart, if any can be known."""
-        for batch in batches:
+        for batch in parts_of(batches, "_words", WORDS_AT_ONCE):
             words, flat = batch.column("_words"), batch.column("_words").flatten()
             tokens, ids = at_hand.value
             found = pc.index_in(flat, value_set=tokens).fill_null(-1).to_numpy()
@@ -207,15 +221,23 @@ def augment_text(
         except Exception as failure:
             return None, f"{type(failure).__name__}: {failure}"
 
-    def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches, text, TEXT_AT_ONCE):
+            given = batch.column(text).to_pandas().rename(text)
             try:
-                texts, errors = list(paraphrase(batch[text])), None
+                texts, errors = list(paraphrase(given)), None
             except Exception:
-                texts, errors = zip(*map(one, batch[text])) if len(batch) else ((), ())
-            yield batch.assign(**{text: texts, "origin": "aug", "copy_no": copy_no, "error": errors})
-
-    return plain.mapInPandas(replace, schema)
+                texts, errors = zip(*map(one, given))
+            changed = {
+                text: pa.array(texts, batch.column(text).type, from_pandas=True),
+                "origin": pa.repeat(pa.scalar("aug"), len(given)),
+                "copy_no": pa.repeat(pa.scalar(copy_no, pa.string()), len(given)),
+                "error": pa.array(errors or [None] * len(given), pa.string()),
+            }
+            columns = {name: batch.column(name) for name in names} | changed
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return plain.mapInArrow(replace, schema)
 
 
 def augment_text_once(

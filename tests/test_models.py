@@ -83,6 +83,17 @@ def test_paraphrases_that_fail_are_marked(spark):
     assert got[2] == (None, "aug", "zh", "RuntimeError: no translation")
 
 
+@pytest.mark.parametrize("column, size", [("_words", 4), ("text", 5)])
+def test_batches_are_worked_on_in_parts_of_bounded_size(column, size):
+    words = [["a"] * 3, [], None, ["b"] * 9, ["c"], ["d", None]]
+    batch = pa.record_batch({"_words": pa.array(words, pa.list_(pa.string())), "text": pa.array(["abc", "", None, "x" * 9, "é", "y"])})
+    parts = list(tokens.parts_of(iter([batch, batch.slice(0, 0)]), column, size))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    for part in parts:
+        lengths = [len(x.encode() if column == "text" else x) for x in part.column(column).to_pylist() if x]
+        assert sum(lengths[1:]) <= size
+
+
 def counted_neighbours(sentences, window):
     counts = Counter()
     for sentence in sentences:
@@ -138,6 +149,14 @@ def test_word_vectors_equal_those_worked_out_by_hand(spark):
     assert {r["word"] for r in frequent} == {"a", "b", "c"}
 
 
+@pytest.mark.parametrize("head", [1, 4])
+def test_vectors_do_not_depend_on_which_words_are_looked_up_in_place(spark, monkeypatch, head):
+    rows = spark.createDataFrame([(s,) for s in SENTENCES], "words array<string>")
+    wanted = {tuple(r) for r in train_word_vectors(rows, size=8).selectExpr("word", "n", "string(vector)").collect()}
+    monkeypatch.setattr(word_vectors, "HEAD", head)
+    assert {tuple(r) for r in train_word_vectors(rows, size=8).selectExpr("word", "n", "string(vector)").collect()} == wanted
+
+
 def test_no_vocabulary_and_no_sentence_is_too_large(spark):
     many = spark.range(30_000).select(F.array(F.concat(F.lit("w"), "id"), F.lit("the")).alias("words"))
     assert train_word_vectors(many, size=4).count() == 30_001
