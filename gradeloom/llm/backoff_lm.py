@@ -247,49 +247,59 @@ def score_texts(
         keys = [unpacked(x.as_py(), np.uint64, deltas=True) for x in table["keys"]]
         counts = np.concatenate([unpacked(x.as_py(), np.int64) for x in table["counts"]])
         row = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-        found, number = np.unique(np.concatenate(keys), return_inverse=True)
-        return found, np.bincount(number, weights=counts).astype(np.int64)[number], counts, row
+        every = np.concatenate(keys)
+        found, number = np.unique(every, return_inverse=True)
+        return every, np.bincount(number, weights=counts).astype(np.int64)[number], counts, row
 
     def vocabulary(table: pa.Table) -> pa.Table:
-        found, _, counts, _ = totals(table)
-        return pa.table({"tokens": [int(counts.sum())], "types": [len(found)]})
+        every, _, counts, _ = totals(table)
+        return pa.table({"tokens": [int(counts.sum())], "types": [len(np.unique(every))]})
 
     learnt = asked_columns.mapInArrow(lambda batches: counts_of(batches, (1,), unseen=False), message)
     size = learnt.groupBy("bucket").applyInArrow(vocabulary, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     n_tokens, n_types = (int(x or 0) for x in size)
 
     def reply(table: pa.Table) -> pa.Table:
-        """Totals of the n-grams of a bucket, to the blocks whose own count is less."""
-        keys = [unpacked(x.as_py(), np.uint64, deltas=True) for x in table["keys"]]
-        _, total, counts, row = totals(table)
-        edges = np.searchsorted(row, np.arange(len(keys) + 1))
-        rows, blobs = [], []
-        for i, own in enumerate(keys):
+        """Totals of the n-grams of a bucket, to the blocks whose own count is less, by their places among the block's keys there."""
+        every, total, counts, row = totals(table)
+        blocks, number = table[BLOCK].to_numpy(), row
+        if len(np.unique(blocks)) < len(blocks):
+            # A block that a scan has cut in two asks twice; its keys are those of both parts.
+            blocks, own = np.unique(blocks, return_inverse=True)
+            number = own[row]
+            order = np.lexsort((every, number))
+            every, total, counts, number = every[order], total[order], counts[order], number[order]
+            first = np.append(True, (every[1:] != every[:-1]) | (number[1:] != number[:-1]))
+            counts = np.add.reduceat(counts, np.flatnonzero(first))
+            total, number = total[first], number[first]
+        edges = np.searchsorted(number, np.arange(len(blocks) + 1))
+        found, blobs = [], []
+        for i in range(len(blocks)):
             part = slice(edges[i], edges[i + 1])
-            more = total[part] != counts[part]
-            if more.any():
-                rows.append(i)
-                blobs.append((packed(own[more], deltas=True), packed(total[part][more])))
-        at = pa.array(rows, pa.int64())
+            places = np.flatnonzero(total[part] != counts[part])
+            if len(places):
+                found.append(i)
+                blobs.append((packed(places, deltas=True), packed(total[part][places])))
         return pa.table(
             {
-                BLOCK: table[BLOCK].take(at),
-                "n": table["n"].take(at),
-                "keys": pa.array([k for k, _ in blobs], pa.binary()),
+                BLOCK: pa.array(blocks[found], pa.int64()),
+                "n": table["n"].combine_chunks().slice(0, 1).take(pa.array([0] * len(found), pa.int64())),
+                "bucket": table["bucket"].combine_chunks().slice(0, 1).take(pa.array([0] * len(found), pa.int64())),
+                "places": pa.array([p for p, _ in blobs], pa.binary()),
                 "totals": pa.array([t for _, t in blobs], pa.binary()),
             }
         )
 
     def finish(docs: pa.RecordBatch, came: pa.Table) -> dict[str, pa.Array]:
         tokens, flags = _Tokens(texts_of(docs.column(text)), order), _flags(docs, training)
-        news: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for n, keys, total in zip(came["n"].to_pylist(), came["keys"], came["totals"]):
-            news.setdefault(n, []).append((unpacked(keys.as_py(), np.uint64, deltas=True), unpacked(total.as_py(), np.int64)))
+        news: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for n, bucket, at, total in zip(came["n"].to_pylist(), came["bucket"].to_pylist(), came["places"], came["totals"]):
+            news.setdefault(n, []).append((bucket, unpacked(at.as_py(), np.int64, deltas=True), unpacked(total.as_py(), np.int64)))
         tables = []
         for n in range(1, order + 1):
             places, number, own, counts = _counted(tokens, flags, n)
-            for keys, total in news.get(n, ()):
-                counts[np.searchsorted(own, keys)] = total
+            for bucket, more, total in news.get(n, ()):
+                counts[np.searchsorted(own, np.uint64(bucket) << np.uint64(64 - bits)) + more] = total
             tables.append((places, number, counts))
         whole = n_tokens + ADD * (n_types + 1)
         chances = (tables[0][2] + ADD) / whole
@@ -308,7 +318,7 @@ def score_texts(
         }
 
     asked = asked_columns.mapInArrow(lambda batches: counts_of(batches, range(1, order + 1), unseen=True), message)
-    replies = asked.groupBy("n", "bucket").applyInArrow(reply, f"{BLOCK} long, n int, keys binary, totals binary")
+    replies = asked.groupBy("n", "bucket").applyInArrow(reply, f"{BLOCK} long, n int, bucket int, places binary, totals binary")
     scored = answered(blocks, replies, finish, ADDED)
     if text in names:
         scored = _with_texts(scored, text)

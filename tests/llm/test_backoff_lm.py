@@ -71,6 +71,21 @@ def test_equals_brute_force_automaton(table, order, monkeypatch):
         assert row[4:] == pytest.approx(expected[4:], rel=1e-9)
 
 
+def test_totals_come_back_by_place_also_if_a_scan_cuts_a_block(spark, table):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        got = score_texts(table(ROWS, "doc_id long, text string, training boolean"), "training", strength=2.0)
+        assert "places#" in got._jdf.queryExecution().toString()
+        found = sorted(((r.doc_id, *r[3:]) for r in got.collect()), key=repr)
+    finally:
+        spark.conf.set(name, before)
+    for row, expected in zip(found, sorted(brute(ROWS, 2, 2.0), key=repr), strict=True):
+        assert row[:4] == expected[:4]
+        assert row[4:] == pytest.approx(expected[4:], rel=1e-9)
+
+
 def test_next_token_probabilities_sum_to_one(table):
     rows = [(1, "x y x z x y", True), (2, "x x", True)]
     rows += [(10 + i, f"x {w}", False) for i, w in enumerate(["x", "y", "z", "never"])] + [(20, "x", False)]
