@@ -1,8 +1,9 @@
 """Training, scoring and search of two-class text models, whose weights are a table.
 
 A text's features are its words, each with the root of its share of the text, and one
-feature that all texts have.  A model has a weight per feature; a text's margin is the
-sum of value times weight, a join and an aggregation.  Training takes one gradient over all
+feature that all texts have, with the value 1.  A model has a weight per feature; a text's
+margin is the sum of value times weight.  The most frequent features are looked up where the
+texts are, the others meet their weights by a join.  Training takes one gradient over all
 rows per epoch and goes on from the last weights; trials are columns of the same table,
 so that a search reads the rows once per epoch, however many trials there are.
 """
@@ -13,10 +14,12 @@ import math
 import random
 import statistics
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.arrays import argmax
@@ -43,30 +46,164 @@ STEP = 5e6
 DECIMALS = 9
 # The feature of all texts.
 BIAS = ""
-# Features in a larger part than this of all entries are looked up in place; there are fewer of them.
-HEAD = 4096
+# So many of the most frequent features are looked up in place, from a broadcast table.
+HEAD = 200_000
+# Rows whose entries a task holds at a time, and gradients that it hands on at a time.
+ROWS_AT_ONCE = 2_000
+ENTRIES_AT_ONCE = 1 << 16
 
 _SCORE_COLUMNS = "logits array<double>, prediction int"
 
 
-def with_entries(df: DataFrame, text: str = "text", name: str = "entries") -> DataFrame:
-    """Every row with the features of its text and their values as an array of structs.
+def _features(text: Column) -> Column:
+    """The different words of a text, how often it has them, and how many words it has."""
 
-    The squares of the values add up to 1, without that of the common feature.  A missing text
-    has the word "nan", a text without words only the common feature.
-    """
-    others = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.select(F.struct(*others).alias("row"), F.sort_array(words(F.col(text))).alias("ordered"))
-    placed = F.transform("ordered", lambda word, i: F.struct(word.alias("feature"), i.alias("at")))
-    first = lambda x, i: (i == 0) | (x["feature"] != F.get("ordered", i - 1))
-    rows = rows.select("row", F.size("ordered").alias("size"), F.filter(placed, first).alias("firsts"))
-    # The words are sorted, so a word's count is the distance to the next one.
-    count = lambda x, i: F.coalesce(F.get("firsts", i + 1)["at"], F.col("size")) - x["at"]
-    valued = F.transform(
-        "firsts", lambda x, i: F.struct(x["feature"].alias("feature"), F.sqrt(count(x, i) / F.col("size")).alias("value"))
+    @F.arrow_udf("struct<size int, features array<string>, counts array<int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _by_parts(_counted, texts)
+
+    return run(words(text))
+
+
+def _by_parts(run: Callable[[pa.Array], pa.Array], rows: pa.Array) -> pa.Array:
+    parts = [run(rows.slice(at, ROWS_AT_ONCE)) for at in range(0, max(len(rows), 1), ROWS_AT_ONCE)]
+    return pa.concat_arrays(parts)
+
+
+def _lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """A list for each of ``n`` rows of the ``values``, whose ``rows`` ascend."""
+    offsets = np.zeros(n + 1, "int32")
+    np.cumsum(np.bincount(rows, minlength=n), out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _rows_of(lists: pa.Array) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+
+def _counted(texts: pa.Array) -> pa.Array:
+    coded = texts.flatten().dictionary_encode()
+    different = max(len(coded.dictionary), 1)
+    keys, counts = np.unique(_rows_of(texts) * different + coded.indices.to_numpy(), return_counts=True)
+    rows, features = np.divmod(keys, different)
+    return pa.StructArray.from_arrays(
+        [
+            pc.list_value_length(texts).cast("int32"),
+            _lists(rows, len(texts), coded.dictionary.take(pa.array(features))),
+            _lists(rows, len(texts), pa.array(counts.astype("int32"))),
+        ],
+        names=["size", "features", "counts"],
     )
-    common = F.array(F.struct(F.lit(BIAS).alias("feature"), F.lit(1.0).alias("value")))
-    return rows.select("row.*", F.concat(common, valued).alias(name))
+
+
+@dataclass(frozen=True)
+class _Head:
+    """The most frequent features, at most ``HEAD`` of them, and that of all texts; they are looked up in place.
+
+    Features of fewer than ``least`` rows are rare, unless the head is the ``whole`` vocabulary.
+    """
+
+    names: pa.Array
+    least: int
+    whole: bool
+
+    @property
+    def bias(self) -> int:
+        """Place of the feature of all texts; -1 if a model of no rows lacks it."""
+        return pc.index(self.names, BIAS).as_py()
+
+    def holds(self) -> Column:
+        return F.lit(True) if self.whole else (F.col("n") >= self.least) | (F.col("feature") == BIAS)
+
+    def matrix(self, weights: DataFrame, columns: Sequence[str]) -> np.ndarray:
+        """The weights of the head, a line for each of the ``columns``."""
+        found = weights.filter(self.holds()).select("feature", *columns).toArrow()
+        at = pc.index_in(found.column("feature").cast("string"), value_set=self.names).to_numpy()
+        matrix = np.zeros((len(columns), len(self.names)))
+        for line, name in zip(matrix, columns):
+            line[at] = found.column(name).fill_null(0.0).to_numpy()
+        return matrix
+
+
+def _head_of(weights: DataFrame) -> _Head:
+    least, held, whole = 0, 0, True
+    # There are few different counts, as they add up to the number of entries.
+    for n, features in sorted(weights.groupBy("n").agg(F.count("*")).collect(), reverse=True):
+        if held + features > HEAD:
+            whole = False
+            break
+        least, held = n, held + features
+    if not (whole or held):
+        least = np.iinfo("int64").max
+    head = _Head(pa.array([], "string"), int(least), whole)
+    names = weights.filter(head.holds()).select("feature").toArrow().column(0).cast("string")
+    return replace(head, names=pa.concat_arrays([head.names, *names.chunks]))
+
+
+_RARE = "array<struct<feature string, value double>>"
+
+
+def _coded(head: _Head) -> Callable[[Column], Column]:
+    """Features as their places in the head, and the rare ones with their values."""
+
+    def code(part: pa.Array) -> pa.Array:
+        size, features, counts = part.flatten()
+        rows, n, counts = _rows_of(features), len(part), counts.flatten()
+        names = features.flatten()
+        ids = pc.index_in(names, value_set=head.names)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        far = np.zeros(len(rows), bool) if head.whole else ~known
+        values = np.sqrt(counts.to_numpy()[far] / size.to_numpy()[rows[far]])
+        rare = pa.StructArray.from_arrays([names.filter(pa.array(far)), pa.array(values)], names=["feature", "value"])
+        return pa.StructArray.from_arrays(
+            [
+                size,
+                _lists(rows[known], n, ids.drop_null()),
+                _lists(rows[known], n, counts.filter(pa.array(known))),
+                _lists(rows[far], n, rare),
+            ],
+            names=["size", "ids", "counts", "rare"],
+        )
+
+    @F.arrow_udf(f"struct<size int, ids array<int>, counts array<int>, rare {_RARE}>")
+    def run(found: pa.Array) -> pa.Array:
+        return _by_parts(code, found)
+
+    return run
+
+
+def _entries(code: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the head and value of every entry of the head."""
+    size, ids, counts, _ = code.flatten()
+    rows = _rows_of(ids)
+    return rows, ids.flatten().to_numpy(), np.sqrt(counts.flatten().to_numpy() / size.to_numpy()[rows])
+
+
+def _near(code: pa.Array, matrix: np.ndarray, bias: int) -> np.ndarray:
+    """What the features of the head add to the margin of every row, a column for each line of the matrix."""
+    rows, ids, values = _entries(code)
+    sums = np.empty((len(code), len(matrix)))
+    for k, line in enumerate(matrix):
+        sums[:, k] = np.bincount(rows, line[ids] * values, len(code))
+        if bias >= 0:
+            sums[:, k] += line[bias]
+    return sums
+
+
+def _near_margins(matrix: np.ndarray, head: _Head) -> Callable[[Column], Column]:
+    """The sums over the head as an array, and the rare features."""
+    bias, width = head.bias, len(matrix)
+
+    def look(part: pa.Array) -> pa.Array:
+        offsets = np.arange(len(part) + 1, dtype="int32") * width
+        sums = pa.ListArray.from_arrays(pa.array(offsets, "int32"), pa.array(_near(part, matrix, bias).ravel()))
+        return pa.StructArray.from_arrays([sums, part.field("rare")], names=["near", "rare"])
+
+    @F.arrow_udf(f"struct<near array<double>, rare {_RARE}>")
+    def run(code: pa.Array) -> pa.Array:
+        return _by_parts(look, code)
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -76,21 +213,22 @@ class LinearModel:
     weights: DataFrame
 
 
-def _margins(entries: DataFrame, weights: DataFrame, names: Sequence[str], total: int | None = None) -> DataFrame:
-    """Per ``row`` of ``entries`` (row, feature, value) the margin of each of the ``names`` columns of weights.
+def _far(rare: DataFrame, weights: DataFrame, names: Sequence[str], head: _Head) -> DataFrame:
+    """Per ``row`` of ``rare`` (row, feature, value) the sums over its rare features, which meet their weights by feature."""
+    tail = weights.filter(~head.holds()).select("feature", *names)
+    return rare.join(tail, "feature").groupBy("row").agg(*(F.sum(F.col("value") * F.col(name)).alias(name) for name in names))
+
+
+def _with_margins(rows: DataFrame, far: DataFrame | None, names: Sequence[str]) -> DataFrame:
+    """``rows`` (with ``row`` and ``near``) and the margin of each of the ``names`` columns of weights.
 
-    Features of many rows, fewer than ``HEAD``, are looked up in place, the others meet their
-    weights by feature.  Unknown features add nothing.  ``total`` is the sum of ``n``, if it is known.
+    Unknown features add nothing.  ``far`` is None where no feature is rare.
     """
-    total = weights.agg(F.sum("n")).first()[0] or 0 if total is None else total
-    often = F.col("n") * HEAD > total
-    head = F.broadcast(weights.filter(often).select("feature", *names).withColumn("known", F.lit(True)))
-    tail = weights.filter(~often).select("feature", *names)
-    looked = entries.join(head, "feature", "left")
-    near = looked.filter("known").select("row", "value", *names)
-    far = looked.filter("known IS NULL").select("row", "value", "feature").join(tail, "feature").select("row", "value", *names)
-    sums = [F.round(F.sum(F.col("value") * F.col(name)), DECIMALS).alias(name) for name in names]
-    return near.unionByName(far).groupBy("row").agg(*sums)
+    if far is not None:
+        rows = rows.join(far, "row", "left")
+    more = [F.lit(0.0) if far is None else F.coalesce(name, F.lit(0.0)) for name in names]
+    margins = [F.round(F.get("near", F.lit(i)) + x, DECIMALS).alias(name) for i, (name, x) in enumerate(zip(names, more))]
+    return rows.select(*(c for c in rows.columns if c not in ("near", *names)), *margins)
 
 
 def _chance(margin: Column) -> Column:
@@ -106,30 +244,64 @@ def prior_bias(share: float | None) -> float:
 
 def _learn(
     rows: DataFrame,
-    entries: DataFrame,
+    rare: DataFrame | None,
     weights: DataFrame | None,
     trials: dict[str, Trial],
     bias: float,
     n_rows: int,
-    total: int,
+    vocabulary: DataFrame,
+    head: _Head,
 ) -> DataFrame:
     """Weights after one more epoch, a column for each trial; before the first all are 0 but that of all texts, ``bias``.
 
     A feature's gradient is averaged over the rows that have it, or over a batch if those
-    are fewer.
+    are fewer.  Tasks add up the gradients of the head; those of rare features meet by feature.
     """
-    labels = rows.select("row", F.col("label").cast("double").alias("label"))
+    names, place, size = list(trials), head.bias, len(head.names)
+    matrix = None if weights is None else head.matrix(weights, names)
+    labelled = rows.filter("label IS NOT NULL").select("row", F.col("label").cast("double").alias("label"), "code")
+    if weights is None or rare is None:
+        labelled = labelled.select("label", "code")
+    else:
+        met = labelled.join(_far(rare, weights, names, head), "row", "left")
+        labelled = met.select("label", "code", F.array(*(F.coalesce(name, F.lit(0.0)) for name in names)).alias("far"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slopes, met = np.zeros((len(names), size)), np.zeros(size, bool)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                code = part.column("code")
+                if matrix is None:
+                    margins = np.full((len(code), len(names)), bias)
+                else:
+                    margins = _near(code, matrix, place)
+                    if "far" in part.schema.names:
+                        margins += part.column("far").flatten().to_numpy().reshape(margins.shape)
+                    margins = margins.round(DECIMALS)
+                with np.errstate(over="ignore"):
+                    errors = 1 / (1 + np.exp(-margins)) - part.column("label").to_numpy()[:, None]
+                owners, ids, values = _entries(code)
+                met[ids] = True
+                met[place] = True
+                for k, line in enumerate(slopes):
+                    line += np.bincount(ids, values * errors[owners, k], size)
+                    line[place] += errors[:, k].sum()
+                lists = code.field("rare")
+                features, values = lists.flatten().flatten()
+                if len(features):
+                    products = values.to_numpy()[:, None] * errors[_rows_of(lists)]
+                    yield from _gradients(features, products.T, names)
+        ids = np.flatnonzero(met)
+        yield from _gradients(head.names.take(pa.array(ids)), slopes[:, ids], names)
+
+    gradients = labelled.mapInArrow(run, ", ".join(["feature string", *(f"{name} double" for name in names)]))
+    sums = gradients.groupBy("feature").agg(*(F.sum(name).alias(name) for name in names))
     if weights is None:
-        residuals = labels.select("row", *((_chance(F.lit(bias)) - F.col("label")).alias(name) for name in trials))
+        old = vocabulary
+        before = {name: F.when(F.col("feature") == BIAS, bias).otherwise(0.0) for name in trials}
     else:
-        met = labels.join(_margins(entries, weights, list(trials), total), "row", "left")
-        residuals = met.select("row", *((_chance(F.coalesce(name, F.lit(0.0))) - F.col("label")).alias(name) for name in trials))
-    errors = rows.select("row", "entries").join(residuals, "row").select(*trials, F.inline("entries"))
-    sums = errors.groupBy("feature").agg(F.count("*").alias("n"), *(F.sum(F.col("value") * F.col(name)).alias(name) for name in trials))
-    before = {name: F.when(F.col("feature") == BIAS, bias).otherwise(0.0) for name in trials}
-    if weights is not None:
-        old = weights.select("feature", *(F.col(name).alias(f"old_{name}") for name in trials))
-        sums = sums.join(old, "feature")
+        old = weights.select("feature", "n", *(F.col(name).alias(f"old_{name}") for name in trials))
         before = {name: F.col(f"old_{name}") for name in trials}
     # Words of most texts move little, or their many small steps would add up to a swing of all margins.
     rarity = F.pow(F.log(F.lit(float(n_rows)) / F.col("n")) / math.log(max(n_rows, 2)), F.lit(2.0))
@@ -138,7 +310,13 @@ def _learn(
         for name, trial in trials.items()
     }
     learnt = [F.round(before[name] - steps[name] * F.col(name), DECIMALS).alias(name) for name in trials]
-    return stage(sums.select("feature", "n", *learnt), "weights")
+    return stage(old.join(sums, "feature", "left").select("feature", "n", *learnt), "weights")
+
+
+def _gradients(features: pa.Array, lines: np.ndarray, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(features), ENTRIES_AT_ONCE):
+        part = slice(at, at + ENTRIES_AT_ONCE)
+        yield pa.RecordBatch.from_arrays([features[part], *(pa.array(line[part]) for line in lines)], ["feature", *names])
 
 
 @dataclass
@@ -150,10 +328,12 @@ class Epoch:
 
 
 def _evaluate(
-    epoch: int, rows: DataFrame, entries: DataFrame, weights: DataFrame, names: Sequence[str], total: int | None = None
+    epoch: int, rows: DataFrame, rare: DataFrame | None, weights: DataFrame, names: Sequence[str], head: _Head
 ) -> dict[str, Epoch]:
     """Loss and metrics of all trials in one scan."""
-    met = rows.select("row", "label").join(_margins(entries, weights, names, total), "row", "left").fillna(0.0, subset=list(names))
+    near = _near_margins(head.matrix(weights, names), head)(F.col("code"))
+    looked = rows.select("row", "label", near["near"].alias("near"))
+    met = _with_margins(looked, None if rare is None else _far(rare, weights, names, head), names)
     cells = []
     for name in names:
         right = F.when(F.col("label") == 1, _chance(F.col(name))).otherwise(1 - _chance(F.col(name)))
@@ -175,25 +355,34 @@ def _evaluate(
     return found
 
 
-def _prepared(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a number of their own and their entries, written once, and the entries as rows."""
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), "label", "text")
-    rows = stage(with_entries(numbered).drop("text"), "features")
-    return rows, rows.select("row", F.inline("entries"))
+def _found(df: DataFrame) -> DataFrame:
+    """Rows with a number of their own and the features of their texts."""
+    return df.select(F.monotonically_increasing_id().alias("row"), "label", _features(F.col("text")).alias("found"))
+
+
+def _prepared(found: DataFrame, head: _Head) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with their coded features, written once, and the rare ones as rows, if there are any."""
+    rows = stage(found.select("row", "label", _coded(head)(F.col("found")).alias("code")), "features")
+    return rows, None if head.whole else rows.select("row", F.inline("code.rare"))
 
 
-def _fit(train: DataFrame, valid: DataFrame, trials: dict[str, Trial], rungs: Sequence[int]) -> tuple[dict[str, list[Epoch]], DataFrame]:
-    """The epochs of every trial, and a table with the weights of its best epoch as a column each."""
-    (rows, entries), (valid_rows, valid_entries) = _prepared(train), _prepared(valid)
+def _fit(
+    train: DataFrame, valid: DataFrame, trials: dict[str, Trial], rungs: Sequence[int]
+) -> tuple[dict[str, list[Epoch]], DataFrame, _Head]:
+    """The epochs of every trial, a table with the weights of its best epoch as a column each, and its head."""
+    found = stage(_found(train), "words")
+    every = F.explode(F.concat(F.array(F.lit(BIAS)), "found.features")).alias("feature")
+    vocabulary = stage(found.select(every).groupBy("feature").agg(F.count("*").alias("n")), "vocabulary")
+    head = _head_of(vocabulary)
+    (rows, rare), (valid_rows, valid_rare) = _prepared(found, head), _prepared(_found(valid), head)
     logs: dict[str, list[Epoch]] = {name: [] for name in trials}
     tables: list[DataFrame] = []
     going = dict(trials)
-    # As many entries as the weights of any epoch count rows.
-    n_rows, total, share = rows.agg(F.count("*"), F.sum(F.size("entries")), F.avg(F.col("label").cast("double"))).first()
-    total, bias = total or 0, prior_bias(share)
+    n_rows, share = rows.agg(F.count("*"), F.avg(F.col("label").cast("double"))).first()
+    bias = prior_bias(share)
     for epoch in range(1, max(trial.epochs for trial in trials.values()) + 1):
-        tables.append(_learn(rows, entries, tables[-1] if tables else None, going, bias, n_rows, total))
-        for name, result in _evaluate(epoch, valid_rows, valid_entries, tables[-1], list(going), total).items():
+        tables.append(_learn(rows, rare, tables[-1] if tables else None, going, bias, n_rows, vocabulary, head))
+        for name, result in _evaluate(epoch, valid_rows, valid_rare, tables[-1], list(going), head).items():
             logs[name].append(result)
         if epoch in rungs:
             middle = statistics.median(logs[name][-1].eval_f1 for name in going)
@@ -209,7 +398,7 @@ def _fit(train: DataFrame, valid: DataFrame, trials: dict[str, Trial], rungs: Se
         if names:
             part = table.select("feature", *(["n"] if chosen is None else []), *names)
             chosen = part if chosen is None else chosen.join(part, "feature")
-    return logs, stage(chosen.select("feature", "n", *trials), "weights")
+    return logs, stage(chosen.select("feature", "n", *trials), "weights"), head
 
 
 def train_text_classifier(
@@ -226,7 +415,7 @@ def train_text_classifier(
     ``label`` of 0 or 1.
     """
     trial = Trial("single", rate, batch_size, epochs)
-    logs, weights = _fit(train, valid, {"weight": trial}, ())
+    logs, weights, _ = _fit(train, valid, {"weight": trial}, ())
     log = train.sparkSession.createDataFrame(
         [tuple(asdict(e).values()) for e in logs["weight"]],
         "epoch int, eval_loss double, eval_f1 double, eval_accuracy double",
@@ -241,12 +430,17 @@ def score(model: LinearModel, df: DataFrame) -> DataFrame:
     the names added are replaced.
     """
     kept = [c for c in df.columns if c not in ("logits", "prediction")]
-    packed = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("kept"))
-    rows = stage(packed, "texts")
-    # Outer, since Spark would work the entries out once more to leave out empty ones first.
-    entries = with_entries(rows.select("row", "kept.text")).select("row", F.inline_outer("entries"))
-    met = rows.join(_margins(entries, model.weights, ["weight"]), "row", "left")
-    half = F.coalesce("weight", F.lit(0.0)) / 2
+    head = _head_of(model.weights)
+    look = _near_margins(head.matrix(model.weights, ["weight"]), head)
+    looked = look(_coded(head)(_features(F.col("text")))).alias("looked")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("kept"), looked)
+    far = None
+    if not head.whole:
+        # Written once, since rows and rare features are read on their own.
+        rows = stage(rows, "texts")
+        far = _far(rows.select("row", F.inline("looked.rare")), model.weights, ["weight"], head)
+    met = _with_margins(rows.select("row", "kept", "looked.near"), far, ["weight"])
+    half = F.col("weight") / 2
     scored = met.select("kept.*", F.array(-half, half).alias("logits"))
     return scored.withColumn("prediction", argmax(F.col("logits")))
 
@@ -340,9 +534,9 @@ def search_hyperparameters(
     drawn = draw_trials(trials, seed) if isinstance(trials, int) else list(trials)
     # Names of columns, whatever the ids of the runs are.
     named = {f"w{i}": trial for i, trial in enumerate(drawn)}
-    logs, weights = _fit(train, valid, named, rungs)
-    dev_rows, dev_entries = _prepared(dev)
-    on_dev = _evaluate(0, dev_rows, dev_entries, weights, list(named))
+    logs, weights, head = _fit(train, valid, named, rungs)
+    dev_rows, dev_rare = _prepared(_found(dev), head)
+    on_dev = _evaluate(0, dev_rows, dev_rare, weights, list(named), head)
     rows = []
     for name, trial in named.items():
         best = min(logs[name], key=lambda e: (e.eval_loss, e.epoch))

@@ -266,6 +266,55 @@ def test_frequent_and_rare_features_give_the_same_scores(sides, monkeypatch):
     assert found[0] == found[1] == found[2]
 
 
+@pytest.mark.parametrize("head", [1, 4, 200_000])
+def test_rare_and_frequent_features_learn_the_same(spark, monkeypatch, head):
+    """Unlabelled rows count for the sizes of features only; a batch is worked on in parts."""
+    monkeypatch.setattr(classifier, "HEAD", head)
+    monkeypatch.setattr(classifier, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(classifier, "ENTRIES_AT_ONCE", 3)
+    rows = [(f"same {'bad bad' if i % 3 else 'good'} w{i % 11} only{i}", int(i % 3 > 0)) for i in range(40)] + [("", 1)]
+    train = spark.createDataFrame(rows, "text string, label int").repartition(3)
+    model, _ = classifier.train_text_classifier(train, train, epochs=2)
+    got = {r["feature"]: (r["n"], r["weight"]) for r in model.weights.collect()}
+    assert {w: weight for w, (_, weight) in got.items()} == pytest.approx(by_hand(rows, 2, classifier.DEFAULT_RATE, 6)[1], abs=1e-6)
+    assert got[""][0] == 41 and got["same"][0] == 40 and got["only3"][0] == 1
+    odd = spark.createDataFrame([("same only5", None), ("never", None)], "text string, label int")
+    mixed, _ = classifier.train_text_classifier(concat(train, odd), train, epochs=2)
+    weights = {r["feature"]: (r["n"], r["weight"]) for r in mixed.weights.collect()}
+    assert weights["never"] == (1, None) and weights["only5"][0] == 2 and weights["same"][0] == 41
+    said = {r["text"]: r["logits"][1] for r in classifier.score(mixed, odd).collect()}
+    assert said["never"] == pytest.approx(weights[""][1] / 2)
+
+
+def test_epochs_and_scores_take_no_text_apart_twice(sides, monkeypatch):
+    """Entries stay in their rows: only sums by feature are exchanged, and scores of known features need no exchange."""
+    train, valid = sides
+    plans = []
+    stage = classifier.stage
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, name)
+
+    monkeypatch.setattr(classifier, "stage", noted)
+    model, _ = classifier.train_text_classifier(train, valid, epochs=2)
+    learnt = [plan for name, plan in plans if name == "weights"]
+    assert len(learnt) == 3 and not any("Generate " in plan for plan in learnt)
+    plan = classifier.score(model, valid)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate " not in plan and plan.count("ArrowEvalPython ") == 1
+
+
+@pytest.mark.parametrize("head", [1, 200_000])
+def test_models_of_no_rows(sides, monkeypatch, head):
+    monkeypatch.setattr(classifier, "HEAD", head)
+    train, valid = sides
+    model, log = classifier.train_text_classifier(train.limit(0), valid, epochs=1)
+    assert model.weights.count() == 0 and log.first()["eval_loss"] == pytest.approx(math.log(2))
+    assert {tuple(r["logits"]) for r in classifier.score(model, valid).collect()} == {(0.0, 0.0)}
+    _, log = classifier.train_text_classifier(train, valid.limit(0), epochs=1)
+    assert math.isnan(log.first()["eval_loss"]) and log.first()["eval_f1"] == 0
+
+
 def test_saved_models_score_the_same(spark, sides, tmp_path):
     train, valid = sides
     model, _ = classifier.train_text_classifier(train, valid, epochs=1)
