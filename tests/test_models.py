@@ -304,6 +304,22 @@ def test_epochs_and_scores_take_no_text_apart_twice(sides, monkeypatch):
     assert "Exchange" not in plan and "Generate " not in plan and plan.count("ArrowEvalPython ") == 1
 
 
+def test_a_search_exchanges_sums_by_feature_only(sides, monkeypatch):
+    train, valid = sides
+    plans = []
+    stage = classifier.stage
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, name)
+
+    monkeypatch.setattr(classifier, "stage", noted)
+    trials = [classifier.Trial(f"r{i}", 1e-5 * (i + 1), 6, 2) for i in range(3)]
+    classifier.search_hyperparameters(train, valid, valid, trials=trials, rungs=())
+    learnt = [plan for name, plan in plans if name == "weights"]
+    assert len(learnt) == 3 and not any("Generate " in plan for plan in learnt)
+
+
 @pytest.mark.parametrize("head", [1, 200_000])
 def test_models_of_no_rows(sides, monkeypatch, head):
     monkeypatch.setattr(classifier, "HEAD", head)
