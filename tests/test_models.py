@@ -320,6 +320,22 @@ def test_a_search_exchanges_sums_by_feature_only(sides, monkeypatch):
     assert len(learnt) == 3 and not any("Generate " in plan for plan in learnt)
 
 
+def test_a_single_run_scores_its_rows_without_an_exchange(sides, monkeypatch, tmp_path):
+    from gradeloom.plans import single_run as plan_of
+
+    train, valid = sides
+    plans = []
+    stage = plan_of.stage
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(plan_of, "stage", noted)
+    run = single_run(train, valid, valid, valid.select("row_idx", "text"), str(tmp_path), "r", min_f1=-1.0, epochs=1)
+    assert run.attempt is not None and len(plans) == 1 and "Exchange" not in plans[0]
+
+
 @pytest.mark.parametrize("head", [1, 200_000])
 def test_models_of_no_rows(sides, monkeypatch, head):
     monkeypatch.setattr(classifier, "HEAD", head)
