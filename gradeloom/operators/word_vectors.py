@@ -3,12 +3,18 @@
 Everything is a table: weighted counts of pairs, their log ratios to chance, and
 vectors as sums of signed hashed dimensions.  No model passes through the driver, and
 neither the vocabulary nor a sentence has a largest size.
+
+Words, pairs and entries of vectors are dealt out to buckets of words.  A task hands on one row for
+each bucket with all it has for it, as compressed numbers: frequent words by their
+place in the list of frequent words, others by their place in a list in the row.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,76 +25,314 @@ from gradeloom.staging import stage
 
 # Log ratios are kept in steps of one in 2**20, so that their sums do not depend on their order.
 STEPS = 1 << 20
-# Words with a larger part than one in so many of all weights are looked up in place.
+# So many of the most frequent words at most are known to every task.
 HEAD = 500_000
 # Pairs that a task adds up at a time, and different ones that it hands on at a time.
 PAIRS_AT_ONCE = 1 << 23
 ROWS_AT_ONCE = 1 << 16
+# Entries of vectors that a task holds until it hands them on.
+ENTRIES_AT_ONCE = 1 << 22
+# Buckets at least, and occurrences and words that a bucket gets on average at most.
+LEAST_BUCKETS, BUCKET_PLACES, BUCKET_WORDS = 1 << 10, 1 << 21, 1 << 15
+
+# What a row for a bucket holds.
+PAIRS, WORDS, ENTRIES, OPEN = range(4)
+PARCEL = "bucket int, kind int, parts array<binary>"
+
+
+class Head(NamedTuple):
+    """The most frequent words, the first most often, with what is known of them, and the number of buckets."""
+
+    words: pa.StringArray
+    totals: np.ndarray
+    marks: np.ndarray
+    buckets: int
+
+    def home(self, words: pa.StringArray, ids: np.ndarray) -> np.ndarray:
+        """Bucket of each word; ``ids`` are places in the head, or at least its size."""
+        home = ids % self.buckets
+        rare = np.flatnonzero(ids >= len(self.words))
+        home[rare] = [zlib.crc32(word) % self.buckets for word in words.take(pa.array(rare)).cast(pa.binary()).to_pylist()]
+        return home
+
+    def ids(self, words: pa.StringArray) -> np.ndarray:
+        """Place of each word in the head; other words get the numbers behind it in their order."""
+        ids = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        rare = ids < 0
+        ids[rare] = len(self.words) + np.arange(np.count_nonzero(rare))
+        return ids
 
 
 def count_neighbours(sentences: DataFrame, window: int = 5, words: str = "words") -> DataFrame:
     """``a``, ``b`` (a <= b) and the weight ``n`` of all pairs of words within ``window`` words of a sentence.
 
     Neighbours count ``window``, the next ones less by one, and so on; a word that meets
-    itself counts for both.  Null words stand in the way but are in no pair.
+    itself counts for both.  Null words stand in the way but are in no pair.  The words
+    are counted when this is called.
     """
+    spoken = _spoken(sentences, words)
+    head = _head(_word_sums(spoken, window), 1)
+    at_hand = spoken.sparkSession.sparkContext.broadcast(head)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            high, low, n, rare = _added(rows[PAIRS], bucket, at_hand.value)
+            known = pa.concat_arrays([at_hand.value.words, rare])
+            for at in range(0, len(n), ROWS_AT_ONCE):
+                some = slice(at, at + ROWS_AT_ONCE)
+                x, y = (known.take(pa.array(side[some])) for side in (high, low))
+                less = pc.less(x, y)
+                sides = [pc.if_else(less, x, y), pc.if_else(less, y, x)]
+                yield pa.RecordBatch.from_arrays([*sides, pa.array(n[some])], names=["a", "b", "n"])
+
+    return _met(_pairs(spoken, window, at_hand, both=False)).mapInArrow(add_up, "a string, b string, n bigint")
+
+
+def _spoken(sentences: DataFrame, words: str) -> DataFrame:
+    return sentences.select(F.col(words).cast("array<string>").alias("words"))
+
+
+def _word_sums(spoken: DataFrame, window: int) -> DataFrame:
+    """``word``, ``n`` (occurrences) and ``total`` (the sum of its pairs, those with itself twice) of all words."""
     if window < 1:
         raise ValueError("the window has to reach one word at least")
     at_once = max(PAIRS_AT_ONCE // window, 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-        for batch in batches:
-            held.append(batch.column(0))
-            n_held += len(held[-1].flatten())
-            if n_held >= at_once:
-                yield from _counted(held, window, at_once)
-                held, n_held = [], 0
-        yield from _counted(held, window, at_once)
+        for lists in _held(batches, at_once):
+            for coded, ids, n_own, pairs in _near(lists, window, at_once):
+                n_words = len(coded)
+                n = np.bincount(ids[:n_own][ids[:n_own] >= 0], minlength=n_words)
+                total = np.zeros(n_words, np.int64)
+                for weight, *sides in pairs:
+                    for side in sides:
+                        total += weight * np.bincount(side, minlength=n_words)
+                for at in range(0, n_words, ROWS_AT_ONCE):
+                    some = slice(at, at + ROWS_AT_ONCE)
+                    yield pa.RecordBatch.from_arrays([coded[some], pa.array(n[some]), pa.array(total[some])], names=["word", "n", "total"])
 
-    pairs = sentences.select(F.col(words).cast("array<string>").alias("words")).mapInArrow(count, "a string, b string, n bigint")
-    # Dealt out as they are: a task has too many different pairs to add them up once more before.
-    return pairs.repartition("a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    partial = spoken.mapInArrow(count, "word string, n bigint, total bigint")
+    return stage(partial.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "words")
 
 
-def _counted(lists: list[pa.ListArray], window: int, at_once: int) -> Iterator[pa.RecordBatch]:
-    """Weights of the pairs in some sentences, added up over each ``at_once`` words."""
-    if not lists:
-        return
+def _head(sums: DataFrame, size: int) -> Head:
+    """The most frequent words, as many as have the same or more occurrences and are not more than ``HEAD``."""
+    groups = sorted(sums.groupBy("n").agg(F.count("*").alias("n_words")).collect(), reverse=True)
+    n_words, least = 0, None
+    for n, more in groups:
+        if n_words + more > HEAD:
+            break
+        n_words, least = n_words + more, n
+    rows = sums.filter(F.col("n") >= least) if least is not None else sums.limit(0)
+    found = rows.select("word", "n", "total", _mark("word", size).alias("mark")).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    buckets = max(LEAST_BUCKETS, sum(n * k for n, k in groups) // BUCKET_PLACES, sum(k for _, k in groups) // BUCKET_WORDS)
+    words = found.column("word").cast(pa.string()).combine_chunks()
+    return Head(words, *(found.column(x).to_numpy().astype(np.int64) for x in ("total", "mark")), buckets)
+
+
+def _held(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[list[pa.ListArray]]:
+    """Sentences of at least ``at_once`` words together, and the last ones."""
+    held, n_held = [], 0
+    for batch in batches:
+        held.append(batch.column(0))
+        n_held += len(held[-1].flatten())
+        if n_held >= at_once:
+            yield held
+            held, n_held = [], 0
+    if held:
+        yield held
+
+
+def _near(lists: list[pa.ListArray], window: int, at_once: int) -> Iterator[tuple]:
+    """For each ``at_once`` words: different words, their places in these (null: -1), how many are counted here, and
+    for each distance the weight and both sides of the pairs that begin here."""
     flat = pa.concat_arrays([x.flatten() for x in lists])
     sizes = np.concatenate([x.value_lengths().fill_null(0).to_numpy() for x in lists])
     sentence = np.repeat(np.arange(len(sizes)), sizes)
     reach = min(window, int(sizes.max(initial=0)) - 1)
+
+    def pairs(ids: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for k in range(1, reach + 1):
+            first, second = ids[:-k][:at_once], ids[k:][:at_once]
+            near = (place[:-k][:at_once] == place[k:][:at_once]) & (first >= 0) & (second >= 0)
+            yield window + 1 - k, first[near], second[near]
+
     for begin in range(0, len(flat), at_once):
         # The last words also meet those behind them.
-        own = slice(begin, begin + at_once + reach)
         coded = flat.slice(begin, at_once + reach).dictionary_encode()
         order = pc.sort_indices(coded.dictionary)
-        n_words = len(order)
-        ranks = np.empty(n_words + 1, np.int64)
-        ranks[order.to_numpy()] = np.arange(n_words)
-        ranks[n_words] = -1
-        ids = ranks[coded.indices.fill_null(n_words).to_numpy()]
-        place, found = sentence[own], []
-        for k in range(1, reach + 1):
-            first, second = ids[:-k][:at_once], ids[k:][:at_once]
-            near = (place[:-k][:at_once] == place[k:][:at_once]) & (first >= 0) & (second >= 0)
-            first, second = first[near], second[near]
+        ranks = np.empty(len(order) + 1, np.int64)
+        ranks[order.to_numpy()] = np.arange(len(order))
+        ranks[len(order)] = -1
+        ids = ranks[coded.indices.fill_null(len(order)).to_numpy()]
+        yield coded.dictionary.take(order), ids, at_once, pairs(ids, sentence[begin : begin + at_once + reach])
+
+
+def _counted(lists: list[pa.ListArray], window: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Weights of the pairs in some sentences, added up over each ``at_once`` words; ``a`` and ``b`` share a dictionary in order."""
+    for known, _, _, pairs in _near(lists, window, at_once):
+        n_words, found = len(known), []
+        for weight, first, second in pairs:
             pair = np.minimum(first, second) * n_words + np.maximum(first, second)
-            found.append(pair * (window + 1) + (window + 1 - k))
+            found.append(pair * (window + 1) + weight)
         keys = np.concatenate(found or [np.zeros(0, np.int64)])
         found.clear()
         keys.sort()
         pair, weight = np.divmod(keys, window + 1)
         del keys
-        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-        totals = np.add.reduceat(weight, starts) if len(pair) else weight
-        pair = pair[starts]
-        ordered = coded.dictionary.take(order)
-        for at in range(0, len(pair), ROWS_AT_ONCE):
-            some = slice(at, at + ROWS_AT_ONCE)
-            sides = [ordered.take(pa.array(side)) for side in np.divmod(pair[some], n_words)]
-            yield pa.RecordBatch.from_arrays([*sides, pa.array(totals[some])], names=["a", "b", "n"])
+        pair, totals = _totals(pair, weight)
+        sides = [pa.DictionaryArray.from_arrays(pa.array(side.astype(np.int32)), known) for side in np.divmod(pair, max(n_words, 1))]
+        yield pa.RecordBatch.from_arrays([*sides, pa.array(totals)], names=["a", "b", "n"])
+
+
+def _totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of their values, from keys in order."""
+    if not len(keys):
+        return keys, values
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(values, starts)
+
+
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order and the sums of their values."""
+    key, value = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, values))
+    order = np.argsort(key, kind="stable")
+    return _totals(key[order], value[order])
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, the bytes of one weight together."""
+    folded = (values << 1) ^ (values >> 63)
+    width = max(1, (int(folded.max(initial=0)).bit_length() + 7) // 8)
+    planes = folded.astype("<i8").view(np.uint8).reshape(-1, 8).T[:width]
+    return width.to_bytes(1, "little") + _pressed(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_freed(data[1:]), np.uint8).reshape(data[0], -1)
+    folded = np.zeros((planes.shape[1], 8), np.uint8)
+    folded[:, : data[0]] = planes.T
+    folded = folded.view("<i8").ravel()
+    return (folded >> 1) ^ -(folded & 1)
+
+
+def _pressed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _freed(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
+def _packed_words(words: pa.StringArray) -> list[bytes]:
+    lengths = pc.binary_length(words).to_numpy().astype(np.int64)
+    return [_packed(lengths), _pressed(b"".join(words.cast(pa.binary()).to_pylist()))]
+
+
+def _unpacked_words(lengths: bytes, letters: bytes) -> pa.StringArray:
+    ends = np.append(0, np.cumsum(_unpacked(lengths))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(_freed(letters)))
+
+
+def _parcels(rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
+    buckets, kinds, parts = zip(*rows) if rows else ((), (), ())
+    columns = [pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(parts, pa.list_(pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "parts"])
+
+
+def _met(parcels: DataFrame) -> DataFrame:
+    return parcels.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[list[bytes]]]]]:
+    """Every bucket with the parts of its rows by their kind."""
+    bucket, rows = None, [[], [], [], []]
+    for batch in batches:
+        for at, kind, parts in zip(*(batch.column(x).to_pylist() for x in ("bucket", "kind", "parts"))):
+            if at != bucket and bucket is not None:
+                yield bucket, rows
+                rows = [[], [], [], []]
+            bucket = at
+            rows[kind].append(parts)
+    if bucket is not None:
+        yield bucket, rows
+
+
+def _pairs(spoken: DataFrame, window: int, at_hand, both: bool) -> DataFrame:
+    """Rows of pairs, each in the bucket of its rarer word, or pairs of two rare words in those of ``both``."""
+    at_once = max(PAIRS_AT_ONCE // window, 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in _held(batches, at_once):
+            for counted in _counted(lists, window, at_once):
+                yield _parcels(list(_dealt(counted, at_hand.value, both)))
+
+    return spoken.mapInArrow(deal, PARCEL)
+
+
+def _dealt(counted: pa.RecordBatch, head: Head, both: bool) -> Iterator[tuple[int, int, list[bytes]]]:
+    known, n = counted.column("a").dictionary, counted.column("n").to_numpy()
+    ids = head.ids(known)
+    home = head.home(known, ids)
+    n_head, width = len(head.words), len(head.words) + len(known)
+    first, second = (counted.column(x).indices.to_numpy() for x in ("a", "b"))
+    rarer = ids[first] > ids[second]
+    high, low = np.where(rarer, first, second), np.where(rarer, second, first)
+    key = (home[high] * width + ids[high]) * width + ids[low]
+    if both:
+        again = (ids[low] >= n_head) & (home[high] != home[low])
+        more = (home[low[again]] * width + ids[high[again]]) * width + ids[low[again]]
+        key, n = np.append(key, more), np.append(n, n[again])
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    rare = np.flatnonzero(ids >= n_head)
+    cuts = np.searchsorted(key, np.arange(head.buckets + 1) * width * width)
+    for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+        some = slice(cuts[bucket], cuts[bucket + 1])
+        high, low = np.divmod(key[some] - bucket * width * width, width)
+        used = np.unique(np.concatenate([side[side >= n_head] for side in (high, low)]))
+        high, low = (np.where(side < n_head, side, n_head + np.searchsorted(used, side)) for side in (high, low))
+        keys = _place(high, head) * (n_head + len(used)) + low
+        words = known.take(pa.array(rare[used - n_head]))
+        yield bucket, PAIRS, [_packed(np.diff(keys, prepend=0)), _packed(n[some]), *_packed_words(words)]
+
+
+def _place(ids: np.ndarray, head: Head) -> np.ndarray:
+    """Numbers of words of one bucket without gaps: those of the head, and then the others."""
+    n_head = len(head.words)
+    return np.where(ids < n_head, ids // head.buckets, ids - n_head + n_head // head.buckets + 1)
+
+
+def _at_place(places: np.ndarray, bucket: int, head: Head) -> np.ndarray:
+    n_head = len(head.words)
+    top = n_head // head.buckets + 1
+    return np.where(places < top, places * head.buckets + bucket, places - top + n_head)
+
+
+def _together(words: list[pa.StringArray]) -> tuple[list[np.ndarray], pa.StringArray]:
+    """Place of the words of each list among all different ones, and these."""
+    coded = pa.concat_arrays([pa.array([], pa.string()), *words]).dictionary_encode()
+    ends = np.cumsum([len(x) for x in words])
+    return np.split(coded.indices.to_numpy().astype(np.int64), ends)[:-1], coded.dictionary
+
+
+def _added(rows: list[list[bytes]], bucket: int, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """Both sides and the weights of the different pairs of a bucket, and the words behind those of the head."""
+    n_head = len(head.words)
+    places, rare = _together([_unpacked_words(*parts[2:]) for parts in rows])
+    width, keys, weights = n_head + len(rare), [], []
+    for (pairs, n, *_), own in zip(rows, places):
+        high, low = np.divmod(np.cumsum(_unpacked(pairs)), n_head + len(own))
+        high = _at_place(high, bucket, head)
+        for side in (high, low):
+            late = side >= n_head
+            side[late] = n_head + own[side[late] - n_head]
+        keys.append(high * width + low)
+        weights.append(_unpacked(n))
+    key, n = _summed(keys, weights)
+    high, low = np.divmod(key, max(width, 1))
+    return high, low, n, rare
 
 
 def _number(word: str | Column, begin: int, digits: int) -> Column:
@@ -96,6 +340,11 @@ def _number(word: str | Column, begin: int, digits: int) -> Column:
     return F.conv(F.substring(F.md5(F.col(word).cast("binary")), begin, digits), 16, 10).cast("long")
 
 
+def _mark(word: str | Column, size: int) -> Column:
+    """The dimension of a word, from 1 on, below zero for those that are taken away."""
+    return F.when(_number(word, 9, 1) < 8, 1).otherwise(-1) * (_number(word, 1, 8) % size + 1)
+
+
 def _with_sums(pairs: DataFrame, sums: DataFrame, whole: int) -> DataFrame:
     """Pairs with the rows of ``sums`` of both words as ``met_a`` and ``met_b``.
 

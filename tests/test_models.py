@@ -127,6 +127,37 @@ def test_neighbours_are_added_up_before_they_are_dealt_out(at_once):
         assert n_rows == len(got)
 
 
+@pytest.mark.parametrize("head, buckets", [(1, 3), (3, 1), (4, 1024)])
+def test_pairs_do_not_depend_on_which_words_are_frequent(spark, monkeypatch, head, buckets):
+    monkeypatch.setattr(word_vectors, "HEAD", head)
+    monkeypatch.setattr(word_vectors, "LEAST_BUCKETS", buckets)
+    monkeypatch.setattr(word_vectors, "PAIRS_AT_ONCE", 50)
+    df = spark.createDataFrame([(s,) for s in [*SENTENCES, ["", "x\ny", "é", ""], None]], "words array<string>").repartition(3)
+    got = [(r["a"], r["b"], r["n"]) for r in count_neighbours(df).collect()]
+    wanted = counted_neighbours([*SENTENCES, ["", "x\ny", "é", ""]], 5)
+    assert len(got) == len(wanted) and {(a, b): n for a, b, n in got} == wanted
+
+
+def test_pairs_are_dealt_out_as_few_bytes_and_not_word_by_word(spark):
+    words = [F.md5(F.floor(F.pow(F.rand(i), 3) * 3000).cast("string")) for i in range(20)]
+    df = spark.range(0, 4000, 1, 2).select(F.array(*words).alias("words"))
+    counts = count_neighbours(df)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(a" not in plan
+    head = word_vectors._head(word_vectors._word_sums(df, 5), 1)
+    parcels = word_vectors._pairs(df, 5, spark.sparkContext.broadcast(head), both=False)
+    sent = parcels.selectExpr("sum(aggregate(parts, 0, (n, x) -> n + octet_length(x)))").first()[0]
+    # Each pair once per task at most; the words alone have 64 bytes a pair.
+    assert sent < 8 * counts.count()
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, -3, 2**40, -(2**40)], list(range(-300, 300))])
+def test_packed_numbers_and_words_come_back(values):
+    assert word_vectors._unpacked(word_vectors._packed(np.array(values, np.int64))).tolist() == values
+    words = pa.array([str(x) * (x % 3) for x in values], pa.string())
+    assert word_vectors._unpacked_words(*word_vectors._packed_words(words)).equals(words)
+
+
 def test_word_vectors_equal_those_worked_out_by_hand(spark):
     df = spark.createDataFrame([(s,) for s in SENTENCES], "words array<string>")
     sums, directed = Counter(), Counter()
