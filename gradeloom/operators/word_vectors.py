@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +31,8 @@ PAIRS_AT_ONCE = 1 << 23
 ROWS_AT_ONCE = 1 << 16
 # Entries of vectors that a task holds until it hands them on.
 ENTRIES_AT_ONCE = 1 << 22
+# Words that are dealt out together.
+DESCRIBED_AT_ONCE = 1 << 18
 # Buckets at least, and occurrences and words that a bucket gets on average at most.
 LEAST_BUCKETS, BUCKET_PLACES, BUCKET_WORDS = 1 << 10, 1 << 21, 1 << 15
 
@@ -41,11 +42,15 @@ PARCEL = "bucket int, kind int, parts array<binary>"
 
 
 class Head(NamedTuple):
-    """The most frequent words, the first most often, with what is known of them, and the number of buckets."""
+    """The most frequent words, the first most often, with what is known of them.
+
+    All words with ``least`` occurrences are here.  ``buckets`` is the number of buckets.
+    """
 
     words: pa.StringArray
     totals: np.ndarray
     marks: np.ndarray
+    least: int
     buckets: int
 
     def home(self, words: pa.StringArray, ids: np.ndarray) -> np.ndarray:
@@ -118,16 +123,15 @@ def _word_sums(spoken: DataFrame, window: int) -> DataFrame:
 def _head(sums: DataFrame, size: int) -> Head:
     """The most frequent words, as many as have the same or more occurrences and are not more than ``HEAD``."""
     groups = sorted(sums.groupBy("n").agg(F.count("*").alias("n_words")).collect(), reverse=True)
-    n_words, least = 0, None
+    n_words, least = 0, groups[0][0] + 1 if groups else 0
     for n, more in groups:
         if n_words + more > HEAD:
             break
         n_words, least = n_words + more, n
-    rows = sums.filter(F.col("n") >= least) if least is not None else sums.limit(0)
-    found = rows.select("word", "n", "total", _mark("word", size).alias("mark")).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    found = sums.filter(F.col("n") >= least).select("word", "n", "total", _mark("word", size).alias("mark")).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     buckets = max(LEAST_BUCKETS, sum(n * k for n, k in groups) // BUCKET_PLACES, sum(k for _, k in groups) // BUCKET_WORDS)
     words = found.column("word").cast(pa.string()).combine_chunks()
-    return Head(words, *(found.column(x).to_numpy().astype(np.int64) for x in ("total", "mark")), buckets)
+    return Head(words, *(found.column(x).to_numpy().astype(np.int64) for x in ("total", "mark")), least, buckets)
 
 
 def _held(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[list[pa.ListArray]]:
@@ -345,29 +349,176 @@ def _mark(word: str | Column, size: int) -> Column:
     return F.when(_number(word, 9, 1) < 8, 1).otherwise(-1) * (_number(word, 1, 8) % size + 1)
 
 
-def _with_sums(pairs: DataFrame, sums: DataFrame, whole: int) -> DataFrame:
-    """Pairs with the rows of ``sums`` of both words as ``met_a`` and ``met_b``.
+def _entry_parts(keys: np.ndarray, steps: np.ndarray, words: pa.StringArray) -> list[bytes]:
+    return [_packed(np.diff(keys, prepend=0)), _packed(steps), *_packed_words(words)]
+
+
+def _described(sums: DataFrame, at_hand) -> DataFrame:
+    """Rows of words for their buckets: places of those in the head, ``n`` of all, sums and marks of the others."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+        for batch in batches:
+            held.append(batch)
+            n_held += batch.num_rows
+            if n_held >= DESCRIBED_AT_ONCE:
+                yield _parcels(list(_word_parcels(held, at_hand.value)))
+                held, n_held = [], 0
+        if held:
+            yield _parcels(list(_word_parcels(held, at_hand.value)))
+
+    return sums.mapInArrow(describe, PARCEL)
+
 
-    Words with a larger part than one in ``HEAD`` of the ``whole``, which are fewer, are looked up in
-    place.  So only pairs with a rarer word are dealt out, by that word.
+def _word_parcels(batches: list[pa.RecordBatch], head: Head) -> Iterator[tuple[int, int, list[bytes]]]:
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    words = rows.column("word").combine_chunks()
+    n, total, mark = (rows.column(x).to_numpy() for x in ("n", "total", "mark"))
+    ids = head.ids(words)
+    home = head.home(words, ids)
+    order = np.lexsort((ids, home))
+    cuts = np.searchsorted(home[order], np.arange(head.buckets + 1))
+    for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+        some = order[cuts[bucket] : cuts[bucket + 1]]
+        rare = some[ids[some] >= len(head.words)]
+        known = ids[some[: len(some) - len(rare)]]
+        yield bucket, WORDS, [*map(_packed, (known, n[some], total[rare], mark[rare])), *_packed_words(words.take(pa.array(rare)))]
+
+
+class _Described(NamedTuple):
+    """The words of a bucket: places of those in the head, then the others with their sums and marks; ``n`` of all."""
+
+    known: np.ndarray
+    n: np.ndarray
+    words: pa.StringArray
+    totals: np.ndarray
+    marks: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[list[bytes]]) -> _Described:
+        known, n, totals, marks = ([_unpacked(parts[k]) for parts in rows] for k in range(4))
+        joined = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        ends = [len(x) for x in known]
+        n = [x[:end] for x, end in zip(n, ends)] + [x[end:] for x, end in zip(n, ends)]
+        words = pa.concat_arrays([pa.array([], pa.string()), *(_unpacked_words(*parts[4:]) for parts in rows)])
+        return cls(joined(known), joined(n), words, joined(totals), joined(marks))
+
+    def at(self, words: pa.StringArray) -> np.ndarray:
+        """Place of each word among the others, -1 for words of other buckets."""
+        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+
+
+def _steps(n: np.ndarray, whole: int, total: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Steps of the log ratio to chance, none below zero."""
+    ratio = n * float(whole) / (total.astype(np.float64) * met)
+    return np.floor(np.log(np.maximum(ratio, 1)) * STEPS + 0.5).astype(np.int64)
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], head: Head, size: int, whole: int) -> Iterator[pa.RecordBatch]:
+    """From pairs to entries of vectors, added up as far as a task has them.
+
+    Pairs of two rare words are in the buckets of both, where only one sum is known: it goes
+    to the bucket of the other word.
     """
-    often = F.col("total") * HEAD > whole
-    values = F.struct(*(name for name in sums.columns if name != "word"))
-    looked = pairs
-    for side in ("a", "b"):
-        head = sums.filter(often).select(F.col("word").alias(side), values.alias(f"met_{side}"))
-        looked = looked.join(F.broadcast(head), side, "left")
-    parts = []
-    for missing in ([], ["a"], ["b"], ["a", "b"]):
-        part = looked
-        for side in ("a", "b"):
-            unknown = F.col(f"met_{side}").isNull()
-            part = part.filter(unknown if side in missing else ~unknown)
-        for side in missing:
-            tail = sums.filter(~often).select(F.col("word").alias(side), values.alias(f"met_{side}"))
-            part = part.drop(f"met_{side}").join(tail, side)
-        parts.append(part.select("a", "b", "n", "met_a", "met_b"))
-    return reduce(DataFrame.unionByName, parts)
+    n_head = len(head.words)
+    no_words = pa.array([], pa.string())
+    held, late = [], []
+
+    def flush_held() -> Iterator[tuple[int, int, list[bytes]]]:
+        key, steps = _summed([x for x, _ in held], [x for _, x in held])
+        ids, dim = np.divmod(key, size)
+        order = np.argsort(ids % head.buckets, kind="stable")
+        home, keys, steps = (ids % head.buckets)[order], (_place(ids, head) * size + dim)[order], steps[order]
+        cuts = np.searchsorted(home, np.arange(head.buckets + 1))
+        for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+            some = slice(cuts[bucket], cuts[bucket + 1])
+            yield bucket, ENTRIES, _entry_parts(keys[some], steps[some], no_words)
+
+    def flush_late() -> Iterator[tuple[int, int, list[bytes]]]:
+        home, n, total, mark = (np.concatenate(x) for x in list(zip(*late))[:4])
+        words = pa.concat_arrays([x[4] for x in late])
+        order = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[order], np.arange(head.buckets + 1))
+        for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+            some = order[cuts[bucket] : cuts[bucket + 1]]
+            yield bucket, OPEN, [_packed(n[some]), _packed(total[some]), _packed(mark[some]), *_packed_words(words.take(pa.array(some)))]
+
+    for bucket, rows in _by_bucket(batches):
+        described = _Described.of(rows[WORDS])
+        high, low, n, rare = _added(rows[PAIRS], bucket, head)
+        at = described.at(rare)
+        total = np.concatenate([head.totals, np.append(described.totals, 0)[at]])
+        mark = np.concatenate([head.marks, np.append(described.marks, 0)[at]])
+        apart = (high >= n_head) & (low >= n_head) & (high != low)
+        if apart.any():
+            x, y, weight = high[apart], low[apart], n[apart]
+            home = head.home(rare, np.arange(n_head, n_head + len(rare)))
+            for own, other in ((x, y), (y, x)):
+                here = home[own - n_head] == bucket
+                own, other = own[here], other[here]
+                late.append((home[other - n_head], weight[here], total[own], mark[own], rare.take(pa.array(other - n_head))))
+        high, low, n = high[~apart], low[~apart], n[~apart]
+        same = high == low
+        steps = _steps(np.where(same, 2 * n, n), whole, total[high], total[low])
+        high, low, same, steps = (x[steps > 0] for x in (high, low, same, steps))
+        signed = lambda met: (np.abs(mark[met]) - 1, np.sign(mark[met]) * steps)
+        dim, found = signed(low)
+        # A bucket has all words of its pairs' first side.
+        used = np.unique(high[high >= n_head])
+        own = np.where(high < n_head, high, n_head + np.searchsorted(used, high))
+        key, found = _summed([_place(own, head) * size + dim], [found])
+        outgoing = [(bucket, ENTRIES, _entry_parts(key, found, rare.take(pa.array(used - n_head))))]
+        dim, found = signed(high)
+        held.append(((low * size + dim)[~same], found[~same]))
+        if sum(len(x) for x, _ in held) >= ENTRIES_AT_ONCE:
+            held[:] = [_summed([x for x, _ in held], [x for _, x in held])]
+            if len(held[0][0]) >= ENTRIES_AT_ONCE // 2:
+                outgoing += flush_held()
+                held.clear()
+        if sum(len(x[0]) for x in late) >= ROWS_AT_ONCE * 8:
+            outgoing += flush_late()
+            late.clear()
+        yield _parcels(outgoing)
+    if held:
+        yield _parcels(list(flush_held()))
+    if late:
+        yield _parcels(list(flush_late()))
+
+
+def _filled(batches: Iterator[pa.RecordBatch], head: Head, size: int, whole: int) -> Iterator[pa.RecordBatch]:
+    """From entries to the vectors of all words of a bucket."""
+    for bucket, rows in _by_bucket(batches):
+        described = _Described.of(rows[WORDS])
+        n_known, top = len(described.known), len(head.words) // head.buckets + 1
+        row_of = np.full(top, -1)
+        row_of[described.known // head.buckets] = np.arange(n_known)
+        flat = np.zeros(len(described.n) * size, np.int64)
+        for keys, steps, *words in rows[ENTRIES]:
+            place, dim = np.divmod(np.cumsum(_unpacked(keys)), size)
+            row = np.concatenate([row_of, n_known + described.at(_unpacked_words(*words))])[place]
+            flat[row * size + dim] += _unpacked(steps)
+        for parts in rows[OPEN]:
+            n, total, mark = map(_unpacked, parts[:3])
+            at = described.at(_unpacked_words(*parts[3:]))
+            steps = _steps(n, whole, described.totals[at], total)
+            np.add.at(flat, (n_known + at) * size + np.abs(mark) - 1, np.sign(mark) * steps)
+        words = pa.concat_arrays([head.words.take(pa.array(described.known)), described.words])
+        at_once = max(ROWS_AT_ONCE // size, 1)
+        for at in range(0, len(words), at_once):
+            values = flat[at * size : (at + at_once) * size] / STEPS
+            ends = pa.array(np.arange(0, len(values) + 1, size, dtype=np.int32))
+            columns = [words[at : at + at_once], pa.array(described.n[at : at + at_once]), pa.ListArray.from_arrays(ends, pa.array(values))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "vector"])
+
+
+def _only(spoken: DataFrame, kept: DataFrame) -> DataFrame:
+    """Sentences with nulls for all words but the kept ones."""
+    rows = stage(spoken.withColumn("_row", F.monotonically_increasing_id()), "sentences")
+    places = rows.select("_row", F.posexplode("words").alias("pos", "word"))
+    met = places.join(kept.select("word", F.lit(True).alias("_kept")), "word", "left")
+    place = F.struct("pos", F.when(F.col("_kept"), F.col("word")).alias("word"))
+    said = met.groupBy("_row").agg(F.sort_array(F.collect_list(place))["word"].alias("words"))
+    return stage(said.select("words"), "kept")
 
 
 def train_word_vectors(
@@ -382,36 +533,17 @@ def train_word_vectors(
     neighbour; a word without a neighbour has the zero vector.  The result does not depend on
     partitions; an empty table gives an empty result.
     """
-    counts = sentences.select(F.explode_outer(words).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
-    counts = stage(counts.filter(F.col("n") >= min_count), "words")
-    pairs = count_neighbours(sentences, window, words)
+    spoken = _spoken(sentences, words)
+    sums = _word_sums(spoken, window)
     if min_count > 1:
-        for side in ("a", "b"):
-            pairs = pairs.join(counts.select(F.col("word").alias(side)), side, "left_semi")
-    pairs = stage(pairs, "neighbours")
-    sides = [F.struct(F.col(x).alias("word"), F.col(y).alias("near"), "n") for x, y in (("a", "b"), ("b", "a"))]
-    twice = F.struct(F.col("a").alias("word"), F.col("b").alias("near"), (2 * F.col("n")).alias("n"))
-    directed = pairs.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(twice)).otherwise(F.array(*sides))))
-    sign = F.when(_number("word", 9, 1) < 8, 1).otherwise(-1)
-    at = (_number("word", 1, 8) % size).cast("int")
-    sums = directed.groupBy("word").agg(F.sum("n").alias("total")).withColumns({"at": at, "sign": sign})
-    # Written with a number for every word, so that no word goes with each of its entries.
-    sums = sums.withColumn("id", F.monotonically_increasing_id())
-    sums = stage(sums, "sums")
+        spoken = _only(spoken, sums.filter(F.col("n") >= min_count))
+        sums = _word_sums(spoken, window)
     whole = sums.agg(F.sum("total")).first()[0] or 0
-    a, b = F.col("met_a"), F.col("met_b")
-    same = F.col("a") == F.col("b")
-    ratio = F.when(same, 2 * F.col("n")).otherwise(F.col("n")) * F.lit(float(whole)) / (a["total"].cast("double") * b["total"])
-    steps = F.round(F.log(ratio) * STEPS).cast("long")
-    entry = lambda word, near: F.struct(word["id"].alias("id"), near["at"].alias("at"), (near["sign"] * steps).alias("steps"))
-    both = F.when(same, F.array(entry(a, b))).otherwise(F.array(entry(a, b), entry(b, a)))
-    signed = _with_sums(pairs, sums, whole).filter(ratio > 1).select(F.inline(both))
-    summed = signed.groupBy("id", "at").agg(F.sum("steps").alias("steps"))
-    # At most ``size`` entries per word.
-    entries = summed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "steps"))).alias("entries"))
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda at: F.coalesce(F.try_element_at("entries", at), F.lit(0)).cast("double") / STEPS,
-    )
-    found = counts.join(sums.select("word", "id"), "word", "left").join(entries, "id", "left")
-    return found.select("word", "n", filled.alias("vector"))
+    head = _head(sums, size)
+    at_hand = spoken.sparkSession.sparkContext.broadcast(head)
+    marked = sums.withColumn("mark", _mark("word", size))
+    pairs = _pairs(spoken, window, at_hand, both=True)
+    met = _met(pairs.unionByName(_described(marked.filter(F.col("n") < head.least), at_hand)))
+    entries = met.mapInArrow(lambda batches: _weighed(batches, at_hand.value, size, whole), PARCEL)
+    met = _met(entries.unionByName(_described(marked, at_hand)))
+    return met.mapInArrow(lambda batches: _filled(batches, at_hand.value, size, whole), "word string, n bigint, vector array<double>")

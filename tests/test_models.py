@@ -188,6 +188,66 @@ def test_vectors_do_not_depend_on_which_words_are_looked_up_in_place(spark, monk
     assert {tuple(r) for r in train_word_vectors(rows, size=8).selectExpr("word", "n", "string(vector)").collect()} == wanted
 
 
+@pytest.mark.parametrize("head, buckets", [(0, 1), (1, 2), (3, 1024), (4, 1)])
+@pytest.mark.parametrize("min_count", [1, 3])
+def test_vectors_meet_in_buckets_only(spark, monkeypatch, head, buckets, min_count):
+    sentences = [*SENTENCES, ["p", "q", "r", "p"], ["q", "s", "t", "é"], ["p"], ["q", None, "r", "é"], ["alone"]]
+    counts = Counter(w for s in sentences for w in s if w)
+    kept = [[w if w and counts[w] >= min_count else None for w in s] for s in sentences]
+    directed, sums = Counter(), Counter()
+    for (a, b), n in counted_neighbours(kept, 3).items():
+        directed[a, b] += n
+        directed[b, a] += n
+    for (a, _), n in directed.items():
+        sums[a] += n
+    wanted = {w: [0.0] * 8 for w, n in counts.items() if n >= min_count}
+    for (a, b), n in directed.items():
+        ratio = n * sum(sums.values()) / (sums[a] * sums[b])
+        digest = hashlib.md5(b.encode()).hexdigest()
+        if ratio > 1:
+            wanted[a][int(digest[:8], 16) % 8] += (1 if int(digest[8], 16) < 8 else -1) * round(math.log(ratio) * STEPS) / STEPS
+    monkeypatch.setattr(word_vectors, "HEAD", head)
+    monkeypatch.setattr(word_vectors, "LEAST_BUCKETS", buckets)
+    df = spark.createDataFrame([(s,) for s in sentences], "words array<string>").repartition(3)
+    vectors = train_word_vectors(df, size=8, window=3, min_count=min_count)
+    got = {r["word"]: (r["n"], r["vector"]) for r in vectors.collect()}
+    assert got == {w: (counts[w], v) for w, v in wanted.items()}
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == plan.count("hashpartitioning(bucket") > 0
+
+
+@pytest.mark.parametrize("at_once", [1, 8, 1 << 20])
+@pytest.mark.parametrize("n_head", [0, 1, 3])
+def test_entries_do_not_depend_on_how_many_a_task_holds(monkeypatch, at_once, n_head):
+    totals = Counter()
+    for (a, b), n in counted_neighbours(SENTENCES, 3).items():
+        totals[a] += n
+        totals[b] += n
+    spoken = sorted({w for s in SENTENCES for w in s if w})
+    marks = np.array([1, -3, 2, 3, -1])
+    each = [spoken, [1] * 5, [totals[w] for w in spoken], marks]
+    head = word_vectors.Head(pa.array(spoken[:n_head], pa.string()), np.array(each[2][:n_head], np.int64), marks[:n_head], 1, 3)
+    described = pa.record_batch([pa.array(x) for x in each], names=["word", "n", "total", "mark"])
+
+    def met(rows):
+        return iter([word_vectors._parcels([row]) for row in sorted(rows, key=lambda row: row[0])])
+
+    def vectors():
+        counted = word_vectors._counted([pa.array(SENTENCES)], 3, 7)
+        pairs = [row for some in counted for row in word_vectors._dealt(some, head, True)]
+        words = list(word_vectors._word_parcels([described], head))
+        sent = pa.Table.from_batches(word_vectors._weighed(met([*pairs, *words]), head, 3, sum(totals.values()))).to_pylist()
+        entries = [(r["bucket"], r["kind"], r["parts"]) for r in sent]
+        found = word_vectors._filled(met([*entries, *words]), head, 3, sum(totals.values()))
+        return {r["word"]: r["vector"] for r in pa.Table.from_batches(found).to_pylist()}
+
+    wanted = vectors()
+    assert sorted(wanted) == spoken and any(map(any, wanted.values()))
+    monkeypatch.setattr(word_vectors, "ENTRIES_AT_ONCE", at_once)
+    monkeypatch.setattr(word_vectors, "ROWS_AT_ONCE", at_once)
+    assert vectors() == wanted
+
+
 def test_no_vocabulary_and_no_sentence_is_too_large(spark):
     many = spark.range(30_000).select(F.array(F.concat(F.lit("w"), "id"), F.lit("the")).alias("words"))
     assert train_word_vectors(many, size=4).count() == 30_001
