@@ -26,15 +26,16 @@ from gradeloom.staging import stage
 STEPS = 1 << 20
 # So many of the most frequent words at most are known to every task.
 HEAD = 500_000
-# Pairs that a task adds up at a time, and different ones that it hands on at a time.
+# Pairs that a task adds up at a time, in parts of so many, and different ones that it hands on at a time.
 PAIRS_AT_ONCE = 1 << 23
+KEYS_AT_ONCE = 1 << 20
 ROWS_AT_ONCE = 1 << 16
 # Entries of vectors that a task holds until it hands them on.
-ENTRIES_AT_ONCE = 1 << 22
+ENTRIES_AT_ONCE = 1 << 21
 # Words that are dealt out together.
 DESCRIBED_AT_ONCE = 1 << 18
 # Buckets at least, and occurrences and words that a bucket gets on average at most.
-LEAST_BUCKETS, BUCKET_PLACES, BUCKET_WORDS = 1 << 10, 1 << 21, 1 << 15
+LEAST_BUCKETS, BUCKET_PLACES, BUCKET_WORDS = 1 << 8, 1 << 21, 1 << 15
 
 # What a row for a bucket holds.
 PAIRS, WORDS, ENTRIES, OPEN = range(4)
@@ -175,18 +176,29 @@ def _near(lists: list[pa.ListArray], window: int, at_once: int) -> Iterator[tupl
 def _counted(lists: list[pa.ListArray], window: int, at_once: int) -> Iterator[pa.RecordBatch]:
     """Weights of the pairs in some sentences, added up over each ``at_once`` words; ``a`` and ``b`` share a dictionary in order."""
     for known, _, _, pairs in _near(lists, window, at_once):
-        n_words, found = len(known), []
+        bits, more = len(known).bit_length(), window.bit_length()
+        # Sorted in place and added up in parts, since nothing else of a task is as large.
+        keys, n_keys = np.empty(window * at_once if len(known) else 0, np.int64), 0
         for weight, first, second in pairs:
-            pair = np.minimum(first, second) * n_words + np.maximum(first, second)
-            found.append(pair * (window + 1) + weight)
-        keys = np.concatenate(found or [np.zeros(0, np.int64)])
-        found.clear()
+            pair = np.minimum(first, second) << bits | np.maximum(first, second)
+            keys[n_keys : n_keys + len(pair)] = pair << more | weight
+            n_keys += len(pair)
+        keys = keys[:n_keys]
         keys.sort()
-        pair, weight = np.divmod(keys, window + 1)
+        found = [_totals(*_halves(keys[at : at + KEYS_AT_ONCE], more)) for at in range(0, n_keys, KEYS_AT_ONCE)]
         del keys
-        pair, totals = _totals(pair, weight)
-        sides = [pa.DictionaryArray.from_arrays(pa.array(side.astype(np.int32)), known) for side in np.divmod(pair, max(n_words, 1))]
-        yield pa.RecordBatch.from_arrays([*sides, pa.array(totals)], names=["a", "b", "n"])
+        # A pair on the edge of two parts is in both.
+        pair, totals = _totals(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ()))))
+        del found
+        sides = [pa.DictionaryArray.from_arrays(pa.array(side.astype(np.int32)), known) for side in _halves(pair, bits)]
+        counted = pa.RecordBatch.from_arrays([*sides, pa.array(totals)], names=["a", "b", "n"])
+        del pair, totals, sides
+        yield counted
+
+
+def _halves(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """What stands above and in the last bits."""
+    return keys >> bits, keys & ((1 << bits) - 1)
 
 
 def _totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,25 +291,31 @@ def _dealt(counted: pa.RecordBatch, head: Head, both: bool) -> Iterator[tuple[in
     known, n = counted.column("a").dictionary, counted.column("n").to_numpy()
     ids = head.ids(known)
     home = head.home(known, ids)
-    n_head, width = len(head.words), len(head.words) + len(known)
+    n_head = len(head.words)
+    bits = (n_head + len(known)).bit_length()
     first, second = (counted.column(x).indices.to_numpy() for x in ("a", "b"))
     rarer = ids[first] > ids[second]
     high, low = np.where(rarer, first, second), np.where(rarer, second, first)
-    key = (home[high] * width + ids[high]) * width + ids[low]
+    key = home[high]
+    for side in (high, low):
+        key <<= bits
+        key |= ids[side]
     if both:
         again = (ids[low] >= n_head) & (home[high] != home[low])
-        more = (home[low[again]] * width + ids[high[again]]) * width + ids[low[again]]
+        more = (home[low[again]] << bits | ids[high[again]]) << bits | ids[low[again]]
         key, n = np.append(key, more), np.append(n, n[again])
+    del first, second, rarer, high, low
     order = np.argsort(key)
     key, n = key[order], n[order]
+    del order
     rare = np.flatnonzero(ids >= n_head)
-    cuts = np.searchsorted(key, np.arange(head.buckets + 1) * width * width)
+    cuts = np.searchsorted(key, np.arange(head.buckets + 1) << 2 * bits)
     for bucket in np.flatnonzero(np.diff(cuts)).tolist():
         some = slice(cuts[bucket], cuts[bucket + 1])
-        high, low = np.divmod(key[some] - bucket * width * width, width)
+        high, low = _halves(key[some] - (bucket << 2 * bits), bits)
         used = np.unique(np.concatenate([side[side >= n_head] for side in (high, low)]))
         high, low = (np.where(side < n_head, side, n_head + np.searchsorted(used, side)) for side in (high, low))
-        keys = _place(high, head) * (n_head + len(used)) + low
+        keys = _place(high, head) << (n_head + len(used)).bit_length() | low
         words = known.take(pa.array(rare[used - n_head]))
         yield bucket, PAIRS, [_packed(np.diff(keys, prepend=0)), _packed(n[some]), *_packed_words(words)]
 
@@ -325,18 +343,17 @@ def _added(rows: list[list[bytes]], bucket: int, head: Head) -> tuple[np.ndarray
     """Both sides and the weights of the different pairs of a bucket, and the words behind those of the head."""
     n_head = len(head.words)
     places, rare = _together([_unpacked_words(*parts[2:]) for parts in rows])
-    width, keys, weights = n_head + len(rare), [], []
+    bits, keys, weights = (n_head + len(rare)).bit_length(), [], []
     for (pairs, n, *_), own in zip(rows, places):
-        high, low = np.divmod(np.cumsum(_unpacked(pairs)), n_head + len(own))
+        high, low = _halves(np.cumsum(_unpacked(pairs)), (n_head + len(own)).bit_length())
         high = _at_place(high, bucket, head)
         for side in (high, low):
             late = side >= n_head
             side[late] = n_head + own[side[late] - n_head]
-        keys.append(high * width + low)
+        keys.append(high << bits | low)
         weights.append(_unpacked(n))
     key, n = _summed(keys, weights)
-    high, low = np.divmod(key, max(width, 1))
-    return high, low, n, rare
+    return *_halves(key, bits), n, rare
 
 
 def _number(word: str | Column, begin: int, digits: int) -> Column:

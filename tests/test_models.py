@@ -12,6 +12,7 @@ from gradeloom.functions.text import words
 from gradeloom.operators import classifier, metrics, tokens, word_vectors
 from gradeloom.operators.sampling import concat
 from gradeloom.operators.word_vectors import STEPS, count_neighbours, train_word_vectors
+from gradeloom.plans import word_similarity as word_similarity_plan
 from gradeloom.plans.single_run import single_run
 from gradeloom.plans.training_sets import training_sets
 from gradeloom.plans.word_similarity import word_similarity
@@ -127,6 +128,16 @@ def test_neighbours_are_added_up_before_they_are_dealt_out(at_once):
         assert n_rows == len(got)
 
 
+@pytest.mark.parametrize("keys", [1, 2, 7])
+def test_pairs_of_a_task_are_added_up_in_parts(monkeypatch, keys):
+    monkeypatch.setattr(word_vectors, "KEYS_AT_ONCE", keys)
+    sentences = [*SENTENCES[:5], ["a", "b", "c"] * 9]
+    (batch,) = word_vectors._counted([pa.array(sentences)], 3, 1000)
+    rows = batch.to_pylist()
+    wanted = counted_neighbours(sentences, 3)
+    assert len(rows) == len(wanted) and {(r["a"], r["b"]): r["n"] for r in rows} == wanted
+
+
 @pytest.mark.parametrize("head, buckets", [(1, 3), (3, 1), (4, 1024)])
 def test_pairs_do_not_depend_on_which_words_are_frequent(spark, monkeypatch, head, buckets):
     monkeypatch.setattr(word_vectors, "HEAD", head)
@@ -261,6 +272,21 @@ def test_word_similarity(spark, texts):
     assert got["bad"] == pytest.approx(1) and -1 <= got["good"] <= 1
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_only_vectors_that_are_compared_are_dealt_out(spark, monkeypatch, few):
+    monkeypatch.setattr(word_similarity_plan, "ASKED", few)
+    texts = spark.createDataFrame([(1, "p q r s. q r t."), (2, "s t p."), (3, None)], "par_id long, text string")
+    pairs = spark.createDataFrame([("p", "q"), ("t", "q"), ("p", "q")], "a string, b string")
+    found = word_similarity(texts, pairs, size=8)
+    vectors = {r["word"]: np.array(r["vector"]) for r in train_word_vectors(tokens.sentences_of_words(texts, "par_id"), size=8).collect()}
+    got = sorted((r["a"], r["b"], r["similarity"]) for r in found.collect())
+    alike = lambda a, b: vectors[a] @ vectors[b] / np.linalg.norm(vectors[a]) / np.linalg.norm(vectors[b])
+    assert got == [(a, b, pytest.approx(alike(a, b))) for a, b in (("p", "q"), ("p", "q"), ("t", "q"))]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="no vector for other"):
+        word_similarity(texts, spark.createDataFrame([("other", "q")], "a string, b string"), size=8).collect()
+
+
 def by_hand(train, epochs, rate, batch_size):
     """Weights after each epoch."""
     rows = [({"": 1.0} | {w: math.sqrt(n / len(t.split())) for w, n in Counter(t.split()).items()}, y) for t, y in train]
